@@ -247,7 +247,7 @@ def reference_key(spark: SparkSession, sf: str) -> DataFrame:
     return op.reference_key(citations(spark, sf).select("doc_id", F.col("pos").alias("num"), F.expr(f"substr({_REF}, instr({_REF}, ' ') + 1)").alias("body")))
 
 
-@P.add(rf"""{_CTE}, t AS (SELECT doc_id, array_to_string(list(text ORDER BY para_idx), CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) ELSE chr(10) END) AS text FROM bib GROUP BY doc_id), b AS (SELECT doc_id, bs[i] AS block, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n{{2,}}') AS bs FROM t)))
+@P.add(rf"""{_CTE}, t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN string_agg(text, chr(10) || chr(10) ORDER BY para_idx) ELSE string_agg(text, chr(10) ORDER BY para_idx) END AS text FROM bib GROUP BY doc_id), b AS (SELECT doc_id, bs[i] AS block, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\n{{2,}}') AS bs FROM t)))
 SELECT doc_id, pos, regexp_replace(trim(block), '^\d+[.)]\s*', '') AS body, regexp_extract(regexp_replace(trim(block), '^\d+[.)]\s*', ''), '\b((?:18|19|20)\d\d)', 1) AS year FROM b WHERE length(trim(block)) >= 20""")
 def read_reference_list(spark: SparkSession, sf: str) -> DataFrame:
     rows = _bib(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "text"))).alias("t"))

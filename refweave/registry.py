@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("citing", "extraction")
+MODULES = ("citing", "extraction", "field_codes")
 
 
 def _loaded():
