@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("citing", "extraction", "field_codes", "resolving")
+MODULES = ("citing", "extraction", "field_codes", "resolving", "laying_out")
 
 
 def _loaded():
