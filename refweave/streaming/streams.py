@@ -13,7 +13,8 @@ def decision_stream(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     """Accepted and skipped decisions per window; decisions later than the watermark are left out. Works on a stream and on a table alike."""
     action = F.when(F.col("event_type").isin("purchase", "signup"), "accepted").when(F.col("event_type") == "error", "skipped")
     d = events.withColumn("action", action).where("action is not null")
-    d = d.withWatermark("ts", late) if d.isStreaming else d
+    if d.isStreaming:  # a watermark wants a time with a zone
+        d = d.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return d.groupBy(F.window("ts", window).alias("w"), "action").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "action", "n")
 
 
