@@ -20,6 +20,6 @@ def decision_stream(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 
 def incremental_scan(spark: SparkSession, path: str, out: str, checkpoint: str) -> StreamingQuery:
     """Reads the packages that arrived since the last call, and appends name, size and time of each to `out`. What was scanned is kept in the checkpoint."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
     seen = files.select("path", "length", "modificationTime").withWatermark("modificationTime", "1 day").dropDuplicatesWithinWatermark(["path"])
     return seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
