@@ -26,7 +26,7 @@ CLOSES_P = BLOCK - frozenset(["body", "html"])
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 #: Words of class, id and role attributes that mark what isn't the article.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|contentinfo|cookie|cookies|consent|disqus|dialog|footer|header|login|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|alert|pager|pagination|popup|promo|related|reply|replies|respond|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?<!has.)(?<!with.)(?<!no.)(ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|contentinfo|cookie|cookies|consent|disqus|dialog|footer|header|login|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|alert|pager|pagination|popup|promo|related|reply|replies|respond|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)", re.S)
@@ -43,12 +43,14 @@ class Node:
         self.chars, self.linked = 0, 0
 
 
-def _unlikely(tag: str, attrs: str) -> bool:
+def _unlikely(tag: str, attrs: str, at: Node) -> bool:
+    """Whether an element's attributes mark it as no part of the article. A header inside the article is its own."""
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attrs):
         return True
-    return any(UNLIKELY.search(m[2].strip("\"'")) for m in _ATTR.finditer(attrs))
+    marks = [x[1].lower() for m in _ATTR.finditer(attrs) for x in UNLIKELY.finditer(m[2].strip("\"'"))]
+    return bool(marks) and not (set(marks) == {"header"} and any(p.tag in ("article", "main") for p in _ancestors(at)))
 
 
 def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], Node]:
@@ -127,8 +129,8 @@ def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], Node]:
             holder = block(at)
             continue
         self_closed = m[3].rstrip().endswith("/") and tag not in BLOCK
-        bad = at.dropped or tag in DROPPED or _unlikely(tag, m[3])
-        if tag == "header" and not at.dropped and any(p.tag in ("article", "main") for p in _ancestors(at)) and not _unlikely(tag, m[3]):
+        bad = at.dropped or tag in DROPPED or _unlikely(tag, m[3], at)
+        if tag == "header" and not at.dropped and any(p.tag in ("article", "main") for p in _ancestors(at)) and not _unlikely(tag, m[3], at):
             bad = False
         if tag in RAW:
             if tag in ("script", "style", "title", "textarea", "noscript", "template", "iframe"):
