@@ -33,6 +33,8 @@ class UrlRule:
 #: The production rules.
 RULES = (UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/"), UrlRule("block", "net", "/fr/"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+#: Parts into which each host's pages are dealt where verdicts join them.
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -80,13 +82,14 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
 
     A url that is null or holds no ``://`` has an empty host and path, fits no rule and is judged as the host "" is. Null html has no links. Repeated rows each get a row and count as pages
     of their host; an empty table gives no rows; other columns are ignored. A host that holds a third of all pages is one row of
-    the graph, for pages and links are summed before they are shuffled; the verdicts join back by host with AQE's skew handling.
+    the graph, for pages and links are summed before they are shuffled; the verdicts join back by host and a salt.
     """
     parts = pages.select("page_id", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("_h"))
     judged = parts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("verdict"), "_h")
     links = judged.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("_h", F.lit(LINKED_HOST), F.lit(1))).alias("dst"))
     edges = links.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     scores = host_scores(judged.select("host", "verdict"), edges, damping, rounds)
-    blocked = scores.where(F.col("distrust") - F.col("trust") > (1 - damping) * threshold).select(F.col("host").alias("_bad"))
-    out = judged.drop("_h").join(blocked, F.col("host") == F.col("_bad"), "left")
+    blocked = scores.where(F.col("distrust") - F.col("trust") > (1 - damping) * threshold).select(F.col("host").alias("_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_salt"))
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))
+    out = judged.drop("_h").join(blocked, (F.col("host") == F.col("_bad")) & (salt == F.col("_salt")), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow")).alias("verdict"))
