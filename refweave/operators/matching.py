@@ -6,6 +6,8 @@ joined by rows, which adaptive execution splits; counts are summed before they a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -291,37 +293,41 @@ def align_pairs(similar: DataFrame, least: float = 0.12) -> DataFrame:
     """
     import pandas as pd
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        doc = df["doc_id"].iloc[0]
-        df = df[df["sim"] >= least].sort_values(["t", "s"], ascending=[True, False])
-        places = {s: i + 1 for i, s in enumerate(sorted(df["s"].unique()))}
+    def best(pairs: list[tuple]) -> list[tuple]:
+        rows = sorted(pairs, key=lambda x: (x[0], -x[1]))  # of one target, the later sources come first, so none follows another of it
+        places = {s: i + 1 for i, s in enumerate(sorted({r[1] for r in rows}))}
         tree: list[tuple[float, int]] = [(0.0, -1)] * (len(places) + 1)
-        rows, back = list(zip(df["t"], df["s"], df["sim"])), []
-        for r, (_, s, sim) in enumerate(rows):  # of one target, the later sources come first, so none follows another of it
-            best, i = (0.0, -1), places[s] - 1
+
+        def upto(i: int) -> tuple[float, int]:
+            top = (0.0, -1)
             while i > 0:
-                best = max(best, tree[i], key=lambda x: x[0])
+                top = max(top, tree[i], key=lambda x: x[0])
                 i -= i & -i
-            back.append(best[1])
-            value, i = best[0] + sim, places[s]
+            return top
+
+        back = []
+        for r, (_, s, sim) in enumerate(rows):
+            before = upto(places[s] - 1)
+            back.append(before[1])
+            i = places[s]
             while i <= len(places):
-                if value > tree[i][0]:
-                    tree[i] = (value, r)
+                if before[0] + sim > tree[i][0]:
+                    tree[i] = (before[0] + sim, r)
                 i += i & -i
-        at, i = (0.0, -1), len(places)
-        while i > 0:
-            at = max(at, tree[i], key=lambda x: x[0])
-            i -= i & -i
-        out, r = [], at[1]
+        out, r = [], upto(len(places))[1]
         while r >= 0:
             out.append(rows[r])
             r = back[r]
-        made = pd.DataFrame(out[::-1], columns=["t", "s", "sim"])
-        made.insert(0, "doc_id", doc)
-        return made
+        return out[::-1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(d, *x) for d, ps in zip(batch["doc_id"], batch["pairs"]) for x in best([(p["t"], p["s"], p["sim"]) for p in ps])]
+            yield pd.DataFrame(made, columns=["doc_id", "t", "s", "sim"])
 
     kinds = {c: similar.schema[c].dataType.simpleString() for c in ("doc_id", "t", "s")}
-    return similar.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, t {kinds['t']}, s {kinds['s']}, sim double")
+    grouped = similar.where(F.col("sim") >= least).groupBy("doc_id").agg(F.collect_list(F.struct("t", "s", "sim")).alias("pairs"))
+    return grouped.mapInPandas(run, f"doc_id {kinds['doc_id']}, t {kinds['t']}, s {kinds['s']}, sim double")
 
 
 def fill_by_order(targets: DataFrame, sources: DataFrame, anchors: DataFrame) -> DataFrame:
