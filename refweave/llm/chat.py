@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refweave.llm.common import bounded_batches
+
 Message = tuple[str, str]
 
 #: Control strings of the plain template and what stands for them inside roles and texts.
@@ -74,6 +76,7 @@ def format_conversations(turns: DataFrame, render: Callable[[list[Message]], str
     are empty; rows with a null conv_id form one conversation; an empty table gives no rows; other columns are ignored. A conversation is rendered
     once per turn, so it must fit into a task, as must any formatted conversation.
     """
+    bounded_batches(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("m"))
 

@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows at most in the batches that Python gets. Rows hold whole texts and their word hashes, so Spark's own limit of 10,000 makes batches of a hundred MB.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch to BATCH_ROWS, unless it is lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name that driver and executors can all reach: below spark.checkpoint.dir, or, where that is unset, below a checkpoint folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

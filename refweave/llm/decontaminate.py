@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refweave.llm.common import ALNUM_WORD, ascii_lower, flat_lists, word_hashes
+from refweave.llm.common import ALNUM_WORD, ascii_lower, bounded_batches, flat_lists, word_hashes
 
 WINDOW = 10
 #: Words of items in one automaton, which is what a broadcast holds at most: some 300 bytes a word.
@@ -200,6 +200,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     occurs twice counts once; other columns are ignored. With keep_text, the text comes along as `text`.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = [spark.sparkContext.broadcast(m) for m in item_blocks(items, item_id, item_text, window, block_words)]
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), word_hashes(ascii_lower(F.col(text)), ALNUM_WORD).alias("w"), *[F.col(text).alias("text")] * keep_text)
@@ -232,6 +233,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     import re
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     blocks = [spark.sparkContext.broadcast(m) for m in item_blocks(items, "item_id", "text", window, block_words)]
     word = re.compile(ALNUM_WORD)
     names = docs.columns

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refweave.llm.common import bounded_batches
+
 # Element names of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
@@ -206,6 +208,7 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     Null and empty html give an empty text; broken markup is read as far as it goes; repeated rows give repeated results;
     an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refweave.llm.common import WORD
+from refweave.llm.common import WORD, bounded_batches
 
 _WORD = re.compile(WORD)
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -129,6 +129,7 @@ def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     until one rejects. Null and empty texts have no words and fail; repeated rows give repeated results; an empty table
     gives no rows; other columns are ignored whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     order = sampled_order(docs, text, rules)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -151,6 +152,7 @@ def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents, with all their columns, that no rule rejects."""
+    bounded_batches(docs.sparkSession)
     order = sampled_order(docs, text, rules)
 
     @F.pandas_udf("boolean")
