@@ -13,7 +13,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refweave.llm.common import bounded_batches
+
 NULL_ID = np.iinfo(np.int64).min
 #: Pretokens a worker remembers the ids of, at most; then it starts anew.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 BATCH_CHARS = 4_000_000
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT, _SPACES = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,7 @@ class Format:
 class Encoder:
     """Ids of texts as little-endian bytes.
 
-    A byte-level BPE splits a text into pretokens first and encodes each by itself, and always splits where white space
+    A byte-level BPE splits a text into pretokens first and encodes each by itself, and always splits where a space
     follows a character that isn't white space. So a text is cut before such spaces, and the ids of each piece are
     remembered; the tokenizer encodes each piece that is new.
     """
@@ -61,8 +65,9 @@ class Encoder:
         self.form = form
         self.tokenizer = Tokenizer.from_file(form.tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.end = np.array([form.end_id], dtype=form.dtype).tobytes()
+        self.first: dict[str, bytes] = {}  # of texts' first pieces
+        self.rest: dict[str, bytes] = {}  # of the others, by what follows their space
+        self.end = self.packed([form.end_id])
         kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else "{}").get("type")
         self.splits = kind == "ByteLevel" and self.tokenizer.normalizer is None
 
@@ -74,23 +79,38 @@ class Encoder:
         return cls._made[form]
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=np.int64).astype(self.form.dtype).tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        """The text, cut before each space that follows a character other than white space."""
-        return _CUT.split(text) if self.splits else [text]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in texts]
-        memo = self.memo
-        new = list({p for pieces in cut for p in pieces if p not in memo})
+        out = array("H" if self.form.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The first piece, and the others without the space that each begins with."""
+        if _SPACES.search(text) is None:
+            return text.split(" ")
+        first, *others = _CUT.split(text)
+        return [first, *(x[1:] for x in others)]
+
+    def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        new = list(pieces.difference(memo))
         if len(memo) + len(new) > MEMO_ENTRIES:
             memo.clear()
-            new = list({p for pieces in cut for p in pieces})
+            new = list(pieces)
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
-            memo.update(zip(some, (self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        return [b"".join([*map(memo.__getitem__, pieces), self.end]) for pieces in cut]
+            encoded = self.tokenizer.encode_batch_fast([lead + x for x in some], add_special_tokens=False)
+            memo.update(zip(some, (self.packed(e.ids) for e in encoded)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            return [self.packed(e.ids) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [self.cut(x) for x in texts]
+        heads = [x.pop(0) for x in cut]
+        self._learn(self.first, set(heads), "")
+        self._learn(self.rest, set().union(*cut), " ")
+        ids = self.rest.__getitem__
+        return [b"".join([self.first[h], *map(ids, x), self.end]) for h, x in zip(heads, cut)]
 
 
 def _filesystem(folder: str):
@@ -105,7 +125,7 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, id_col: str = "doc_
     Null texts are empty and hold the end id alone; repeated rows are written each; an empty table gives a manifest without shards; other
     columns are ignored. A task writes under a name of its own attempt and renames, so that a repeated task does no harm.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     at = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ordered = at.repartitionByRange(F.col("d"), F.xxhash64("t")).sortWithinPartitions("d", F.xxhash64("t"), "t")
 
