@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refweave.llm.common import WORD, flat_lists, row_key, window_hashes, word_hashes, written
+from refweave.llm.common import WORD, bounded_batches, flat_lists, row_key, window_hashes, word_hashes, written
 
 LENGTH, FIRST = 35, 9
 
@@ -75,10 +75,16 @@ def _by_text(places: DataFrame) -> DataFrame:
     return places.groupBy("key").agg(F.collect_set("pos").alias("places"))
 
 
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """key and text. Texts are shuffled, not their hashes, which are twice as large."""
+    return docs.select(row_key(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"))
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = FIRST) -> DataFrame:
     """key (of the row's id and text, see common.row_key) and places: where windows of `length` words start that occur elsewhere too, in the same text or another."""
+    bounded_batches(docs.sparkSession)
     first = min(first, length)
-    src = docs.select(row_key(F.col(id_col), F.col(text)).alias("key"), word_hashes(F.col(text)).alias("w"))
+    src = _texts(docs, id_col, text).select("key", word_hashes(F.col("text")).alias("w"))
     span = length - first + 1
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +116,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                     at.append(p.astype(np.int32))
         yield from _local(*_emit(hs, keys, at))
 
-    found = src.join(level, "key").select("key", "w", "places").mapInArrow(windows, "h long, key long, pos int")
+    found = _texts(docs, id_col, text).join(level, "key").select("key", word_hashes(F.col("text")).alias("w"), "places").mapInArrow(windows, "h long, key long, pos int")
     return _by_text(_repeated(found))
 
 
 def longer_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, levels: int = 24) -> DataFrame:
     """key and longest: per text with a repeat, the greatest of length, 2 * length, 4 * length, ... at which one of its windows is repeated. Doubles until no candidates survive."""
-    src = docs.select(row_key(F.col(id_col), F.col(text)).alias("key"), word_hashes(F.col(text)).alias("w"))
     now = written(repeated_windows(docs, id_col, text, length), "substring-level")
     out = now.select("key", F.lit(length).alias("longest"))
     for _ in range(levels):
@@ -137,7 +142,7 @@ def longer_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     at.append(p.astype(np.int32))
             yield from _local(*_emit(hs, keys, at))
 
-        now = written(_by_text(_repeated(src.join(now, "key").select("key", "w", "places").mapInArrow(doubled, "h long, key long, pos int"))), "substring-level")
+        now = written(_by_text(_repeated(_texts(docs, id_col, text).join(now, "key").select("key", word_hashes(F.col("text")).alias("w"), "places").mapInArrow(doubled, "h long, key long, pos int"))), "substring-level")
         if now.isEmpty():
             break
         length *= 2
