@@ -164,8 +164,8 @@ def audit_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def reconcile(missing: DataFrame, extra: DataFrame) -> DataFrame:
     """Missing entries re-paired with extra ones of the same surname that share a title word of 5 letters or more; greedy in order of missing, then extra, each extra once. Both: pos, surname, title."""
-    words = lambda c: tx.terms(F.col(c), 5)
-    j = missing.select(F.col("pos").alias("m"), "surname", F.col("title").alias("mt")).join(extra.select(F.col("pos").alias("e"), "surname", F.col("title").alias("et")), "surname").where(F.arrays_overlap(words("mt"), words("et"))).select("surname", "m", "e")
+    side = lambda df, pos, words: df.select(F.col("pos").alias(pos), "surname", tx.terms(F.col("title"), 5).alias(words))
+    j = side(missing, "m", "mt").join(side(extra, "e", "et"), "surname").where(F.arrays_overlap("mt", "et")).select("surname", "m", "e")
     state = F.expr("named_struct('m', cast(array() as array<bigint>), 'e', cast(array() as array<bigint>))")
     pairs = j.groupBy("surname").agg(F.array_sort(F.collect_list(F.struct(F.col("m").cast("long").alias("m"), F.col("e").cast("long").alias("e")))).alias("p"))
 

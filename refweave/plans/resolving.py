@@ -275,8 +275,8 @@ b AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos ROWS
 bags AS (SELECT DISTINCT c.doc_id, c.pos AS cite, word FROM b c JOIN placed p ON p.doc_id = c.doc_id AND place >= base - 20 AND place < base + 12 WHERE is_cite), idf AS (SELECT word, count(*) AS df, round(ln(((SELECT count(*) FROM (SELECT DISTINCT doc_id, cite FROM bags)) + 1) / (count(*) + 0.5)) + 1, 6) AS idf FROM bags GROUP BY word)"""
 
 
-def _bags(spark: SparkSession, sf: str) -> DataFrame:
-    c = citations(spark, sf).where("doc_id % 10 < 4")
+def _bags(spark: SparkSession, sf: str, among: str = "doc_id % 10 < 4") -> DataFrame:
+    c = citations(spark, sf).where(among)
     return op.context_words(c.select("doc_id", "pos", F.concat("title", F.lit(" for the "), "author").alias("text"), (F.col("rec_id") % 3 == 0).alias("is_cite")), ["the", "for"])
 
 
@@ -307,18 +307,24 @@ def context_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _sims(spark, sf)
 
 
+def _neighbour_sims(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document takes part: the even ones are targets, their sources the odd ones that follow them."""
+    bags = _bags(spark, sf, "true")
+    side = lambda k: bags.where(F.col("doc_id") % 2 == k).select((F.col("doc_id") - k).alias("doc_id"), "cite", "word")
+    return op.context_similarity(side(0), side(1), op.context_idf(bags))
+
+
 @P.add()
 def context_transplant(spark: SparkSession, sf: str) -> DataFrame:
-    return op.align_pairs(_sims(spark, sf))
+    return op.align_pairs(_neighbour_sims(spark, sf))
 
 
 @P.add()
 def transplant_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Each target with the text that replaces it: its aligned source's, where the similarity is 0.4 or more, else its own."""
-    pair = F.col("doc_id") - F.col("doc_id") % 10 + F.col("doc_id") % 2
-    c = citations(spark, sf).where("doc_id % 10 < 4 AND rec_id % 3 = 0").withColumns({"pair": pair, "first": F.col("doc_id") % 10 < 2})
-    t, s = c.where("first").selectExpr("pair AS doc_id", "pos AS t", "title AS own"), c.where("NOT first").selectExpr("pair AS doc_id", "pos AS s", "title AS other")
-    a = op.align_pairs(_sims(spark, sf)).where("sim >= 0.4")
+    c = citations(spark, sf).where("rec_id % 3 = 0")
+    t, s = c.where("doc_id % 2 = 0").selectExpr("doc_id", "pos AS t", "title AS own"), c.where("doc_id % 2 = 1").selectExpr("doc_id - 1 AS doc_id", "pos AS s", "title AS other")
+    a = op.align_pairs(_neighbour_sims(spark, sf)).where("sim >= 0.4")
     return t.join(a, ["doc_id", "t"], "left").join(s, ["doc_id", "s"], "left").select("doc_id", "t", F.coalesce("other", "own").alias("text"), F.col("other").isNotNull().alias("replaced"))
 
 
@@ -350,7 +356,7 @@ def broken_to_source(spark: SparkSession, sf: str) -> DataFrame:
 @P.add()
 def reconcile_bibliographies(spark: SparkSession, sf: str) -> DataFrame:
     c = citations(spark, sf).select((F.col("doc_id") * 100 + F.col("pos")).alias("pos"), F.concat("author", "cited_year").alias("surname"), "title", "doc_id")
-    return op.reconcile(c.where("doc_id % 40 = 0"), c.where("doc_id % 40 = 1"))
+    return op.reconcile(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1"))
 
 
 _RELINK = f"""{BASE}, loc AS (SELECT doc_id, group_order, CASE WHEN group_order % 3 = 0 THEN 'notes' ELSE 'body' END AS part, supp % 40 AS num FROM citations), ids AS (SELECT num, min(surname) AS surname, count(*) AS n FROM (SELECT rec_id % 40 AS num, surname FROM library WHERE rec_id < 35) GROUP BY num),
