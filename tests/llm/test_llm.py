@@ -194,6 +194,41 @@ def test_near_classes_find_copies_and_leave_others(spark):
     assert {r["doc_id"] for r in kept.collect()} == {*least.values(), 901, 902, 903, 904}
 
 
+def test_texts_of_one_form_are_compared_beyond_the_centre(spark):
+    """Texts that share three quarters are near only in pairs; every pair that shares a band is decided as brute force decides it."""
+    rng = random.Random(21)
+    new = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n)]
+    form, texts = new(75), {}
+    for i in range(30):
+        own = new(25)
+        texts[3 * i] = form + own
+        for k in (1, 2):
+            near = list(form + own)
+            for _ in range(4 * k):
+                near[rng.randrange(len(near))] = f"z{rng.randrange(900)}"
+            texts[3 * i + k] = near
+    bands = 2
+    ids = sorted(texts)
+    numbers = {w: i for i, w in enumerate(sorted({w for x in texts.values() for w in x}))}
+    coded = {i: np.array([numbers[w] for w in texts[i]]) for i in ids}
+    hashes = spark.createDataFrame([(i, " ".join(texts[i])) for i in ids], "i long, t string").select("i", neardup.words(F.col("t")).alias("w")).select("i", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect()
+    sketches = {r["i"]: neardup.order_minhash(np.array(r["h"], dtype=np.int64), np.array([0, len(r["h"])]), bands=bands)[0] for r in hashes}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in ids:
+        for y in ids:
+            if x < y and (sketches[x] == sketches[y]).any() and neardup.near(coded[x], coded[y], 0.8):
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(docs_of(spark, [(i, " ".join(x)) for i, x in texts.items()]), bands=bands).collect()}
+    assert got == {i: find(i) for i in ids} and 25 < len(set(got.values())) < len(ids)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
