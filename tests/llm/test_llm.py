@@ -229,6 +229,16 @@ def test_texts_of_one_form_are_compared_beyond_the_centre(spark):
     assert got == {i: find(i) for i in ids} and 25 < len(set(got.values())) < len(ids)
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(31)
+    new = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(80))
+    x, y, z, u = new(), new(), new(), new()
+    rows = [(1, x), (5, x + " more"), (5, y), (7, z), (7, z), (None, z + " again"), (None, u), (None, u + " end")]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs_of(spark, rows)).collect()]
+    assert len(kept) == 4 and {(1, x), (5, y), (7, z)} < set(kept)
+    assert {t for i, t in kept if i is None} < {u, u + " end"}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
