@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,7 +63,7 @@ def encoder():
 
 def test_token_files_round_trip(spark, tmp_path):
     path, encode = encoder()
-    texts = [(5, "a  b\n c <|endoftext|>"), (3, None), (4, ""), (9, "\u00a0x\u2003 y\x1c z   "), (None, "null id"), (7, "same"), (7, "same"), (2, "é" * 5000 + " 🙂 don't  stop\t\n\n x")]
+    texts = [(5, "a  b\n c <|endoftext|>"), (3, None), (4, ""), (9, "\u00a0x\u2003 y\x1c z   "), (None, "null id"), (7, "same"), (7, "same"), (2, "é" * 5000 + " 🙂 don't  stop\t\n\n x"), (-(2**63), "least id"), (8, "long " * 40000)]
     manifest = tokens.write_tokens(docs_of(spark, texts), str(tmp_path / "t"), tokens.Format(path))
     got = tokens.read_tokens(spark, str(tmp_path / "t"), with_ids=True).orderBy("start").collect()
     want = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -86,7 +87,7 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
 def test_pieces_encode_as_the_whole_text_does(text):
     path, encode = encoder()
     e = tokens.Encoder.of(tokens.Format(path))
-    assert e.encode([text]) == [np.array(encode(text), dtype="<u2").tobytes()]
+    assert e.encode(pa.array([text])) == [np.array(encode(text), dtype="<u2").tobytes()]
 
 
 def test_token_query_equals_encoding(spark):
