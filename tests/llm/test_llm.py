@@ -209,11 +209,12 @@ def test_texts_of_one_form_are_compared_beyond_the_centre(spark):
                 near[rng.randrange(len(near))] = f"z{rng.randrange(900)}"
             texts[3 * i + k] = near
     bands = 2
+    only = ((5, bands, None),)
     ids = sorted(texts)
     numbers = {w: i for i, w in enumerate(sorted({w for x in texts.values() for w in x}))}
     coded = {i: np.array([numbers[w] for w in texts[i]]) for i in ids}
     hashes = spark.createDataFrame([(i, " ".join(texts[i])) for i in ids], "i long, t string").select("i", neardup.words(F.col("t")).alias("w")).select("i", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect()
-    sketches = {r["i"]: neardup.order_minhash(np.array(r["h"], dtype=np.int64), np.array([0, len(r["h"])]), bands=bands)[0] for r in hashes}
+    sketches = {r["i"]: neardup.order_minhash(np.array(r["h"], dtype=np.int64), np.array([0, len(r["h"])]), 5, bands)[0] for r in hashes}
     root = {i: i for i in ids}
 
     def find(x):
@@ -226,10 +227,59 @@ def test_texts_of_one_form_are_compared_beyond_the_centre(spark):
             if x < y and (sketches[x] == sketches[y]).any() and neardup.near(coded[x], coded[y], 0.8):
                 a, b = find(x), find(y)
                 root[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(docs_of(spark, [(i, " ".join(x)) for i, x in texts.items()]), bands=bands).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(docs_of(spark, [(i, " ".join(x)) for i, x in texts.items()]), sketches=only).collect()}
     assert got == {i: find(i) for i in ids} and 25 < len(set(got.values())) < len(ids)
 
 
+def changed(rng, base, edits):
+    """base after so many random substitutions, deletions and insertions."""
+    w = list(base)
+    for _ in range(edits):
+        i, what = rng.randrange(len(w)), rng.random()
+        if what < 0.6:
+            w[i] = f"q{rng.randrange(10**9)}"
+        elif what < 0.8 and len(w) > 1:
+            del w[i]
+        else:
+            w.insert(i, f"q{rng.randrange(10**9)}")
+    return w
+
+
+def test_recall_up_to_the_edit_limit(spark):
+    """Pairs at a tenth, 15% and a fifth of the longer text's words: at least 0.9 of those near by brute force are linked, at every length; up to 14 words all of them."""
+    rng, rows, want = random.Random(77), [], {}
+    for n in (4, 5, 6, 9, 10, 14, 15, 18, 22, 30, 50, 100, 300, 1000):
+        for share in (0.1, 0.15, 0.2):
+            for _ in range(60 if n <= 100 else 20):
+                base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+                other = changed(rng, base, max(1, int(share * n)))
+                d = len(rows)
+                rows += [(d, " ".join(base)), (d + 1, " ".join(other))]
+                code = {w: i for i, w in enumerate({*base, *other})}
+                a, b = (np.array([code[w] for w in x]) for x in (base, other))
+                if (edits(base, other) if n <= 30 else neardup.within_distance(a, b, n)) <= neardup.edit_limit(max(len(a), len(b)), 0.8):
+                    want.setdefault((n, share), []).append(d)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(docs_of(spark, rows)).collect()}
+    recall = {k: sum(got[d + 1] == d for d in ids) / len(ids) for k, ids in want.items()}
+    print(recall)
+    assert all(x >= 0.9 for x in recall.values()), recall
+    assert all(x == 1 for (n, _), x in recall.items() if n <= 14), recall
+    near_pairs = {d for ids in want.values() for d in ids}
+    assert all(got[d] == d and (got[d + 1] == d + 1) for d in range(0, len(rows), 2) if d not in near_pairs)
+
+
+def test_long_texts_align_in_bounded_time():
+    import time
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 3000, 20000)
+    b = a.copy()
+    b[rng.choice(20000, 3900, replace=False)] = 10**6
+    began = time.time()
+    assert neardup.within_distance(a, np.roll(b, 5), 4000) in range(3800, 3920) and not neardup.near(a, rng.permutation(a), 0.8)
+    assert time.time() - began < 20
+
+
 def test_one_row_of_each_class_stays(spark):
     rng = random.Random(31)
     new = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(80))
