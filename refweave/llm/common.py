@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
@@ -33,15 +34,21 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name that driver and executors can all reach: below spark.checkpoint.dir, or, where that is unset, below a checkpoint folder of our own."""
+    """A new folder name that driver and executors can all reach: below spark.checkpoint.dir, or, where that is unset, below the checkpoint folder that the session was given.
+
+    A session without either gets a folder of this machine only if it runs here alone (a local master, as in tests); on a cluster that raises, for executors would write to disks of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        hadoop = context._jsc.sc().getCheckpointDir()
         if hadoop.isDefined():
             base = hadoop.get()
-        else:
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
             base = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-            spark.sparkContext.setCheckpointDir(base)
+            context.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -53,6 +60,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many underscores behind it as make it differ from those taken (in any case)."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with `name`, the sum of `value` over all rows before a row in an order without ties. Rows are dealt out by ranges of the order; one task sees one range, and one the ranges' totals."""
+    ranges = written(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranges.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.withColumn("_base", before("_total", Window.orderBy("_range"))).select("_range", "_base")
+    return ranges.withColumn("_own", before("_value", Window.partitionBy("_range").orderBy(*order))).join(bases, "_range").withColumn(name, F.col("_own") + F.col("_base")).select(*df.columns, name)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 

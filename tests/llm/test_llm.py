@@ -117,36 +117,76 @@ def test_quality_edge_cases_and_order(spark):
 # 3: mixing
 
 
-def test_targets_are_filled_and_capped():
-    plan = {t.source: t for t in mixing.targets_of([("a", 10, 1), ("b", 1000, 5), (None, 50, 2), ("c", 0, 1)])}
-    assert plan["a"].target == 30.0 and plan["c"].target == 0.0 and sum(t.target for t in plan.values()) == pytest.approx(1060)
-    assert (plan["a"].weight, plan["b"].weight, plan["c"].weight, plan[None].weight) == (5, 2, 1, 5)
-    assert mixing.targets_of([]) == []
+def test_targets_are_filled_and_capped(spark):
+    totals = lambda rows: spark.createDataFrame(rows, "source string, source_size long, docs long")
+    plan = {r["source"]: r for r in mixing.source_targets(totals([("a", 10, 1), ("b", 1000, 5), (None, 50, 2), ("c", 0, 1)])).collect()}
+    assert plan["a"]["target"] == 30.0 and plan["c"]["target"] == 0.0 and sum(t["target"] for t in plan.values()) == pytest.approx(1060)
+    assert (plan["a"]["weight"], plan["b"]["weight"], plan["c"]["weight"], plan[None]["weight"]) == (5, 2, 1, 5)
+    assert mixing.source_targets(totals([])).count() == 0
+
+
+def test_targets_equal_filling_by_hand(spark):
+    from fractions import Fraction
+
+    rng = random.Random(12)
+    sizes = [(f"s{i:03d}", rng.choice([1, 5, 40, 900, 20000])) for i in range(60)]
+    capped, weight = set(), {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(sizes)}
+    while True:
+        left, share = sum(n for _, n in sizes) - 3 * sum(n for s, n in sizes if s in capped), sum(weight[s] for s, _ in sizes if s not in capped)
+        over = {s for s, n in sizes if s not in capped and Fraction(left * weight[s], share) > 3 * n}
+        if not over:
+            break
+        capped |= over
+    want = {s: float(3 * n) if s in capped else left * weight[s] / share for s, n in sizes}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame([(s, n, 1) for s, n in sizes], "source string, source_size long, docs long").repartition(5)).collect()}
+    assert got == pytest.approx(want) and 0 < len(capped) < 60
 
 
 def test_splitting_tree_keeps_quotas():
     q = np.array([100, 3, 0, 57])
-    tree = mixing.splitting_tree(q, 7, np.random.default_rng(1))
-    assert tree.shape == (7, 4) and (tree.sum(axis=0) == q).all() and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 2
+    takes = mixing.even_takes(160, 7)
+    tree = mixing.splitting_tree(q, takes, np.random.default_rng(1))
+    assert tree.shape == (7, 4) and (tree.sum(axis=0) == q).all() and tree.sum(axis=1).tolist() == takes
+
+
+def test_shares_of_a_shard_are_hypergeometric():
+    """What one of four shards draws of a source, against drawing blocks without replacement one by one."""
+    q, n = np.array([30, 10, 40]), 4000
+    tree = np.array([mixing.splitting_tree(q, mixing.even_takes(80, 4), np.random.default_rng(i))[2] for i in range(n)])
+    rng = np.random.default_rng(5)
+    pool = np.repeat(np.arange(3), q)
+    brute = np.array([np.bincount(rng.permutation(pool)[40:60], minlength=3) for _ in range(n)])
+    assert np.abs(tree.mean(axis=0) - brute.mean(axis=0)).max() < 0.15 and np.abs(tree.std(axis=0) - brute.std(axis=0)).max() < 0.15
+
+
+def test_groups_of_sources_keep_quotas(spark):
+    rows = [(f"s{i:02d}" if i else None, i, 3 * i % 17) for i in range(23)]
+    ends = {r["source"]: r["ends"] for r in mixing.shard_ends(spark.createDataFrame(rows, "source string, rank long, quota long"), 5, 1, group_sources=4).collect()}
+    assert all(len(ends[s]) == 5 and ends[s][-1] == q for s, _, q in rows)
+    drawn = np.array([np.diff([0, *ends[s]]) for s, _, _ in rows])
+    assert (drawn >= 0).all() and drawn.sum(axis=0).tolist() == mixing.even_takes(sum(q for *_, q in rows), 5)
 
 
 def test_mix_comes_near_targets_and_reruns_agree(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)] + [(1000, None, "a"), (1000, None, "a")]
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)] + [(1000, None, "a"), (1000, None, "a"), (1001, "v " * 30000, "b")]
     df = docs_of(spark, rows).repartition(3)
     run = lambda d: [tuple(r) for r in mixing.mix_sources(d, block_docs=10).select("doc_id", "source", "size", "source_size", "target", "taken").collect()]
     one = sorted(run(df), key=repr)
     assert one == sorted(run(df.repartition(7)), key=repr)
-    taken, target = Counter(), {}
+    taken, target, largest = Counter(), {}, Counter()
     for _, s, size, _, t, k in one:
         taken[s] += k
         target[s] = t
+        largest[s] = max(largest[s], size)
         assert k <= 3 * size
-    assert all(abs(taken[s] - t) <= 40 for s, t in target.items())
-    assert mixing.mix_sources(docs_of(spark, [])).count() == 0
-    mixed = mixing.mixture(df, shards=4, block_docs=10)
+    assert all(abs(taken[s] - t) <= largest[s] for s, t in target.items())
+    assert mixing.mix_sources(docs_of(spark, [])).count() == 0 and mixing.mixture(docs_of(spark, [])).count() == 0
+    mixed = mixing.mixture(df.withColumn("shard", F.lit("mine")), shards=4, block_docs=10)
     assert mixed.count() == sum(k // size for _, _, size, _, _, k in one if size) + mixed.where("length(coalesce(text, '')) = 0").count()
-    assert set(mixed.columns) == {*df.columns, "shard", "shard_order"}
+    assert set(mixed.columns) == {*df.columns, "shard", "shard_", "shard_order"} and mixed.where("shard <> 'mine'").count() == 0
+    drawn = sorted(tuple(r) for r in mixed.groupBy("shard_").count().collect())
+    assert [k for k, _ in drawn] == [0, 1, 2, 3] and len({r["shard_order"] for r in mixed.collect()}) > 0.9 * len({(r["doc_id"], r["shard_"]) for r in mixed.collect()})
 
 
 # 4: near duplicates
