@@ -30,16 +30,21 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixture(docs).drop("shard", "shard_order")
+    """Each document as often as the mix draws it, shard after shard, each shard in its own shuffled order: the files hold the mix's order."""
+    mixed = mixing.mixture(docs)
+    shard, order = mixed.columns[-2:]
+    return mixed.repartitionByRange(shard, order).sortWithinPartitions(shard, order).drop(shard, order)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token files; a row per document in them, with its place."""
+    """The corpus as token files, in the order of the mix where the documents are read from its files; a row per document in them, with its place."""
     import public_tokenizers
 
-    folder = scratch(spark, "corpus-tokens")
-    tokens.write_tokens(docs, folder, tokens.Format(public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=2))
+    folder, order = scratch(spark, "corpus-tokens"), []
+    if docs.inputFiles():
+        docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        order = ["file", "row"]
+    tokens.write_tokens(docs, folder, tokens.Format(public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=2), order=order)
     return tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
