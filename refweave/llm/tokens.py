@@ -15,7 +15,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -69,6 +68,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else "{}").get("type")
         self.splits = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # whether a token begins with a space
+        self.spaced[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
         self._forget()
 
     @classmethod
@@ -83,7 +85,7 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=self.form.dtype)  # of the pieces, end to end
         self.ends = np.zeros(1 << 14, dtype=np.int64)  # ends[i] is where the ids of piece i - 1 end and those of piece i begin
 
-    def _append(self, ids: array, lengths: list[int]) -> None:
+    def _append(self, ids: np.ndarray, lengths: Sequence[int]) -> None:
         n, at = len(self.number), int(self.ends[len(self.number)])
         while len(self.ends) <= n + len(lengths):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
@@ -92,26 +94,42 @@ class Encoder:
         self.ends[n + 1 : n + 1 + len(lengths)] = at + np.cumsum(lengths)
         self.ids[at : at + len(ids)] = ids
 
+    def _learn(self, pieces: list[str], joined: bool) -> None:
+        encode = lambda xs: [e.ids for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+        if joined:
+            ids = np.array(encode([" " + " ".join(pieces)])[0], dtype=self.form.dtype)
+            starts = np.flatnonzero(self.spaced[ids])
+            lengths = np.diff(starts, append=len(ids))
+        else:
+            each = encode([" " + x for x in pieces])
+            ids, lengths = np.array([i for x in each for i in x], dtype=self.form.dtype), list(map(len, each))
+        if len(lengths) != len(pieces):
+            raise RuntimeError("pieces and tokens that begin with a space differ in number")
+        self._append(ids, lengths)
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces))))
+
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of distinct pieces; new ones are encoded."""
-        if len(self.number) + len(pieces) > MEMO_ENTRIES:
+        numbers = list(map(self.number.get, pieces))
+        new = [x for x, i in zip(pieces, numbers) if i is None]
+        if len(self.number) + len(new) > MEMO_ENTRIES:
             self._forget()
-        known = self.number.get
-        new = [x for x in pieces if known(x) is None]
-        for i in range(0, len(new), 10_000):
-            some, ids = new[i : i + 10_000], array("H" if self.form.width == 2 else "I")
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([" " + x for x in some], add_special_tokens=False)]
-            for x in encoded:
-                ids.extend(x)
-            self._append(ids, list(map(len, encoded)))
-            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
-        return np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            new, numbers = pieces, [None] * len(pieces)
+        first = len(self.number)
+        if new:
+            # one call for many pieces: whatever starts with a space starts a piece, but where a piece holds further spaces or ends in white space
+            plain = [bool(x) and " " not in x and not x[-1].isspace() for x in new]
+            for some, joined in (([x for x, p in zip(new, plain) if p], True), ([x for x, p in zip(new, plain) if not p], False)):
+                for i in range(0, len(some), 1000):
+                    self._learn(some[i : i + 1000], joined)
+            numbers = list(map(self.number.__getitem__, pieces)) if first + len(pieces) == len(self.number) else [self.number[x] if i is None else i for x, i in zip(pieces, numbers)]
+        return np.array(numbers, dtype=np.int64)
 
     def _gathered(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows' pieces end to end, and where each row's end."""
         flat, offsets = pieces.flatten(), np.asarray(pieces.offsets, dtype=np.int64)
         coded = flat.dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())
+        number = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         starts, lengths = self.ends[number], self.ends[number + 1] - self.ends[number]
         of = np.asarray(coded.indices)
         size = lengths[of]
