@@ -1,13 +1,15 @@
 """Substring dedup (8): level-wise doubling.
 
 Windows of words that occur twice or more are found level by level: a window repeated at one length is extended to twice
-that length (the last steps end at the asked length), and only what is repeated there goes on. The first level looks at a
-few windows alone: in every window of the asked length, the short window with the least hash. Two equal long windows have the
-same short one at the same place, so no repeat is missed, and most of the corpus ends there. Beyond the asked length, levels
-go on doubling, if wanted, until no candidates survive, which gives the length of the longest repeats.
+that length (the last step ends at the asked length: 9, 18, 35), and only what is repeated there goes on. The first level looks at a
+few windows alone: in every window of the asked length, the short window with the least hash, its anchor. Two equal long windows have the
+same anchor at the same place, so no repeat is missed, and most of the corpus ends there. A longer level takes the window that
+begins with the shorter one, or ends with it where the asked window ends sooner. Beyond the asked length, which alone decides what is cut, longer_repeats goes
+on doubling until no candidates survive, which gives the length of the longest repeats.
 
 A level is one shuffle of window hashes. Each task first counts its own windows: a window repeated inside a task is decided
-there, and the task sends it once, so a passage that a third of all documents share sends a row per task.
+there, and the task sends it once, so a passage that a third of all documents share sends a row per task. Word sequences are compared by 64-bit hashes:
+of N different windows some two agree by chance with a probability of about N^2 / 2^65, and then count as repeated if they also agree at the levels before.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from refweave.llm.common import WORD, bounded_batches, flat_lists, row_key, window_hashes, word_hashes, written
 
 LENGTH, FIRST = 35, 9
+_SENT = "h long, key long, pos int"
 
 
 def anchor_places(grams: np.ndarray, span: int) -> np.ndarray:
@@ -39,16 +42,21 @@ def anchor_places(grams: np.ndarray, span: int) -> np.ndarray:
     return place[:n]
 
 
-def _emit(key: list, at: list, where: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not key:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(key), np.concatenate(at), np.concatenate(where)
+def _extended(anchors: np.ndarray, first: int, half: int, length: int) -> np.ndarray:
+    """Where the window of `half` words stands that each window of `length` words has: it begins with the anchor, or ends with it where it would reach too far."""
+    return np.where(anchors + half <= np.arange(len(anchors)) + length, anchors, anchors + first - half)
 
 
-def _local(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each hash of this task's windows, with its place if it is alone here; and a row for each window that isn't, marked as decided."""
+def _emit(*lists: list) -> tuple[np.ndarray, ...]:
+    kinds = (np.uint64, np.int64, np.int32, np.int64, np.int64)
+    return tuple(np.concatenate(x).astype(t, copy=False) if x else np.zeros(0, t) for x, t in zip(lists, kinds))
+
+
+def _local(h: np.ndarray, key: np.ndarray, pos: np.ndarray, *carried: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each hash of this task's windows, with its place if it is alone here; and a row for each window that isn't, marked as decided. `carried` columns (c0, c1, ...) go with the places."""
     order = np.argsort(h, kind="stable")
     h, key, pos = h[order], key[order], pos[order]
+    carried = [x[order] for x in carried]
     new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
     alone = new & np.r_[new[1:], True] if len(h) else new
     many = new & ~alone
@@ -57,18 +65,21 @@ def _local(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[pa.Recor
         for i in range(0, len(rows), 100_000):
             r = rows[i : i + 100_000]
             # sent: to be counted by hash; decided rows carry no hash
-            yield pa.RecordBatch.from_pydict({
+            out = {
                 "h": pa.array(h[r].view(np.int64) if not (known and placed) else np.zeros(len(r), np.int64), pa.int64(), mask=np.full(len(r), known and placed)),
                 "key": pa.array(key[r], pa.int64(), mask=np.full(len(r), not placed)),
                 "pos": pa.array(pos[r], pa.int32(), mask=np.full(len(r), not placed)),
-            })
+            }
+            out |= {f"c{k}": pa.array(x[r], pa.int64(), mask=np.full(len(r), not placed) | (x[r] == 0)) for k, x in enumerate(carried)}
+            yield pa.RecordBatch.from_pydict(out)
 
 
 def _repeated(sent: DataFrame) -> DataFrame:
-    """key and pos of the windows whose hash occurs elsewhere. sent: h, key, pos; a null key stands for two or more windows of one task, a null h for a window decided by its task."""
+    """The places (key, pos and what they carry) of the windows whose hash occurs elsewhere. A null key stands for two or more windows of one task, a null h for a window decided by its task."""
     w = Window.partitionBy("h")
-    counted = sent.where("h is not null").withColumn("n", F.sum(F.when(F.col("key").isNull(), 2).otherwise(1)).over(w)).where("n > 1 and key is not null").select("key", "pos")
-    return counted.union(sent.where("h is null").select("key", "pos"))
+    carried = [c for c in sent.columns if c != "h"]
+    counted = sent.where("h is not null").withColumn("n", F.sum(F.when(F.col("key").isNull(), 2).otherwise(1)).over(w)).where("n > 1 and key is not null").select(*carried)
+    return counted.union(sent.where("h is null").select(*carried))
 
 
 def _by_text(places: DataFrame) -> DataFrame:
@@ -84,44 +95,66 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """key (of the row's id and text, see common.row_key) and places: where windows of `length` words start that occur elsewhere too, in the same text or another."""
     bounded_batches(docs.sparkSession)
     first = min(first, length)
+    half = min(2 * first, (length + first + 1) // 2)  # at most so long that a window of that many words holds every anchor without reaching out of its long window
     src = _texts(docs, id_col, text).select("key", word_hashes(F.col("text")).alias("w"))
     span = length - first + 1
 
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Row, begin, end, and the anchor of each window, of the texts that have one."""
+        values, offsets = flat_lists(batch.column("w"))
+        grams = window_hashes(values, first)
+        for i, (b, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if e - b >= length:
+                yield i, b, e, anchor_places(grams[b : e - first + 1], span)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per anchor, which carries the hashes of the longer windows that begin and end with it, if any are wanted."""
+        hs, keys, at, begin, end = [], [], [], [], []
+        for batch in batches:
+            values, _ = flat_lists(batch.column("w"))
+            grams, longer, own = window_hashes(values, first), window_hashes(values, half).view(np.int64), np.asarray(batch.column("key"))
+            for i, b, _, a in rows_of(batch):
+                p = np.unique(a)
+                place = _extended(a, first, half, length)
+                forward, back = np.isin(p, a[place == a]), np.isin(p, a[place != a])
+                hs.append(grams[b + p])
+                keys.append(np.full(len(p), own[i]))
+                at.append(p.astype(np.int32))
+                begin.append(np.where(forward, longer[np.where(forward, b + p, b)], 0))
+                end.append(np.where(back, longer[np.where(back, b + p + first - half, b)], 0))
+        yield from _local(*_emit(hs, keys, at, begin, end))
+
+    def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The longer windows at the anchors that are repeated. Equal ones have one anchor hash, so most of them meet in one task here."""
         hs, keys, at = [], [], []
         for batch in batches:
-            values, offsets = flat_lists(batch.column("w"))
-            grams, own = window_hashes(values, first), np.asarray(batch.column("key"))
-            for i, (b, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                if e - b >= length:
-                    p = np.unique(anchor_places(grams[b : e - first + 1], span))
-                    hs.append(grams[b + p])
-                    keys.append(np.full(len(p), own[i]))
-                    at.append(p.astype(np.int32))
+            for c, shift in (("c0", 0), ("c1", first - half)):
+                has = np.asarray(batch.column(c).is_valid())
+                hs.append(np.asarray(batch.column(c).fill_null(0))[has].view(np.uint64))
+                keys.append(np.asarray(batch.column("key"))[has])
+                at.append((np.asarray(batch.column("pos"))[has] + shift).astype(np.int32))
         yield from _local(*_emit(hs, keys, at))
 
-    level = written(_by_text(_repeated(src.mapInArrow(anchors, "h long, key long, pos int"))), "substring-anchors")
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, keys, at = [], [], []
         for batch in batches:
-            values, offsets = flat_lists(batch.column("w"))
             places, ends = flat_lists(batch.column("places"))
-            grams, longer, own = window_hashes(values, first), window_hashes(values, length), np.asarray(batch.column("key"))
-            for i, (b, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                if e - b >= length:
-                    p = np.flatnonzero(np.isin(anchor_places(grams[b : e - first + 1], span), places[ends[i] : ends[i + 1]]))
-                    hs.append(longer[b + p])
-                    keys.append(np.full(len(p), own[i]))
-                    at.append(p.astype(np.int32))
+            longer, own = window_hashes(flat_lists(batch.column("w"))[0], length), np.asarray(batch.column("key"))
+            for i, b, _, a in rows_of(batch):
+                p = np.flatnonzero(np.isin(_extended(a, first, half, length), places[ends[i] : ends[i + 1]]))
+                hs.append(longer[b + p])
+                keys.append(np.full(len(p), own[i]))
+                at.append(p.astype(np.int32))
         yield from _local(*_emit(hs, keys, at))
 
-    found = _texts(docs, id_col, text).join(level, "key").select("key", word_hashes(F.col("text")).alias("w"), "places").mapInArrow(windows, "h long, key long, pos int")
+    level = _repeated(src.mapInArrow(anchors, f"{_SENT}, c0 long, c1 long"))
+    level = written(_by_text(_repeated(level.mapInArrow(doubled, _SENT))), "substring-level")
+    found = _texts(docs, id_col, text).join(level, "key").select("key", word_hashes(F.col("text")).alias("w"), "places").mapInArrow(windows, _SENT)
     return _by_text(_repeated(found))
 
 
 def longer_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, levels: int = 24) -> DataFrame:
-    """key and longest: per text with a repeat, the greatest of length, 2 * length, 4 * length, ... at which one of its windows is repeated. Doubles until no candidates survive."""
+    """key and longest: per text with a repeat, the greatest of length, 2 * length, 4 * length, ... at which one of its windows is repeated. Doubles until no candidates survive. Null and short texts have none; rows that repeat an id and a text repeat each other; an empty table gives no rows."""
     now = written(repeated_windows(docs, id_col, text, length), "substring-level")
     out = now.select("key", F.lit(length).alias("longest"))
     for _ in range(levels):
@@ -142,7 +175,7 @@ def longer_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     at.append(p.astype(np.int32))
             yield from _local(*_emit(hs, keys, at))
 
-        now = written(_by_text(_repeated(_texts(docs, id_col, text).join(now, "key").select("key", word_hashes(F.col("text")).alias("w"), "places").mapInArrow(doubled, "h long, key long, pos int"))), "substring-level")
+        now = written(_by_text(_repeated(_texts(docs, id_col, text).join(now, "key").select("key", word_hashes(F.col("text")).alias("w"), "places").mapInArrow(doubled, _SENT))), "substring-level")
         if now.isEmpty():
             break
         length *= 2

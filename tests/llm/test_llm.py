@@ -480,7 +480,7 @@ def test_repeats_equal_brute_force(spark):
             a = rng.randrange(50)
             ws[len(ws) // 2 : len(ws) // 2] = passage[a : a + rng.randint(30, 40)]
         rows.append((d, " ".join(ws)))
-    rows += [(50, None), (51, ""), (52, " ".join(["x"] * 80)), (53, rows[1][1]), (54, rows[4][1]), (54, rows[4][1]), (None, rows[7][1])]
+    rows += [(50, None), (51, ""), (52, " ".join(["x"] * 80)), (55, " ".join(f"l{i}" for i in range(20000)) + " " + " ".join(passage[:40])), (53, rows[1][1]), (54, rows[4][1]), (54, rows[4][1]), (None, rows[7][1])]
     ws = [WORD.findall(x or "") for _, x in rows]
     gone = brute_repeats(ws, 35)
     want = sorted((str(d), len(w), len(g), " ".join(x for i, x in enumerate(w) if i not in g)) for (d, _), w, g in zip(rows, ws, gone))
@@ -488,6 +488,10 @@ def test_repeats_equal_brute_force(spark):
         got = substring.remove_repeats(docs_of(spark, rows).repartition(parts)).collect()
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
     assert substring.remove_repeats(docs_of(spark, [])).count() == 0
+    for length in (5, 9, 12, 18, 40):
+        gone = brute_repeats(ws, length)
+        got = substring.remove_repeats(docs_of(spark, rows).repartition(3), length=length).collect()
+        assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == sorted((str(d), len(g)) for (d, _), g in zip(rows, gone))
 
 
 def test_doubling_ends_at_the_longest_repeat(spark):
