@@ -123,6 +123,10 @@ k AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.p) AS kept FROM w LEFT JOIN go
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)"""
 
 
+#: Rounds of propagation in the SQL, which can't stop by itself; the scores then differ from their limits by less than 0.001 of a seed.
+_URL_ROUNDS = 44
+
+
 def _url_sql() -> str:
     fits = " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}|{r.verdict}'" for r in sorted(urls.RULES, key=lambda r: -len(r.name))
@@ -131,18 +135,19 @@ def _url_sql() -> str:
     linked = urls.LINKED_HOST.replace("'", "''")
     rounds = "".join(
         f""",
-r{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, seed AS score FROM base UNION ALL SELECT e.kind, e.dst, x.score * e.w * {urls.DAMPING} FROM r{k} x JOIN edge e ON e.kind = x.kind AND e.src = x.host) GROUP BY 1, 2)"""
-        for k in range(urls.ROUNDS)
+r{k + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, seed AS score FROM base UNION ALL SELECT e.kind, e.dst, x.score * e.w * {urls.DAMPING} FROM r{k} x JOIN edge e ON e.kind = x.kind AND e.src = x.host) GROUP BY 1, 2)"""
+        for k in range(_URL_ROUNDS)
     )
     return rf"""
 WITH p AS (SELECT page_id, html, {lower(f"coalesce(regexp_extract(url, '{urls.URL_PARTS}', 1), '')")} AS host, coalesce(regexp_extract(url, '{urls.URL_PARTS}', 2), '') AS path FROM pages),
 j AS (SELECT *, split_part(hit, '|', 1) AS rule, split_part(hit, '|', 2) AS verdict FROM (SELECT *, CASE {fits} END AS hit FROM p)),
 l AS (SELECT host AS src, {lower("dst")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{linked}', 1)) AS dst FROM p)),
 n AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY 1, 2),
-edge AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM (SELECT 't' AS kind, src, dst, n FROM n UNION ALL SELECT 'd', dst, src, n FROM n)),
-base AS (SELECT kind, host, {1 - urls.DAMPING} * (CASE kind WHEN 't' THEN a ELSE b END) AS seed FROM (SELECT host, avg((verdict IS NOT NULL AND verdict = 'allow')::INT) AS a, avg((verdict IS NOT NULL AND verdict = 'block')::INT) AS b FROM j GROUP BY host), (VALUES ('t'), ('d')) k(kind)),
+share AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM n),
+edge AS MATERIALIZED (SELECT 't' AS kind, src, dst, w FROM share UNION ALL SELECT 'd', dst, src, w FROM share),
+base AS MATERIALIZED (SELECT kind, host, {1 - urls.DAMPING} * (CASE kind WHEN 't' THEN a ELSE b END) AS seed FROM (SELECT host, avg((verdict IS NOT NULL AND verdict = 'allow')::INT) AS a, avg((verdict IS NOT NULL AND verdict = 'block')::INT) AS b FROM j GROUP BY host), (VALUES ('t'), ('d')) k(kind)),
 r0 AS (SELECT kind, host, seed AS score FROM base){rounds},
-bad AS (SELECT host FROM r{urls.ROUNDS} GROUP BY host HAVING coalesce(sum(CASE WHEN kind = 'd' THEN score END), 0) - coalesce(sum(CASE WHEN kind = 't' THEN score END), 0) > {1 - urls.DAMPING} * {urls.THRESHOLD})
+bad AS (SELECT host FROM r{_URL_ROUNDS} GROUP BY host HAVING coalesce(sum(CASE WHEN kind = 'd' THEN score END), 0) - coalesce(sum(CASE WHEN kind = 't' THEN score END), 0) > {1 - urls.DAMPING} * {urls.THRESHOLD})
 SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bad ON j.host = bad.host"""
 
 

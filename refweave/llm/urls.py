@@ -1,8 +1,9 @@
 """URL filters (9): rules for hosts and paths, and link-graph propagation for what no rule decides. DataFrame functions only.
 
 Hosts are the nodes of a graph whose edges are the absolute links of their pages. Trust starts from the share of a host's pages
-that a rule allows and follows links (personalised PageRank); distrust starts from the share that a rule blocks and follows
-links backwards, to those who link there. A host is blocked when its distrust exceeds its trust by what a host earns
+that a rule allows and follows links, divided among those a host links to (personalised PageRank). Distrust starts from the share that a rule blocks and goes
+backwards, to those who link there: a host gets the mean of the distrust of what it links to, so that a farm of many hosts around a blocked one doesn't share its distrust out.
+Rounds go on until scores change no more. A host is blocked when its distrust exceeds its trust by what a host earns
 whose pages are half blocked.
 """
 
@@ -32,7 +33,9 @@ class UrlRule:
 
 #: The production rules.
 RULES = (UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/"), UrlRule("block", "net", "/fr/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Rounds stop when no score has changed by so much in the last STEPS rounds.
+TOLERANCE, STEPS = 1e-5, 4
 #: Parts into which each host's pages are dealt where verdicts join them.
 SALTS = 64
 
@@ -55,29 +58,34 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> C
     return out if out is not None else F.lit(None).cast("struct<name:string,verdict:string>")
 
 
-def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust, after so many rounds of propagation.
+def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust.
 
     judged: a row per page with host and rule verdict (or null). edges: src, dst, n. Scores are (1 - damping) times a
-    host's own share of pages plus damping times what comes along its edges, by their weight; hosts without links pass nothing on.
+    host's own share of pages plus damping times what comes along its edges, by their weight; hosts without links pass nothing on, and hosts that have only links to them and no page have scores too.
     """
-    seeds = judged.groupBy("host").agg(F.avg((F.col("verdict") == "allow").cast("double")).alias("a0"), F.avg((F.col("verdict") == "block").cast("double")).alias("b0"), F.count("verdict").alias("ruled"), F.count(F.lit(1)).alias("pages"))
-    share = F.col("ruled") / F.col("pages")
-    seeds = seeds.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), (F.coalesce("a0", F.lit(0.0)) * share).alias("seed")), F.struct(F.lit("d").alias("kind"), (F.coalesce("b0", F.lit(0.0)) * share).alias("seed")))).alias("s")).select("s.kind", "host", "s.seed")
-    both = edges.select(F.lit("t").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    out_of = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    both = written(both.join(out_of, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("w")), "url-edges")
-    base = written(seeds.withColumn("seed", F.col("seed") * (1 - damping)), "url-seeds")
-    score = base.select("kind", "host", F.col("seed").alias("score"))
-    for k in range(rounds):
-        passed = score.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
-        score = base.select("kind", "host", F.col("seed").alias("score")).union(passed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 and k + 1 < rounds:
-            score = written(score, "url-scores")
-    return score.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("score"))), F.lit(0.0)).alias("distrust"))
-
-
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+    share = lambda v: F.avg(F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0)))
+    kinds = lambda t, d, name: F.explode(F.array(F.struct(F.lit("t").alias("kind"), t.alias(name)), F.struct(F.lit("d").alias("kind"), d.alias(name)))).alias("s")
+    seeds = judged.groupBy("host").agg(share("allow").alias("a"), share("block").alias("b")).select("host", kinds(F.col("a"), F.col("b"), "seed")).select("s.kind", "host", (F.col("s.seed") * (1 - damping)).alias("seed"))
+    shares = edges.join(edges.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("w"))
+    both = written(shares.select(F.lit("t").alias("kind"), "src", "dst", "w").union(shares.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")), "url-edges")
+    base = written(seeds, "url-seeds").select("kind", "host", F.col("seed").alias("score"))
+    known = base
+    while True:
+        score = known
+        for _ in range(STEPS):
+            passed = score.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
+            score = base.union(passed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = written(score, "url-scores")
+        # scores only grow, from none for a host that had none
+        change = score.join(known.withColumnRenamed("score", "was"), ["kind", "host"], "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
+        known = score
+        if change is None or change < tolerance:
+            break
+    return known.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("score"))), F.lit(0.0)).alias("distrust"))
+
+
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule and verdict per page.
 
     A url that is null or holds no ``://`` has an empty host and path, fits no rule and is judged as the host "" is. Null html has no links. Repeated rows each get a row and count as pages
@@ -88,7 +96,7 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
     judged = parts.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("verdict"), "_h")
     links = judged.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("_h", F.lit(LINKED_HOST), F.lit(1))).alias("dst"))
     edges = links.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    scores = host_scores(judged.select("host", "verdict"), edges, damping, rounds)
+    scores = host_scores(judged.select("host", "verdict"), edges, damping, tolerance)
     blocked = scores.where(F.col("distrust") - F.col("trust") > (1 - damping) * threshold).select(F.col("host").alias("_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("_salt"))
     salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))
     out = judged.drop("_h").join(blocked, (F.col("host") == F.col("_bad")) & (salt == F.col("_salt")), "left")
