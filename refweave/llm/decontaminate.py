@@ -2,22 +2,27 @@
 
 Training words are streamed through the automaton, which tracks the length of the longest match that ends at each word. A
 match of `window` words or more is an occurrence of a window of an item; items of fewer words are one window each. Words are
-compared by 64-bit hashes that the JVM computes. Items are taken in blocks of bounded size, one automaton each.
+compared by 64-bit hashes that the JVM computes: of N different words some two agree by chance with a probability of about N^2 / 2^65.
+
+Items are dealt into blocks of bounded size, one automaton each. One block at a time comes to the driver and is broadcast, for a pass over the documents;
+further blocks have passes of their own, whose hits are joined by document. So memory doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from refweave.llm.common import ALNUM_WORD, ascii_lower, bounded_batches, flat_lists, word_hashes
+from refweave.llm.common import ALNUM_WORD, ascii_lower, bounded_batches, flat_lists, free_name, row_key, running_sum, word_hashes, written
 
 WINDOW = 10
-#: Words of items in one automaton, which is what a broadcast holds at most: some 300 bytes a word.
+#: Words of items in one block, about at most: 8 bytes a word in the broadcast, some 300 in the automaton.
 BLOCK_WORDS = 500_000
 
 
@@ -170,17 +175,74 @@ class Matcher:
             yield row, spans, found
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Matcher]:
-    """The items as matchers of bounded size, streamed through the driver once; null and wordless items are left out."""
-    out, names, held, size = [], [], [], 0
-    for r in items.select(F.col(id_col).cast("string").alias("i"), word_hashes(ascii_lower(F.col(text)), ALNUM_WORD).alias("w")).where("size(w) > 0").orderBy("i").toLocalIterator():
-        if held and size + len(r["w"]) > block_words:
-            out.append(Matcher(names, held, window))
-            names, held, size = [], [], 0
-        names.append(r["i"])
-        held.append(np.array(r["w"], dtype=np.int64))
-        size += len(r["w"])
-    return out + [Matcher(names, held, window)] * bool(held)
+def item_blocks(items: DataFrame, id_col: str, text: str, window: int, block_words: int) -> DataFrame:
+    """block, name and w (word hashes): the items' words in blocks of about block_words at most. Null and wordless items are left out; longer items than a quarter block stand in several pieces that overlap, so that each window is whole in one."""
+    piece = max(block_words // 4, 2 * window)
+    named = items.select(F.col(id_col).cast("string").alias("name"), word_hashes(ascii_lower(F.col(text)), ALNUM_WORD).alias("all")).where("size(all) > 0")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)), F.lit(piece - window + 1))
+    pieces = named.select("name", F.explode(starts).alias("at"), "all").select("name", "at", F.slice("all", F.col("at") + 1, F.lit(piece)).alias("w"))
+    placed = running_sum(pieces, [F.col("name"), F.col("at"), F.xxhash64("w")], F.size("w"), "before")
+    return written(placed.select(F.floor(F.col("before") / block_words).cast("long").alias("block"), F.coalesce("name", F.lit("")).alias("name"), "w"), "item-blocks")
+
+
+def matcher_of(blocks: DataFrame, block: int, window: int) -> Matcher:
+    rows = blocks.where(F.col("block") == block).collect()  # block_words and a piece at most
+    return Matcher([r["name"] for r in rows], [np.array(r["w"], dtype=np.int64) for r in rows], window)
+
+
+Hits = tuple[list[list[tuple[int, int]]], list[set[str]]]
+
+
+def _scanned(docs: DataFrame, w: str, key: str, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int, finish: Callable[[pa.RecordBatch, Hits], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """finish(batch, (spans, names) of each row) of the documents' batches. w: the column of word hashes; key: one that tells rows apart which differ in their words."""
+    spark = docs.sparkSession
+    blocks = item_blocks(items, item_id, item_text, window, block_words)
+    n_blocks = 1 + (blocks.agg(F.max("block")).first()[0] or 0)
+
+    def hits_of(batch: pa.RecordBatch, matcher: Matcher) -> Hits:
+        spans: list[list] = [[] for _ in range(batch.num_rows)]
+        found: list[set] = [set() for _ in range(batch.num_rows)]
+        for row, got, names in matcher.scan_batch(*flat_lists(batch.column(w))):
+            spans[row], found[row] = got, names
+        return spans, found
+
+    if n_blocks == 1:
+        only = spark.sparkContext.broadcast(matcher_of(blocks, 0, window))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield finish(batch, hits_of(batch, only.value))
+
+        return docs.mapInArrow(scan, schema)
+
+    hits = None
+    for k in range(n_blocks):
+        one = spark.sparkContext.broadcast(matcher_of(blocks, k, window))
+
+        def scan_one(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans, found = hits_of(batch, one.value)
+                rows = [i for i, x in enumerate(spans) if x]
+                yield pa.RecordBatch.from_pydict({
+                    "key": batch.column(key).take(pa.array(rows, pa.int64())), "begins": pa.array([[b for b, _ in merged(spans[i])] for i in rows], pa.list_(pa.int64())),
+                    "ends": pa.array([[e for _, e in merged(spans[i])] for i in rows], pa.list_(pa.int64())), "names": pa.array([sorted(found[i]) for i in rows], pa.list_(pa.string())),
+                })
+
+        own = written(docs.select(w, key).mapInArrow(scan_one, "key long, begins array<long>, ends array<long>, names array<string>"), "leaks")
+        one.destroy()
+        hits = own if hits is None else hits.union(own)
+    listed = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    # begins and ends are listed as pairs, so that both keep one order
+    pairs = hits.select("key", F.arrays_zip("begins", "ends").alias("spans"), "names").groupBy("key").agg(listed("spans"), listed("names"))
+    spans, names = free_name("spans", docs.columns), free_name("names", docs.columns)
+    joined = docs.join(pairs.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("names").alias(names)), key, "left")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [[(x["begins"], x["ends"]) for x in xs or ()] for xs in batch.column(spans).to_pylist()]
+            yield finish(batch, (got, [set(x or ()) for x in batch.column(names).to_pylist()]))
+
+    return joined.mapInArrow(rest, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -193,77 +255,53 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_text: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (names, sorted) and spans (merged, in words) per document.
 
     Null texts and items have no words; an empty side gives no hits; repeated rows give repeated results; an item id that
-    occurs twice counts once; other columns are ignored. With keep_text, the text comes along as `text`.
+    occurs twice counts once, a null one as ""; other columns are ignored.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    blocks = [spark.sparkContext.broadcast(m) for m in item_blocks(items, item_id, item_text, window, block_words)]
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc_id"), word_hashes(ascii_lower(F.col(text)), ALNUM_WORD).alias("w"), *[F.col(text).alias("text")] * keep_text)
+    src = docs.select(F.col(id_col).alias("doc_id"), word_hashes(ascii_lower(F.col(text)), ALNUM_WORD).alias("w"), row_key(F.col(id_col), F.col(text)).alias("key"))
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = flat_lists(batch.column("w"))
-            n = batch.num_rows
-            spans: list[list] = [[] for _ in range(n)]
-            found: list[set] = [set() for _ in range(n)]
-            for m in blocks:
-                for row, got, names in m.value.scan_batch(values, offsets):
-                    spans[row] += got
-                    found[row] |= names
-            joined = [merged(s) for s in spans]
-            columns = {
-                "doc_id": batch.column("doc_id"), "n_words": pa.array(np.diff(offsets), pa.int64()), "n_hit": pa.array([sum(e - b for b, e in s) for s in joined], pa.int64()), "n_items": pa.array([len(x) for x in found], pa.int64()),
-                "items": pa.array([sorted(x) for x in found], pa.list_(pa.string())), "spans": pa.array([[{"begin": b, "end": e} for b, e in s] for s in joined], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-            }
-            yield pa.RecordBatch.from_pydict(columns | ({"text": batch.column("text")} if keep_text else {}))
-
-    return src.mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<begin:long,end:long>>" + ", text string" * keep_text)
+    def finish(batch: pa.RecordBatch, hits: Hits) -> pa.RecordBatch:
+        joined, names = [merged(s) for s in hits[0]], hits[1]
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "n_words": pa.array(np.diff(flat_lists(batch.column("w"))[1]), pa.int64()), "n_hit": pa.array([sum(e - b for b, e in s) for s in joined], pa.int64()), "n_items": pa.array([len(x) for x in names], pa.int64()),
+            "items": pa.array([sorted(x) for x in names], pa.list_(pa.string())), "spans": pa.array([[{"begin": b, "end": e} for b, e in s] for s in joined], span),
+        })
+
+    return _scanned(src, "w", "key", items, item_id, item_text, window, block_words, finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<begin:long,end:long>>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents, with all their columns, without the spans that items' windows cover; those covered to more than max_coverage of their words are dropped whole.
+    """The documents, with all their columns whatever their names, without the spans that items' windows cover; those covered to more than max_coverage of their words are dropped whole.
 
-    A removed span reaches from its first word's start to the start of the word after its last. Texts without hits stay as they are.
+    A removed span reaches from its first word's start to the start of the word after its last. Texts without hits stay as they are, null and empty ones too; rows that repeat are cut or dropped alike; an empty table stays empty.
     """
-    import re
-
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    blocks = [spark.sparkContext.broadcast(m) for m in item_blocks(items, "item_id", "text", window, block_words)]
+    bounded_batches(docs.sparkSession)
     word = re.compile(ALNUM_WORD)
     names = docs.columns
-    hidden = "_w"
-    while hidden in names:
-        hidden += "_"
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = flat_lists(batch.column(hidden))
-            spans: dict[int, list] = {}
-            for m in blocks:
-                for row, got, _ in m.value.scan_batch(values, offsets):
-                    spans.setdefault(row, []).extend(got)
-            kept = batch.drop_columns([hidden])
-            if spans:
-                texts, keep = kept.column(text).to_pylist(), np.ones(batch.num_rows, dtype=bool)
-                for row, got in spans.items():
-                    joined = merged(got)
-                    if sum(e - b for b, e in joined) > max_coverage * (offsets[row + 1] - offsets[row]):
-                        keep[row] = False
-                        continue
-                    starts = [m.start() for m in word.finditer(texts[row].translate(_LOWER))] + [len(texts[row])]
-                    for b, e in reversed(joined):
-                        texts[row] = texts[row][: starts[b]] + texts[row][starts[e] :]
-                at = kept.schema.get_field_index(text)
-                kept = kept.set_column(at, kept.schema.field(at), pa.array(texts, kept.schema.field(at).type)).filter(pa.array(keep))
-            yield kept
-
-    return docs.withColumn(hidden, word_hashes(ascii_lower(F.col(text)), ALNUM_WORD)).mapInArrow(clean, docs.schema)
+    w, key = free_name("_w", names), free_name("_key", names)
+
+    def finish(batch: pa.RecordBatch, hits: Hits) -> pa.RecordBatch:
+        kept = batch.select(names)
+        at, sizes = names.index(text), np.diff(flat_lists(batch.column(w))[1])
+        texts, keep = kept.column(at).to_pylist(), np.ones(batch.num_rows, dtype=bool)
+        for row, got in enumerate(hits[0]):
+            joined = merged(got)
+            if sum(e - b for b, e in joined) > max_coverage * sizes[row]:
+                keep[row] = False
+            elif joined:
+                starts = [m.start() for m in word.finditer(texts[row].translate(_LOWER))] + [len(texts[row])]
+                for b, e in reversed(joined):
+                    texts[row] = texts[row][: starts[b]] + texts[row][starts[e] :]
+        return kept.set_column(at, kept.schema.field(at), pa.array(texts, kept.schema.field(at).type)).filter(pa.array(keep))
+
+    src = docs.withColumn(w, word_hashes(ascii_lower(F.col(text)), ALNUM_WORD)).withColumn(key, row_key(F.col(id_col), F.col(text)))
+    return _scanned(src, w, key, items, "item_id", "text", window, block_words, finish, docs.schema)
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
