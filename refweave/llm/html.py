@@ -2,13 +2,16 @@
 
 A page's tags become a small tree. Blocks of text give points for their length and commas to their parent (all) and
 grandparent (half); a container's points are discounted by the share of its text that stands in links. The best container
-is kept with those siblings that read like it; navigation, headers, footers, forms, notices, comments and adverts are
-dropped wherever they stand.
+is kept whole, with those siblings that are of its kind or read like it; navigation, headers, footers, sidebars, forms, notices, comments and adverts are
+dropped wherever they stand, by their element or by a class, id or role that names nothing else.
+
+Every step is linear in the page: what a node needs of its ancestors is noted when it is made, sums go up the tree once, and marks go down once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,46 +23,83 @@ from refweave.llm.common import bounded_batches
 
 # Element names of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
-DROPPED = RAW | frozenset("head nav footer aside form button menu dialog header".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
+DROPPED = RAW | frozenset("head nav footer aside form button menu dialog header svg object canvas audio video select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset(["body", "html"])
-#: An opening tag of the first kind ends an open element of the second kinds, up to a boundary of the third.
+#: An opening tag of the first kind ends open elements of the second kinds, up to a boundary of the third.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Words of class, id and role attributes that mark what isn't the article.
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?<!has.)(?<!with.)(?<!no.)(ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|contentinfo|cookie|cookies|consent|disqus|dialog|footer|header|login|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|alert|pager|pagination|popup|promo|related|reply|replies|respond|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
-    re.I,
+#: What an end tag of an inline element doesn't reach beyond.
+SCOPES = frozenset("article main td th".split())
+ARTICLE = frozenset("article main".split())
+HOLDERS = frozenset("div section article main body #root td".split())
+#: Elements that are no containers of an article by themselves.
+PARTS = frozenset("p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th".split())
+#: Words that name what isn't the article; and words that may stand beside them in a name without changing that.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus dialog footer header login menu menubar modal nav navbar navigation newsletter notice notices alert pager pagination popup promo related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+BESIDE = frozenset("site page main top bottom left right upper lower primary secondary global box block bar banner wrapper wrap container inner outer list listing links link item items section area region panel row col column unit slot text title body form button buttons icons sticky fixed inline small large mobile desktop posts articles content group holder stories privacy policy bar".split())
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+)>")
+_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "chars", "linked")
+    """An element. `block` is the nearest block element from it upwards, `near` the nearest one of each implied kind or its boundary, `inside` the number of open inline elements by tag within the scope."""
+
+    __slots__ = ("tag", "parent", "names", "dropped", "block", "in_article", "near", "inside", "chars", "linked", "points")
+
+    def __init__(self, tag: str, parent: Node | None, names: str, dropped: bool):
+        self.tag, self.parent, self.names, self.dropped = tag, parent, names, dropped
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.in_article = tag in ARTICLE or parent is not None and parent.in_article
+        self.near = dict(parent.near) if parent is not None and tag in _KINDS_OF else (parent.near if parent is not None else {})
+        for kind in _KINDS_OF.get(tag, ()):
+            self.near[kind] = self
+        self.inside = Counter() if parent is None or tag in SCOPES else parent.inside
+        self.chars = self.linked = 0
+        self.points = 0.0
+
+
+_KINDS_OF: dict[str, list[str]] = {}
+for _kind, (_ends, _bounds) in IMPLIED.items():
+    for _tag_name in _ends | _bounds:
+        _KINDS_OF.setdefault(_tag_name, []).append(_kind)
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.chars, self.linked = 0, 0
 
+def marked(name: str) -> set[str]:
+    """The marks in a class, id or role name, if all of its words are marks or words that go with them; else none. ``share-price`` is no share, ``has-sidebar`` no sidebar."""
+    parts = [x.lower() for x in _NAME_PARTS.findall(name)]
+    marks = {x for x in parts if x in MARKS}
+    return marks if all(x in MARKS or x in BESIDE for x in parts) else set()
 
-def _unlikely(tag: str, attrs: str, at: Node) -> bool:
-    """Whether an element's attributes mark it as no part of the article. A header inside the article is its own."""
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+
+def _unlikely(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element's attributes mark it as no part of the article, and its class. A header inside the article is its own."""
+    if not attrs:
+        return False, ""
+    values = {m[1].lower(): m[2].strip("\"'") for m in _ATTR.finditer(attrs)}
+    names = values.get("class", "")
+    if tag in ("html", "body", "article", "main") and tag != "article":
+        return False, names
     if _HIDDEN.search(attrs):
-        return True
-    marks = [x[1].lower() for m in _ATTR.finditer(attrs) for x in UNLIKELY.finditer(m[2].strip("\"'"))]
-    return bool(marks) and not (set(marks) == {"header"} and any(p.tag in ("article", "main") for p in _ancestors(at)))
+        return True, names
+    marks = [m for x in values.values() for m in map(marked, x.split()) if m]
+    return any(m != {"header"} or not in_article for m in marks), names
 
 
-def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], Node]:
-    """The text blocks in page order, each with the block element that holds it, its text and its linked characters; and the root."""
-    root = Node("#root", None, False)
-    at, found, text, linked, links = root, [], [], 0, 0
+def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """The text blocks in page order, each with the block element that holds it, its text and its linked characters; and all elements, parents first."""
+    root = Node("#root", None, "", False)
+    nodes, at, found, text, linked, links = [root], root, [], [], 0, 0
     holder = root
+    open_blocks: Counter[str] = Counter()
+    unclosed: set[str] = set()  # raw elements that have no end tag from here on
+    last_end = html.rfind(">")
 
     def flush() -> None:
         nonlocal text, linked
@@ -69,135 +109,133 @@ def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], Node]:
                 found.append((holder, joined, linked))
             text, linked = [], 0
 
-    def block(n: Node) -> Node:
-        while n.tag not in BLOCK and n.parent is not None:
-            n = n.parent
-        return n
+    def leave(upto: Node) -> None:
+        """Closes open elements until upto is the innermost."""
+        nonlocal at, links
+        while at is not upto:
+            links -= at.tag == "a"
+            if at.tag in BLOCK:
+                open_blocks[at.tag] -= 1
+            else:
+                at.inside[at.tag] -= 1
+            at = at.parent
 
-    pos = 0
-    for m in iter(lambda: _TOKEN.match(html, pos), None):
-        pos = m.end()
-        if m[4] is not None:
+    pos, end = 0, len(html)
+    while pos < end:
+        low = html.find("<", pos)
+        if low != pos:
+            low = end if low < 0 else low
+            piece = unescape(html[pos:low])
+            pos = low
+        elif (m := _TAG.match(html, pos)) if pos < last_end and html[pos + 1 : pos + 2] not in "!?" else None:
+            pos, piece = m.end(), None
+        elif html.startswith(("<!", "<?"), pos):
+            close = "-->" if html.startswith("<!--", pos) else ">"
+            after = html.find(close, pos + 2)
+            pos = end if after < 0 else after + len(close)
+            continue
+        elif pos > last_end and (html[pos + 1 : pos + 2].isalpha() or html[pos + 1 : pos + 2] == "/"):
+            break  # the page ends within a tag
+        else:
+            piece, pos = "<", pos + 1
+        if piece is not None:
             if not at.dropped:
-                piece = unescape(m[4])
                 text.append(piece)
                 if links:
                     linked += len(piece.strip())
             continue
-        if m[2] is None:
-            continue
         tag = m[2].lower()
         if m[1]:
-            n = at
-            while n.parent is not None and n.tag != tag:
-                if n.tag in ("article", "main", "td", "th") and tag not in BLOCK:
-                    n = root
-                    break
-                n = n.parent
-            if n.parent is not None:
+            if tag in BLOCK and open_blocks[tag] or tag not in BLOCK and at.inside[tag] > 0:
                 if tag in BLOCK:
                     flush()
-                while at is not n:
-                    links -= at.tag == "a"
-                    at = at.parent
-                links -= tag == "a"
-                at = n.parent
-                holder = block(at)
+                n = at
+                while n.tag != tag:
+                    n = n.parent
+                leave(n.parent)
+                holder = at.block
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P:
-                n = at
-                while n.parent is not None and n.tag not in BLOCK:
-                    n = n.parent
-                if n.tag == "p":
-                    while at is not n:
-                        links -= at.tag == "a"
-                        at = at.parent
-                    at = n.parent
+            if tag in CLOSES_P and at.block.tag == "p":
+                leave(at.block.parent)
             if tag in IMPLIED:
-                ends, bounds = IMPLIED[tag]
-                n, hit = at, None
-                while n.parent is not None and n.tag not in bounds:
-                    if n.tag in ends:
-                        hit = n
-                    n = n.parent
+                ends, n, hit = IMPLIED[tag][0], at.near.get(tag), None
+                while n is not None and n.tag in ends:
+                    hit, n = n, n.parent.near.get(tag)
                 if hit is not None:
-                    at = hit.parent
+                    leave(hit.parent)
+            holder = at.block
         if tag in VOID:
-            holder = block(at)
             continue
-        self_closed = m[3].rstrip().endswith("/") and tag not in BLOCK
-        bad = at.dropped or tag in DROPPED or _unlikely(tag, m[3], at)
-        if tag == "header" and not at.dropped and any(p.tag in ("article", "main") for p in _ancestors(at)) and not _unlikely(tag, m[3], at):
-            bad = False
         if tag in RAW:
-            if tag in ("script", "style", "title", "textarea", "noscript", "template", "iframe"):
-                ends = re.compile(f"</{tag}", re.I).search(html, pos)
-                if ends is not None:
-                    close = html.find(">", ends.end())
-                    pos = len(html) if close < 0 else close + 1
-                elif tag in ("script", "style"):
-                    pos = len(html)
-                continue
-        if self_closed:
+            if tag not in unclosed:
+                close = re.compile(f"</{tag}", re.I).search(html, pos)
+                if close is not None:
+                    after = html.find(">", close.end())
+                    pos = end if after < 0 else after + 1
+                    continue
+                unclosed.add(tag)
+            if tag in ("script", "style"):
+                pos = end
             continue
-        at = Node(tag, at, bad)
+        if m[3].endswith("/") and tag not in BLOCK:
+            continue
+        unlikely, names = _unlikely(tag, m[3], at.in_article)
+        own_header = tag == "header" and at.in_article
+        at = Node(tag, at, names, at.dropped or unlikely or tag in DROPPED and not own_header)
+        nodes.append(at)
         links += tag == "a"
-        holder = block(at)
+        if tag in BLOCK:
+            open_blocks[tag] += 1
+        else:
+            at.inside[tag] += 1
+        holder = at.block
     flush()
-    return found, root
-
-
-def _ancestors(n: Node) -> Iterator[Node]:
-    while n is not None:
-        yield n
-        n = n.parent
+    return found, nodes
 
 
 def extract(html: str | None) -> str:
     """The main text: the kept blocks in page order, one a line; empty if there is none."""
-    found, root = blocks_of(html or "")
+    found, nodes = blocks_of(html or "")
     if not found:
         return ""
-    scored: dict[Node, float] = {}
     for holder, text, linked in found:
-        for n in _ancestors(holder):
-            n.chars += len(text)
-            n.linked += linked
+        holder.chars += len(text)
+        holder.linked += linked
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
-        parent = holder.parent or holder
-        if holder.tag in ("div", "section", "article", "main", "body", "#root", "td"):
-            parent = holder
-        for n, share in ((parent, 1.0), (parent.parent, 0.5)):
-            if n is not None:
-                scored[n] = scored.get(n, 0.0) + points * share
+        parent = holder if holder.tag in HOLDERS or holder.parent is None else holder.parent
+        parent.points += points
+        if parent.parent is not None:
+            parent.parent.points += points / 2
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
     density = lambda n: min(1.0, n.linked / n.chars) if n.chars else 0.0
-    final = {n: s * (1 - density(n)) for n, s in scored.items()}
-    for n in final:
-        if n.tag in ("article", "main"):
-            final[n] += 25
-    order = {n: i for i, n in enumerate(scored)}
-    best = max(final, key=lambda n: (final[n], -order[n]))
-    while best.tag in ("p", "ul", "ol", "li", "dl", "blockquote", "pre", "table", "tbody", "tr", "td") and best.parent is not None:
+    final = lambda n: n.points * (1 - density(n)) + 25 * (n.tag in ARTICLE and n.chars > 0)
+    best = max(nodes, key=final)  # the first of equals
+    while best.tag in PARTS and best.parent is not None:
         best = best.parent
-    inside = [any(n is best for n in _ancestors(h)) for h, _, _ in found]
-    floor = max(10.0, 0.2 * final.get(best, 0.0))
-    whole = best.tag in ("article", "main", "body", "html", "#root")
+    # the child of best's parent that each block stands in, and whether it is kept
+    side: dict[Node, Node | None] = {}
+    for n in nodes:
+        side[n] = n if n.parent is best.parent else side[n.parent] if n.parent is not None else None
+    floor, kept = max(10.0, 0.2 * final(best)), {best: True}
     out = []
-    for (h, text, linked), within in zip(found, inside):
+    for holder, text, linked in found:
+        n = side[holder]
+        if n is None or best.parent is None:
+            if best.parent is None:
+                out.append(text)
+            continue
+        if n not in kept:
+            same = n.tag == best.tag and n.names == best.names and (n.tag == "article" or bool(n.names))
+            kept[n] = same or final(n) >= floor and density(n) < 0.25
         share = linked / len(text)
-        keep = within and not (share > 0.8 and h.tag in ("li", "div", "td") and len(text) < 80 and not whole)
-        if not within and best.parent is not None:
-            sibling = next((n for n in _ancestors(h) if n.parent is best.parent), None)
-            if sibling is not None:
-                like = final.get(sibling, 0.0) >= floor and density(sibling) < 0.25
-                long = sibling.tag == "p" and (len(text) > 80 and share < 0.25 or len(text) <= 80 and not share and text[-1] in ".!?")
-                keep = like or long or sibling.tag == best.tag == "article"
-        if keep:
+        if kept[n] or n.tag == "p" and share < 0.25 and (len(text) > 80 or not share and text[-1] in ".!?"):
             out.append(text)
     return "\n".join(out)
 
@@ -205,7 +243,7 @@ def extract(html: str | None) -> str:
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points of text) per page.
 
-    Null and empty html give an empty text; broken markup is read as far as it goes; repeated rows give repeated results;
+    Null and empty html give an empty text; broken markup is read as far as it goes (a page that ends within a tag loses that tag); repeated rows give repeated results;
     an empty table gives no rows; other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
