@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -112,6 +113,13 @@ def test_quality_edge_cases_and_order(spark):
     assert quality.keep_quality(docs_of(spark, rows)).columns == docs_of(spark, []).columns
     slow, quick = quality.Rule("slow", lambda f: sum(range(20000)) < 0), quality.Rule("quick", lambda f: True)
     assert quality.plan_cascade(["a b c"] * 20, (slow, quick)) == [1, 0]
+    assert quality.keep_quality(docs_of(spark, [])).count() == 0
+    # the second rule rejects what the first one does; given the first, the third rejects more
+    nap = lambda f: time.sleep(0.0005) or True
+    a, b, c = quality.Rule("a", lambda f: nap(f) and int(f.text) < 6), quality.Rule("b", lambda f: nap(f) and int(f.text) < 5), quality.Rule("c", lambda f: nap(f) and int(f.text) > 8)
+    assert quality.plan_cascade([str(i) for i in range(10)] * 4, (b, c, a)) == [2, 1, 0]
+    long = docs_of(spark, [(1, f"{clean} " * 3000), (2, clean)])
+    assert [r["kept"] for r in quality.quality_cascade(long).orderBy("doc_id").collect()] == [False, True]
 
 
 # 3: mixing
@@ -309,8 +317,6 @@ def test_recall_up_to_the_edit_limit(spark):
 
 
 def test_long_texts_align_in_bounded_time():
-    import time
-
     rng = np.random.default_rng(3)
     a = rng.integers(0, 3000, 20000)
     b = a.copy()
@@ -354,12 +360,26 @@ def test_decontamination_edges(spark):
     words = [f"t{i}" for i in range(30)]
     items = spark.createDataFrame([(1, " ".join(words[:15]), "x"), (10, "Short ITEM here", "x"), (2, None, "x"), (3, "!!", "x"), (1, " ".join(words[:15]), "x")], "item_id long, text string, n string")
     rows = [(1, "lead " + " ".join(words[2:13]).upper() + " tail words of my own that go on"), (2, "a short-item, here b"), (3, None), (4, ""), (5, " ".join(words[:9])), (6, " ".join(words[:15])), (6, " ".join(words[:15]))]
-    got = compare.canonical(["a", "b", "c", "d"], [(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in decontaminate.find_contamination(docs_of(spark, rows), items, block_words=20).collect()])
-    assert got == [(1, 20, 11, "1"), (2, 5, 3, "10"), (3, 0, 0, ""), (4, 0, 0, ""), (5, 9, 0, ""), (6, 15, 15, "1"), (6, 15, 15, "1")]
-    clean = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs_of(spark, rows), items, max_coverage=0.7).collect()}
-    assert clean == {1: "lead tail words of my own that go on", 2: "a b", 3: None, 4: "", 5: " ".join(words[:9])}
+    for block_words in (10**6, 20):  # one block, and several
+        got = compare.canonical(["a", "b", "c", "d"], [(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in decontaminate.find_contamination(docs_of(spark, rows), items, block_words=block_words).collect()])
+        assert got == [(1, 20, 11, "1"), (2, 5, 3, "10"), (3, 0, 0, ""), (4, 0, 0, ""), (5, 9, 0, ""), (6, 15, 15, "1"), (6, 15, 15, "1")]
+        clean = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs_of(spark, rows), items, max_coverage=0.7, block_words=block_words).collect()}
+        assert clean == {1: "lead tail words of my own that go on", 2: "a b", 3: None, 4: "", 5: " ".join(words[:9])}
     assert decontaminate.find_contamination(docs_of(spark, rows), items.where("false")).where("n_hit > 0").count() == 0
-    assert decontaminate.find_contamination(docs_of(spark, []), items).count() == 0
+    assert decontaminate.find_contamination(docs_of(spark, []), items).count() == 0 and decontaminate.decontaminate(docs_of(spark, []), items).count() == 0
+    clash = docs_of(spark, rows).withColumn("_w", F.lit(1)).withColumn("_key", F.lit(2)).withColumn("spans", F.lit(3)).withColumn("names", F.lit(4))
+    assert decontaminate.decontaminate(clash, items, block_words=20).columns == clash.columns
+
+
+def test_long_items_in_pieces_and_long_texts(spark):
+    rng = random.Random(15)
+    item = [f"i{rng.randrange(10**6)}" for _ in range(700)]
+    text = [f"w{i}" for i in range(30000)]
+    text[20000:20000] = item[95:330]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "other words here")], "item_id long, text string")
+    for block_words in (10**6, 200):
+        r = decontaminate.find_contamination(docs_of(spark, [(1, " ".join(text)), (1, " ".join(text))]), items, block_words=block_words).collect()
+        assert [(x["n_hit"], x["items"], [tuple(s) for s in x["spans"]]) for x in r] == [(235, ["1"], [(20000, 20235)])] * 2
 
 
 @settings(max_examples=60, deadline=None)
@@ -439,6 +459,37 @@ def test_extraction_without_an_article_scores_containers():
     assert extract(f"<body><div class='x'><a href=a>one</a> <a href=b>two</a></div><div class='post'>{body}<p>Short.</p></div><div class='foot'><a href=c>c</a></div></body>").split("\n")[-1] == "Short."
 
 
+def test_extraction_drops_nothing_of_the_article():
+    body = "".join(f"<p>Sentence {i}, with commas, and quite some words in it.</p>" for i in range(6))
+    lines = lambda inner, box="article": extract(f"<body><{box}>{body}{inner}</{box.split()[0]}></body>").split("\n")[6:]
+    for box in ("article", "div class=text", "div"):
+        assert lines("<ul><li><a href=a>Linked source one</a></li><li>Plain item</li></ul><div><a href=b>Download the data</a></div>", box) == ["Linked source one", "Plain item", "Download the data"]
+        assert lines('<p class="ad-hoc">One.</p><div class="share-price">Two</div><p class="related-work">Three.</p><p>x <math><mi>a</mi>+<mi>b</mi></math></p>', box) == ["One.", "Two", "Three.", "x a+b"]
+        assert lines('<div class="cookie-notice">No.</div><ul class="breadcrumbs nav"><li>No.</ul><div id="commentList">No</div><p class="site-footer">No</p><div class="share-buttons">No</div><div class="related posts">No</div>', box) == []
+        assert lines("<!-- no --><select><option>No</select><svg><text>No</text></svg><p hidden>No</p>1 < 2 &amp; 3", box) == ["1 < 2 & 3"]
+
+
+def test_sibling_posts_of_one_article_are_kept():
+    long = "".join(f"<p>Sentence {i}, with commas, and quite some words in it.</p>" for i in range(9))
+    assert extract(f'<body><div class=post>{long}</div><div class=post><p>Short end</p></div><div class=other>Else</div></body>').split("\n")[9:] == ["Short end"]
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<div>x", '<a "\'', "<li><div>", "<table><tr><td>x", "<title>", "<a ", '<a b="', "</b>", "<b><article>", "<ul><li><i>", "<p><i>", "<!--", "<![", "&", "<div class=\"a b\">", "<dd><dt>", "<td><b></td>"])
+def test_extraction_is_linear(piece):
+    for page in (piece * (1_000_000 // len(piece)), piece * (500_000 // len(piece)) + ">" + "</b></i></div></li>" * 20000):
+        began = time.process_time()
+        extract(page)
+        assert time.process_time() - began < 15, piece
+
+
+def test_containers_without_an_article_give_the_same_text(spark):
+    """The sample pages with their article element renamed: scoring alone finds it."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        for box in ("div", 'div class="entry"', "section"):
+            renamed = r["html"].replace("<article>", f"<div class=page><{box}>").replace("</article>", f"</{box.split()[0]}></div>")
+            assert extract(renamed) == extract(r["html"])
+
+
 def test_extraction_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<div", "x"), (4, "u", "plain < text", "x"), (4, "u", "plain < text", "x"), (5, "u", "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in extract_pages(df).where("page_id <> 3").collect()) == [(1, ""), (2, ""), (4, "plain < text"), (4, "plain < text"), (5, "deep")]
@@ -514,23 +565,67 @@ def test_url_rules_and_propagation(spark):
     assert urls.judge_urls(df.where("false")).count() == 0
 
 
+def test_scores_equal_the_limit_on_a_random_graph(spark):
+    rng = np.random.default_rng(4)
+    n = 40
+    links = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.12)
+    np.fill_diagonal(links, 0)
+    verdicts = [(f"h{i}", v) for i in range(n) for v in rng.choice(["allow", "block", "none", "none"], 5).tolist()]
+    a, b = (np.array([np.mean([w == v for h, w in verdicts if h == f"h{i}"]) for i in range(n)]) for v in ("allow", "block"))
+    shares = links / np.maximum(1, links.sum(axis=1, keepdims=True))
+    trust = np.linalg.solve(np.eye(n) - 0.85 * shares.T, 0.15 * a)
+    distrust = np.linalg.solve(np.eye(n) - 0.85 * shares, 0.15 * b)
+    judged = spark.createDataFrame([(h, None if v == "none" else v) for h, v in verdicts], "host string, verdict string")
+    edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(links[i, j])) for i, j in zip(*np.nonzero(links))], "src string, dst string, n long")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.host_scores(judged, edges).collect()}
+    assert np.allclose([got[f"h{i}"] for i in range(n)], np.c_[trust, distrust], atol=2e-5)
+
+
+def test_a_farm_around_a_blocked_host_is_blocked(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
+    rows = [(1, "http://bad.net/es/1", "")] + [(10 + i, f"http://farm{i}.org/", link("bad.net")) for i in range(30)] + [(90, "http://news.org/", link("bad.net", "x.org", "y.org", "z.org")), (91, "http://outer.org/", link("farm1.org", "farm2.org"))]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[10 + i] == "block" for i in range(30)) and got[90] == "allow" and got[91] == "block"
+
+
 # 10: chat
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.text(alphabet=st.sampled_from(list("#: \\<>/turnhe\nab")), max_size=8), st.text(alphabet=st.sampled_from(list("#: \\<>/turnhe\nab")), max_size=14)), max_size=5))
 def test_chat_round_trip(messages):
-    text, spans, rewrites = chat.turn_spans(messages)
+    text, spans, texts, rewrites = chat.turn_spans(messages)
     assert chat.parse_plain(text) == messages and not rewrites
-    assert [chat.unescape(text[s[2] : s[3]]) for s in spans] == [m[1] for m in messages]
-    assert "".join(text[s[0] : s[1]] for s in spans) == text
+    assert [chat.unescape(text[b:e]) for b, e in texts] == [m[1] for m in messages]
+    assert "".join(text[b:e] for b, e in spans) == text
 
 
 def test_rewriting_templates_are_detected():
     def render(messages):
         return f"[{len(messages)}]" + "".join(t for _, t in messages)
 
-    assert chat.turn_spans([("user", "a"), ("user", "b")], render)[2] and not chat.turn_spans([("user", "a")], render)[2]
+    assert chat.turn_spans([("user", "a"), ("user", "b")], render)[3] and not chat.turn_spans([("user", "a")], render)[3]
+
+
+def test_spans_stand_in_the_final_output_or_are_null():
+    talk = [("user", "question"), ("assistant", "first answer"), ("user", "again"), ("assistant", "second answer")]
+    last_two = lambda ms: "".join(f"<{r}>{t}</>" for r, t in ms[-2:])
+    out, spans, texts, rewrites = chat.turn_spans(talk, last_two)
+    assert rewrites and texts[:2] == [None, None] and [out[b:e] for b, e in texts[2:]] == ["again", "second answer"]
+    assert spans == [None, None, None, (common := chat.common_prefix(last_two(talk[:3]), out), len(out))] and common < len(out)
+    counted = lambda ms: "".join(f"<{len(t)}>{t}</>" for _, t in ms)
+    assert chat.turn_spans(talk, counted)[2] == [None] * 4
+    upper = lambda ms: "".join(f"<{t.upper()}>" for _, t in ms)
+    assert chat.turn_spans(talk, upper)[2] == [None] * 4
+    numbered = lambda ms: f"{len(ms)}:" + "".join(f"<{t}>" for _, t in ms)
+    out, _, texts, rewrites = chat.turn_spans(talk, numbered)
+    assert rewrites and [out[b:e] for b, e in texts] == [t for _, t in talk]
+
+
+def test_long_conversations(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text {k} " * 50) for k in range(300)] + [(2, 0, "assistant", "x: ### " * 100000)]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1]["loss_text"] == "".join(t for _, k, _, t in rows[:300] if k % 2) and got[2]["loss_text"] == rows[-1][3]
 
 
 def test_chat_edges(spark):
