@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from refweave.functions import text as tx
 from refweave.operators import matching as op
-from refweave.plans.kit import BASE, LIBRARY, Plans, citations, library, table
+from refweave.operators import transplant as tp
+from refweave.plans.kit import BASE, CITATIONS, LIBRARY, Plans, citations, library, table
+from refweave.sources.staging import staged
 
 P = Plans()
 
@@ -270,14 +272,14 @@ def apply_saved_crops(spark: SparkSession, sf: str) -> DataFrame:
     return op.apply_saved(figs, library(spark, sf).where("rec_id % 2 = 0").select(label, (F.col("rec_id") % 70).alias("crop_top"), (F.col("rec_id") % 70 + 30).alias("crop_bot")))
 
 
-_WIN = f"""{BASE}, rows AS (SELECT doc_id, pos, title || ' for the ' || author AS text, rec_id % 3 = 0 AS is_cite FROM citations WHERE doc_id % 10 < 4), ws AS (SELECT *, CASE WHEN is_cite THEN [] ELSE list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ('the', 'for')) END AS w FROM rows),
+_WIN = f"""{BASE}, rows AS (SELECT doc_id, pos, title || ' for the ' || author AS text, rec_id % 3 = 0 AS is_cite FROM citations), ws AS (SELECT *, CASE WHEN is_cite THEN [] ELSE list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ('the', 'for')) END AS w FROM rows),
 b AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM ws), placed AS (SELECT doc_id, base + i - 1 AS place, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM b)),
 bags AS (SELECT DISTINCT c.doc_id, c.pos AS cite, word FROM b c JOIN placed p ON p.doc_id = c.doc_id AND place >= base - 20 AND place < base + 12 WHERE is_cite), idf AS (SELECT word, count(*) AS df, round(ln(((SELECT count(*) FROM (SELECT DISTINCT doc_id, cite FROM bags)) + 1) / (count(*) + 0.5)) + 1, 6) AS idf FROM bags GROUP BY word)"""
 
 
-def _bags(spark: SparkSession, sf: str, among: str = "doc_id % 10 < 4") -> DataFrame:
-    c = citations(spark, sf).where(among)
-    return op.context_words(c.select("doc_id", "pos", F.concat("title", F.lit(" for the "), "author").alias("text"), (F.col("rec_id") % 3 == 0).alias("is_cite")), ["the", "for"])
+def _bags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = citations(spark, sf).select("doc_id", "pos", F.concat("title", F.lit(" for the "), "author").alias("text"), (F.col("rec_id") % 3 == 0).alias("is_cite"))
+    return op.context_words(rows, ["the", "for"])
 
 
 @P.add(f"{_WIN} SELECT * FROM bags")
@@ -290,16 +292,15 @@ def context_idf(spark: SparkSession, sf: str) -> DataFrame:
     return op.context_idf(_bags(spark, sf))
 
 
-_SIM = f"""{_WIN}, x AS (SELECT (doc_id - doc_id % 10) + doc_id % 2 AS pair, doc_id % 10 < 2 AS is_t, cite, word, idf FROM bags JOIN idf USING (word)), sz AS (SELECT pair, is_t, cite, sum(idf) AS n FROM x GROUP BY ALL),
+# Documents in pairs: an even one is the version to be mended, the odd one that follows is the intact one.
+_SIM = f"""{_WIN.replace("WITH ", "WITH RECURSIVE ", 1)}, x AS (SELECT doc_id - doc_id % 2 AS pair, doc_id % 2 = 0 AS is_t, cite, word, idf FROM bags JOIN idf USING (word)), sz AS (SELECT pair, is_t, cite, sum(idf) AS n FROM x GROUP BY ALL),
 sims AS (SELECT a.pair AS doc_id, a.cite AS t, b.cite AS s, round(sum(a.idf) / (any_value(p.n) + any_value(q.n) - sum(a.idf)), 6) AS sim FROM x a JOIN x b ON a.pair = b.pair AND a.word = b.word JOIN sz p ON p.pair = a.pair AND p.is_t AND p.cite = a.cite JOIN sz q ON q.pair = b.pair AND NOT q.is_t AND q.cite = b.cite WHERE a.is_t AND NOT b.is_t GROUP BY ALL)"""
 
 
 def _sims(spark: SparkSession, sf: str) -> DataFrame:
-    bags = _bags(spark, sf)
-    idf = op.context_idf(bags)
-    pair = (F.col("doc_id") - F.col("doc_id") % 10 + F.col("doc_id") % 2).alias("doc_id")
-    side = lambda first: bags.where(F.col("doc_id") % 10 < 2 if first else F.col("doc_id") % 10 >= 2).select(pair, "cite", "word")
-    return op.context_similarity(side(True), side(False), idf)
+    bags = staged(_bags(spark, sf), "context-bags")
+    side = lambda k: bags.where(F.col("doc_id") % 2 == k).select((F.col("doc_id") - k).alias("doc_id"), "cite", "word")
+    return op.context_similarity(side(0), side(1), op.context_idf(bags))
 
 
 @P.add(f"{_SIM} SELECT * FROM sims")
@@ -307,30 +308,57 @@ def context_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _sims(spark, sf)
 
 
-def _neighbour_sims(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document takes part: the even ones are targets, their sources the odd ones that follow them."""
-    bags = _bags(spark, sf, "true")
-    side = lambda k: bags.where(F.col("doc_id") % 2 == k).select((F.col("doc_id") - k).alias("doc_id"), "cite", "word")
-    return op.context_similarity(side(0), side(1), op.context_idf(bags))
+_TOKEN = {
+    "kind": "CASE WHEN rec_id % 3 <> 0 THEN 'text' WHEN flag = 'R' THEN 'bare' WHEN supp % 13 = 0 THEN 'refmarker' ELSE 'field' END",
+    "text": "CASE WHEN rec_id % 3 <> 0 THEN title || ' for the ' || author || '. ' WHEN flag = 'R' THEN recnum WHEN supp % 13 = 0 THEN '[[REF ' || recnum || ']]' ELSE '(' || author || ', ' || rec_year || ') ' END",
+    "instr": "CASE WHEN rec_id % 3 = 0 AND flag <> 'R' AND supp % 13 <> 0 THEN ' ADDIN EN.CITE ' || CASE WHEN supp % 4 = 0 THEN 'INVALID CITATION' ELSE '' END || '<RecNum>' || CASE WHEN supp % 5 = 0 THEN '0' ELSE recnum END || '</RecNum>' END",
+    "surname": "CASE WHEN rec_id % 3 = 0 AND flag <> 'R' AND supp % 13 <> 0 THEN author END", "year": "rec_year", "title": "title",
+}
+_TOKENS = f"""tokens AS (SELECT doc_id, pos, {", ".join(f"{e} AS {k}" for k, e in _TOKEN.items())} FROM citations), tk AS (SELECT *, doc_id - doc_id % 2 AS pair, kind <> 'text' AS is_cite, kind <> 'field' OR contains(coalesce(instr, ''), 'INVALID CITATION') OR regexp_extract(coalesce(instr, ''), '<RecNum>(\\d+)</RecNum>', 1) IN ('', '0') AS broken FROM tokens),
+tg AS (SELECT * FROM tk WHERE is_cite AND doc_id % 2 = 0), sr AS (SELECT * FROM tk WHERE kind = 'field' AND NOT broken AND doc_id % 2 = 1)"""
 
 
-@P.add()
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return citations(spark, sf).select("doc_id", "pos", *[F.expr(e).alias(k) for k, e in _TOKEN.items()])
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Citations of the versions to be mended, and of the intact ones, by pair."""
+    cites = tp.marked_broken(_tokens(spark, sf))
+    return tuple(cites.where(F.col("doc_id") % 2 == k).withColumn("doc_id", F.col("doc_id") - k) for k in (0, 1))
+
+
+_CHOSEN = f"""{_SIM}, {_TOKENS},
+bonus AS (SELECT t.pair AS doc_id, t.pos AS t, s.pos AS s, CASE WHEN t.year = s.year THEN 0.1 + 0.05 * least({_OVER('t.title', 's.title')}, 6) ELSE 0.03 END AS b, CASE WHEN t.year = s.year THEN {_OVER('t.title', 's.title')} ELSE 0 END AS ov FROM tg t JOIN sr s ON t.pair = s.pair AND t.surname = s.surname),
+sc AS (SELECT doc_id, t, s, round(sum(w), 6) AS sim, max(ov) AS ov FROM (SELECT doc_id, t, s, sim AS w, 0 AS ov FROM sims UNION ALL SELECT doc_id, t, s, b::DOUBLE, ov FROM bonus) GROUP BY ALL), sp AS (SELECT sc.*, round(sim * 1000000)::BIGINT AS w FROM sc JOIN sr ON sr.pair = sc.doc_id AND sr.pos = sc.s),
+chain AS (SELECT doc_id, t, s, w AS total, [t, s] AS path FROM sp WHERE sim >= 0.12 UNION ALL SELECT p.doc_id, p.t, p.s, total + p.w, path || [p.t, p.s] FROM chain c JOIN sp p ON p.doc_id = c.doc_id AND p.t > c.t AND p.s > c.s WHERE p.sim >= 0.12),
+bestc AS (SELECT doc_id, max(struct_pack(a := total, b := path)).b AS path FROM chain GROUP BY doc_id), al AS (SELECT doc_id, path[2 * i - 1] AS t, path[2 * i] AS s FROM (SELECT doc_id, path, unnest(range(1, len(path) // 2 + 1)) AS i FROM bestc)),
+el AS (SELECT tg.pair AS doc_id, tg.pos AS t, row_number() OVER (PARTITION BY tg.pair ORDER BY tg.pos) AS k, al.s AS cur, c.w AS cur_w, (SELECT list(struct_pack(s := sp.s, w := sp.w) ORDER BY sp.w DESC, sp.s) FROM sp WHERE sp.doc_id = tg.pair AND sp.t = tg.pos AND sp.w >= 400000) AS cs FROM tg LEFT JOIN al ON al.doc_id = tg.pair AND al.t = tg.pos LEFT JOIN sp c ON c.doc_id = tg.pair AND c.t = tg.pos AND c.s = al.s WHERE broken),
+fb AS (SELECT doc_id, 0::BIGINT AS k, (SELECT list(s) FROM al WHERE al.doc_id = d.doc_id) AS used, NULL::BIGINT AS t, NULL::STRUCT(s BIGINT, w BIGINT) AS pick FROM (SELECT DISTINCT doc_id FROM el) d UNION ALL
+ SELECT doc_id, k, CASE WHEN pick IS NULL OR kept THEN used ELSE coalesce(used, []) || [pick.s] END, t, pick FROM (SELECT e.doc_id, e.k, f.used, e.t, coalesce(e.cur_w, 0) >= 400000 AS kept, CASE WHEN coalesce(e.cur_w, 0) >= 400000 THEN struct_pack(s := e.cur, w := e.cur_w) ELSE list_filter(e.cs, lambda x: NOT list_contains(coalesce(f.used, []), x.s))[1] END AS pick FROM fb f JOIN el e ON e.doc_id = f.doc_id AND e.k = f.k + 1)),
+ch AS (SELECT doc_id, t, pick.s AS s, pick.w AS w FROM fb WHERE k > 0),
+am AS (SELECT ch.doc_id, ch.t FROM ch JOIN tg ON tg.pair = ch.doc_id AND tg.pos = ch.t JOIN sr s ON s.pair = ch.doc_id AND s.pos = ch.s JOIN sr o ON o.pair = ch.doc_id AND o.surname = s.surname AND o.year = s.year AND o.pos <> s.pos LEFT JOIN sp a ON a.doc_id = ch.doc_id AND a.t = ch.t AND a.s = ch.s LEFT JOIN sp b ON b.doc_id = ch.doc_id AND b.t = ch.t AND b.s = o.pos WHERE tg.kind = 'field' GROUP BY ch.doc_id, ch.t HAVING any_value(coalesce(a.ov, 0)) - max(coalesce(b.ov, 0)) < 2),
+chosen AS (SELECT ch.doc_id, ch.t, ch.s, round(coalesce(ch.w, (SELECT max(w) FROM sp WHERE sp.doc_id = ch.doc_id AND sp.t = ch.t), 0) / 1000000, 6) AS ratio, CASE WHEN ch.s IS NOT NULL THEN 'context' END AS method, CASE WHEN ch.s IS NULL THEN 'no match' WHEN am.t IS NOT NULL THEN 'ambiguous' ELSE 'transplanted' END AS status FROM ch LEFT JOIN am ON am.doc_id = ch.doc_id AND am.t = ch.t)"""
+
+
+def _chosen(spark: SparkSession, sf: str) -> DataFrame:
+    targets, sources = _sides(spark, sf)
+    return tp.transplant(targets, sources, staged(tp.scored_pairs(_sims(spark, sf), tp.identity_bonus(targets, sources.where("not broken"))), "transplant-pairs"))
+
+
+@P.add(f"{_CHOSEN} SELECT * FROM chosen")
 def context_transplant(spark: SparkSession, sf: str) -> DataFrame:
-    return op.align_pairs(_neighbour_sims(spark, sf))
+    return _chosen(spark, sf)
 
 
-@P.add()
+@P.add(f"{_CHOSEN} SELECT tk.doc_id, string_agg(coalesce(sr.text, tk.text), '' ORDER BY tk.pos) AS text, count(sr.text) AS n_replaced FROM tk LEFT JOIN chosen c ON c.doc_id = tk.doc_id AND c.t = tk.pos LEFT JOIN sr ON sr.pair = c.doc_id AND sr.pos = c.s WHERE tk.doc_id % 2 = 0 GROUP BY tk.doc_id")
 def transplant_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """Each target with the text that replaces it: its aligned source's, where the similarity is 0.4 or more, else its own."""
-    c = citations(spark, sf).where("rec_id % 3 = 0")
-    t, s = c.where("doc_id % 2 = 0").selectExpr("doc_id", "pos AS t", "title AS own"), c.where("doc_id % 2 = 1").selectExpr("doc_id - 1 AS doc_id", "pos AS s", "title AS other")
-    a = op.align_pairs(_neighbour_sims(spark, sf)).where("sim >= 0.4")
-    return t.join(a, ["doc_id", "t"], "left").join(s, ["doc_id", "s"], "left").select("doc_id", "t", F.coalesce("other", "own").alias("text"), F.col("other").isNotNull().alias("replaced"))
+    return tp.transplant_apply(_tokens(spark, sf).where("doc_id % 2 = 0"), _sides(spark, sf)[1], _chosen(spark, sf))
 
 
-@P.add()
+@P.add(f"{_CHOSEN} SELECT doc_id, count(*) AS citations, count(s) AS transplanted, count(*) FILTER (method = 'context') AS by_context, count(*) FILTER (method = 'position') AS by_position, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (s IS NULL) AS unmatched FROM chosen GROUP BY doc_id")
 def transplant_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return transplant_apply(spark, sf).groupBy("doc_id").agg(F.count_if("replaced").alias("transplanted"), F.count_if(~F.col("replaced")).alias("unmatched"))
+    return tp.transplant_summary(_chosen(spark, sf))
 
 
 _FILL = f"""{BASE}, t AS (SELECT doc_id, pos AS t, CASE WHEN supp % 5 = 0 THEN 1 END AS anchor FROM citations WHERE doc_id % 2 = 0), s AS (SELECT doc_id, pos AS s, CASE WHEN supp % 5 = 0 THEN 1 END AS anchor FROM citations WHERE doc_id % 2 = 0 AND (supp % 5 = 0 OR supp % 3 > 0)),
@@ -346,11 +374,10 @@ def fill_by_order(spark: SparkSession, sf: str) -> DataFrame:
     return op.fill_by_order(t, s, c.where("supp % 5 = 0").selectExpr("doc_id", "pos AS t", "pos AS s"))
 
 
-@P.add(f"{BASE} SELECT doc_id, pos, recnum FROM citations c WHERE (flag = 'R' OR rec_id = 0 OR supp % 9 = 0) AND EXISTS (SELECT 1 FROM citations s WHERE s.doc_id = c.doc_id AND s.flag <> 'R' AND s.author = c.author)")
+@P.add(f"WITH {CITATIONS}, {_TOKENS} SELECT t.doc_id, t.pos, t.kind FROM tk t WHERE t.is_cite AND t.broken AND EXISTS (SELECT 1 FROM sr WHERE sr.pair = t.pair AND lower(sr.surname) = lower(t.surname)) AND t.doc_id % 2 = 0")
 def broken_to_source(spark: SparkSession, sf: str) -> DataFrame:
-    c = citations(spark, sf)
-    broken = c.where("flag = 'R' OR rec_id = 0 OR supp % 9 = 0")
-    return broken.join(c.where("flag <> 'R'").select("doc_id", "author"), ["doc_id", "author"], "left_semi").select("doc_id", "pos", "recnum")
+    targets, sources = _sides(spark, sf)
+    return tp.broken_with_source(targets, sources).select("doc_id", "pos", "kind")
 
 
 @P.add()

@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from refweave.operators import citations, extraction, fields, layout, matching, rewriting
+from refweave.operators import citations, extraction, fields, layout, matching, rewriting, transplant
 from refweave.sources import readers, writers
 from refweave.streaming import streams
 
@@ -215,3 +215,43 @@ def test_stream_counts_as_the_table_does(spark, tmp_path):
         streams.incremental_scan(spark, str(tmp_path / "p"), str(tmp_path / "o"), str(tmp_path / "k")).awaitTermination(120)
         seen.append(spark.read.parquet(str(tmp_path / "o")).count())
     assert seen == [1, 2]
+
+
+def chains_of(pairs):
+    """All order-preserving chains of pairs (t, s, weight), by brute force."""
+    out = [[]]
+    for p in sorted(pairs):
+        out += [c + [p] for c in out if not c or (p[0] > c[-1][0] and p[1] > c[-1][1])]
+    return out
+
+
+def test_chosen_sources_follow_the_table_of_the_alignment():
+    rng = random.Random(9)
+    for _ in range(300):
+        pairs = [(t, s, rng.choice([1, 2, 2, 3, 5]) * 100_000) for t in range(4) for s in range(5) if rng.random() < 0.5]
+        best = max(chains_of(pairs), key=lambda c: (sum(x[2] for x in c), [v for x in c for v in x[:2]]))
+        assert transplant.aligned(pairs) == best
+
+
+def test_fallback_takes_free_sources_and_order_fills_gaps():
+    pairs = [(1, 30, 600_000), (2, 10, 500_000), (3, 30, 450_000)]
+    run = lambda by_order: transplant.chosen_sources(pairs, [(1, True), (2, True), (3, True), (4, False), (5, True)], [10, 20, 30, 40], 400_000, 120_000, by_order)
+    assert run(False) == [(1, None, 600_000, None), (2, 10, 500_000, "context"), (3, 30, 450_000, "context"), (5, None, 0, None)]
+    assert run(True) == [(1, None, 600_000, None), (2, 10, 500_000, "context"), (3, 30, 450_000, "context"), (5, 40, 0, "position")]
+    del pairs[2]  # now the first pair is the whole alignment, and the second target takes its source out of order
+    assert run(False)[:3] == [(1, 30, 600_000, "context"), (2, 10, 500_000, "context"), (3, None, 0, None)]
+
+
+def test_broken_citations_and_identity_bonus(spark):
+    schema = "doc_id long, pos long, kind string, text string, instr string, surname string, year string, title string"
+    field = lambda d, pos, instr, sur, year, title: (d, pos, "field", "x", instr, sur, year, title)
+    t = spark.createDataFrame([field(1, 1, "INVALID CITATION <RecNum>5</RecNum>", "Lee", "2001", "growing bones fracture"), field(1, 2, "<RecNum>0</RecNum>", "Lee", "1999", "else"), field(1, 3, "<RecNum>7</RecNum>", None, None, None), (1, 4, "bare", "5", None, None, None, None), (1, 5, "text", "words", None, None, None, None)], schema)
+    s = spark.createDataFrame([field(1, 10, "<RecNum>5</RecNum>", "lee", "2001", "bones growing"), field(1, 20, "<RecNum>6</RecNum>", "Lee", "2001", "bones at rest"), field(1, 30, None, "Lee", "2001", "bones")], schema)
+    targets, sources = transplant.marked_broken(t), transplant.marked_broken(s)
+    assert [(r["pos"], r["broken"]) for r in targets.orderBy("pos").collect()] == [(1, True), (2, True), (3, False), (4, True)]
+    bonus = transplant.identity_bonus(targets, sources)
+    assert rows(bonus.where("s < 30")) == [(1, 1, 10, 0.2, 2), (1, 1, 20, pytest.approx(0.15), 1), (1, 2, 10, 0.03, 0), (1, 2, 20, 0.03, 0)]
+    sims = spark.createDataFrame([(1, 1, 10, 0.3), (1, 4, 20, 0.5)], "doc_id long, t long, s long, sim double")
+    chosen = transplant.transplant(targets, sources, transplant.scored_pairs(sims, bonus))
+    assert rows(chosen) == [(1, 1, 10, 0.5, "context", "ambiguous"), (1, 2, None, 0.03, None, "no match"), (1, 4, 20, 0.5, "context", "transplanted")]
+    assert rows(transplant.transplant_summary(chosen)) == [(1, 3, 2, 2, 0, 1, 1)]
