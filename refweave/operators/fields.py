@@ -58,9 +58,9 @@ def claims(rows: DataFrame, keep: int = 300) -> DataFrame:
     return g.select("doc_id", "cite_idx", F.right(last, F.lit(keep)).alias("claim"))
 
 
-def run_groups(runs: DataFrame) -> DataFrame:
-    """Adjacent number runs joined across separators into one group; separators at the ends are trimmed."""
-    number, separator = F.col("text").rlike(r"^\s*\d+\s*$"), F.col("text").rlike(r"^[\s,;–-]+$")
+def run_groups(runs: DataFrame, among: Column | None = None, separators: str = r"[\s,;–-]+") -> DataFrame:
+    """Adjacent number runs joined across separators into one group; separators at the ends are trimmed. `among` says which number runs count (all by default); a separator run is all `separators`."""
+    number, separator = F.col("text").rlike(r"^\s*\d+\s*$") & (F.coalesce(among, F.lit(False)) if among is not None else F.lit(True)), F.col("text").rlike(f"^{separators}$")
     classed = runs.withColumns({"num": number, "sep": separator})
     order = _upto()
     island = F.sum((~F.col("num") & ~F.col("sep")).cast("int")).over(order)
@@ -69,6 +69,23 @@ def run_groups(runs: DataFrame) -> DataFrame:
     return held.groupBy("doc_id", "island").agg(F.min("pos").alias("first_run"), F.max("pos").alias("last_run"), F.array_join(F.transform(nums["text"], lambda x: F.trim(x)), ",").alias("numbers")).drop("island")
 
 
+def styled_groups(runs: DataFrame, style: str = "citsup") -> DataFrame:
+    """Number runs of a citation style, joined across commas and semicolons."""
+    return run_groups(runs, F.col("style") == style, r"\s*[,;]\s*")
+
+
+def superscript_groups(runs: DataFrame) -> DataFrame:
+    """Superscript number runs, joined across separators and dashes."""
+    return run_groups(runs, F.col("vert_align") == "superscript")
+
+
+def cued_groups(runs: DataFrame, style: str = "crossref") -> DataFrame:
+    """Number runs of a cross-reference style, or in a paragraph whose text so far has a cue (Reference, References or See)."""
+    so_far = Window.partitionBy("doc_id", "para_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    cued = runs.withColumn("cued", F.coalesce(F.max(F.col("text").rlike(r"\b(?:References?|See)\b").cast("int")).over(so_far), F.lit(0)) > 0)
+    return run_groups(cued, (F.col("style") == style) | F.col("cued"))
+
+
 def dedupe_ids(rows: DataFrame) -> DataFrame:
     """Second and later occurrences of an id get max + 1, max + 2, ... in order. rows: doc_id, pos, id (integer)."""
     again = F.row_number().over(Window.partitionBy("doc_id", "id").orderBy("pos")) > 1
@@ -97,7 +114,7 @@ def orphan_numbers(runs: DataFrame, superscript_only: bool = True) -> DataFrame:
 
 
 def health_counts(runs: DataFrame) -> DataFrame:
-    """Per document: fields in all, empty ones and data ones, blobs, visible and hidden records, begin/sep/end balance, tracked changes."""
+    """Per document: fields in all, empty ones and data ones, blobs, visible and hidden records, begins, separators and ends, tracked changes."""
     seen = F.array_compact(F.collect_set(F.nullif(F.regexp_extract("instr", r"<RecNum>(\d+)</RecNum>", 1), F.lit(""))))
     blobs = F.array_compact(F.collect_set(F.nullif(F.regexp_extract("blob_text", r"<RecNum>(\d+)</RecNum>", 1), F.lit(""))))
     has = lambda s: F.coalesce(F.contains("instr", F.lit(s)), F.lit(False))
@@ -108,6 +125,27 @@ def health_counts(runs: DataFrame) -> DataFrame:
     return g.select("doc_id", "total_fields", "data_fields", "empty_fields", "blobs", F.size("v").alias("visible_refs"), F.size(F.array_except("b", "v")).alias("hidden_refs"), "begins", "seps", "ends", "tracked_runs")
 
 
+def merge_damage(runs: DataFrame, entries: DataFrame) -> DataFrame:
+    """health_counts, and what a merge damages: whether begins, separators and ends balance, insertions and deletions, superscript numbers, bibliography entries and those lost (without a superscript number),
+    ids that occur twice, notes referred to, and comment marks. runs: also vert_align, xml_id, note_ref, comment_mark; entries: doc_id, num."""
+    tracked = lambda *k: F.count_if(F.col("tracked").isin(*k))
+    per = runs.groupBy("doc_id").agg(tracked("ins", "moveTo").alias("ins_count"), tracked("del", "moveFrom").alias("del_count"), F.count_distinct("note_ref").alias("note_refs"), F.count("comment_mark").alias("comment_marks"))
+    again = runs.where("xml_id is not null").groupBy("doc_id", "xml_id").count().where("count > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("dup_ids"))
+    pieces = F.explode(F.split(F.trim("text"), r"[,;\s]+"))
+    above = runs.where("vert_align = 'superscript'").select("doc_id", pieces.alias("p")).select("doc_id", F.regexp_replace("p", r"\.+$", "").alias("p")).where(F.col("p").rlike(r"^\d+$")).select("doc_id", F.col("p").cast("long").alias("num")).distinct()
+    listed = entries.select("doc_id", F.col("num").cast("long").alias("num")).distinct()
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    counts = health_counts(runs).join(per, "doc_id")
+    for df, name in ((again.select("doc_id", "dup_ids"), None), (above, "cited_count"), (listed, "bib_count"), (listed.join(above, ["doc_id", "num"], "left_anti"), "lost_in_merge")):
+        counts = counts.join(n(df, name) if name else df, "doc_id", "left")
+    return counts.fillna(0).withColumn("balanced", (F.col("begins") == F.col("seps")) & (F.col("seps") == F.col("ends")))
+
+
+def orphan_comments(marks: DataFrame, comment_docs: DataFrame) -> DataFrame:
+    """doc_id, orphan_comments: comment marks in documents that have no comment part."""
+    return marks.join(comment_docs, "doc_id", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("orphan_comments"))
+
+
 def health_issues(counts: DataFrame) -> DataFrame:
     """issues: one row per document and rule that fails. counts: health_counts joined with orphans, garbled, dup_ids, orphan_comments."""
     rules = [("broken_fields", "error", True, F.col("empty_fields") + F.col("data_fields")), ("hidden_refs", "error", True, F.col("hidden_refs")), ("orphan_superscripts", "warning", True, F.col("orphans")), ("garbled_figs", "warning", True, F.col("garbled")), ("dup_ids", "error", True, F.col("dup_ids")),
@@ -116,17 +154,38 @@ def health_issues(counts: DataFrame) -> DataFrame:
     return counts.select("doc_id", rows.alias("r")).select("doc_id", "r.*").where("n > 0")
 
 
-def restore_fields(runs: DataFrame, ahead: int = 2000) -> DataFrame:
-    """Empty citation fields whose payload stands in a later blob, not more than `ahead` characters on: doc_id, pos, blob_pos, instr (decoded)."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    at = F.coalesce(F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = runs.withColumn("at", at)
+def _instruction(payload: Column) -> Column:
+    out = F.regexp_replace(payload, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(x), F.lit(y))
+    return F.concat(F.lit(" ADDIN EN.CITE "), out)
+
+
+def restore_fields(runs: DataFrame, ahead: int = 2000, behind: int = 500) -> DataFrame:
+    """doc_id, pos, pattern, blob_pos, instr of the fields whose instruction is restored from a blob (distances in characters of text):
+
+    A: an empty EN.CITE instruction, from the next blob, at most `ahead` on; B: an EN.CITE.DATA instruction, likewise (of several fields before one blob, the first within reach takes it);
+    B-reverse: an EN.CITE.DATA instruction that B leaves, from the blob before it, at most `behind` back, if that holds records (of several after one blob, the first takes it);
+    C: a blob with a record that no instruction shows, restored or not, and no earlier blob holds: a field of its own, before the blob's run.
+    """
+    doc = Window.partitionBy("doc_id").orderBy("pos")
+    at = F.coalesce(F.sum(F.char_length("text")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kind = F.when(F.trim("instr") == "ADDIN EN.CITE", "A").when(F.trim("instr") == "ADDIN EN.CITE.DATA", "B")
+    placed = runs.select("doc_id", "pos", "text", "instr", "fld_data", at.alias("at"), kind.alias("kind"))
     blob = F.when(F.col("fld_data").isNotNull(), F.struct("pos", "at", "fld_data"))
-    nxt = F.first(blob, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    held = placed.withColumn("b", nxt).where((F.trim("instr") == "ADDIN EN.CITE") & (F.col("b.at") - F.col("at") <= ahead)).withColumn("payload", decoded(F.col("b.fld_data")))
-    clean = F.regexp_replace("payload", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    escaped = F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return held.where("payload is not null").select("doc_id", "pos", F.col("b.pos").alias("blob_pos"), F.concat(F.lit(" ADDIN EN.CITE "), escaped).alias("instr"))
+    seen = placed.withColumns({"next": F.first(blob, ignorenulls=True).over(doc.rowsBetween(1, Window.unboundedFollowing)), "last": F.last(blob, ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, -1))}).where("kind is not null")
+    first = lambda df, c: df.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "kind", f"{c}.pos").orderBy("pos"))).where("rn = 1")
+    part = lambda df, c, name: df.select("doc_id", "pos", name.alias("pattern"), F.col(f"{c}.pos").alias("blob_pos"), decoded(F.col(f"{c}.fld_data")).alias("payload")).where("payload is not null")
+    ahead_of = part(first(seen.where(F.col("next.at") - F.col("at") <= ahead), "next"), "next", F.col("kind"))
+    left = seen.where("kind = 'B'").join(ahead_of.where("pattern = 'B'").select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
+    behind_of = part(first(left.where(F.col("at") - F.col("last.at") <= behind), "last"), "last", F.lit("B-reverse")).where(F.contains("payload", F.lit("<EndNote>")))
+    found = ahead_of.union(behind_of)
+    records = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"<RecNum>(\d+)</RecNum>"), F.lit(1)))
+    shown = runs.where("instr is not null").select("doc_id", records("instr").alias("rec")).union(found.select("doc_id", records("payload").alias("rec"))).distinct()
+    blobs = runs.where("fld_data is not null").select("doc_id", "pos", decoded(F.col("fld_data")).alias("payload")).where(F.contains("payload", F.lit("<EndNote>")))
+    held = blobs.select("doc_id", "pos", records("payload").alias("rec")).groupBy("doc_id", "rec").agg(F.min("pos").alias("pos")).join(shown, ["doc_id", "rec"], "left_anti").select("doc_id", "pos").distinct()
+    hidden = blobs.join(held, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", F.lit("C").alias("pattern"), F.col("pos").alias("blob_pos"), "payload")
+    return found.union(hidden).select("doc_id", "pos", "pattern", "blob_pos", _instruction(F.col("payload")).alias("instr"))
 
 
 def insert_separators(runs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.operators import fields as op
-from refweave.plans.kit import CITATIONS, Plans, citations
+from refweave.plans.kit import CITATIONS, Plans, citations, table
 
 P = Plans()
 
@@ -16,7 +16,7 @@ _COLUMNS = {
     "para_idx": "group_order", "n_begin": "CASE WHEN rec_id % 3 = 0 THEN 1 ELSE 0 END", "n_sep": "CASE WHEN supp % 2 = 0 THEN 1 ELSE 0 END", "n_end": "CASE WHEN rec_id % 3 = 1 THEN 1 ELSE 0 END",
     "text": f"CASE rec_id % 4 WHEN 0 THEN {_S('supp % 40')} WHEN 1 THEN ', ' WHEN 2 THEN author || '; by ' || cited_year || '. So it is: yes' ELSE {_S('supp % 9')} END",
     "instr": "CASE supp % 6 WHEN 0 THEN ' ADDIN EN.CITE ' WHEN 1 THEN ' ADDIN EN.CITE.DATA ' WHEN 2 THEN ' ADDIN EN.CITE <RecNum>' || recnum || '</RecNum>' END",
-    "vert_align": "CASE WHEN supp % 2 = 0 THEN 'superscript' END", "tracked": "CASE supp % 5 WHEN 0 THEN 'del' WHEN 1 THEN 'ins' ELSE 'none' END",
+    "vert_align": "CASE WHEN supp % 2 = 0 THEN 'superscript' END", "style": "CASE supp % 3 WHEN 0 THEN 'citsup' WHEN 1 THEN 'crossref' END", "xml_id": "rec_id % 12", "note_ref": "CASE WHEN supp % 8 = 0 THEN supp END", "comment_mark": "CASE WHEN supp % 7 = 0 THEN 'commentReference' END", "tracked": "CASE supp % 5 WHEN 0 THEN 'del' WHEN 1 THEN 'ins' ELSE 'none' END",
 }
 _BLOB_WHEN = "supp % 4 = 3"
 
@@ -59,6 +59,20 @@ def number_run_groups(spark: SparkSession, sf: str) -> DataFrame:
     return op.run_groups(_runs(spark, sf))
 
 
+def _variant(number: str, separators: str) -> str:
+    return rf"""SELECT doc_id, min(pos) AS first_run, max(pos) AS last_run, string_agg(trim(text), ',' ORDER BY pos) AS numbers FROM (SELECT *, sum((NOT num AND NOT sep)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM
+ (SELECT *, regexp_matches(text, '^\s*\d+\s*$') AND coalesce({number}, false) AS num, regexp_matches(text, '^{separators}$') AS sep FROM cued)) WHERE num GROUP BY doc_id, island"""
+
+
+@P.add(rf"""{_CTE}, cued AS (SELECT *, coalesce(bool_or(regexp_matches(text, '\b(?:References?|See)\b')) OVER (PARTITION BY doc_id, para_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS cue FROM (SELECT * REPLACE (CASE WHEN style IS NULL AND supp9 THEN 'See also ' || text ELSE text END AS text) FROM (SELECT *, length(recnum) % 3 = 0 AS supp9 FROM runs)))
+SELECT 'style' AS variant, * FROM ({_variant("style = 'citsup'", r"\s*[,;]\s*")}) UNION ALL SELECT 'superscript', * FROM ({_variant("vert_align = 'superscript'", r"[\s,;–-]+")}) UNION ALL SELECT 'cue', * FROM ({_variant("style = 'crossref' OR cue", r"[\s,;–-]+")})""")
+def number_run_group_variants(spark: SparkSession, sf: str) -> DataFrame:
+    runs = _runs(spark, sf).withColumn("text", F.expr("CASE WHEN style IS NULL AND length(recnum) % 3 = 0 THEN 'See also ' || text ELSE text END"))
+    found = {"style": op.styled_groups(runs), "superscript": op.superscript_groups(runs), "cue": op.cued_groups(runs)}
+    one, two, three = (df.select(F.lit(k).alias("variant"), "*") for k, df in found.items())
+    return one.union(two).union(three)
+
+
 @P.add(f"""WITH {CITATIONS}, m AS (SELECT doc_id, pos, rec_id % 12 AS id FROM citations), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) > 1 AS again, max(id) OVER (PARTITION BY doc_id) AS top FROM m)
 SELECT doc_id, pos, id AS old, CASE WHEN again THEN top + sum(again::INT) OVER (PARTITION BY doc_id ORDER BY pos) ELSE id END AS new FROM a""")
 def dedupe_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,9 +98,17 @@ health AS (SELECT doc_id, count(*) FILTER (contains(instr, 'EN.CITE')) AS total_
   len(list_filter(list(DISTINCT b), lambda y: y IS NOT NULL AND NOT coalesce(list_contains(list(DISTINCT v), y), false)))::INT AS hidden_refs, sum(n_begin)::BIGINT AS begins, sum(n_sep)::BIGINT AS seps, sum(n_end)::BIGINT AS ends, count(*) FILTER (tracked <> 'none') AS tracked_runs FROM x GROUP BY doc_id)"""
 
 
-@P.add(f"{_CTE}, {_HEALTH} SELECT * FROM health")
+def _damage_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Bibliography entries of the damaged documents, by number."""
+    return citations(spark, sf).where("flag <> 'R'").select("doc_id", (F.col("supp") % 40).alias("num"))
+
+
+@P.add(rf"""{_CTE}, {_HEALTH}, ent AS (SELECT DISTINCT doc_id, supp % 40 AS num FROM citations WHERE flag <> 'R'), sup AS (SELECT DISTINCT doc_id, p::BIGINT AS num FROM (SELECT doc_id, regexp_replace(unnest(string_split_regex(trim(text), '[,;\s]+')), '\.+$', '') AS p FROM runs WHERE vert_align = 'superscript') WHERE regexp_matches(p, '^\d+$')),
+tr AS (SELECT doc_id, count(*) FILTER (tracked = 'ins') AS ins_count, count(*) FILTER (tracked = 'del') AS del_count, count(DISTINCT note_ref) AS note_refs, count(comment_mark) AS comment_marks FROM runs GROUP BY doc_id), du AS (SELECT doc_id, count(*) AS dup_ids FROM (SELECT doc_id, xml_id FROM runs GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id)
+SELECT health.*, ins_count, del_count, note_refs, comment_marks, coalesce(dup_ids, 0) AS dup_ids, (SELECT count(*) FROM sup WHERE sup.doc_id = health.doc_id) AS cited_count, (SELECT count(*) FROM ent WHERE ent.doc_id = health.doc_id) AS bib_count,
+ (SELECT count(*) FROM ent WHERE ent.doc_id = health.doc_id AND NOT EXISTS (SELECT 1 FROM sup WHERE sup.doc_id = ent.doc_id AND sup.num = ent.num)) AS lost_in_merge, begins = seps AND seps = ends AS balanced FROM health JOIN tr USING (doc_id) LEFT JOIN du USING (doc_id)""")
 def merge_damage(spark: SparkSession, sf: str) -> DataFrame:
-    return op.health_counts(_runs(spark, sf))
+    return op.merge_damage(_runs(spark, sf), _damage_entries(spark, sf))
 
 
 @P.add(f"{_CTE}, {_HEALTH} SELECT doc_id, total_fields, total_fields - data_fields - empty_fields AS working, empty_fields, blobs, visible_refs, hidden_refs FROM health")
@@ -94,25 +116,35 @@ def citation_health_counts(spark: SparkSession, sf: str) -> DataFrame:
     return op.health_counts(_runs(spark, sf)).select("doc_id", "total_fields", (F.col("total_fields") - F.col("data_fields") - F.col("empty_fields")).alias("working"), "empty_fields", "blobs", "visible_refs", "hidden_refs")
 
 
-@P.add(f"""{_CTE}, {_DEPTH}, {_ORPHANS}, {_HEALTH}, bf AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM runs),
+@P.add(f"""{_CTE}, {_DEPTH}, {_ORPHANS}, {_HEALTH}, comment_docs AS (SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'F'), bf AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM runs),
 z AS (SELECT h.*, coalesce((SELECT count(*) FROM orphans o WHERE o.doc_id = h.doc_id), 0) AS orphans, coalesce((SELECT count(*) FROM bf WHERE bf.doc_id = h.doc_id AND ends_with(prev, '3') AND starts_with(text, '4')), 0) AS garbled,
- coalesce((SELECT count(*) FROM (SELECT recnum FROM runs r WHERE r.doc_id = h.doc_id GROUP BY recnum HAVING count(*) > 1)), 0) AS dup_ids FROM health h),
+ coalesce((SELECT count(*) FROM (SELECT xml_id FROM runs r WHERE r.doc_id = h.doc_id GROUP BY xml_id HAVING count(*) > 1)), 0) AS dup_ids, CASE WHEN EXISTS (SELECT 1 FROM comment_docs c WHERE c.doc_id = h.doc_id) THEN 0 ELSE (SELECT count(comment_mark) FROM runs r WHERE r.doc_id = h.doc_id) END AS orphan_comments FROM health h),
 i AS (SELECT doc_id, 'broken_fields' AS issue_id, 'error' AS severity, empty_fields + data_fields AS n, true AS fixable FROM z UNION ALL SELECT doc_id, 'hidden_refs', 'error', hidden_refs, true FROM z UNION ALL SELECT doc_id, 'orphan_superscripts', 'warning', orphans, true FROM z
- UNION ALL SELECT doc_id, 'garbled_figs', 'warning', garbled, true FROM z UNION ALL SELECT doc_id, 'dup_ids', 'error', dup_ids, true FROM z UNION ALL SELECT doc_id, 'unbalanced_fields', 'error', CASE WHEN begins <> ends OR begins <> seps THEN greatest(1, abs(begins - ends)) ELSE 0 END, false FROM z)
+ UNION ALL SELECT doc_id, 'garbled_figs', 'warning', garbled, true FROM z UNION ALL SELECT doc_id, 'dup_ids', 'error', dup_ids, true FROM z UNION ALL SELECT doc_id, 'orphan_comments', 'warning', orphan_comments, true FROM z UNION ALL SELECT doc_id, 'unbalanced_fields', 'error', CASE WHEN begins <> ends OR begins <> seps THEN greatest(1, abs(begins - ends)) ELSE 0 END, false FROM z)
 SELECT doc_id, issue_id, severity, n::BIGINT AS n, fixable FROM i WHERE n > 0""")
 def health_check(spark: SparkSession, sf: str) -> DataFrame:
     runs = _runs(spark, sf)
     per = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    dup = runs.groupBy("doc_id", "recnum").count().where("count > 1")
-    counts = op.health_counts(runs).join(per(op.orphan_numbers(runs), "orphans"), "doc_id", "left").join(per(op.concatenated_numbers(runs, [("3", "4")]), "garbled"), "doc_id", "left").join(per(dup, "dup_ids"), "doc_id", "left")
-    return op.health_issues(counts.fillna(0).withColumn("orphan_comments", F.lit(0)))
+    dup = runs.groupBy("doc_id", "xml_id").count().where("count > 1")
+    comment_docs = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))  # documents that have a comment part
+    comments = op.orphan_comments(runs.where("comment_mark is not null").select("doc_id"), comment_docs)
+    counts = op.health_counts(runs).join(per(op.orphan_numbers(runs), "orphans"), "doc_id", "left").join(per(op.concatenated_numbers(runs, [("3", "4")]), "garbled"), "doc_id", "left").join(per(dup, "dup_ids"), "doc_id", "left").join(comments, "doc_id", "left")
+    return op.health_issues(counts.fillna(0))
+
+
+_ESCAPED = "' ADDIN EN.CITE ' || replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')".format
+_REC = r"regexp_extract_all({}, '<RecNum>(\d+)</RecNum>', 1)".format
 
 
-@P.add(f"""{_CTE}, a AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM runs),
-n AS (SELECT e.doc_id, e.pos, b.pos AS blob_pos, b.at_ - e.at_ AS gap, b.blob_text, row_number() OVER (PARTITION BY e.doc_id, e.pos ORDER BY b.pos) AS rn FROM a e JOIN a b ON e.doc_id = b.doc_id AND b.pos > e.pos AND b.fld_data IS NOT NULL WHERE trim(e.instr) = 'ADDIN EN.CITE')
-SELECT doc_id, pos, blob_pos, ' ADDIN EN.CITE ' || replace(replace(replace(blob_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS instr FROM n WHERE rn = 1 AND gap <= 40""")
+@P.add(f"""{_CTE}, a AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, CASE trim(instr) WHEN 'ADDIN EN.CITE' THEN 'A' WHEN 'ADDIN EN.CITE.DATA' THEN 'B' END AS kind FROM runs),
+w AS (SELECT e.doc_id, e.pos, e.kind, e.at_, (SELECT min(b.pos) FROM a b WHERE b.doc_id = e.doc_id AND b.pos > e.pos AND b.fld_data IS NOT NULL) AS np, (SELECT max(b.pos) FROM a b WHERE b.doc_id = e.doc_id AND b.pos < e.pos AND b.fld_data IS NOT NULL) AS lp FROM a e WHERE kind IS NOT NULL),
+ah AS (SELECT w.doc_id, w.pos, w.kind AS pattern, np AS blob_pos, b.blob_text AS payload FROM w JOIN a b ON b.doc_id = w.doc_id AND b.pos = np WHERE b.at_ - w.at_ <= 2000 QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.kind, np ORDER BY w.pos) = 1),
+bh AS (SELECT w.doc_id, w.pos, 'B-reverse' AS pattern, lp AS blob_pos, b.blob_text AS payload FROM w JOIN a b ON b.doc_id = w.doc_id AND b.pos = lp WHERE w.kind = 'B' AND w.at_ - b.at_ <= 500 AND NOT EXISTS (SELECT 1 FROM ah WHERE ah.doc_id = w.doc_id AND ah.pos = w.pos AND pattern = 'B') QUALIFY row_number() OVER (PARTITION BY w.doc_id, lp ORDER BY w.pos) = 1),
+f AS (SELECT * FROM ah UNION ALL SELECT * FROM bh), shown AS (SELECT doc_id, unnest({_REC('instr')}) AS rec FROM runs WHERE instr IS NOT NULL UNION SELECT doc_id, unnest({_REC('payload')}) FROM f),
+c AS (SELECT doc_id, rec, min(pos) AS pos FROM (SELECT doc_id, pos, unnest({_REC('blob_text')}) AS rec FROM runs WHERE blob_text IS NOT NULL) GROUP BY doc_id, rec), cc AS (SELECT DISTINCT doc_id, pos FROM c WHERE NOT EXISTS (SELECT 1 FROM shown WHERE shown.doc_id = c.doc_id AND shown.rec = c.rec))
+SELECT doc_id, pos, pattern, blob_pos, {_ESCAPED('payload')} AS instr FROM f UNION ALL SELECT doc_id, pos, 'C', pos, {_ESCAPED('blob_text')} FROM cc JOIN runs USING (doc_id, pos)""")
 def restore_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return op.restore_fields(_runs(spark, sf), 40)
+    return op.restore_fields(_runs(spark, sf))
 
 
 @P.add(f"{_CTE}, {_DEPTH} SELECT doc_id, min(pos) + 0.5::DOUBLE AS pos, 'separate' AS kind FROM k WHERE depth > 0 OR before > 0 GROUP BY doc_id, block_idx HAVING sum(n_sep) = 0")

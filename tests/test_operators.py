@@ -50,6 +50,17 @@ def test_empty_field_takes_the_later_blob(spark):
     assert len(got) == 1 and "&lt;RecNum&gt;42&lt;/RecNum&gt;" in got[0]["instr"]
 
 
+def test_fields_are_restored_by_every_pattern(spark):
+    blob = lambda *recs: base64.b64encode(("<EndNote>" + "".join(f"<Cite><RecNum>{r}</RecNum></Cite>" for r in recs) + "</EndNote>").encode()).decode()
+    a, b = " ADDIN EN.CITE ", " ADDIN EN.CITE.DATA "
+    data = [
+        (1, 1, "x", a, None), (1, 2, "x", a, None), (1, 3, "x", None, blob(1)), (1, 4, "x", b, None), (1, 5, "x" * 3000, None, None),  # the first empty field takes the blob; the data field has only the one before it
+        (1, 6, "x", b, None), (1, 7, "x", None, blob(2)), (1, 8, "x", None, blob(3, 4)), (1, 9, "x", None, blob(4)), (1, 10, "x", " ADDIN EN.CITE <RecNum>9</RecNum>", None), (1, 11, "x", None, blob(9)),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, pos int, text string, instr string, fld_data string")
+    assert sorted((r["pos"], r["pattern"], r["blob_pos"]) for r in fields.restore_fields(df).collect()) == [(1, "A", 3), (4, "B-reverse", 3), (6, "B", 7), (8, "C", 8)]
+
+
 def test_orphan_superscripts_beside_a_field(spark):
     run = lambda pos, b, e, t, instr, v: (1, pos, 1, b, 0, e, t, instr, v)
     df = spark.createDataFrame([run(1, 1, 0, "", None, None), run(2, 0, 0, "5", " ADDIN EN.CITE <RecNum>5</RecNum>", None), run(3, 0, 1, "", None, None), run(4, 0, 0, "5, 6", None, "superscript"), run(5, 0, 0, "7", None, None)], "doc_id long, pos int, para_idx int, n_begin int, n_sep int, n_end int, text string, instr string, vert_align string")
