@@ -66,3 +66,17 @@ def signature(text: Column) -> Column:
 def terms(text: Column, least: int = 4) -> Column:
     """Distinct lower-case runs of letters that are long enough."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[a-z]{{{least},}}"), F.lit(0)))
+
+
+#: Words that say nothing of a topic.
+STOP_WORDS = (
+    "the a an of and or to in for with on at by from is are was were be as that this "
+    "these those it its their his her not no can may might also been being have has had "
+    "which who whom into than then thus such between among during after before over under "
+    "but if when while where each per due via about within without"
+).split()
+
+
+def topic_terms(text: Column) -> Column:
+    """Terms of four letters or more that aren't stop words."""
+    return F.array_except(terms(text), F.array(*map(F.lit, STOP_WORDS)))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refweave.functions import text as tx
+from refweave.functions.similarity import seq_ratio
+from refweave.sources.staging import staged
 
 
 def deletions(word: Column, most: int) -> Column:
@@ -40,56 +42,97 @@ def _keys(word: Column, prefix: int, edits: int, own: str, other: str) -> Column
     return F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring(word, 1, prefix))), F.transform(deletions(word, edits), lambda v: F.concat(F.lit("d:"), v)), short, shorter))
 
 
-def name_pairs(refs: DataFrame, library: DataFrame, prefix: int, like: float, edits: int) -> DataFrame:
+def name_pairs(refs: DataFrame, library: DataFrame, prefix: int, like: float, edits: int, similarity: str = "edits") -> DataFrame:
     """sl, ll, ratio, starts of distinct names that are alike or of which one begins with the other's prefix. Pairs are made of names, not of rows."""
     a = refs.select("sl").where("sl <> ''").distinct().select("sl", F.explode(_keys(F.col("sl"), prefix, edits, "s:", "t:")).alias("key"))
     b = library.select("ll").where("ll <> ''").distinct().select("ll", F.explode(_keys(F.col("ll"), prefix, edits, "t:", "s:")).alias("key"))
     starts = F.startswith("ll", F.substring("sl", 1, prefix)) | F.startswith("sl", F.substring("ll", 1, prefix))
-    pairs = a.join(b, "key").select("sl", "ll").distinct().select("sl", "ll", likeness(F.col("sl"), F.col("ll")).alias("ratio"), starts.alias("starts"))
+    pairs = a.join(b, "key").select("sl", "ll").distinct().select("sl", "ll", (seq_ratio if similarity == "sequence" else likeness)(F.col("sl"), F.col("ll")).alias("ratio"), starts.alias("starts"))
     return pairs.where((F.col("ratio") >= like) | F.col("starts"))
 
 
-def match_library(refs: DataFrame, library: DataFrame, like: float = 0.85, far_like: float = 0.8, edits: int = 2) -> DataFrame:
-    """ref_id, rec_id, score, match_kind (exact, near, ambiguous, none). refs: ref_id, surname, year, hint; library: rec_id, surname, year, title, journal, volume.
+def content_score(hint: Column, title: Column, journal: Column, volume: Column, pages: Column, authors: Column | None = None) -> Column:
+    """Words of title and journal found in the hint, 0.6 for each author's, and 0.5 for each of its numbers that is the volume or a page, at most two of them."""
+    found, numbers = tx.terms(hint), F.regexp_extract_all(hint, F.lit(r"\d+"), F.lit(0))
+    over = lambda c: F.size(F.array_intersect(tx.terms(F.coalesce(c, F.lit(""))), found)).cast("double")
+    hits = F.coalesce(F.array_contains(numbers, volume).cast("int"), F.lit(0)) + F.size(F.filter(F.regexp_extract_all(F.coalesce(pages, F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda p: F.array_contains(numbers, p)))
+    score = over(title) + over(journal) + 0.5 * F.least(hits, F.lit(2))
+    return score if authors is None else score + 0.6 * over(F.array_join(authors, " "))
 
-    Candidates have the same year and a surname alike (within `edits` edits) or sharing a prefix of 4. One is exact; of several, title, journal and
-    volume words found in the hint decide. Without candidates, the whole library is searched for a like surname or a shared prefix of 5.
-    Words of up to `edits` / (1 - like) letters are compared completely.
+
+def best_two(pairs: DataFrame, key: str) -> DataFrame:
+    """key, n (its candidates), top (score and rec_id of the best; the least id on ties), second (the next best's score), first (the least rec_id). pairs: key, rec_id, score. Only two rows of a key leave each task before they are shuffled."""
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "rec_id")
+    ranked = pairs.withColumn("rn", F.row_number().over(order)).where("rn <= 2").groupBy(key).agg(F.max(F.when(F.col("rn") == 1, F.struct("score", "rec_id"))).alias("top"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"))
+    return ranked.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("first")), key)
+
+
+def _decided() -> Column:
+    top, second = F.col("top.score"), F.col("second")
+    return F.when(F.col("n") == 1, "exact").when((top >= 2.0) & (top - second >= 1.5), "exact").when((top >= 1.0) & (top > second), "near").otherwise("ambiguous")
+
+
+def match_library(refs: DataFrame, library: DataFrame, like: float = 0.85, far_like: float = 0.8, edits: int = 2, similarity: str = "edits") -> DataFrame:
+    """ref_id, rec_id, score, match_kind (exact, near, ambiguous, none). refs: ref_id, surname, year, hint; library: rec_id, surname, year, title, journal, volume, pages, authors.
+
+    Candidates have the same year and a surname alike (within `edits` edits) or sharing a prefix of 4. One is exact; of several, what the hint holds of title, journal, authors,
+    volume and pages decides. Without candidates, the whole library is searched for a like surname or a shared prefix of 5.
+    Words of up to `edits` / (1 - like) letters are compared completely; with similarity="sequence", names that meet so are compared by the matching-blocks ratio.
+    References that say the same are matched once.
     """
-    r = refs.withColumn("sl", F.lower("surname"))
+    r = staged(refs.select("ref_id", F.lower(F.coalesce("surname", F.lit(""))).alias("sl"), F.coalesce("year", F.lit("")).alias("year"), F.coalesce("hint", F.lit("")).alias("hint")).withColumn("ident", F.xxhash64("sl", "year", "hint")), "refs")
+    says = r.select("ident", "sl", "year", "hint").dropDuplicates(["ident"])
     lib = library.withColumn("ll", F.lower("surname"))
-    recs = lib.select(F.col("ll"), F.col("year").alias("ly"), "rec_id", F.col("title").alias("lt"), F.col("journal").alias("lj"), F.col("volume").alias("lv"))
-    named = r.where("year <> ''").join(name_pairs(r, lib, 4, like, edits).select("sl", "ll"), "sl")
-    pairs = named.join(recs, (named["ll"] == recs["ll"]) & (F.col("year") == F.col("ly"))).select("ref_id", "hint", "rec_id", "lt", "lj", "lv")
-    hint = tx.terms(F.col("hint"))
-    numbers = F.regexp_extract_all("hint", F.lit(r"\d+"), F.lit(0))
-    score = F.size(F.array_intersect(tx.terms(F.col("lt")), hint)) + F.size(F.array_intersect(tx.terms(F.col("lj")), hint)) + F.when(F.array_contains(numbers, F.col("lv")), 0.5).otherwise(0.0)
-    ranked = pairs.withColumn("score", score.cast("double")).groupBy("ref_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rec_id"))).alias("c"), F.min("rec_id").alias("first"))
-    top, second = -F.col("c")[0]["s"], -F.try_element_at("c", F.lit(2))["s"]
-    kind = F.when(F.size("c") == 1, "exact").when((top >= 2.0) & (top - second >= 1.5), "exact").when((top >= 1.0) & (top > second), "near").otherwise("ambiguous")
-    near = ranked.withColumn("match_kind", kind).select("ref_id", F.when(F.col("match_kind") == "ambiguous", F.col("first")).otherwise(F.col("c")[0]["rec_id"]).alias("rec_id"), F.when(F.size("c") == 1, 1.0).when(F.col("match_kind") == "ambiguous", 0.0).otherwise(top).alias("score"), "match_kind")
-    rest = r.join(near.select("ref_id"), "ref_id", "left_anti").where("sl <> ''")
+    recs = lib.select("ll", F.col("year").alias("ly"), "rec_id", "title", "journal", "volume", "pages", "authors")
+    named = says.where("year <> ''").join(name_pairs(r, lib, 4, like, edits, similarity).select("sl", "ll"), "sl")
+    pairs = named.join(recs, (named["ll"] == recs["ll"]) & (F.col("year") == F.col("ly")))
+    scored = staged(pairs.select("ident", "rec_id", content_score(F.col("hint"), F.col("title"), F.col("journal"), F.col("volume"), F.col("pages"), F.col("authors")).alias("score")), "ref-candidates")
+    kinds = best_two(scored, "ident").withColumn("match_kind", _decided())
+    unclear = F.col("match_kind") == "ambiguous"
+    near = kinds.select("ident", F.when(unclear, F.col("first")).otherwise(F.col("top.rec_id")).alias("rec_id"), F.when(F.col("n") == 1, 1.0).when(unclear, 0.0).otherwise(F.col("top.score")).alias("score"), "match_kind")
+    rest = says.where("sl <> ''").join(scored.select("ident").distinct(), "ident", "left_anti")
     first = lib.groupBy("ll").agg(F.min("rec_id").alias("rec_id"))
     starts = F.substring("sl", 1, 5) == F.substring("ll", 1, 5)
-    close = name_pairs(rest, lib, 5, far_like, edits).where((F.col("ratio") >= far_like) | starts).join(first, "ll")
+    close = name_pairs(rest, lib, 5, far_like, edits, similarity).where((F.col("ratio") >= far_like) | starts).join(first, "ll")
     value = F.col("ratio") + F.when(starts, 0.2).otherwise(0.0) + 0.2 + F.when(F.contains(F.lower("hint"), F.substring("ll", 1, 4)), 0.3).otherwise(0.0)
-    far = rest.join(close, "sl").select("ref_id", "rec_id", value.alias("score"))
-    best = far.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "rec_id")).alias("b")).where(F.col("b.s") <= -0.9).select("ref_id", "b.rec_id", (-F.col("b.s")).alias("score"), F.lit("near").alias("match_kind"))
-    found = near.unionByName(best)
-    none = refs.join(found.select("ref_id"), "ref_id", "left_anti").select("ref_id", F.lit(None).cast("long").alias("rec_id"), F.lit(0.0).alias("score"), F.lit("none").alias("match_kind"))
-    return found.unionByName(none)
+    far = rest.join(close, "sl").select("ident", "rec_id", value.alias("score"))
+    best = far.groupBy("ident").agg(F.min(F.struct((-F.col("score")).alias("s"), "rec_id")).alias("b")).where(F.col("b.s") <= -0.9).select("ident", "b.rec_id", (-F.col("b.s")).alias("score"), F.lit("near").alias("match_kind"))
+    return r.select("ref_id", "ident").join(near.unionByName(best), "ident", "left").select("ref_id", "rec_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("match_kind", F.lit("none")).alias("match_kind"))
 
 
 def resolve_cited(identities: DataFrame, records: DataFrame) -> DataFrame:
-    """identity (ident, surname, year, hint) to embedded record by overlap: exact, near or ambiguous (the top-scored, the first on ties), or none."""
-    j = identities.join(records.select("rec_id", F.col("surname").alias("rs"), F.col("year").alias("ry"), "title", "journal"), (F.col("surname") == F.col("rs")) & (F.col("year") == F.col("ry")))
-    hint = tx.terms(F.col("hint"))
-    score = F.size(F.array_intersect(tx.terms(F.col("title")), hint)) + F.size(F.array_intersect(tx.terms(F.col("journal")), hint))
-    c = j.select("ident", "rec_id", score.alias("score")).groupBy("ident").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "rec_id"))).alias("c"))
-    top, second = -F.col("c")[0]["s"], -F.try_element_at("c", F.lit(2))["s"]
-    kind = F.when(F.size("c") == 1, "exact").when((top >= 2) & (top - second >= 1.5), "exact").when((top >= 1) & (top > second), "near").otherwise("ambiguous")
-    out = c.select("ident", F.col("c")[0]["rec_id"].alias("rec_id"), top.cast("long").alias("score"), kind.alias("match_kind"))
-    return identities.select("ident").join(out, "ident", "left").fillna({"match_kind": "none"})
+    """identity (ident, surname, year, hint) to embedded record (rec_id, surname, year, title, journal, volume, pages): exact, near or ambiguous (the top-scored, the first on ties), or none."""
+    said = identities.select("ident", "surname", "year", "hint", F.xxhash64("surname", "year", "hint").alias("says"))
+    j = said.select("says", "surname", "year", "hint").dropDuplicates(["says"]).join(records.select("rec_id", "surname", "year", "title", "journal", "volume", "pages").dropDuplicates(["surname", "year", "rec_id"]), ["surname", "year"])
+    scored = j.select("says", "rec_id", content_score(F.col("hint"), F.col("title"), F.col("journal"), F.col("volume"), F.col("pages")).alias("score"))
+    out = best_two(staged(scored, "cited-candidates"), "says").select("says", F.col("top.rec_id").alias("rec_id"), F.col("top.score").alias("score"), _decided().alias("match_kind"))
+    return said.select("ident", "says").join(out, "says", "left").drop("says").fillna({"match_kind": "none"})
+
+
+def relink(groups: DataFrame, bibliography: DataFrame, source_groups: DataFrame, records: DataFrame, construct: bool = True) -> DataFrame:
+    """doc_id, part, group_order, numbers, kind, verify for groups of citation numbers, part by part (body, notes).
+
+    groups: doc_id, part, group_order, k, num; bibliography: doc_id, num, surname, year, text; source_groups: doc_id, group_id, surname, year (what the intact version cites together);
+    records: doc_id, surname, year, rec_id, title, journal, volume, pages (embedded there). A group whose numbers are all known is exact if its identities are a source group's and none of them
+    has several records; else constructed if each has a record (verify: the numbers whose record stays ambiguous); the others become placeholders.
+    """
+    name = F.concat_ws("|", F.lower("surname"), "year").alias("ident")
+    bib = bibliography.select("doc_id", "num", name, "text")
+    held = groups.join(bib, ["doc_id", "num"], "left")
+    cited = records.select("doc_id", name, "rec_id", "title", "journal", "volume", "pages").dropDuplicates(["doc_id", "ident", "rec_id"])
+    several = cited.groupBy("doc_id", "ident").agg(F.count(F.lit(1)).alias("n_records"))
+    scored = held.where("ident is not null").select("doc_id", "num", "ident", "text").dropDuplicates(["doc_id", "num"]).join(cited, ["doc_id", "ident"]).select(F.struct("doc_id", "num").alias("key"), "rec_id", content_score(F.col("text"), F.col("title"), F.col("journal"), F.col("volume"), F.col("pages")).alias("score"))
+    resolved = best_two(scored, "key").select("key.doc_id", "key.num", _decided().alias("match_kind"))
+    sets = lambda df, *by: df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("ident")), ";").alias("idents"))
+    known_sets = sets(source_groups.select("doc_id", "group_id", name), "doc_id", "group_id").select("doc_id", "idents").distinct().withColumn("reused", F.lit(True))
+    full = held.join(several, ["doc_id", "ident"], "left").join(resolved, ["doc_id", "num"], "left")
+    by_place = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("k", "num")))), lambda x: x["num"].cast("string")), ",")
+    g = full.groupBy("doc_id", "part", "group_order").agg(
+        by_place(F.lit(True)).alias("numbers"), F.bool_and(F.col("ident").isNotNull()).alias("known"), F.bool_and(F.col("n_records").isNotNull()).alias("recorded"), F.bool_or(F.coalesce("n_records", F.lit(0)) > 1).alias("several"),
+        by_place(F.col("match_kind") == "ambiguous").alias("verify"), F.array_join(F.array_sort(F.collect_set("ident")), ";").alias("idents"),
+    ).join(known_sets, ["doc_id", "idents"], "left")
+    kind = F.when(F.col("known") & F.col("reused") & ~F.col("several"), "exact").when(F.lit(construct) & F.col("known") & F.col("recorded"), "constructed").otherwise("placeholder")
+    return g.withColumn("kind", kind).select("doc_id", "part", "group_order", "numbers", "kind", F.when(F.col("kind") == "constructed", F.col("verify")).otherwise("").alias("verify"))
 
 
 def group_reuse(targets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -106,21 +149,25 @@ def ngrams(text: Column) -> Column:
     return F.concat(w, pairs)
 
 
+def _vocabulary(docs: DataFrame, tf: DataFrame, size: int) -> DataFrame:
+    """term, idf of the `size` most frequent terms, ties by term."""
+    top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("cf").desc(), "term").limit(size)
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    return top.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def tfidf_weights(docs: DataFrame, vocabulary: int = 50_000) -> DataFrame:
     """id, term, w: sublinear term frequency times smooth idf, of unit length per text; the `vocabulary` most frequent terms (ties by term). docs: id, text."""
-    n = docs.count()
     tf = docs.select("id", F.explode(ngrams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("cf").desc(), "term").limit(vocabulary).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(terms, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    w = tf.join(_vocabulary(docs, tf, vocabulary), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
 
 
 def with_query_weights(queries: DataFrame, docs: DataFrame, vocabulary: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """Weights of queries and documents (both: id, text) in the vocabulary fitted on the documents."""
-    n = docs.count()
     count = lambda df: df.select("id", F.explode(ngrams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = count(docs)
-    terms = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("cf").desc(), "term").limit(vocabulary).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    terms = staged(_vocabulary(docs, tf, vocabulary), "vocabulary")
 
     def unit(t: DataFrame) -> DataFrame:
         w = t.join(terms, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
@@ -188,6 +235,21 @@ def match_paragraphs(new: DataFrame, old: DataFrame, least: int = 15) -> DataFra
     return out.withColumn("status", F.when(F.col("old_id").isNull(), "unmatched").otherwise("matched"))
 
 
+def restore_status(matched: DataFrame, new_cites: DataFrame, old_cites: DataFrame) -> DataFrame:
+    """para_id, old_id, status of new paragraphs matched to old ones: unmatched, already (it cites itself), restored (the old one cites), or plain (neither does). new_cites, old_cites: para_id of runs that cite."""
+    has = lambda df, c, flag: df.select(F.col("para_id").alias(c)).distinct().withColumn(flag, F.lit(True))
+    at = matched.select("para_id", "old_id").join(has(new_cites, "para_id", "mine"), "para_id", "left").join(has(old_cites, "old_id", "theirs"), "old_id", "left")
+    status = F.when(F.col("old_id").isNull(), "unmatched").when(F.col("mine"), "already").when(F.col("theirs"), "restored").otherwise("plain")
+    return at.select("para_id", "old_id", status.alias("status"))
+
+
+def copied_runs(statuses: DataFrame, new_runs: DataFrame, old_cites: DataFrame) -> DataFrame:
+    """para_id, run_idx, text: the old paragraphs' citing runs, in order after the last run of each restored paragraph that has one. new_runs: para_id, run_idx; old_cites: para_id, run_idx, text."""
+    last = new_runs.groupBy("para_id").agg(F.max("run_idx").alias("last"))
+    j = statuses.where("status = 'restored'").join(last, "para_id").join(old_cites.select(F.col("para_id").alias("old_id"), F.col("run_idx").alias("k"), "text"), "old_id")
+    return j.select("para_id", (F.col("last") + F.row_number().over(Window.partitionBy("para_id").orderBy("k"))).alias("run_idx"), "text")
+
+
 def section_lookup(markers: DataFrame, headings: DataFrame, bibliography: DataFrame) -> DataFrame:
     """As-of join: a marker's section is that of the last heading before it; its entry that section's, else the flat one. markers: doc_id, pos, num; headings: doc_id, pos, section; bibliography: doc_id, section, num, body ('' is the flat section)."""
     every = markers.select("doc_id", "pos", "num", F.lit(None).cast("string").alias("section"), F.lit(1).alias("is_marker")).unionByName(headings.select("doc_id", "pos", F.lit(None).cast("long").alias("num"), "section", F.lit(0).alias("is_marker")))
@@ -198,25 +260,49 @@ def section_lookup(markers: DataFrame, headings: DataFrame, bibliography: DataFr
     return at.join(own, ["doc_id", "section", "num"], "left").join(flat, ["doc_id", "num"], "left").select("doc_id", "pos", "num", "section", F.coalesce("own", "flat").alias("body"))
 
 
-def claim_containment(claims: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
-    """claim_id, text_id, shared, n: the share of a claim's k-word shingles that a text holds, for texts that hold one. claims: claim_id, text; texts: text_id, text."""
+def claim_containment(claims: DataFrame, texts: DataFrame, k: int = 5, within: tuple[str, ...] = ()) -> DataFrame:
+    """claim_id, text_id, shared, n: the share of a claim's k-word shingles that a text holds, for texts that hold one. claims: claim_id, text; texts: text_id, text; both with the columns `within` that must agree."""
+
     def shingles(df: DataFrame, key: str) -> DataFrame:
         w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-        s = df.select(key, w.alias("w")).where(F.size("w") >= k)
-        return s.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " "))))).alias("h"))
+        s = df.select(key, *within, w.alias("w")).where(F.size("w") >= k)
+        return s.select(key, *within, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " "))))).alias("h"))
 
     c = shingles(claims, "claim_id")
     n = c.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
-    hit = shingles(texts, "text_id").join(c, "h").groupBy("claim_id", "text_id").agg(F.count(F.lit(1)).alias("shared"))
+    hit = shingles(texts, "text_id").join(c, ["h", *within]).groupBy("claim_id", "text_id").agg(F.count(F.lit(1)).alias("shared"))
     return hit.join(n, "claim_id").select("claim_id", "text_id", "shared", "n", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
+def published_ratio(claims: DataFrame, texts: DataFrame, least: int = 25, extra: int = 40, k: int = 4) -> DataFrame:
+    """claim_id, ratio, text_id: the best matching-blocks ratio of each claim with a window of a text, for claims of `least` characters or more without digits; 0 and null without any.
+
+    Texts that share a k-word shingle with the claim are searched. A window is `extra` characters longer than the claim; windows start at every half of the claim's length (20 characters at least).
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    c = claims.select("claim_id", F.regexp_replace(plain("text"), r"\d+", "").alias("text"))
+    t = texts.select("text_id", plain("text").alias("text"))
+    pairs = claim_containment(c.where(F.char_length("text") >= least), t, k).select("claim_id", "text_id").join(c, "claim_id").join(t.withColumnRenamed("text", "published"), "text_id")
+    size = F.char_length("text")
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("published") - size, F.lit(1)), F.greatest(F.lit(20), F.floor(size / 2).cast("int")))
+    windows = pairs.select("claim_id", "text_id", "text", F.explode(F.transform(starts, lambda i: F.substring(F.col("published"), i, size + extra))).alias("window")).distinct()
+    best = windows.select("claim_id", "text_id", F.round(seq_ratio("text", "window"), 6).alias("ratio")).groupBy("claim_id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "text_id")).alias("b"))
+    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", F.coalesce(-F.col("b.r"), F.lit(0.0)).alias("ratio"), F.col("b.text_id").alias("text_id"))
+
+
 def reference_usage(references: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs that hold at least min(3, n) of a reference's first 5 title words of more than 5 characters, as tokens. references: ref_id, title; paragraphs: para_id, text."""
-    keys = references.select("ref_id", F.slice(F.array_distinct(F.filter(F.split(F.lower("title"), r"[^a-z0-9]+"), lambda w: F.char_length(w) > 5)), 1, 5).alias("ks")).where("size(ks) > 0")
-    need = keys.select("ref_id", F.least(F.lit(3), F.size("ks")).alias("need"), F.explode("ks").alias("w"))
-    tokens = paragraphs.select("para_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))).alias("w"))
-    return need.join(tokens, "w").groupBy("ref_id", "para_id").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("ref_id", "para_id", "n")
+    """Paragraphs that hold at least min(3, n) of a reference's first 5 title words of more than 5 characters, also as parts of longer words. references: ref_id, title; paragraphs: para_id, text.
+
+    Key words meet the distinct words of all paragraphs on six characters, and the paragraphs then meet those words.
+    """
+    split = lambda c: F.split(F.lower(c), r"[^a-z0-9]+")
+    keys = references.select("ref_id", F.slice(F.array_distinct(F.filter(split("title"), lambda w: F.char_length(w) > 5)), 1, 5).alias("ks")).where("size(ks) > 0")
+    need = keys.select("ref_id", F.least(F.lit(3), F.size("ks")).alias("need"), F.explode("ks").alias("key"))
+    tokens = paragraphs.select("para_id", F.explode(F.array_distinct(F.filter(split("text"), lambda w: F.char_length(w) > 5))).alias("w"))
+    grams = tokens.select("w").distinct().select("w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("w") - 5), lambda i: F.substring(F.col("w"), i, F.lit(6))))).alias("gram"))
+    holds = need.select("key").distinct().withColumn("gram", F.substring("key", 1, 6)).join(grams, "gram").where(F.contains("w", F.col("key"))).select("key", "w")
+    found = tokens.join(holds, "w").select("para_id", "key").distinct()
+    return need.join(found, "key").groupBy("ref_id", "para_id").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("ref_id", "para_id", "n")
 
 
 def naming_xref(captions: DataFrame, sheet: DataFrame) -> DataFrame:
@@ -242,12 +328,18 @@ def catalog_lookup(references: DataFrame, first: DataFrame, second: DataFrame, k
 
 
 def topical(claims: DataFrame) -> DataFrame:
-    """Share of a claim's terms (4 letters or more) found in each reference's title, the greatest over its references. claims: claim_id, claim, titles."""
-    mine = tx.terms(F.col("claim"))
+    """Share of a claim's terms (4 letters or more, no stop words) found in each reference's title and keywords, the greatest over its references. claims: claim_id, claim, titles."""
+    mine = tx.topic_terms(F.col("claim"))
     share = F.array_max(F.transform("titles", lambda t: F.size(F.array_intersect(mine, tx.terms(t))) / F.greatest(F.size(mine), F.lit(1))))
     return claims.select("claim_id", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("topical"))
 
 
+def abstract_share(claims: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """claim_id, c: the share of a claim's terms that the abstract of its first reference holds. claims: claim_id, claim, rec_id; abstracts: rec_id, abstract. Claims without an abstract are left out."""
+    mine = tx.topic_terms(F.col("claim"))
+    return claims.join(abstracts, "rec_id").select("claim_id", F.round(F.size(F.array_intersect(mine, tx.terms(F.col("abstract")))) / F.greatest(F.size(mine), F.lit(1)), 6).alias("c"))
+
+
 def verdicts(scores: DataFrame) -> DataFrame:
     """scores: claim_id, a (topical), b (published), c (abstract; null if not looked up)."""
     t, b = F.greatest("a", F.coalesce("c", F.lit(0.0))), F.coalesce("b", F.lit(0.0))
@@ -271,7 +363,7 @@ def context_words(rows: DataFrame, stops: list[str], before: int = 20, after: in
 
 def context_idf(bags: DataFrame) -> DataFrame:
     """word, idf over all windows. bags: doc_id, cite, word."""
-    n = bags.select("doc_id", "cite").distinct().count()
+    n = bags.select("doc_id", "cite").distinct().agg(F.count(F.lit(1))).scalar()
     return bags.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", "df", F.round(F.log((n + 1) / (F.col("df") + 0.5)) + 1, 6).alias("idf"))
 
 

@@ -14,39 +14,54 @@ from refweave.sources.staging import staged
 P = Plans()
 
 _TYPO = "CASE WHEN supp % 5 = 0 THEN substr(author, 1, 1) || substr(author, 3) WHEN supp % 7 = 0 THEN author || 'x' ELSE author END"
-_HINT = "title || ' ' || CAST(supp % 30 AS STRING)"
+_HINT = "title || ' ' || author || ' ' || CAST(supp % 30 AS STRING) || ', ' || CAST(rec_id + supp % 3 AS STRING)"
+#: Further columns of the library's records.
+_MORE = {"authors": "array(surname, CASE WHEN rec_id % 2 = 0 THEN 'standard' ELSE 'Promo, P.' END)", "pages": "CAST(rec_id AS STRING) || '-' || CAST(rec_id + 9 AS STRING)"}
+_LIB = "lib AS (SELECT *, [surname, CASE WHEN rec_id % 2 = 0 THEN 'standard' ELSE 'Promo, P.' END] AS authors, rec_id || '-' || (rec_id + 9) AS pages FROM library WHERE trash_state = 0)"
+
+
+def _lib(spark: SparkSession, sf: str) -> DataFrame:
+    return library(spark, sf).where("trash_state = 0").select("*", *[F.expr(e).alias(k) for k, e in _MORE.items()])
 
 
 def _refs(spark: SparkSession, sf: str) -> DataFrame:
-    c = citations(spark, sf).where("flag = 'R'")
-    return c.selectExpr("doc_id * 100 + pos AS ref_id", f"{_TYPO} AS surname", "CASE WHEN supp % 11 = 0 THEN '1899' ELSE cited_year END AS year", f"{_HINT} AS hint")
+    return citations(spark, sf).selectExpr("doc_id * 100 + pos AS ref_id", f"{_TYPO} AS surname", "CASE WHEN supp % 11 = 0 THEN '1899' ELSE cited_year END AS year", f"{_HINT} AS hint")
 
 
-_REFS = f"{BASE}, refs AS (SELECT doc_id * 100 + pos AS ref_id, {_TYPO} AS surname, CASE WHEN supp % 11 = 0 THEN '1899' ELSE cited_year END AS year, {_HINT} AS hint FROM citations WHERE flag = 'R')"
+_REFS = f"{BASE}, refs AS (SELECT doc_id * 100 + pos AS ref_id, {_TYPO} AS surname, CASE WHEN supp % 11 = 0 THEN '1899' ELSE cited_year END AS year, {_HINT} AS hint FROM citations)"
 _TERMS = "list_distinct(regexp_extract_all(lower({}), '[a-z]{{4,}}'))".format
 _OVER = lambda a, b: f"len(list_intersect({_TERMS(a)}, {_TERMS(b)}))"
 _LIKE = "(1.0 - levenshtein(lower(r.surname), lower(l.surname)) / greatest(length(r.surname), length(l.surname), 1)::DOUBLE)"
 
 
-@P.add(f"""{_REFS}, lib AS (SELECT * FROM library WHERE trash_state = 0), c AS (SELECT r.ref_id, l.rec_id, ({_OVER('l.title', 'r.hint')} + {_OVER('l.journal', 'r.hint')} + CASE WHEN list_contains(regexp_extract_all(r.hint, '\\d+'), l.volume) THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM refs r JOIN lib l ON r.year = l.year
- AND ({_LIKE} >= 0.85 OR starts_with(lower(l.surname), substr(lower(r.surname), 1, 4)) OR starts_with(lower(r.surname), substr(lower(l.surname), 1, 4)))),
-k AS (SELECT ref_id, count(*) AS n, min(rec_id) AS first, list(struct_pack(s := -score, rec_id := rec_id) ORDER BY -score, rec_id) AS cs FROM c GROUP BY ref_id),
-near AS (SELECT ref_id, CASE WHEN n = 1 THEN 'exact' WHEN -cs[1].s >= 2 AND cs[2].s - cs[1].s >= 1.5 THEN 'exact' WHEN -cs[1].s >= 1 AND cs[1].s < cs[2].s THEN 'near' ELSE 'ambiguous' END AS match_kind, n, first, cs FROM k),
-n2 AS (SELECT ref_id, CASE WHEN match_kind = 'ambiguous' THEN first ELSE cs[1].rec_id END AS rec_id, CASE WHEN n = 1 THEN 1.0 WHEN match_kind = 'ambiguous' THEN 0.0 ELSE -cs[1].s END::DOUBLE AS score, match_kind FROM near),
-names AS (SELECT DISTINCT lower(surname) AS surname FROM lib), rest AS (SELECT * FROM refs WHERE ref_id NOT IN (SELECT ref_id FROM near)),
-f AS (SELECT r.ref_id, l.surname AS lname, {_LIKE} + CASE WHEN substr(lower(r.surname), 1, 5) = substr(l.surname, 1, 5) THEN 0.2 ELSE 0 END + 0.2 + CASE WHEN contains(lower(r.hint), substr(l.surname, 1, 4)) THEN 0.3 ELSE 0 END AS score FROM rest r JOIN names l ON {_LIKE} >= 0.8 OR substr(lower(r.surname), 1, 5) = substr(l.surname, 1, 5)),
-g AS (SELECT f.ref_id, f.score, (SELECT min(rec_id) FROM lib WHERE lower(lib.surname) = f.lname) AS rec_id FROM f WHERE f.score >= 0.9), best AS (SELECT ref_id, arg_min(rec_id, struct_pack(a := -score, b := rec_id)) AS rec_id, max(score) AS score FROM g GROUP BY ref_id)
-SELECT * FROM n2 UNION ALL SELECT ref_id, rec_id, score, 'near' FROM best UNION ALL SELECT ref_id, NULL, 0.0, 'none' FROM rest WHERE ref_id NOT IN (SELECT ref_id FROM best)""")
+def _content(hint: str, rec: str, authors: bool) -> str:
+    numbers = f"regexp_extract_all({hint}, '\\d+')"
+    hits = f"(coalesce(list_contains({numbers}, {rec}.volume), false)::INT + len(list_filter(regexp_extract_all({rec}.pages, '\\d+'), lambda p: list_contains({numbers}, p))))"
+    over = f"{_OVER(f'{rec}.title', hint)} + {_OVER(f'{rec}.journal', hint)}" + (f" + 0.6 * {_OVER(f"array_to_string({rec}.authors, ' ')", hint)}" if authors else "")
+    return f"round(({over} + 0.5 * least({hits}, 2))::DOUBLE, 6)"
+
+
+_BEST = "CASE WHEN cs IS NULL THEN 'none' WHEN len(cs) = 1 THEN 'exact' WHEN -cs[1].s >= 2 AND cs[2].s - cs[1].s >= 1.5 THEN 'exact' WHEN -cs[1].s >= 1 AND cs[1].s < cs[2].s THEN 'near' ELSE 'ambiguous' END"
+
+
+@P.add(f"""{_REFS}, {_LIB}, id AS (SELECT DISTINCT surname, year, hint FROM refs), nm AS (SELECT r.surname, l.surname AS ln FROM (SELECT DISTINCT surname FROM id) r, (SELECT DISTINCT surname FROM lib) l WHERE {_LIKE} >= 0.85 OR starts_with(lower(l.surname), substr(lower(r.surname), 1, 4)) OR starts_with(lower(r.surname), substr(lower(l.surname), 1, 4))),
+c AS (SELECT r.surname, r.year, r.hint, l.rec_id, {_content('r.hint', 'l', True)} AS score FROM id r JOIN nm ON nm.surname = r.surname JOIN lib l ON r.year = l.year AND l.surname = nm.ln),
+k AS (SELECT surname, year, hint, min(rec_id) AS first, list(struct_pack(s := -score, rec_id := rec_id) ORDER BY -score, rec_id) AS cs FROM c GROUP BY ALL), k2 AS (SELECT *, {_BEST} AS match_kind FROM k),
+n2 AS (SELECT surname, year, hint, CASE WHEN match_kind = 'ambiguous' THEN first ELSE cs[1].rec_id END AS rec_id, CASE WHEN len(cs) = 1 THEN 1.0 WHEN match_kind = 'ambiguous' THEN 0.0 ELSE -cs[1].s END::DOUBLE AS score, match_kind FROM k2),
+names AS (SELECT lower(surname) AS surname, min(rec_id) AS rec_id FROM lib GROUP BY ALL), rest AS (SELECT id.* FROM id ANTI JOIN k2 USING (surname, year, hint)),
+f AS (SELECT r.surname, l.surname AS ln, l.rec_id, {_LIKE} + CASE WHEN substr(lower(r.surname), 1, 5) = substr(l.surname, 1, 5) THEN 0.2 ELSE 0 END + 0.2 AS score FROM (SELECT DISTINCT surname FROM rest) r JOIN names l ON {_LIKE} >= 0.8 OR substr(lower(r.surname), 1, 5) = substr(l.surname, 1, 5)),
+g AS (SELECT r.surname, r.year, r.hint, f.rec_id, f.score + CASE WHEN contains(lower(r.hint), substr(f.ln, 1, 4)) THEN 0.3 ELSE 0 END AS score FROM rest r JOIN f USING (surname)), best AS (SELECT surname, year, hint, arg_min(rec_id, struct_pack(a := -score, b := rec_id)) AS rec_id, max(score) AS score FROM g WHERE score >= 0.9 GROUP BY ALL),
+found AS (SELECT * FROM n2 UNION ALL SELECT surname, year, hint, rec_id, score, 'near' FROM best)
+SELECT ref_id, rec_id, coalesce(score, 0.0) AS score, coalesce(match_kind, 'none') AS match_kind FROM refs LEFT JOIN found USING (surname, year, hint)""")
 def match_library(spark: SparkSession, sf: str) -> DataFrame:
-    return op.match_library(_refs(spark, sf), library(spark, sf).where("trash_state = 0"))
+    return op.match_library(_refs(spark, sf), _lib(spark, sf))
 
 
-@P.add(f"""{BASE}, i AS (SELECT doc_id * 100 + pos AS ident, author AS surname, cited_year AS year, title AS hint FROM citations WHERE flag = 'A'), c AS (SELECT ident, rec_id, {_OVER('title', 'hint')} + {_OVER('journal', 'hint')} AS score FROM i JOIN library l ON i.surname = l.surname AND i.year = l.year),
-k AS (SELECT ident, list(struct_pack(s := -score, rec_id := rec_id) ORDER BY -score, rec_id) AS cs FROM c GROUP BY ident)
-SELECT i.ident, cs[1].rec_id AS rec_id, -cs[1].s AS score, CASE WHEN cs IS NULL THEN 'none' WHEN len(cs) = 1 THEN 'exact' WHEN -cs[1].s >= 2 AND cs[2].s - cs[1].s >= 1.5 THEN 'exact' WHEN -cs[1].s >= 1 AND cs[1].s < cs[2].s THEN 'near' ELSE 'ambiguous' END AS match_kind FROM i LEFT JOIN k USING (ident)""")
+@P.add(f"""{BASE}, {_LIB}, i AS (SELECT doc_id * 100 + pos AS ident, author AS surname, cited_year AS year, {_HINT} AS hint FROM citations), c AS (SELECT ident, rec_id, {_content('hint', 'l', False)} AS score FROM i JOIN lib l ON i.surname = l.surname AND i.year = l.year),
+k AS (SELECT ident, list(struct_pack(s := -score, rec_id := rec_id) ORDER BY -score, rec_id) AS cs FROM c GROUP BY ident) SELECT i.ident, cs[1].rec_id AS rec_id, -cs[1].s AS score, {_BEST} AS match_kind FROM i LEFT JOIN k USING (ident)""")
 def resolve_cited_record(spark: SparkSession, sf: str) -> DataFrame:
-    i = citations(spark, sf).where("flag = 'A'").selectExpr("doc_id * 100 + pos AS ident", "author AS surname", "cited_year AS year", "title AS hint")
-    return op.resolve_cited(i, library(spark, sf))
+    i = citations(spark, sf).selectExpr("doc_id * 100 + pos AS ident", "author AS surname", "cited_year AS year", f"{_HINT} AS hint")
+    return op.resolve_cited(i, _lib(spark, sf))
 
 
 def _groups(spark: SparkSession, sf: str, where: str) -> DataFrame:
@@ -91,20 +106,24 @@ def compare_reference_lists(spark: SparkSession, sf: str) -> DataFrame:
     return op.compare_lists(_list_a(spark, sf), _list_b(spark, sf))
 
 
-_SENT = "q AS (SELECT doc_id AS id, array_to_string(string_split(text, chr(10))[1:2], ' ') AS text FROM documents)"
+# Every line of every document is a query.
+_SENT = "q AS (SELECT doc_id * 10000 + i - 1 AS id, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE length(ls[i]) >= 15)"
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _paras(spark, sf).where("length(text) >= 15").select(F.col("para_id").alias("id"), "text")
 
 
 @P.add(f"""{_LISTS}, {_SENT}, {_tfidf('dv', 'a', 'a')}, {_tfidf('qv', 'a', 'q')}, s AS (SELECT x.id AS q_id, y.id AS d_id, round(sum(x.w * y.w), 6) AS score FROM qv x JOIN dv y USING (term) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, d_id) AS place FROM s) WHERE place <= 5""")
 def top_matches(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", "\n"), 1, 2), " ").alias("text"))
-    return op.top_matches(q, _list_a(spark, sf))
+    return op.top_matches(_lines(spark, sf), _list_a(spark, sf))
 
 
 @P.add(f"""{_LISTS}, {_SENT}, {_tfidf('dv', 'a', 'a')}, {_tfidf('qv', 'a', 'q')}, s AS (SELECT x.id AS q_id, y.id AS d_id, round(sum(x.w * y.w), 6) AS score FROM qv x JOIN dv y USING (term) GROUP BY ALL), k AS (SELECT q_id, max(score) AS best, arg_min(d_id, struct_pack(a := -score, b := d_id)) AS d_id FROM s GROUP BY q_id)
 SELECT id AS q_id, coalesce(best, 0.0) AS score, CASE WHEN best >= 0.12 THEN '[item ' || d_id || ']' ELSE 'review' END AS label FROM q LEFT JOIN k ON id = q_id""")
 def insert_author_label(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", "\n"), 1, 2), " ").alias("text"))
+    q = _lines(spark, sf)
     best = op.top_matches(q, _list_a(spark, sf), 1)
     out = q.select(F.col("id").alias("q_id")).join(best, "q_id", "left")
     return out.select("q_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("score") >= 0.12, F.concat(F.lit("[item "), F.col("d_id").cast("string"), F.lit("]"))).otherwise("review").alias("label"))
@@ -127,11 +146,11 @@ def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
     return op.top_matches(q, cat, 20)
 
 
-@P.add(f"""{BASE}, a AS (SELECT author AS surname, cited_year AS year, count(*) AS n_a FROM citations WHERE doc_id % 9 = 0 AND supp < 20 GROUP BY ALL), b AS (SELECT author AS surname, cited_year AS year, count(*) AS n_b FROM citations WHERE doc_id % 9 = 1 AND supp < 20 GROUP BY ALL)
+@P.add(f"""{BASE}, a AS (SELECT author AS surname, cited_year AS year, count(*) AS n_a FROM citations WHERE doc_id % 2 = 0 GROUP BY ALL), b AS (SELECT author AS surname, cited_year AS year, count(*) AS n_b FROM citations WHERE doc_id % 2 = 1 GROUP BY ALL)
 SELECT coalesce(a.surname, b.surname) AS surname, coalesce(a.year, b.year) AS year, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, CASE WHEN n_b IS NULL THEN 'missing' WHEN n_a IS NULL THEN 'extra' ELSE 'both' END AS status FROM a FULL JOIN b ON a.surname = b.surname AND a.year = b.year""")
 def audit_bibliographies(spark: SparkSession, sf: str) -> DataFrame:
-    c = citations(spark, sf).where("supp < 20").selectExpr("author AS surname", "cited_year AS year", "doc_id")
-    return op.audit_keys(c.where("doc_id % 9 = 0"), c.where("doc_id % 9 = 1"))
+    c = citations(spark, sf).selectExpr("author AS surname", "cited_year AS year", "doc_id")
+    return op.audit_keys(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1"))
 
 
 _P80 = """p AS (SELECT doc_id * 10000 + i AS para_id, doc_id, text, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS sig FROM (SELECT doc_id, ls[i] AS text, i - 1 AS i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE length(text) >= 15),
@@ -153,20 +172,35 @@ def match_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return _matched(spark, sf)
 
 
-@P.add(f"WITH {_P80} SELECT para_id // 10000 AS doc_id, count(*) FILTER (old_id IS NOT NULL) AS matched, count(*) FILTER (old_id IS NOT NULL AND old_id % 3 = 0) AS restored, count(*) FILTER (old_id IS NOT NULL AND old_id % 3 <> 0 AND para_id % 2 = 0) AS already, count(*) FILTER (old_id IS NULL) AS unmatched FROM matched GROUP BY ALL")
+# Runs that cite: which paragraphs have them follows from the paragraph's length, in the old and the new version by different rules.
+_RUNS80 = """oc AS (SELECT para_id, i AS run_idx, '[' || (length(text) % 50 + i) || ']' AS text FROM (SELECT para_id, text, unnest(range(0, 1 + length(text) % 2)) AS i FROM p WHERE doc_id % 2 = 0 AND length(text) % 3 > 0)), nc AS (SELECT para_id FROM p WHERE doc_id % 2 = 1 AND length(text) % 5 = 0),
+nr AS (SELECT para_id, length(text) % 4 AS last FROM p WHERE doc_id % 2 = 1), st AS (SELECT m.para_id, m.old_id, CASE WHEN m.old_id IS NULL THEN 'unmatched' WHEN m.para_id IN (SELECT para_id FROM nc) THEN 'already' WHEN m.old_id IN (SELECT para_id FROM oc) THEN 'restored' ELSE 'plain' END AS status FROM matched m)"""
+
+
+def _citing_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of the new paragraphs, those of them that cite, and the citing runs of the old ones."""
+    p = _paras(spark, sf).where("length(text) >= 15")
+    new, old = p.where("doc_id % 2 = 1"), p.where("doc_id % 2 = 0")
+    cites = old.where("length(text) % 3 > 0").select("para_id", "text", F.explode(F.expr("sequence(0, length(text) % 2)")).alias("run_idx"))
+    runs = new.select("para_id", F.explode(F.expr("sequence(0, length(text) % 4)")).alias("run_idx"))
+    return runs, new.where("length(text) % 5 = 0").select("para_id"), cites.select("para_id", "run_idx", F.concat(F.lit("["), F.expr("length(text) % 50 + run_idx").cast("string"), F.lit("]")).alias("text"))
+
+
+def _statuses(spark: SparkSession, sf: str) -> DataFrame:
+    _, new_cites, old_cites = _citing_runs(spark, sf)
+    return op.restore_status(_matched(spark, sf), new_cites, old_cites)
+
+
+@P.add(f"WITH {_P80}, {_RUNS80} SELECT para_id // 10000 AS doc_id, count(old_id) AS matched, count(*) FILTER (status = 'restored') AS restored, count(*) FILTER (status = 'already') AS already, count(*) FILTER (status = 'unmatched') AS unmatched FROM st GROUP BY ALL")
 def restore_summary(spark: SparkSession, sf: str) -> DataFrame:
-    hit = F.col("old_id").isNotNull()
-    return _matched(spark, sf).groupBy(F.floor(F.col("para_id") / 10000).alias("doc_id")).agg(
-        F.count_if(hit).alias("matched"), F.count_if(hit & (F.col("old_id") % 3 == 0)).alias("restored"), F.count_if(hit & (F.col("old_id") % 3 != 0) & (F.col("para_id") % 2 == 0)).alias("already"), F.count_if(~hit).alias("unmatched")
-    )
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return _statuses(spark, sf).groupBy(F.floor(F.col("para_id") / 10000).alias("doc_id")).agg(F.count("old_id").alias("matched"), n("restored"), n("already"), n("unmatched"))
 
 
-@P.add(f"WITH {_P80}, cites AS (SELECT para_id, i AS run_idx, '[' || (para_id % 50 + i) || ']' AS text FROM (SELECT para_id, unnest(range(0, 2)) AS i FROM p WHERE doc_id % 2 = 0 AND para_id % 3 = 0)) SELECT m.para_id, 1000 + c.run_idx AS run_idx, c.text FROM matched m JOIN cites c ON m.old_id = c.para_id WHERE m.para_id % 5 <> 0")
+@P.add(f"WITH {_P80}, {_RUNS80} SELECT st.para_id, (nr.last + row_number() OVER (PARTITION BY st.para_id ORDER BY oc.run_idx))::BIGINT AS run_idx, oc.text FROM st JOIN nr ON nr.para_id = st.para_id JOIN oc ON oc.para_id = st.old_id WHERE status = 'restored'")
 def copy_citations(spark: SparkSession, sf: str) -> DataFrame:
-    old = _paras(spark, sf).where("doc_id % 2 = 0 AND para_id % 3 = 0 AND length(text) >= 15").select(F.col("para_id").alias("old_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
-    runs = old.select("old_id", F.col("i"), F.concat(F.lit("["), (F.col("old_id") % 50 + F.col("i")).cast("string"), F.lit("]")).alias("text"))
-    m = _matched(spark, sf).where("para_id % 5 <> 0")  # those that are divisible cite already
-    return m.join(runs, "old_id").select("para_id", (1000 + F.col("i")).cast("long").alias("run_idx"), "text")
+    runs, _, old_cites = _citing_runs(spark, sf)
+    return op.copied_runs(_statuses(spark, sf), runs, old_cites).withColumn("run_idx", F.col("run_idx").cast("long"))
 
 
 @P.add(f"""{BASE}, e AS (SELECT doc_id, pos, CASE WHEN rec_id % 4 = 0 THEN author END AS heading, supp % 6 AS num FROM citations), s AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM e),
@@ -199,13 +233,27 @@ def tier_published(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(best, "claim_id", "left").select("claim_id", F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("published"), F.col("b.text_id").alias("text_id"))
 
 
-_CLAIMS = f"{BASE}, claims AS (SELECT doc_id * 100 + group_order AS claim_id, string_agg(author || ' of ' || cited_year || CASE WHEN supp % 3 = 0 THEN ' economy' ELSE ' standard matter' END, ' ' ORDER BY ref_pos) AS claim, list(title ORDER BY ref_pos) AS titles FROM citations GROUP BY ALL), t AS (SELECT claim_id, round(coalesce(list_max(list_transform(titles, lambda x: {_OVER('claim', 'x')} / greatest(len({_TERMS('claim')}), 1)::DOUBLE)), 0), 6) AS topical FROM claims)"
+@P.add()
+def published_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact ratio of claims with the published texts that share words in order with them."""
+    return op.published_ratio(table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), "text"), table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+_STOPS = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
+_TOPIC = lambda c: f"list_filter({_TERMS(c)}, lambda w: NOT list_contains({_STOPS}, w))"
+_SHARE = lambda c, t: f"len(list_intersect({_TOPIC(c)}, {_TERMS(t)})) / greatest(len({_TOPIC(c)}), 1)::DOUBLE"
+_PART = "author || ' of ' || cited_year || CASE WHEN supp % 3 = 0 THEN ' economy with these' ELSE ' standard matter which then was' END"
+# The published version of a document holds the claims of some of its citations.
+_CLAIMS = f"""{BASE}, claims AS (SELECT doc_id, doc_id * 100 + group_order AS claim_id, string_agg({_PART}, ' ' ORDER BY ref_pos) AS claim, list(title ORDER BY ref_pos) AS titles, arg_min(rec_id, ref_pos) AS rec_id, arg_min(supp, ref_pos) % 4 <> 0 AS kept FROM citations GROUP BY ALL),
+t AS (SELECT claim_id, round(coalesce(list_max(list_transform(titles, lambda x: {_SHARE('claim', 'x')})), 0), 6) AS topical FROM claims), abs AS (SELECT claim_id, round({_SHARE('claim', 'title')}, 6) AS c FROM claims JOIN library USING (rec_id) WHERE rec_id % 4 = 0),
+pw AS (SELECT doc_id, string_split(string_agg(lower(claim), ' ' ORDER BY claim_id), ' ') AS w FROM claims WHERE kept GROUP BY doc_id), psh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM pw)),
+csh AS (SELECT DISTINCT doc_id, claim_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, claim_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, claim_id, string_split(lower(claim), ' ') AS w FROM claims))), pub AS (SELECT claim_id, round(count(psh.h) / count(*), 6) AS b FROM csh LEFT JOIN psh USING (doc_id, h) GROUP BY claim_id)"""
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
-    c = citations(spark, sf).withColumns({"claim_id": F.col("doc_id") * 100 + F.col("group_order"), "part": F.concat("author", F.lit(" of "), "cited_year", F.when(F.col("supp") % 3 == 0, " economy").otherwise(" standard matter"))})
-    g = c.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "part", "title"))).alias("r"))
-    return g.select("claim_id", F.array_join("r.part", " ").alias("claim"), F.col("r.title").alias("titles"))
+    c = citations(spark, sf).select("*", (F.col("doc_id") * 100 + F.col("group_order")).alias("claim_id"), F.expr(_PART).alias("part"))
+    g = c.groupBy("doc_id", "claim_id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "part", "title", "rec_id", "supp"))).alias("r"))
+    return g.select("doc_id", "claim_id", F.array_join("r.part", " ").alias("claim"), F.col("r.title").alias("titles"), F.col("r")[0]["rec_id"].alias("rec_id"), (F.col("r")[0]["supp"] % 4 != 0).alias("kept"))
 
 
 @P.add(f"{_CLAIMS} SELECT * FROM t")
@@ -213,28 +261,26 @@ def tier_topical(spark: SparkSession, sf: str) -> DataFrame:
     return op.topical(_claims(spark, sf))
 
 
-_ABS = f"abs AS (SELECT claim_id, round({_OVER('claim', 'l.title')} / greatest(len({_TERMS('claim')}), 1)::DOUBLE, 6) AS c FROM (SELECT doc_id * 100 + group_order AS claim_id, rec_id FROM citations WHERE ref_pos = 1 AND supp % 4 = 0) JOIN claims USING (claim_id) JOIN library l USING (rec_id))"
-
-
-def _abstract(spark: SparkSession, sf: str) -> DataFrame:
-    first = citations(spark, sf).where("ref_pos = 1 AND supp % 4 = 0").select((F.col("doc_id") * 100 + F.col("group_order")).alias("claim_id"), "rec_id")
-    j = first.join(library(spark, sf).select("rec_id", "title"), "rec_id").join(_claims(spark, sf).select("claim_id", "claim"), "claim_id")
-    mine = tx.terms(F.col("claim"))
-    return j.select("claim_id", F.round(F.size(F.array_intersect(mine, tx.terms(F.col("title")))) / F.greatest(F.size(mine), F.lit(1)), 6).alias("c"))
+def _abstracts(spark: SparkSession, sf: str) -> DataFrame:
+    """Abstracts are known of some records."""
+    return library(spark, sf).where("rec_id % 4 = 0").select("rec_id", F.col("title").alias("abstract"))
 
 
-@P.add(f"{_CLAIMS}, {_ABS} SELECT * FROM abs")
+@P.add(f"{_CLAIMS} SELECT * FROM abs")
 def tier_abstract(spark: SparkSession, sf: str) -> DataFrame:
-    return _abstract(spark, sf)
+    return op.abstract_share(_claims(spark, sf), _abstracts(spark, sf))
 
 
-_VERDICT = f"""{_CLAIMS}, {_ABS}, s AS (SELECT claim_id, topical AS a, (claim_id % 10) / 10.0 AS b, c FROM t LEFT JOIN abs USING (claim_id)),
+_VERDICT = f"""{_CLAIMS}, s AS (SELECT claim_id, topical AS a, coalesce(b, 0) AS b, c FROM t LEFT JOIN pub USING (claim_id) LEFT JOIN abs USING (claim_id)),
 v AS (SELECT claim_id, CASE WHEN b > 0.7 AND greatest(a, coalesce(c, 0)) >= 0.12 THEN 'verified' WHEN greatest(a, coalesce(c, 0)) >= 0.25 OR coalesce(c, 0) >= 0.2 THEN 'supported' WHEN greatest(a, coalesce(c, 0)) >= 0.1 OR b > 0.7 THEN 'plausible' ELSE 'review' END AS verdict FROM s)"""
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    t = op.topical(_claims(spark, sf)).withColumnRenamed("topical", "a").withColumn("b", (F.col("claim_id") % 10) / 10.0)
-    return op.verdicts(t.join(_abstract(spark, sf), "claim_id", "left"))
+    claims = staged(_claims(spark, sf), "claims")
+    parts = F.array_sort(F.collect_list(F.struct("claim_id", "claim")))
+    published = claims.where("kept").groupBy("doc_id").agg(F.array_join(parts["claim"], " ").alias("text")).select("doc_id", F.col("doc_id").alias("text_id"), "text")
+    b = op.claim_containment(claims.select("doc_id", "claim_id", F.col("claim").alias("text")), published, within=("doc_id",)).select("claim_id", F.col("containment").alias("b"))
+    return op.verdicts(op.topical(claims).withColumnRenamed("topical", "a").join(b, "claim_id", "left").join(op.abstract_share(claims, _abstracts(spark, sf)), "claim_id", "left"))
 
 
 @P.add(f"{_VERDICT} SELECT claim_id, verdict FROM v")
@@ -247,14 +293,13 @@ def verdict_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _verdicts(spark, sf).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@P.add(f"{_VERDICT} SELECT claim_id, verdict, CASE verdict WHEN 'review' THEN 0 WHEN 'plausible' THEN 1 WHEN 'supported' THEN 2 ELSE 3 END AS verdict_order FROM v ORDER BY verdict_order, claim_id LIMIT 100")
+@P.add(f"{_VERDICT} SELECT claim_id, verdict, CASE verdict WHEN 'review' THEN 0 WHEN 'plausible' THEN 1 WHEN 'supported' THEN 2 ELSE 3 END AS verdict_order FROM v ORDER BY verdict_order, claim_id")
 def verdict_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdicts(spark, sf).orderBy("verdict_order", "claim_id").limit(100)
+    return _verdicts(spark, sf).orderBy("verdict_order", "claim_id")
 
 
-@P.add(f"""WITH r AS (SELECT item_id AS ref_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 5))[1:5] AS ks0, text FROM benchmark),
-k AS (SELECT ref_id, list_filter(ws, lambda x, i: length(x) > 5 AND list_position(ws, x) = i)[1:5] AS ks FROM (SELECT item_id AS ref_id, string_split_regex(lower(text), '[^a-z0-9]+') AS ws FROM benchmark)), n AS (SELECT ref_id, unnest(ks) AS w, least(3, len(ks)) AS need FROM k WHERE len(ks) > 0),
-d AS (SELECT doc_id AS para_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS w FROM documents) SELECT ref_id, para_id, count(*) AS n FROM n JOIN d USING (w) GROUP BY ref_id, para_id, need HAVING count(*) >= need""")
+@P.add("""WITH k AS (SELECT ref_id, list_filter(ws, lambda x, i: length(x) > 5 AND list_position(ws, x) = i)[1:5] AS ks FROM (SELECT item_id AS ref_id, string_split_regex(lower(text), '[^a-z0-9]+') AS ws FROM benchmark)), n AS (SELECT ref_id, unnest(ks) AS w, least(3, len(ks)) AS need FROM k WHERE len(ks) > 0)
+SELECT ref_id, doc_id AS para_id, count(*) AS n FROM n JOIN documents ON contains(lower(text), w) GROUP BY ref_id, doc_id, need HAVING count(*) >= need""")
 def reference_usage(spark: SparkSession, sf: str) -> DataFrame:
     return op.reference_usage(table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("title")), table(spark, sf, "documents").select(F.col("doc_id").alias("para_id"), "text"))
 
@@ -361,7 +406,7 @@ def transplant_summary(spark: SparkSession, sf: str) -> DataFrame:
     return tp.transplant_summary(_chosen(spark, sf))
 
 
-_FILL = f"""{BASE}, t AS (SELECT doc_id, pos AS t, CASE WHEN supp % 5 = 0 THEN 1 END AS anchor FROM citations WHERE doc_id % 2 = 0), s AS (SELECT doc_id, pos AS s, CASE WHEN supp % 5 = 0 THEN 1 END AS anchor FROM citations WHERE doc_id % 2 = 0 AND (supp % 5 = 0 OR supp % 3 > 0)),
+_FILL = f"""{BASE}, t AS (SELECT doc_id, pos AS t, CASE WHEN supp % 5 = 0 THEN 1 END AS anchor FROM citations), s AS (SELECT doc_id, pos AS s, CASE WHEN supp % 5 = 0 THEN 1 END AS anchor FROM citations WHERE supp % 5 = 0 OR supp % 3 > 0),
 tg AS (SELECT *, coalesce(sum(anchor) OVER (PARTITION BY doc_id ORDER BY t), 0) AS gap FROM t), sg AS (SELECT *, coalesce(sum(anchor) OVER (PARTITION BY doc_id ORDER BY s), 0) AS gap FROM s),
 tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap ORDER BY t) AS k FROM tg WHERE anchor IS NULL), sk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap ORDER BY s) AS k FROM sg WHERE anchor IS NULL)
 SELECT doc_id, t, s FROM tk JOIN sk USING (doc_id, gap, k)"""
@@ -369,7 +414,7 @@ SELECT doc_id, t, s FROM tk JOIN sk USING (doc_id, gap, k)"""
 
 @P.add(_FILL)
 def fill_by_order(spark: SparkSession, sf: str) -> DataFrame:
-    c = citations(spark, sf).where("doc_id % 2 = 0")
+    c = citations(spark, sf)
     t, s = c.selectExpr("doc_id", "pos AS t"), c.where("supp % 5 = 0 OR supp % 3 > 0").selectExpr("doc_id", "pos AS s")
     return op.fill_by_order(t, s, c.where("supp % 5 = 0").selectExpr("doc_id", "pos AS t", "pos AS s"))
 
@@ -386,20 +431,27 @@ def reconcile_bibliographies(spark: SparkSession, sf: str) -> DataFrame:
     return op.reconcile(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1"))
 
 
-_RELINK = f"""{BASE}, loc AS (SELECT doc_id, group_order, CASE WHEN group_order % 3 = 0 THEN 'notes' ELSE 'body' END AS part, supp % 40 AS num FROM citations), ids AS (SELECT num, min(surname) AS surname, count(*) AS n FROM (SELECT rec_id % 40 AS num, surname FROM library WHERE rec_id < 35) GROUP BY num),
-g AS (SELECT doc_id, group_order, any_value(part) AS part, bool_and(ids.num IS NOT NULL) AS known, coalesce(bool_or(loc.num % 7 = 0), false) AS ambiguous FROM loc LEFT JOIN ids USING (num) GROUP BY doc_id, group_order), d AS (SELECT *, CASE WHEN known AND NOT ambiguous THEN 'exact' WHEN known THEN 'constructed' ELSE 'placeholder' END AS kind FROM g)"""
+# A document's bibliography numbers its rows; citations of every seventh supplier say a number that it lacks. The intact version is the document without its rows of flag R, where years are decades.
+_YEAR10 = "substr(rec_year, 1, 3) || '0'"
+_RELINK = f"""{BASE}, loc AS (SELECT doc_id, CASE WHEN group_order % 3 = 0 THEN 'notes' ELSE 'body' END AS part, group_order, ref_pos AS k, CASE WHEN supp % 7 = 0 THEN 900 + pos ELSE pos END AS num FROM citations), bib AS (SELECT doc_id, pos AS num, author || '|' || {_YEAR10} AS ident, {_HINT} AS text FROM citations),
+src AS (SELECT doc_id, group_order AS group_id, author || '|' || {_YEAR10} AS ident, c.rec_id, l.title, l.journal, l.volume, c.rec_id || '-' || (c.rec_id + 9) AS pages FROM citations c JOIN library l ON l.rec_id = c.rec_id WHERE flag <> 'R'), rec AS (SELECT DISTINCT doc_id, ident, rec_id, title, journal, volume, pages FROM src), several AS (SELECT doc_id, ident, count(*) AS n_records FROM rec GROUP BY ALL),
+held AS (SELECT loc.*, bib.ident, bib.text FROM loc LEFT JOIN bib USING (doc_id, num)), cs AS (SELECT h.doc_id, h.num, list(struct_pack(s := -score, rec_id := rec_id) ORDER BY -score, rec_id) AS cs FROM (SELECT DISTINCT h.doc_id, h.num, r.rec_id, {_content('h.text', 'r', False)} AS score FROM held h JOIN rec r ON r.doc_id = h.doc_id AND r.ident = h.ident) h GROUP BY ALL),
+sets AS (SELECT DISTINCT doc_id, string_agg(DISTINCT ident, ';' ORDER BY ident) AS idents FROM src GROUP BY doc_id, group_id), rg AS (SELECT h.doc_id, part, group_order, string_agg(h.num::VARCHAR, ',' ORDER BY k, h.num) AS numbers, bool_and(h.ident IS NOT NULL) AS known, bool_and(n_records IS NOT NULL) AS recorded, bool_or(coalesce(n_records, 0) > 1) AS several,
+ coalesce(string_agg(h.num::VARCHAR, ',' ORDER BY k, h.num) FILTER (cs IS NOT NULL AND {_BEST} = 'ambiguous'), '') AS verify, string_agg(DISTINCT h.ident, ';' ORDER BY h.ident) AS idents FROM held h LEFT JOIN several s ON s.doc_id = h.doc_id AND s.ident = h.ident LEFT JOIN cs ON cs.doc_id = h.doc_id AND cs.num = h.num GROUP BY h.doc_id, part, group_order),
+d AS (SELECT rg.doc_id, part, group_order, numbers, CASE WHEN known AND sets.idents IS NOT NULL AND NOT several THEN 'exact' WHEN known AND recorded THEN 'constructed' ELSE 'placeholder' END AS kind, verify FROM rg LEFT JOIN sets ON sets.doc_id = rg.doc_id AND sets.idents = rg.idents)"""
 
 
 def _relinked(spark: SparkSession, sf: str) -> DataFrame:
-    loc = citations(spark, sf).select("doc_id", "group_order", F.when(F.col("group_order") % 3 == 0, "notes").otherwise("body").alias("part"), (F.col("supp") % 40).alias("num"))
-    ids = library(spark, sf).where("rec_id < 35").groupBy((F.col("rec_id") % 40).alias("num")).agg(F.min("surname").alias("surname"))
-    g = loc.join(ids, "num", "left").groupBy("doc_id", "group_order").agg(F.first("part").alias("part"), F.bool_and(F.col("surname").isNotNull()).alias("known"), F.bool_or(F.col("num") % 7 == 0).alias("ambiguous"))
-    return g.withColumn("kind", F.when(F.col("known") & ~F.col("ambiguous"), "exact").when(F.col("known"), "constructed").otherwise("placeholder"))
+    c = citations(spark, sf).select("*", F.expr(_YEAR10).alias("decade"), F.col("author").alias("surname"), F.expr(_HINT).alias("text"))
+    groups = c.select("doc_id", F.when(F.col("group_order") % 3 == 0, "notes").otherwise("body").alias("part"), "group_order", F.col("ref_pos").alias("k"), F.when(F.col("supp") % 7 == 0, 900 + F.col("pos")).otherwise(F.col("pos")).alias("num"))
+    bibliography = c.select("doc_id", F.col("pos").alias("num"), "surname", F.col("decade").alias("year"), "text")
+    source = c.where("flag <> 'R'").select("doc_id", F.col("group_order").alias("group_id"), "surname", F.col("decade").alias("year"), "rec_id").join(library(spark, sf).selectExpr("rec_id", "title", "journal", "volume", f"{_MORE['pages']} AS pages"), "rec_id")
+    return op.relink(groups, bibliography, source, source)
 
 
-@P.add(f"{_RELINK} SELECT doc_id, group_order, part, kind FROM d")
+@P.add(f"{_RELINK} SELECT doc_id, part, group_order, numbers, kind, CASE WHEN kind = 'constructed' THEN verify ELSE '' END AS verify FROM d")
 def relink_citations(spark: SparkSession, sf: str) -> DataFrame:
-    return _relinked(spark, sf).select("doc_id", "group_order", "part", "kind")
+    return _relinked(spark, sf)
 
 
 @P.add(f"{_RELINK} SELECT part, kind, count(*) AS n, grouping(part) AS all_parts, grouping(kind) AS all_kinds FROM d GROUP BY GROUPING SETS ((part, kind), (part), (kind), ())")

@@ -79,9 +79,9 @@ def test_bibliography_sequence_restarts_and_jumps(spark):
 def test_blocked_matching_equals_all_pairs(spark):
     rng = random.Random(5)
     name = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 9)))
-    lib = [(i, name(), "2000", "some title", "journal", "7") for i in range(60)]
+    lib = [(i, name(), "2000", "some title", "journal", "7", "", ["None"]) for i in range(60)]
     refs = [(i, name(), "2000", "") for i in range(60)]
-    got = {r["ref_id"]: (r["rec_id"], r["match_kind"]) for r in matching.match_library(spark.createDataFrame(refs, "ref_id long, surname string, year string, hint string"), spark.createDataFrame(lib, "rec_id long, surname string, year string, title string, journal string, volume string")).collect()}
+    got = {r["ref_id"]: (r["rec_id"], r["match_kind"]) for r in matching.match_library(spark.createDataFrame(refs, "ref_id long, surname string, year string, hint string"), spark.createDataFrame(lib, "rec_id long, surname string, year string, title string, journal string, volume string, pages string, authors array<string>")).collect()}
 
     def edits(a, b):
         row = list(range(len(b) + 1))
@@ -266,3 +266,51 @@ def test_broken_citations_and_identity_bonus(spark):
     chosen = transplant.transplant(targets, sources, transplant.scored_pairs(sims, bonus))
     assert rows(chosen) == [(1, 1, 10, 0.5, "context", "ambiguous"), (1, 2, None, 0.03, None, "no match"), (1, 4, 20, 0.5, "context", "transplanted")]
     assert rows(transplant.transplant_summary(chosen)) == [(1, 3, 2, 2, 0, 1, 1)]
+
+
+def test_library_scores_weigh_authors_and_pages(spark):
+    """Two records of one surname and year: the second author's name and a page tell them apart."""
+    lib = [(1, "lee", "2000", "bones", "journal", "7", "10-19", ["Lee, A.", "Kim, B."]), (2, "lee", "2000", "bones", "journal", "8", "30-39", ["Lee, A.", "Park, C."])]
+    lib = spark.createDataFrame(lib, "rec_id long, surname string, year string, title string, journal string, volume string, pages string, authors array<string>")
+    refs = spark.createDataFrame([(1, "Lee", "2000", "lee and park, bones 8:30"), (2, "Lee", "2000", "lee and park, bones in a journal"), (3, "Lee", "2000", ""), (4, None, "2000", "x"), (5, "Lee", None, "x")], "ref_id long, surname string, year string, hint string")
+    got = {r["ref_id"]: (r["rec_id"], r["match_kind"], r["score"]) for r in matching.match_library(refs, lib).collect()}
+    assert got[1] == (2, "exact", pytest.approx(2.6)) and got[2] == (2, "near", pytest.approx(2.6)) and got[3] == (1, "ambiguous", 0.0) and got[4] == (None, "none", 0.0) and got[5][:2] == (1, "near")
+
+
+def test_relinking_decides_by_sets_and_records(spark):
+    groups = spark.createDataFrame([(1, "body", 1, 1, 1), (1, "body", 1, 2, 2), (1, "body", 2, 1, 3), (1, "notes", 3, 1, 9), (1, "body", 4, 1, 4), (1, "body", 5, 1, 5)], "doc_id long, part string, group_order int, k int, num int")
+    bib = spark.createDataFrame([(1, 1, "Lee", "2000", "x"), (1, 2, "Kim", "1999", "x"), (1, 3, "Roe", "2001", "bones growing"), (1, 4, "Roe", "2001", "else"), (1, 5, "Doe", "1980", "x")], "doc_id long, num int, surname string, year string, text string")
+    src = spark.createDataFrame([(1, 7, "kim", "1999", 11, "t", "j", "1", ""), (1, 7, "lee", "2000", 12, "t", "j", "1", ""), (1, 8, "Roe", "2001", 13, "bones growing up", "j", "1", ""), (1, 9, "Roe", "2001", 14, "other", "j", "1", "")], "doc_id long, group_id long, surname string, year string, rec_id long, title string, journal string, volume string, pages string")
+    got = rows(matching.relink(groups, bib, src, src).drop("doc_id"))
+    assert got == [("body", 1, "1,2", "exact", ""), ("body", 2, "3", "constructed", ""), ("body", 4, "4", "constructed", "4"), ("body", 5, "5", "placeholder", ""), ("notes", 3, "9", "placeholder", "")]
+
+
+def test_published_ratio_equals_sliding_over_all_windows(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    word = lambda: rng.choice("bone growth plate fracture of the child limb long short surgery outcome".split())
+    texts = {i: " ".join(word() for _ in range(120)) for i in range(3)}
+    claims = {1: texts[0][100:220], 2: " ".join(texts[1].split()[20:30] + ["quite", "other"] + texts[1].split()[32:40]), 3: "zebra " * 10, 4: "short"}
+    got = {r["claim_id"]: (r["ratio"], r["text_id"]) for r in matching.published_ratio(spark.createDataFrame(list(claims.items()), "claim_id long, text string"), spark.createDataFrame(list(texts.items()), "text_id long, text string"), k=1).collect()}
+    for i, c in claims.items():
+        c, step = c.strip(), max(20, len(c.strip()) // 2)
+        ratio = lambda t: max((SequenceMatcher(None, c, t[k : k + len(c) + 40]).ratio() for k in range(0, max(1, len(t) - len(c)), step)), default=0)  # noqa: B023, E731
+        best = max((round(ratio(t), 6), -d) for d, t in texts.items()) if len(c) >= 25 and set(c.split()) & set(" ".join(texts.values()).split()) else (0, None)
+        assert got[i] == (best[0], None if best[1] is None else -best[1])
+
+
+def test_usage_counts_words_within_longer_ones(spark):
+    refs = spark.createDataFrame([(1, "Fracture outcome in children"), (2, "short one")], "ref_id long, title string")
+    paras = spark.createDataFrame([(7, "Fractures, outcomes; schoolchildren."), (8, "fracture outcome")], "para_id long, text string")
+    assert rows(matching.reference_usage(refs, paras)) == [(1, 7, 3)]
+
+
+def test_restoring_copies_runs_behind_the_last_one(spark):
+    m = spark.createDataFrame([(1, 10), (2, 10), (3, None), (4, 11)], "para_id long, old_id long")
+    new = spark.createDataFrame([(2,)], "para_id long")
+    old = spark.createDataFrame([(10, 3, "[1]"), (10, 8, "[2]")], "para_id long, run_idx int, text string")
+    s = matching.restore_status(m, new, old)
+    assert rows(s) == [(1, 10, "restored"), (2, 10, "already"), (3, None, "unmatched"), (4, 11, "plain")]
+    runs = spark.createDataFrame([(1, 0), (1, 5), (2, 0)], "para_id long, run_idx int")
+    assert rows(matching.copied_runs(s, runs, old)) == [(1, 6, "[1]"), (1, 7, "[2]")]
