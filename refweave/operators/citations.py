@@ -132,15 +132,28 @@ def parse_map_lines(lines: DataFrame) -> DataFrame:
 
 def expanded_numbers(text: Column, max_span: int | None = 200) -> Column:
     """`1,3-5` to 1, 3, 4, 5. A range is expanded if its end exceeds its start, by less than max_span if that is given; else its ends stand."""
-    pieces = F.split(F.regexp_replace(text, "[–—]", "-"), "[,;]")
+    pieces = F.filter(F.split(F.regexp_replace(text, "[–—]", "-"), "[,;]"), lambda p: p.rlike(r"^\s*\d+\s*(-\s*\d+\s*)?$"))
+    ends = F.transform(pieces, lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).try_cast("int")))  # one number, or two
 
-    def one(p: Column) -> Column:
-        a = F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("int")
-        b = F.regexp_extract(p, r"^\s*\d+\s*-\s*(\d+)\s*$", 1).try_cast("int")
+    def one(e: Column) -> Column:
+        a, b = e[0], e[F.size(e) - 1]
         fits = (b > a) if max_span is None else (b > a) & (b - a < max_span)
-        return F.when(fits, F.sequence(a, b)).when(b.isNotNull(), F.array(a, b)).when(a.isNotNull(), F.array(a)).otherwise(F.array().cast("array<int>"))
+        return F.when(fits, F.sequence(a, b)).otherwise(F.filter(e, lambda x: x.isNotNull()))
 
-    return F.flatten(F.transform(F.filter(pieces, lambda p: p.rlike(r"^\s*\d+\s*(-\s*\d+\s*)?$")), one))
+    return F.flatten(F.transform(ends, one))
+
+
+def number_listing(spans: DataFrame, bibliography: DataFrame) -> DataFrame:
+    """Citations by number, in order: doc_id, group_order, display, place, num, label (the number and its entry, or #number), n_in_doc, and the document's groups, citations and references.
+
+    spans: doc_id, group_order, display (as `3, 5-7`); spans without a number are no groups. bibliography: doc_id, num, text (one per number).
+    """
+    rows = spans.select("doc_id", "group_order", F.trim("display").alias("display"), F.posexplode(expanded_numbers(F.col("display"), None)).alias("place", "num"))
+    n = rows.groupBy("doc_id", "num").agg(F.count(F.lit(1)).alias("n_in_doc"))
+    totals = rows.groupBy("doc_id").agg(F.count_distinct("group_order").alias("n_groups"), F.count(F.lit(1)).alias("n_citations"), F.count_distinct("num").alias("n_references"))
+    entry = bibliography.select("doc_id", F.col("num").cast("int").alias("num"), F.col("text").alias("entry"))
+    label = F.when(F.col("entry").isNull(), F.concat(F.lit("#"), F.col("num").cast("string"))).otherwise(F.concat_ws(" — ", F.col("num").cast("string"), "entry"))
+    return rows.join(n, ["doc_id", "num"]).join(totals, "doc_id").join(entry, ["doc_id", "num"], "left").select("doc_id", "group_order", "display", "place", "num", label.alias("label"), "n_in_doc", "n_groups", "n_citations", "n_references")
 
 
 def top_k_per_key(scored: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:

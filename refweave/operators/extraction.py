@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from refweave.functions import text as tx
 
-MISSING = r"\[CITATION\]|\[REF\]|\[\?\]|\[citation needed\]|XXX|\[#\]|<citation>|\[\s\]"
+#: What stands for a missing citation, whatever its case.
+MISSING = r"(?i)\[CITATION\]|\[REF\]|\[\?\]|\[citation needed\]|\bXXX\b|\[#\]|<citation>|\[ *\]"
 TYPED_YEAR = r"(?:18|19|20)\d\d"
 CAPTION = r"^(Figure|Fig|Table|Box|Plate|Video|Appendix)\.?\s+([A-Z]?\d+(?:\.\d+)*)[.:]?\s*(.*)$"
 CALLOUT = r"\b(?:Figures?|Figs?\.?|Tables?)\s+\d+(?:\.\d+)?(?:\s*(?:,|and|to|&|–|-)\s*\d+(?:\.\d+)?)*"
 
 
 def missing_markers(paragraphs: DataFrame, pattern: str = MISSING) -> DataFrame:
-    """Placeholders for citations, each with the sentence that holds it."""
+    """Placeholders for citations, each with the sentence that holds it. `pattern` is any Java expression, such as one of the user's own."""
     found = paragraphs.select("doc_id", "para_idx", "text", F.posexplode(tx.hits(F.col("text"), pattern)).alias("n", "h"))
     return found.select("doc_id", "para_idx", "n", F.col("h.start").alias("start"), F.col("h.hit").alias("marker"), tx.sentence_at(F.col("text"), F.col("h.start")).alias("sentence"))
 
@@ -36,9 +37,10 @@ def numbered_markers(paragraphs: DataFrame, bibliography: DataFrame) -> DataFram
     inner = F.regexp_extract("h.hit", r"(\d[\d,\s–-]*)", 1)
     kind = F.when(F.col("h.hit").startswith("[["), "ref").when(F.col("h.hit").startswith("["), "bracket").otherwise("paren")
     rows = found.select("doc_id", "para_idx", "n", F.col("h.start").alias("start"), kind.alias("kind"), F.col("h.hit").alias("raw"), expanded_numbers(inner).alias("nums"))
-    known = bibliography.select("doc_id", F.col("num").cast("int").alias("num")).distinct()
-    held = rows.where("kind <> 'ref'").select("doc_id", "para_idx", "n", F.explode("nums").alias("num")).join(known, ["doc_id", "num"], "left_semi").select("doc_id", "para_idx", "n").distinct()
-    return rows.where("kind = 'ref'").unionByName(rows.where("kind <> 'ref'").join(held, ["doc_id", "para_idx", "n"], "left_semi"))
+    known = bibliography.select("doc_id", F.col("num").cast("int").alias("num")).distinct().withColumn("listed", F.lit(True))
+    by_number = rows.select("*", F.explode_outer("nums").alias("num")).join(known, ["doc_id", "num"], "left")
+    marker = ["doc_id", "para_idx", "n", "start", "kind", "raw", "nums"]
+    return by_number.groupBy(*marker).agg(F.bool_or(F.coalesce("listed", F.lit(False))).alias("listed")).where("kind = 'ref' or listed").drop("listed")
 
 
 def typed_citations(paragraphs: DataFrame) -> DataFrame:

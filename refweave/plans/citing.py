@@ -148,7 +148,8 @@ SELECT doc_id, pos, recnum, coalesce(new, recnum) AS mapped, count(new) OVER (PA
 def apply_recnum_map(spark: SparkSession, sf: str) -> DataFrame:
     mapping = library(spark, sf).where("trash_state = 1").select(F.col("rec_id").cast("string").alias("old"), (F.col("rec_id") + 1).cast("string").alias("new"))
     mapped = op.apply_recnum_map(citations(spark, sf), mapping)
-    return mapped.select("doc_id", "pos", "recnum", "mapped", F.count("new").over(Window.partitionBy("recnum")).alias("n_of_pair"))
+    pairs = mapped.groupBy("recnum").agg(F.count("new").alias("n_of_pair"))  # summed before the shuffle, however often a record is cited
+    return mapped.select("doc_id", "pos", "recnum", "mapped").join(pairs, "recnum")
 
 
 @P.add(r"""WITH l AS (SELECT o_orderkey AS line_no, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '# ' || o_custkey WHEN 2 THEN ' ' || o_custkey || ' ->  ' || o_orderkey || ' ' ELSE o_custkey || ' to ' || o_orderkey END AS line FROM orders)
@@ -176,6 +177,17 @@ def expand_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return _number_lists(spark, sf).select("doc_id", "line", "part", "supp", F.array_join(op.expanded_numbers(F.col("shown")).cast("array<string>"), " ").alias("numbers"))
 
 
+@P.add(rf"""{_LISTS}, x AS (SELECT *, CASE line % 3 WHEN 0 THEN ab || [c] WHEN 1 THEN [c] || ab ELSE [a, c] END AS nums, dense_rank() OVER (PARTITION BY doc_id ORDER BY line, part, supp, shown) AS group_order FROM lists), r AS (SELECT doc_id, group_order, shown, unnest(range(0, len(nums))) AS place, nums FROM (SELECT DISTINCT doc_id, group_order, shown, nums FROM x)),
+e AS (SELECT doc_id, group_order, trim(shown) AS display, place, nums[place + 1] AS num FROM r), b AS (SELECT o_orderkey AS doc_id, unnest(range(1, 31)) AS num, 'entry of ' || o_custkey AS text FROM orders)
+SELECT e.doc_id, e.group_order::INT AS group_order, display, place::INT AS place, e.num::INT AS num, CASE WHEN b.text IS NULL THEN '#' || e.num ELSE e.num || ' — ' || b.text END AS label, count(*) OVER (PARTITION BY e.doc_id, e.num) AS n_in_doc,
+ (SELECT count(DISTINCT group_order) FROM e g WHERE g.doc_id = e.doc_id) AS n_groups, count(*) OVER (PARTITION BY e.doc_id) AS n_citations, (SELECT count(DISTINCT num) FROM e g WHERE g.doc_id = e.doc_id) AS n_references FROM e LEFT JOIN b ON b.doc_id = e.doc_id AND b.num = e.num""")
+def number_listing(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("line", "part", "supp", "shown"))
+    spans = _number_lists(spark, sf).select("doc_id", place.alias("group_order"), F.col("shown").alias("display")).distinct()
+    entries = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("num"), F.concat(F.lit("entry of "), F.col("o_custkey").cast("string")).alias("text"))
+    return op.number_listing(spans, entries)
+
+
 @P.add(rf"""{_LISTS}, m AS (SELECT *, CASE line % 3 WHEN 0 THEN (CASE WHEN a <= 40 THEN a + 100 ELSE a END) || '-' || (CASE WHEN b BETWEEN 1 AND 40 THEN b + 100 ELSE b END) || ',' || (CASE WHEN c <= 40 THEN c + 100 ELSE c END)
  WHEN 1 THEN (CASE WHEN c <= 40 THEN c + 100 ELSE c END) || '; ' || (CASE WHEN a <= 40 THEN a + 100 ELSE a END) || ' – ' || (CASE WHEN b BETWEEN 1 AND 40 THEN b + 100 ELSE b END) ELSE (CASE WHEN a <= 40 THEN a + 100 ELSE a END) || ',x,' || (CASE WHEN c <= 40 THEN c + 100 ELSE c END) END AS rewritten FROM lists)
 SELECT doc_id, line, part, supp, rewritten FROM m""")

@@ -185,9 +185,14 @@ def write_library_xml(spark: SparkSession, sf: str) -> DataFrame:
     return writers.library_xml(_records(spark, sf))
 
 
-@P.add(f"{BASE} SELECT '' AS kind, doc_id::VARCHAR AS doc_id, '' AS original, '' AS resolved, '' AS suggested, '' AS missing, '' AS ambiguous, '' AS dangling, author, cited_year AS year, title, '' AS score, '' AS note FROM citations")
+@P.add(f"""{_RECORDS} SELECT title AS "Input", CASE WHEN doi IS NULL THEN 'notfound' ELSE 'found' END AS "Status", '' AS "Source", array_to_string(authors, '; ') AS "Authors", title AS "Title", journal AS "Journal", year AS "Year", volume AS "Volume", issue AS "Issue", pages AS "Pages", coalesce(doi, '') AS "DOI", '' AS "PMID", CASE WHEN doi IS NULL THEN 'no' ELSE 'yes' END AS "Included" FROM records""")
 def write_report_csv(spark: SparkSession, sf: str) -> DataFrame:
-    return writers.report(citations(spark, sf).withColumnRenamed("cited_year", "year"))
+    found = F.col("doi").isNotNull()
+    r = _records(spark, sf).select(
+        F.col("title").alias("Input"), F.when(found, "found").otherwise("notfound").alias("Status"), F.array_join("authors", "; ").alias("Authors"), F.col("title").alias("Title"), F.col("journal").alias("Journal"), F.col("year").alias("Year"), F.col("volume").alias("Volume"),
+        F.col("issue").alias("Issue"), F.col("pages").alias("Pages"), F.col("doi").alias("DOI"), F.when(found, "yes").otherwise("no").alias("Included"), "rec_id",
+    )
+    return writers.report(r)
 
 
 @P.add(f"{BASE} SELECT rec_id AS num, '[[REF ' || rec_id || ']] -> ' || title AS value FROM library ORDER BY num")

@@ -101,8 +101,11 @@ def read_naming_sheet(spark: SparkSession, path: str, rename: bool = False) -> D
     return kept.where(f"{x} <> {y}") if rename else kept
 
 
-# Article types of the catalogue and what they are called here.
-CATALOG_TYPES = {"journal-article": "Journal Article", "book": "Book", "book-chapter": "Book Section", "monograph": "Book", "edited-book": "Edited Book", "reference-book": "Book", "proceedings-article": "Conference Paper", "proceedings": "Conference Proceedings", "posted-content": "Electronic Article", "report": "Report", "dissertation": "Thesis", "dataset": "Dataset"}
+# Article types of the catalogue and what they are called here. Others are journal articles.
+CATALOG_TYPES = {
+    "journal-article": "Journal Article", "proceedings-article": "Conference Paper", "book-chapter": "Book Section", "book": "Book", "book-part": "Book Section", "monograph": "Book", "reference-book": "Book", "edited-book": "Edited Book",
+    "report": "Report", "dataset": "Dataset", "dissertation": "Thesis", "posted-content": "Journal Article",
+}
 _DATES = "struct<`date-parts`: array<array<int>>>"
 ARTICLE = f"DOI string, type string, title array<string>, `container-title` array<string>, author array<struct<family: string, given: string, name: string>>, issued {_DATES}, `published-print` {_DATES}, `published-online` {_DATES}, volume string, issue string, page string, ISSN array<string>"
 

@@ -44,13 +44,13 @@ def enw(records: DataFrame) -> DataFrame:
     return records.dropDuplicates(["rec_id"]).select("rec_id", text.alias("value"))
 
 
-#: Fixed columns of the report, in order.
-REPORT = ["kind", "doc_id", "original", "resolved", "suggested", "missing", "ambiguous", "dangling", "author", "year", "title", "score", "note"]
+#: The columns of the report, in order.
+REPORT = ["Input", "Status", "Source", "Authors", "Title", "Journal", "Year", "Volume", "Issue", "Pages", "DOI", "PMID", "Included"]
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """The report's columns, empty where rows lack them; further columns are left out."""
-    return rows.select(*[(F.col(c).cast("string") if c in rows.columns else F.lit("")).alias(c) for c in REPORT])
+    """The report's columns, empty where rows lack them or hold null; further columns are left out."""
+    return rows.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c) for c in REPORT])
 
 
 def placeholder_list(placeholders: DataFrame) -> DataFrame:
