@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -423,7 +424,7 @@ def test_restaurant_probabilities_sum_to_one():
     words = np.sort(rng.choice(10**6, 50, replace=False)).astype(np.uint64)
     pairs = np.unique(rng.integers(0, 50 * 8, 200))
     present = np.unique(pairs // 8)
-    b = lm.Bucket(words[present], np.searchsorted(present, pairs // 8), pairs % 8, rng.integers(1, 300, len(pairs)), 1, 8)
+    b = lm.Bucket(words[present], np.searchsorted(present, pairs // 8), pairs % 8, rng.integers(1, 300, len(pairs)), 8)
     for _ in range(3):
         t = b.totals()
         every = np.r_[b.words, np.uint64(10**7)]
@@ -434,6 +435,97 @@ def test_restaurant_probabilities_sum_to_one():
         assert (b.tables >= 1).all() and (b.tables <= b.count).all() and (b.root_tables <= b.served).all()
 
 
+def test_log_gamma():
+    x = np.array([1e-3, 0.2, 0.4, 1, 1.7, 5, 30.5, 1e3, 1e6, 1e9])
+    assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
+
+
+@pytest.mark.parametrize("customers, alpha, discount", [(2, 0.7, 0.8), (7, 0.3, 0.8), (40, 2.5, 0.6), (150, 5.0, 0.8), (400, 0.05, 0.6)])
+def test_seating_has_the_law_of_seating_one_by_one(customers, alpha, discount):
+    """The law of the number of tables, below and beyond a hundred customers, against its recursion."""
+    law = np.zeros(customers + 2)
+    law[1] = 1.0
+    weight = lambda n, t: alpha / np.maximum(alpha + n - discount * t, 1e-9)
+    for n in range(1, customers):
+        t = np.arange(len(law))
+        opens = np.where((t > 0) & (t <= n), weight(n, t), 0.0)
+        law = law * (1 - opens) + np.r_[0.0, (law * opens)[:-1]]
+    size = 40000
+    got = np.bincount(lm.seat(np.full(size, customers), np.full(size, alpha), discount, np.arange(size, dtype=np.uint64) + np.uint64(5), 3).astype(int), minlength=len(law))[: len(law)] / size
+    assert np.abs(np.cumsum(got) - np.cumsum(law)).max() < 0.012
+
+
+def test_scores_equal_a_sampler_of_single_customers(spark):
+    """A Gibbs sampler that takes up and seats one customer at a time, with the restaurants' totals always current, gives the same scores but for noise."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{i}" for i in range(12) for a in "abc"]
+    weights = [1 / (1 + i) for i in range(len(vocabulary))]
+    texts = {d: " ".join(rng.choices(vocabulary, weights, k=60)) for d in range(40)}
+    held = {d for d in texts if zlib.crc32(str(d).encode()) % 10 == 0}
+    assert held
+    class_of = lambda w: 1 + xxhash.xxh3_64_intdigest(w[-1]) % (lm.CONTEXTS - 1) if w else 0
+    pairs_of = lambda x: [(class_of(a), b) for a, b in zip(["", *x.split()], [*x.split(), "<end>"])]
+    customers = [p for d, x in texts.items() if d not in held for p in pairs_of(x)]
+    tables: dict = {}  # (context, word) -> customers of each table
+    totals, served = Counter(), Counter()  # of each context: customers and tables; of each word: the parent's customers
+    known = {w for _, w in customers}
+    root: dict = {}  # word -> customers of each table of the parent
+
+    def up(tables, key):
+        """A customer of a dish leaves; whether a table goes with it."""
+        at = tables[key]
+        i = rng.choices(range(len(at)), at)[0]
+        at[i] -= 1
+        if not at[i]:
+            at.pop(i)
+            return True
+        return False
+
+    def down(tables, key, alpha, discount):
+        at = tables.setdefault(key, [])
+        i = rng.choices(range(len(at) + 1), [n - discount for n in at] + [alpha])[0]
+        if i == len(at):
+            at.append(1)
+            return True
+        at[i] += 1
+        return False
+
+    root_tables = lambda: sum(map(len, root.values()))
+    base = 1 / (len(known) + 1)
+    p_root = lambda w: (served[w] - lm.D0 * len(root.get(w, ())) + (lm.T0 + lm.D0 * root_tables()) * base) / (lm.T0 + sum(served.values()))
+    score = Counter()
+    for sweep in range(14):
+        for c, w in customers:
+            if sweep:
+                totals[c] -= 1
+                if up(tables, (c, w)):
+                    totals[c, "t"] -= 1
+                    served[w] -= 1
+                    up(root, w)
+            if down(tables, (c, w), (lm.T1 + lm.D1 * totals[c, "t"]) * p_root(w), lm.D1):
+                totals[c, "t"] += 1
+                down(root, w, (lm.T0 + lm.D0 * root_tables()) * base, lm.D0)
+                served[w] += 1
+            totals[c] += 1
+        if sweep >= 4:
+            for d in texts:
+                for k, (c, w) in enumerate(pairs_of(texts[d])):
+                    own = tables.get((c, w), [])
+                    score[d, k] += (sum(own) - lm.D1 * len(own) + (lm.T1 + lm.D1 * totals[c, "t"]) * p_root(w)) / (lm.T1 + totals[c]) / 10
+    want = {d: sum(math.log10(score[d, k]) for k in range(61)) for d in texts}
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs_of(spark, list(texts.items())).coalesce(1), states=16, burn_in=6).collect()}
+    apart = [abs(got[d] - want[d]) / 61 for d in texts]
+    print("log10 a token apart: mean", sum(apart) / len(apart), "most", max(apart))
+    assert sum(apart) / len(apart) < 0.006 and max(apart) < 0.02  # noise of both samplers
+    assert abs(sum(got.values()) - sum(want.values())) / 61 / len(texts) < 0.004
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    rows = list(sample_docs(spark).items())
+    one, two = (sorted((r["doc_id"], round(r["score"], 4)) for r in lm.score_texts(docs_of(spark, rows).repartition(n)).collect()) for n in (2, 9))
+    assert one == two
+
+
 def test_lm_edges(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (4, "a b a"), (4, "a b a"), (5, "c " * 3000)]
     got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in lm.score_texts(docs_of(spark, rows)).collect())
