@@ -6,6 +6,7 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder, order = scratch(spark, "corpus-tokens"), []
-    if docs.inputFiles():
+    try:
         docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
         order = ["file", "row"]
+    except AnalysisException:  # no file's rows: in order of their ids
+        pass
     tokens.write_tokens(docs, folder, tokens.Format(public_tokenizers.path("byte_bpe_50k.json"), end_id=0, width=2), order=order)
     return tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
