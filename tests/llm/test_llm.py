@@ -516,7 +516,8 @@ def test_scores_equal_a_sampler_of_single_customers(spark):
     got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs_of(spark, list(texts.items())).coalesce(1), states=16, burn_in=6).collect()}
     apart = [abs(got[d] - want[d]) / 61 for d in texts]
     print("log10 a token apart: mean", sum(apart) / len(apart), "most", max(apart))
-    assert sum(apart) / len(apart) < 0.006 and max(apart) < 0.02  # noise of both samplers
+    # two runs of the sampler of single customers differ by 0.004 on average and 0.011 at most: twice that is allowed
+    assert sum(apart) / len(apart) < 0.008 and max(apart) < 0.022
     assert abs(sum(got.values()) - sum(want.values())) / 61 / len(texts) < 0.004
 
 
@@ -751,5 +752,25 @@ def test_pipeline_stages_chain(spark):
     assert final.agg(F.sum("n_tokens")).first()[0] == final.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    clash = {"_row": F.lit(1), "_gone": F.lit(2), "shard": F.lit(3), "_w": F.lit(4), "block": F.lit(5)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 40
+
+
+def test_tokens_keep_the_order_of_the_mix(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(60)], "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.lit(1)})
+    corpus_pipeline.mixing_stage(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    files = mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    got = corpus_pipeline.token_stage(spark, mixed, SF).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in files] != sorted(r["doc_id"] for r in files)
+
+
 def test_digest_of_kept_words_is_sha256(spark):
     assert spark.createDataFrame([("é a",)], "t string").select(F.sha2(F.col("t").cast("binary"), 256)).first()[0] == hashlib.sha256("é a".encode()).hexdigest()
