@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.llm import chat, decontaminate, html, lm, mixing, neardup, quality, substring, tokens, urls
+from refweave.llm import chat, decontaminate, fim, html, lm, mixing, neardup, quality, resample, sharding, substring, tokens, urls
 from refweave.llm.common import scratch, table
 
 
@@ -65,8 +65,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("conv_id", "n_turns", sha("turns_text").alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), sha("loss_text").alias("loss_sha256"), "formatted_chars")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_source_mix, op4_near_duplicates, op5_decontamination, op6_lm_score, op7_html_text, op8_substring_dedup, op9_url_filter, op10_chat_format)
+    f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_source_mix, op4_near_duplicates, op5_decontamination, op6_lm_score, op7_html_text, op8_substring_dedup, op9_url_filter, op10_chat_format, op11_importance_resample, op12_sampled_shards, op13_fill_in_middle)
 }
 
 _W = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[])"
@@ -159,4 +175,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY, "op3_source_mix": _MIX, "op5_decontamination": _LEAKS, "op8_substring_dedup": _REPEATS, "op9_url_filter": _url_sql(), "op10_chat_format": _CHAT}
+_DRAW = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWERED}, {_ALNUM}), []::VARCHAR[]) AS ws FROM documents),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(coalesce(regexp_extract_all({_LOWERED}, {_ALNUM}), []::VARCHAR[])) AS w FROM benchmark) GROUP BY w),
+vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+hashed AS (SELECT w, xor(list_reduce(list_transform(range(strlen(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM vocabulary, tab),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM bw JOIN hashed USING (w) GROUP BY bucket),
+every AS (SELECT b AS bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM (SELECT unnest(range(10000)) AS b) LEFT JOIN s ON b = s.bucket LEFT JOIN t ON b = t.bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM every),
+weighed AS (SELECT r, sum(n * gain) AS weight FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN weighed USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+_INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+l AS (SELECT *, coalesce(regexp_extract_all(t, '[^\n]*\n|[^\n]+'), []::VARCHAR[]) AS ls, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS hs FROM d),
+c AS (SELECT *, len(ls)::BIGINT AS n, least(hs[1] % (len(ls) + 1), hs[2] % (len(ls) + 1)) AS a, greatest(hs[1] % (len(ls) + 1), hs[2] % (len(ls) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, array_to_string(ls[:a], '') AS prefix, array_to_string(ls[a + 1:b], '') AS middle, array_to_string(ls[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _QUALITY, "op3_source_mix": _MIX, "op5_decontamination": _LEAKS, "op8_substring_dedup": _REPEATS, "op9_url_filter": _url_sql(), "op10_chat_format": _CHAT, "op11_importance_resample": _DRAW, "op13_fill_in_middle": _INFILL}
