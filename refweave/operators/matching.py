@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from refweave.functions import text as tx
 from refweave.functions.similarity import seq_ratio
+from refweave.operators import ranking
 from refweave.sources.staging import staged
 
 
@@ -142,51 +143,17 @@ def group_reuse(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return keyed(targets).join(src, "ids").select("group_id", "source_id", "ids")
 
 
-def ngrams(text: Column) -> Column:
-    """Words of two characters or more, lower-case, and their pairs."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
-
-
-def _vocabulary(docs: DataFrame, tf: DataFrame, size: int) -> DataFrame:
-    """term, idf of the `size` most frequent terms, ties by term."""
-    top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.col("cf").desc(), "term").limit(size)
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    return top.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
 def tfidf_weights(docs: DataFrame, vocabulary: int = 50_000) -> DataFrame:
     """id, term, w: sublinear term frequency times smooth idf, of unit length per text; the `vocabulary` most frequent terms (ties by term). docs: id, text."""
-    tf = docs.select("id", F.explode(ngrams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(_vocabulary(docs, tf, vocabulary), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    tf = ranking.term_counts(docs)
+    w = tf.join(ranking.vocabulary_of(docs, vocabulary), "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
 
 
-def with_query_weights(queries: DataFrame, docs: DataFrame, vocabulary: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Weights of queries and documents (both: id, text) in the vocabulary fitted on the documents."""
-    count = lambda df: df.select("id", F.explode(ngrams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = count(docs)
-    terms = staged(_vocabulary(docs, tf, vocabulary), "vocabulary")
-
-    def unit(t: DataFrame) -> DataFrame:
-        w = t.join(terms, "term").select("id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
-
-    return unit(count(queries)), unit(tf)
-
-
-def cosine(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a_id, b_id, score of texts that share a term: an inverted index. Both: id, term, w."""
-    j = a.select(F.col("id").alias("a_id"), "term", F.col("w").alias("wa")).join(b.select(F.col("id").alias("b_id"), "term", F.col("w").alias("wb")), "term")
-    return j.groupBy("a_id", "b_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
-
-
-def compare_lists(a: DataFrame, b: DataFrame, matched: float = 0.28, review: float = 0.08) -> DataFrame:
+def compare_lists(a: DataFrame, b: DataFrame, matched: float = 0.28, review: float = 0.08, vocabulary: int = 50_000) -> DataFrame:
     """side, a_id, b_id, score, status: each reference of A with its best of B (lowest id on ties): matched, review or only_a; and those of B that are no matched best, only_b. Both: id, text; ids are unique over both lists."""
-    w = tfidf_weights(a.select("id", "text").union(b.select("id", "text")))
-    scored = cosine(w.join(a.select("id"), "id", "left_semi"), w.join(b.select("id"), "id", "left_semi"))
-    best = scored.groupBy("a_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "b_id")).alias("m")).select("a_id", "m.b_id", (-F.col("m.s")).alias("score"))
+    a, b = a.select("id", "text"), b.select("id", "text")
+    best = ranking.ranked(a, b, ranking.vocabulary_of(a.union(b), vocabulary), 1).select(F.col("q_id").alias("a_id"), F.col("d_id").alias("b_id"), "score")
     left = a.select(F.col("id").alias("a_id")).join(best, "a_id", "left")
     status = F.when(F.col("score") >= matched, "matched").when(F.col("score") >= review, "review").otherwise("only_a")
     rows = left.select("a_id", F.when(F.col("score") >= review, F.col("b_id")).alias("b_id"), F.coalesce("score", F.lit(0.0)).alias("score"), status.alias("status"))
@@ -195,11 +162,9 @@ def compare_lists(a: DataFrame, b: DataFrame, matched: float = 0.28, review: flo
     return rows.unionByName(only)
 
 
-def top_matches(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """q_id, d_id, score, place: the k best documents of each query (score, then id)."""
-    q, d = with_query_weights(queries, docs)
-    order = Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id")
-    return cosine(q, d).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(F.col("a_id").alias("q_id"), F.col("b_id").alias("d_id"), "score", "place")
+def top_matches(queries: DataFrame, docs: DataFrame, k: int = 5, vocabulary: int = 50_000) -> DataFrame:
+    """q_id, d_id, score, place: the k best documents of each query (score, then id), in the vocabulary fitted on the documents. Both: id, text; ids are unique in each."""
+    return ranking.ranked(queries.select("id", "text"), docs.select("id", "text"), ranking.vocabulary_of(docs, vocabulary), k)
 
 
 def audit_keys(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -314,3 +314,62 @@ def test_restoring_copies_runs_behind_the_last_one(spark):
     assert rows(s) == [(1, 10, "restored"), (2, 10, "already"), (3, None, "unmatched"), (4, 11, "plain")]
     runs = spark.createDataFrame([(1, 0), (1, 5), (2, 0)], "para_id long, run_idx int")
     assert rows(matching.copied_runs(s, runs, old)) == [(1, 6, "[1]"), (1, 7, "[2]")]
+
+
+def _brute_ranking(queries, docs, k):
+    """Cosines of all pairs, by the definition."""
+    import re
+    from collections import Counter
+    from math import log, sqrt
+
+    def grams(t):
+        w = re.findall(r"\w\w+", t.lower())
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    df = Counter(t for _, x in docs for t in grams(x))
+
+    def weights(x):
+        w = {t: (1 + log(n)) * (log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in grams(x).items() if t in df}
+        norm = sqrt(sum(v * v for v in w.values()))
+        return {t: v / norm for t, v in w.items()}
+
+    held = [(d, weights(x)) for d, x in docs]
+    out = []
+    for q, x in queries:
+        wq = weights(x)
+        scores = sorted((-round(sum(v * wd[t] for t, v in wq.items() if t in wd), 6), d) for d, wd in held if wq.keys() & wd.keys())
+        out += [(q, d, -s, i + 1) for i, (s, d) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("one_level", [0, 3, 256])
+@pytest.mark.parametrize("k", [1, 4])
+def test_ranking_equals_all_pairs(spark, monkeypatch, one_level, k):
+    """With hot terms in levels, and without; ties, copies, texts without known terms."""
+    from refweave.operators import ranking
+
+    monkeypatch.setattr(ranking, "ONE_LEVEL", one_level)
+    rng = random.Random(one_level * 10 + k)
+    words = ["common", "often"] + [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [60, 25] + [100 / (i + 1) for i in range(40)], k=n))
+    docs = [(i, text(rng.choice([2, 5, 9, 30]))) for i in range(150)] + [(200 + i, f"common w{i}") for i in range(40)] + [(300 + i, "common often") for i in range(9)] + [(400, ""), (401, "? !")]
+    queries = [(i, text(rng.choice([1, 3, 8]))) for i in range(80)] + [(100, "common"), (101, "often common"), (102, "common w39 unknown"), (103, ""), (104, "nothing known here"), (105, "common")]
+    make = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    got = sorted(tuple(r) for r in matching.top_matches(make(queries), make(docs), k).select("q_id", "d_id", "score", "place").collect())
+    assert got == _brute_ranking(queries, docs, k)
+
+
+def test_a_term_in_every_text_is_not_joined(spark, monkeypatch):
+    """Rows that a search joins follow k and the queries, not the pairs that share the hot term."""
+    from refweave.operators import ranking
+
+    seen = []
+    plain = ranking.joined
+    monkeypatch.setattr(ranking, "joined", lambda plan, postings: seen.append(plain(plan, postings)) or seen[-1])
+    n = 2000
+    docs = [(i, f"common rare{i} " + " ".join(f"f{(i * j) % 97}" for j in range(i % 7))) for i in range(n)] + [(n + i, f"common only{i}") for i in range(n)]
+    queries = [(i, f"common rare{i}") for i in range(300)] + [(1000 + i, f"common only{i}") for i in range(300)] + [(2000, "common")]
+    make = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    got = matching.top_matches(make(queries), make(docs), 3).collect()
+    assert len(got) == 3 * len(queries) and seen[0].count() <= 12 * len(got) < 601 * 4000 / 50
+    assert {r["q_id"]: r["d_id"] for r in got if r["place"] == 1 and r["q_id"] >= 1000} == {1000 + i: n + i for i in range(300)} | {2000: min(r["d_id"] for r in got if r["q_id"] == 2000 and r["place"] == 1)}
