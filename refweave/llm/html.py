@@ -2,9 +2,12 @@
 
 A page's tags become a small tree. Blocks of text give points for their length and commas to their parent (all) and
 grandparent (half); a container's points are discounted by the share of its text that stands in links. The best container
-is kept whole, with those siblings that are of its kind or read like it; navigation, headers, footers, sidebars, forms, notices, comments and adverts are
+is kept whole, with those siblings that are of its kind or read like it; navigation, footers, sidebars, notices, comments and adverts are
 dropped wherever they stand, by their element or by a class, id or role that names nothing else.
 
+Some elements are judged by what they hold, once the page is read: a form goes unless it wraps text, much of it for each of its fields; inside an article a container that only its id names goes if it is made of links, has no
+prose or holds readers' comments, for ids are also slugs of headings; a header outside an article stays if it is the title of the best container.
+
 Every step is linear in the page: what a node needs of its ancestors is noted when it is made, sums go up the tree once, and marks go down once.
 """
 
@@ -25,7 +28,7 @@ from refweave.llm.common import bounded_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-DROPPED = RAW | frozenset("head nav footer aside form button menu dialog header svg object canvas audio video select".split())
+DROPPED = RAW | frozenset("head nav footer aside button menu dialog svg object canvas audio video select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset(["body", "html"])
 #: An opening tag of the first kind ends open elements of the second kinds, up to a boundary of the third.
@@ -36,25 +39,35 @@ ARTICLE = frozenset("article main".split())
 HOLDERS = frozenset("div section article main body #root td".split())
 #: Elements that are no containers of an article by themselves.
 PARTS = frozenset("p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th".split())
+#: Elements that an id may name as no part of the article. Others, as headings and paragraphs, have slugs for ids.
+NAMED_BY_ID = BLOCK - frozenset("h1 h2 h3 h4 h5 h6 hgroup p li dt dd blockquote pre figure figcaption address caption hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of forms that readers fill in, and characters of unlinked text for each of them that a form which wraps text has at least.
+FIELDS, CHARS_A_FIELD = frozenset("input select textarea button".split()), 100
+#: Words that name readers' comments.
+REMARKS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Words that name what isn't the article; and words that may stand beside them in a name without changing that.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus dialog footer header login menu menubar modal nav navbar navigation newsletter notice notices alert pager pagination popup promo related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 BESIDE = frozenset("site page main top bottom left right upper lower primary secondary global box block bar banner wrapper wrap container inner outer list listing links link item items section area region panel row col column unit slot text title body form button buttons icons sticky fixed inline small large mobile desktop posts articles content group holder stories privacy policy bar".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+)>")
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. `block` is the nearest block element from it upwards, `near` the nearest one of each implied kind or its boundary, `inside` the number of open inline elements by tag within the scope."""
+    """An element. `block` is the nearest block element from it upwards, `near` the nearest one of each implied kind or its boundary, `inside` the number of open inline elements by tag within the scope.
+    `form`, `header` and `named` are the nearest elements from it upwards that are judged by what they hold; `fields`, `titled` and `prose` are what they are judged by, `gone` the verdict."""
 
-    __slots__ = ("tag", "parent", "names", "dropped", "block", "in_article", "near", "inside", "chars", "linked", "points")
+    __slots__ = ("tag", "parent", "names", "dropped", "block", "in_article", "near", "inside", "chars", "linked", "points", "form", "header", "named", "fields", "titled", "prose", "gone")
 
-    def __init__(self, tag: str, parent: Node | None, names: str, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, names: str, dropped: bool, judged: str = ""):
         self.tag, self.parent, self.names, self.dropped = tag, parent, names, dropped
+        self.form, self.header, self.named = (self if judged == kind else getattr(parent, kind, None) for kind in ("form", "header", "named"))
+        self.fields, self.titled, self.prose, self.gone = 0, False, False, False
         self.block = self if tag in BLOCK or parent is None else parent.block
         self.in_article = tag in ARTICLE or parent is not None and parent.in_article
         self.near = dict(parent.near) if parent is not None and tag in _KINDS_OF else (parent.near if parent is not None else {})
@@ -78,18 +91,27 @@ def marked(name: str) -> set[str]:
     return marks if all(x in MARKS or x in BESIDE for x in parts) else set()
 
 
-def _unlikely(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element's attributes mark it as no part of the article, and its class. A header inside the article is its own."""
-    if not attrs:
+def _attributes(attrs: str) -> dict[str, str]:
+    """Attributes by name; of several of one name, the first."""
+    values: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        values.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return values
+
+
+def _unlikely(tag: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, str]:
+    """Whether an element's attributes mark it as no part of the article; and else, by what it is to be judged: header, named or nothing."""
+    if tag in ("html", "body", "main"):
         return False, ""
-    values = {m[1].lower(): m[2].strip("\"'") for m in _ATTR.finditer(attrs)}
-    names = values.get("class", "")
-    if tag in ("html", "body", "article", "main") and tag != "article":
-        return False, names
-    if _HIDDEN.search(attrs):
-        return True, names
-    marks = [m for x in values.values() for m in map(marked, x.split()) if m]
-    return any(m != {"header"} or not in_article for m in marks), names
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(attrs.get("style", "")):
+        return True, ""
+    marks = [m for k in ("class", "role") for m in map(marked, attrs.get(k, "").split()) if m]
+    by_id = marked(attrs.get("id", "")) if tag in NAMED_BY_ID else set()
+    if any(m != {"header"} for m in marks) or by_id & REMARKS or by_id - {"header"} and not in_article:
+        return True, ""
+    if (tag == "header" or marks or by_id == {"header"}) and not in_article:
+        return False, "header"
+    return False, "named" if by_id - {"header"} else ""
 
 
 def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
@@ -169,6 +191,8 @@ def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
                 if hit is not None:
                     leave(hit.parent)
             holder = at.block
+        if tag in FIELDS and at.form is not None and not (tag == "input" and _attributes(m[3]).get("type", "").lower() == "hidden"):
+            at.form.fields += 1
         if tag in VOID:
             continue
         if tag in RAW:
@@ -184,9 +208,18 @@ def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        unlikely, names = _unlikely(tag, m[3], at.in_article)
-        own_header = tag == "header" and at.in_article
-        at = Node(tag, at, names, at.dropped or unlikely or tag in DROPPED and not own_header)
+        attrs = _attributes(m[3]) if m[3] else {}
+        unlikely, judged = _unlikely(tag, attrs, at.in_article)
+        if tag == "form" and at.form is None:
+            judged = "form"
+        unlikely = unlikely or tag in DROPPED or tag in ("label", "legend") and at.form is not None
+        if tag == "nav" and at.header is not None:
+            at.header.fields += 1
+        at = Node(tag, at, attrs.get("class", ""), at.dropped or unlikely, judged)
+        if tag in ARTICLE and at.form is not None:
+            at.form.titled = True
+        if tag in HEADINGS and at.header is not None:
+            at.header.titled = True
         nodes.append(at)
         links += tag == "a"
         if tag in BLOCK:
@@ -198,24 +231,60 @@ def blocks_of(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
     return found, nodes
 
 
+def _reads(holder: Node, text: str, linked: int) -> bool:
+    """Whether a paragraph reads like prose: long, or ended like a sentence, and with few links."""
+    share = linked / len(text)
+    return holder.tag == "p" and share < 0.25 and (len(text) > 80 or not share and text[-1] in ".!?")
+
+
+def _sums(found: list[tuple[Node, str, int]], nodes: list[Node]) -> None:
+    """Characters and linked characters of all elements."""
+    for n in nodes:
+        n.chars = n.linked = 0
+    for holder, text, linked in found:
+        holder.chars += len(text)
+        holder.linked += linked
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
+
+
+def _density(n: Node) -> float:
+    return min(1.0, n.linked / n.chars) if n.chars else 0.0
+
+
+def _judged(found: list[tuple[Node, str, int]], nodes: list[Node]) -> list[tuple[Node, str, int]]:
+    """The blocks that no form, and no container that only its id names, takes away."""
+    _sums(found, nodes)
+    for holder, text, linked in found:
+        if holder.named is not None and _reads(holder, text, linked):
+            holder.named.prose = True
+    for n in reversed(nodes):
+        if n.named is n and n.prose and n.parent.named is not None:
+            n.parent.named.prose = True
+    for n in nodes[1:]:
+        if n.form is n:
+            n.gone = not n.titled and n.chars - n.linked < CHARS_A_FIELD * n.fields
+        elif n.named is n:
+            n.gone = not n.prose or _density(n) >= 0.25 or bool(n.fields) or n.parent.named is not None and n.parent.named.gone
+    return [x for x in found if not (x[0].form is not None and x[0].form.gone or x[0].named is not None and x[0].named.gone)]
+
+
 def extract(html: str | None) -> str:
     """The main text: the kept blocks in page order, one a line; empty if there is none."""
     found, nodes = blocks_of(html or "")
-    if not found:
+    found = _judged(found, nodes)
+    scored = [x for x in found if x[0].header is None]
+    if not scored:
         return ""
-    for holder, text, linked in found:
-        holder.chars += len(text)
-        holder.linked += linked
+    _sums(scored, nodes)
+    for holder, text, _ in scored:
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
         parent = holder if holder.tag in HOLDERS or holder.parent is None else holder.parent
         parent.points += points
         if parent.parent is not None:
             parent.parent.points += points / 2
-    for n in reversed(nodes[1:]):
-        n.parent.chars += n.chars
-        n.parent.linked += n.linked
-    density = lambda n: min(1.0, n.linked / n.chars) if n.chars else 0.0
-    final = lambda n: n.points * (1 - density(n)) + 25 * (n.tag in ARTICLE and n.chars > 0)
+    final = lambda n: n.points * (1 - _density(n)) + 25 * (n.tag in ARTICLE and n.chars > 0)
     best = max(nodes, key=final)  # the first of equals
     while best.tag in PARTS and best.parent is not None:
         best = best.parent
@@ -224,18 +293,30 @@ def extract(html: str | None) -> str:
     for n in nodes:
         side[n] = n if n.parent is best.parent else side[n.parent] if n.parent is not None else None
     floor, kept = max(10.0, 0.2 * final(best)), {best: True}
+    has_title, prose = False, set()
+    for holder, text, linked in scored:
+        has_title = has_title or holder.tag == "h1" and side[holder] is best
+        if _reads(holder, text, linked):
+            prose.add(side[holder])
     out = []
     for holder, text, linked in found:
         n = side[holder]
-        if n is None or best.parent is None:
-            if best.parent is None:
+        if holder.header is not None:
+            # its own title, if it has no other, and not that of the whole page
+            h = holder.header
+            own = n is best and best.tag not in ("body", "html", "#root")
+            if own and h.titled and not h.fields and not has_title and linked <= len(text) / 2:
                 out.append(text)
             continue
+        if best.parent is None:
+            out.append(text)
+            continue
+        if n is None:
+            continue
         if n not in kept:
             same = n.tag == best.tag and n.names == best.names and (n.tag == "article" or bool(n.names))
-            kept[n] = same or final(n) >= floor and density(n) < 0.25
-        share = linked / len(text)
-        if kept[n] or n.tag == "p" and share < 0.25 and (len(text) > 80 or not share and text[-1] in ".!?"):
+            kept[n] = same or _density(n) < 0.25 and (final(n) >= floor or n in prose)
+        if kept[n] or _reads(holder, text, linked):
             out.append(text)
     return "\n".join(out)
 
