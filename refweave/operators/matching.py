@@ -6,8 +6,6 @@ joined by rows, which adaptive execution splits; counts are summed before they a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,48 +15,89 @@ from refweave.operators import ranking
 from refweave.sources.staging import staged
 
 
-def deletions(word: Column, most: int) -> Column:
-    """The word and all that is left of it after up to `most` single characters are dropped: two words within that edit distance share one."""
-    out = F.array(word)
-    level = out
-    for _ in range(most):
-        level = F.array_distinct(F.flatten(F.transform(level, lambda v: F.transform(F.when(F.char_length(v) > 0, F.sequence(F.lit(1), F.char_length(v))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.char_length(v)))))))
-        out = F.array_union(out, level)
-    return out
-
-
 def likeness(a: Column, b: Column) -> Column:
     """1 - edit distance / length of the longer word: a stand-in, of its own scale, for a matching-blocks ratio."""
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
 
 
-def _most_edits(word: Column, least: float) -> Column:
-    return F.floor(F.char_length(word) * F.lit(1 - least) + 1e-9).cast("int")
-
-
-def _keys(word: Column, prefix: int, edits: int, own: str, other: str) -> Column:
-    """Blocking keys of a word: its prefix, its deletion variants, itself where it is shorter than the prefix, and its shorter prefixes, each kind with its mark. The marks `own` and `other` change places on the other side."""
+def _starts(word: Column, prefix: int, own: str, other: str) -> Column:
+    """Keys on which two words meet of which one begins with the other's prefix: the prefix, the word itself where it is shorter, and its shorter prefixes. The marks `own` and `other` change places on the other side."""
     short = F.when(F.char_length(word) < prefix, F.array(F.concat(F.lit(own), word))).otherwise(F.array().cast("array<string>"))
     shorter = F.transform(F.sequence(F.lit(1), F.lit(prefix - 1)), lambda i: F.concat(F.lit(other), F.substring(word, F.lit(1), i)))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring(word, 1, prefix))), F.transform(deletions(word, edits), lambda v: F.concat(F.lit("d:"), v)), short, shorter))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("p:"), F.substring(word, 1, prefix))), short, shorter))
+
+
+def grams(word: Column) -> Column:
+    """The pairs of neighbouring characters of a word with a mark on either side, each with its occurrence number."""
+    padded = F.concat(F.lit("\x02"), word, F.lit("\x03"))
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length(word) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def _least_shared(a: Column, b: Column, like: float, similarity: str) -> Column:
+    """How many grams words of a and b characters share at least if they are alike; null if they can't be.
+
+    An edit takes two grams at most. In the matching-blocks ratio m characters match, in one block more than there are characters that don't, at most, and a block of n characters, the marks included, has n - 1 grams.
+    """
+    if similarity == "sequence":
+        m = F.ceil((a + b) * F.lit(like / 2) - 1e-9)
+        return F.when(m <= F.least(a, b), 3 * m - a - b + 1)
+    edits = F.floor(F.greatest(a, b) * F.lit(1 - like) + 1e-9)
+    return F.when(F.abs(a - b) <= edits, F.greatest(a, b) + 1 - 2 * edits)
+
 
+def alike_pairs(left: DataFrame, right: DataFrame, like: float, similarity: str = "edits") -> DataFrame:
+    """sl, ll of all distinct names with a likeness of `like` or more (above 2/3), and some that have less: those that share as many grams as such names do. left: sl; right: ll.
 
-def name_pairs(refs: DataFrame, library: DataFrame, prefix: int, like: float, edits: int, similarity: str = "edits") -> DataFrame:
-    """sl, ll, ratio, starts of distinct names that are alike or of which one begins with the other's prefix. Pairs are made of names, not of rows."""
-    a = refs.select("sl").where("sl <> ''").distinct().select("sl", F.explode(_keys(F.col("sl"), prefix, edits, "s:", "t:")).alias("key"))
-    b = library.select("ll").where("ll <> ''").distinct().select("ll", F.explode(_keys(F.col("ll"), prefix, edits, "t:", "s:")).alias("key"))
+    Names meet on their rarest grams: of n grams of which t must be shared, on the n - t + 1 rarest, t being the least over all lengths that the other name may have.
+    """
+    sides = [df.select(F.col(c).alias("name")).where("name <> ''").distinct().select(F.lit(i).alias("side"), "name", grams(F.col("name")).alias("grams")) for i, (df, c) in enumerate(((left, "sl"), (right, "ll")))]
+    every = staged(sides[0].unionByName(sides[1]), "names")
+    counts = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = every.select("side", "name", F.explode("grams").alias("gram")).join(counts, "gram").groupBy("side", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))
+    size = F.char_length("name")
+    lengths = F.sequence(F.greatest(F.lit(1), F.floor(size * F.lit(like * like)).cast("int")), F.ceil(size / F.lit(like * like)).cast("int"))
+    least = F.array_min(F.filter(F.transform(lengths, lambda n: _least_shared(size, n, like, similarity)), lambda t: t.isNotNull()))
+    keyed = staged(ranked.withColumn("rare", F.slice("grams", F.lit(1), (F.size("grams") - F.greatest(least, F.lit(1)) + 1).cast("int"))), "name-grams")
+    of = lambda side, name, mine: keyed.where(F.col("side") == side).select(F.col("name").alias(name), F.col("grams").alias(mine), F.explode("rare").alias("gram"))
+    met = of(0, "sl", "a").join(of(1, "ll", "b"), "gram")
+    enough = F.size(F.array_intersect("a", "b")) >= _least_shared(F.char_length("sl"), F.char_length("ll"), like, similarity)
+    return met.where(enough).select("sl", "ll").distinct()
+
+
+def name_pairs(refs: DataFrame, library: DataFrame, prefix: int, like: float, similarity: str = "edits") -> DataFrame:
+    """sl, ll, ratio, starts of distinct names that are alike or of which one begins with the other's prefix, all of them. Pairs are made of names, not of rows."""
+    a = refs.select("sl").where("sl <> ''").distinct().select("sl", F.explode(_starts(F.col("sl"), prefix, "s:", "t:")).alias("key"))
+    b = library.select("ll").where("ll <> ''").distinct().select("ll", F.explode(_starts(F.col("ll"), prefix, "t:", "s:")).alias("key"))
     starts = F.startswith("ll", F.substring("sl", 1, prefix)) | F.startswith("sl", F.substring("ll", 1, prefix))
-    pairs = a.join(b, "key").select("sl", "ll").distinct().select("sl", "ll", (seq_ratio if similarity == "sequence" else likeness)(F.col("sl"), F.col("ll")).alias("ratio"), starts.alias("starts"))
-    return pairs.where((F.col("ratio") >= like) | F.col("starts"))
+    pairs = a.join(b, "key").select("sl", "ll").union(alike_pairs(refs, library, like, similarity)).distinct()
+    scored = pairs.select("sl", "ll", (seq_ratio if similarity == "sequence" else likeness)(F.col("sl"), F.col("ll")).alias("ratio"), starts.alias("starts"))
+    return staged(scored.where((F.col("ratio") >= like) | F.col("starts")), "name-pairs")
+
+
+#: What scoring asks of a reference and of a record; made once for each, before they are paired.
+SAID = ("found", "numbers")
+RECORD = ("title_terms", "journal_terms", "volume", "page_numbers")
+
+
+def said_parts(hint: Column) -> list[Column]:
+    """SAID of a reference's hint."""
+    return [tx.terms(hint).alias("found"), F.regexp_extract_all(hint, F.lit(r"\d+"), F.lit(0)).alias("numbers")]
+
 
+def record_parts(authors: bool = False) -> list[Column]:
+    """RECORD (and author_terms) of columns title, journal, volume, pages (and authors)."""
+    terms = lambda c: tx.terms(F.coalesce(c, F.lit("")))
+    own = [terms(F.col("title")).alias("title_terms"), terms(F.col("journal")).alias("journal_terms"), F.col("volume"), F.regexp_extract_all(F.coalesce("pages", F.lit("")), F.lit(r"\d+"), F.lit(0)).alias("page_numbers")]
+    return own + ([terms(F.array_join("authors", " ")).alias("author_terms")] if authors else [])
 
-def content_score(hint: Column, title: Column, journal: Column, volume: Column, pages: Column, authors: Column | None = None) -> Column:
-    """Words of title and journal found in the hint, 0.6 for each author's, and 0.5 for each of its numbers that is the volume or a page, at most two of them."""
-    found, numbers = tx.terms(hint), F.regexp_extract_all(hint, F.lit(r"\d+"), F.lit(0))
-    over = lambda c: F.size(F.array_intersect(tx.terms(F.coalesce(c, F.lit(""))), found)).cast("double")
-    hits = F.coalesce(F.array_contains(numbers, volume).cast("int"), F.lit(0)) + F.size(F.filter(F.regexp_extract_all(F.coalesce(pages, F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda p: F.array_contains(numbers, p)))
-    score = over(title) + over(journal) + 0.5 * F.least(hits, F.lit(2))
-    return score if authors is None else score + 0.6 * over(F.array_join(authors, " "))
+
+def content_score(authors: bool = False) -> Column:
+    """Words of title and journal found in the hint, 0.6 for each author's, and 0.5 for each of its numbers that is the volume or a page, at most two of them. Of columns SAID and RECORD."""
+    over = lambda c: F.size(F.array_intersect(F.col(c), F.col("found"))).cast("double")
+    hits = F.coalesce(F.array_contains("numbers", F.col("volume")).cast("int"), F.lit(0)) + F.size(F.filter("page_numbers", lambda p: F.array_contains("numbers", p)))
+    score = over("title_terms") + over("journal_terms") + 0.5 * F.least(hits, F.lit(2))
+    return score + 0.6 * over("author_terms") if authors else score
 
 
 def best_two(pairs: DataFrame, key: str) -> DataFrame:
@@ -73,28 +112,27 @@ def _decided() -> Column:
     return F.when(F.col("n") == 1, "exact").when((top >= 2.0) & (top - second >= 1.5), "exact").when((top >= 1.0) & (top > second), "near").otherwise("ambiguous")
 
 
-def match_library(refs: DataFrame, library: DataFrame, like: float = 0.85, far_like: float = 0.8, edits: int = 2, similarity: str = "edits") -> DataFrame:
+def match_library(refs: DataFrame, library: DataFrame, like: float = 0.85, far_like: float = 0.8, similarity: str = "edits") -> DataFrame:
     """ref_id, rec_id, score, match_kind (exact, near, ambiguous, none). refs: ref_id, surname, year, hint; library: rec_id, surname, year, title, journal, volume, pages, authors.
 
-    Candidates have the same year and a surname alike (within `edits` edits) or sharing a prefix of 4. One is exact; of several, what the hint holds of title, journal, authors,
+    Candidates have the same year and a surname alike or sharing a prefix of 4. One is exact; of several, what the hint holds of title, journal, authors,
     volume and pages decides. Without candidates, the whole library is searched for a like surname or a shared prefix of 5.
-    Words of up to `edits` / (1 - like) letters are compared completely; with similarity="sequence", names that meet so are compared by the matching-blocks ratio.
-    References that say the same are matched once.
+    Surnames of any length are compared completely, by edits or, with similarity="sequence", by the matching-blocks ratio. References that say the same are matched once.
     """
     r = staged(refs.select("ref_id", F.lower(F.coalesce("surname", F.lit(""))).alias("sl"), F.coalesce("year", F.lit("")).alias("year"), F.coalesce("hint", F.lit("")).alias("hint")).withColumn("ident", F.xxhash64("sl", "year", "hint")), "refs")
     says = r.select("ident", "sl", "year", "hint").dropDuplicates(["ident"])
     lib = library.withColumn("ll", F.lower("surname"))
-    recs = lib.select("ll", F.col("year").alias("ly"), "rec_id", "title", "journal", "volume", "pages", "authors")
-    named = says.where("year <> ''").join(name_pairs(r, lib, 4, like, edits, similarity).select("sl", "ll"), "sl")
+    recs = lib.select("ll", F.col("year").alias("ly"), "rec_id", *record_parts(authors=True))
+    named = says.where("year <> ''").select("ident", "sl", "year", *said_parts(F.col("hint"))).join(name_pairs(r, lib, 4, like, similarity).select("sl", "ll"), "sl")
     pairs = named.join(recs, (named["ll"] == recs["ll"]) & (F.col("year") == F.col("ly")))
-    scored = staged(pairs.select("ident", "rec_id", content_score(F.col("hint"), F.col("title"), F.col("journal"), F.col("volume"), F.col("pages"), F.col("authors")).alias("score")), "ref-candidates")
+    scored = staged(pairs.select("ident", "rec_id", content_score(authors=True).alias("score")), "ref-candidates")
     kinds = best_two(scored, "ident").withColumn("match_kind", _decided())
     unclear = F.col("match_kind") == "ambiguous"
     near = kinds.select("ident", F.when(unclear, F.col("first")).otherwise(F.col("top.rec_id")).alias("rec_id"), F.when(F.col("n") == 1, 1.0).when(unclear, 0.0).otherwise(F.col("top.score")).alias("score"), "match_kind")
-    rest = says.where("sl <> ''").join(scored.select("ident").distinct(), "ident", "left_anti")
+    rest = staged(says.where("sl <> ''").join(scored.select("ident").distinct(), "ident", "left_anti"), "refs-without-candidates")
     first = lib.groupBy("ll").agg(F.min("rec_id").alias("rec_id"))
     starts = F.substring("sl", 1, 5) == F.substring("ll", 1, 5)
-    close = name_pairs(rest, lib, 5, far_like, edits, similarity).where((F.col("ratio") >= far_like) | starts).join(first, "ll")
+    close = name_pairs(rest, lib, 5, far_like, similarity).where((F.col("ratio") >= far_like) | starts).join(first, "ll")
     value = F.col("ratio") + F.when(starts, 0.2).otherwise(0.0) + 0.2 + F.when(F.contains(F.lower("hint"), F.substring("ll", 1, 4)), 0.3).otherwise(0.0)
     far = rest.join(close, "sl").select("ident", "rec_id", value.alias("score"))
     best = far.groupBy("ident").agg(F.min(F.struct((-F.col("score")).alias("s"), "rec_id")).alias("b")).where(F.col("b.s") <= -0.9).select("ident", "b.rec_id", (-F.col("b.s")).alias("score"), F.lit("near").alias("match_kind"))
@@ -104,8 +142,9 @@ def match_library(refs: DataFrame, library: DataFrame, like: float = 0.85, far_l
 def resolve_cited(identities: DataFrame, records: DataFrame) -> DataFrame:
     """identity (ident, surname, year, hint) to embedded record (rec_id, surname, year, title, journal, volume, pages): exact, near or ambiguous (the top-scored, the first on ties), or none."""
     said = identities.select("ident", "surname", "year", "hint", F.xxhash64("surname", "year", "hint").alias("says"))
-    j = said.select("says", "surname", "year", "hint").dropDuplicates(["says"]).join(records.select("rec_id", "surname", "year", "title", "journal", "volume", "pages").dropDuplicates(["surname", "year", "rec_id"]), ["surname", "year"])
-    scored = j.select("says", "rec_id", content_score(F.col("hint"), F.col("title"), F.col("journal"), F.col("volume"), F.col("pages")).alias("score"))
+    asked = said.select("says", "surname", "year", "hint").dropDuplicates(["says"]).select("says", "surname", "year", *said_parts(F.col("hint")))
+    j = asked.join(records.dropDuplicates(["surname", "year", "rec_id"]).select("rec_id", "surname", "year", *record_parts()), ["surname", "year"])
+    scored = j.select("says", "rec_id", content_score().alias("score"))
     out = best_two(staged(scored, "cited-candidates"), "says").select("says", F.col("top.rec_id").alias("rec_id"), F.col("top.score").alias("score"), _decided().alias("match_kind"))
     return said.select("ident", "says").join(out, "says", "left").drop("says").fillna({"match_kind": "none"})
 
@@ -119,10 +158,10 @@ def relink(groups: DataFrame, bibliography: DataFrame, source_groups: DataFrame,
     """
     name = F.concat_ws("|", F.lower("surname"), "year").alias("ident")
     bib = bibliography.select("doc_id", "num", name, "text")
-    held = groups.join(bib, ["doc_id", "num"], "left")
-    cited = records.select("doc_id", name, "rec_id", "title", "journal", "volume", "pages").dropDuplicates(["doc_id", "ident", "rec_id"])
+    held = staged(groups.join(bib, ["doc_id", "num"], "left"), "relink-held")
+    cited = staged(records.select("doc_id", name, "rec_id", "title", "journal", "volume", "pages").dropDuplicates(["doc_id", "ident", "rec_id"]).select("doc_id", "ident", "rec_id", *record_parts()), "relink-cited")
     several = cited.groupBy("doc_id", "ident").agg(F.count(F.lit(1)).alias("n_records"))
-    scored = held.where("ident is not null").select("doc_id", "num", "ident", "text").dropDuplicates(["doc_id", "num"]).join(cited, ["doc_id", "ident"]).select(F.struct("doc_id", "num").alias("key"), "rec_id", content_score(F.col("text"), F.col("title"), F.col("journal"), F.col("volume"), F.col("pages")).alias("score"))
+    scored = held.where("ident is not null").select("doc_id", "num", "ident", "text").dropDuplicates(["doc_id", "num"]).select("doc_id", "num", "ident", *said_parts(F.col("text"))).join(cited, ["doc_id", "ident"]).select(F.struct("doc_id", "num").alias("key"), "rec_id", content_score().alias("score"))
     resolved = best_two(scored, "key").select("key.doc_id", "key.num", _decided().alias("match_kind"))
     sets = lambda df, *by: df.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("ident")), ";").alias("idents"))
     known_sets = sets(source_groups.select("doc_id", "group_id", name), "doc_id", "group_id").select("doc_id", "idents").distinct().withColumn("reused", F.lit(True))
@@ -342,51 +381,6 @@ def context_similarity(targets: DataFrame, sources: DataFrame, idf: DataFrame) -
     return j.select("doc_id", "t", "s", F.round(F.col("shared") / (F.col("nt") + F.col("ns") - F.col("shared")), 6).alias("sim"))
 
 
-def align_pairs(similar: DataFrame, least: float = 0.12) -> DataFrame:
-    """The order-preserving pairing of targets and sources with the greatest total similarity, per document; gaps are free. similar: doc_id, t, s, sim.
-
-    Only pairs of `least` or more count, so a document's table holds its similar pairs alone: a weighted longest increasing
-    subsequence over them, kept in a Fenwick tree of prefix maxima.
-    """
-    import pandas as pd
-
-    def best(pairs: list[tuple]) -> list[tuple]:
-        rows = sorted(pairs, key=lambda x: (x[0], -x[1]))  # of one target, the later sources come first, so none follows another of it
-        places = {s: i + 1 for i, s in enumerate(sorted({r[1] for r in rows}))}
-        tree: list[tuple[float, int]] = [(0.0, -1)] * (len(places) + 1)
-
-        def upto(i: int) -> tuple[float, int]:
-            top = (0.0, -1)
-            while i > 0:
-                top = max(top, tree[i], key=lambda x: x[0])
-                i -= i & -i
-            return top
-
-        back = []
-        for r, (_, s, sim) in enumerate(rows):
-            before = upto(places[s] - 1)
-            back.append(before[1])
-            i = places[s]
-            while i <= len(places):
-                if before[0] + sim > tree[i][0]:
-                    tree[i] = (before[0] + sim, r)
-                i += i & -i
-        out, r = [], upto(len(places))[1]
-        while r >= 0:
-            out.append(rows[r])
-            r = back[r]
-        return out[::-1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [(d, *x) for d, ps in zip(batch["doc_id"], batch["pairs"]) for x in best([(p["t"], p["s"], p["sim"]) for p in ps])]
-            yield pd.DataFrame(made, columns=["doc_id", "t", "s", "sim"])
-
-    kinds = {c: similar.schema[c].dataType.simpleString() for c in ("doc_id", "t", "s")}
-    grouped = similar.where(F.col("sim") >= least).groupBy("doc_id").agg(F.collect_list(F.struct("t", "s", "sim")).alias("pairs"))
-    return grouped.mapInPandas(run, f"doc_id {kinds['doc_id']}, t {kinds['t']}, s {kinds['s']}, sim double")
-
-
 def fill_by_order(targets: DataFrame, sources: DataFrame, anchors: DataFrame) -> DataFrame:
     """Unmatched targets between confident anchors, zipped with the unused sources of the same gap. targets: doc_id, t; sources: doc_id, s; anchors: doc_id, t, s."""
     order_t, order_s = Window.partitionBy("doc_id").orderBy("t"), Window.partitionBy("doc_id").orderBy("s")

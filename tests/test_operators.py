@@ -108,19 +108,38 @@ def test_blocked_matching_equals_all_pairs(spark):
             assert got[i] == ((-best[1], "near") if best[0] >= 0.9 - 1e-12 else (None, "none"))
 
 
-def test_alignment_is_the_best_order_preserving_one(spark):
-    rng = random.Random(2)
-    data = [(d, t, s, round(rng.random(), 3)) for d in range(6) for t in range(6) for s in range(5) if rng.random() < 0.6]
-    got = matching.align_pairs(spark.createDataFrame(data, "doc_id long, t long, s long, sim double")).collect()
-    for d in range(6):
-        sim = {(t, s): x for k, t, s, x in data if k == d and x >= 0.12}
-        table = [[0.0] * 6 for _ in range(7)]
-        for t in range(6):
-            for s in range(5):
-                table[t + 1][s + 1] = max(table[t][s + 1], table[t + 1][s], table[t][s] + sim.get((t, s), float("-inf")))
-        mine = sorted((r["t"], r["s"], r["sim"]) for r in got if r["doc_id"] == d)
-        assert abs(sum(x[2] for x in mine) - table[6][5]) < 1e-9
-        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(mine, mine[1:]))
+@pytest.mark.parametrize("similarity", ["edits", "sequence"])
+@pytest.mark.parametrize("like", [0.85, 0.8])
+def test_like_names_of_any_length_meet(spark, similarity, like):
+    """All pairs, by brute force, of names of 2 to 40 letters of which many are several typos apart."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(int(like * 100))
+    letters = "abcdefghij-é"
+    names = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 40))) for _ in range(120)] + ["featherstonehaugh-brown", "ab", "aa", "aaaaaaaaaaaa"]
+
+    def typos(x):
+        x = list(x)
+        for _ in range(rng.randint(1, max(1, len(x) // 5 + 1))):
+            i = rng.randrange(len(x) + 1)
+            x[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+        return "".join(x) or "a"
+
+    others = sorted({typos(x) for x in names for _ in range(4)} | {"qfetherstonhaugh-brwn", "acb"})
+    make = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r["sl"], r["ll"]) for r in matching.name_pairs(make(names, "sl"), make(others, "ll"), 4, like, similarity).where(F.col("ratio") >= like).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    value = (lambda a, b: SequenceMatcher(None, a, b).ratio()) if similarity == "sequence" else (lambda a, b: 1.0 - edits(a, b) / max(len(a), len(b)))
+    want = {(a, b) for a in names for b in others if abs(len(a) - len(b)) <= 12 and value(a, b) >= like}
+    assert got == want and len(want) > 150 and any(len(a) > 30 for a, _ in want)
 
 
 def test_reconcile_uses_each_extra_once(spark):
