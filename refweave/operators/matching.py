@@ -54,7 +54,7 @@ def alike_pairs(left: DataFrame, right: DataFrame, like: float, similarity: str
     sides = [df.select(F.col(c).alias("name")).where("name <> ''").distinct().select(F.lit(i).alias("side"), "name", grams(F.col("name")).alias("grams")) for i, (df, c) in enumerate(((left, "sl"), (right, "ll")))]
     every = staged(sides[0].unionByName(sides[1]), "names")
     counts = every.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = every.select("side", "name", F.explode("grams").alias("gram")).join(counts, "gram").groupBy("side", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))
+    ranked = every.select("side", "name", F.explode("grams").alias("gram")).join(counts, "gram").groupBy("side", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("grams"))
     size = F.char_length("name")
     lengths = F.sequence(F.greatest(F.lit(1), F.floor(size * F.lit(like * like)).cast("int")), F.ceil(size / F.lit(like * like)).cast("int"))
     least = F.array_min(F.filter(F.transform(lengths, lambda n: _least_shared(size, n, like, similarity)), lambda t: t.isNotNull()))
@@ -80,31 +80,41 @@ SAID = ("found", "numbers")
 RECORD = ("title_terms", "journal_terms", "volume", "page_numbers")
 
 
+def _hashed(values: Column) -> Column:
+    """Hashes of an array's values: sets of numbers are compared much faster than sets of strings."""
+    return F.transform(values, lambda v: F.xxhash64(v))
+
+
 def said_parts(hint: Column) -> list[Column]:
     """SAID of a reference's hint."""
-    return [tx.terms(hint).alias("found"), F.regexp_extract_all(hint, F.lit(r"\d+"), F.lit(0)).alias("numbers")]
+    return [_hashed(tx.terms(hint)).alias("found"), _hashed(F.regexp_extract_all(hint, F.lit(r"\d+"), F.lit(0))).alias("numbers")]
 
 
 def record_parts(authors: bool = False) -> list[Column]:
     """RECORD (and author_terms) of columns title, journal, volume, pages (and authors)."""
-    terms = lambda c: tx.terms(F.coalesce(c, F.lit("")))
-    own = [terms(F.col("title")).alias("title_terms"), terms(F.col("journal")).alias("journal_terms"), F.col("volume"), F.regexp_extract_all(F.coalesce("pages", F.lit("")), F.lit(r"\d+"), F.lit(0)).alias("page_numbers")]
+    terms = lambda c: _hashed(tx.terms(F.coalesce(c, F.lit(""))))
+    pages = _hashed(F.regexp_extract_all(F.coalesce("pages", F.lit("")), F.lit(r"\d+"), F.lit(0)))
+    own = [terms(F.col("title")).alias("title_terms"), terms(F.col("journal")).alias("journal_terms"), F.when(F.col("volume").isNotNull(), F.xxhash64("volume")).alias("volume"), pages.alias("page_numbers")]
     return own + ([terms(F.array_join("authors", " ")).alias("author_terms")] if authors else [])
 
 
 def content_score(authors: bool = False) -> Column:
     """Words of title and journal found in the hint, 0.6 for each author's, and 0.5 for each of its numbers that is the volume or a page, at most two of them. Of columns SAID and RECORD."""
-    over = lambda c: F.size(F.array_intersect(F.col(c), F.col("found"))).cast("double")
+    over = lambda c: (F.size(c) - F.size(F.array_except(F.col(c), F.col("found")))).cast("double")
     hits = F.coalesce(F.array_contains("numbers", F.col("volume")).cast("int"), F.lit(0)) + F.size(F.filter("page_numbers", lambda p: F.array_contains("numbers", p)))
     score = over("title_terms") + over("journal_terms") + 0.5 * F.least(hits, F.lit(2))
     return score + 0.6 * over("author_terms") if authors else score
 
 
 def best_two(pairs: DataFrame, key: str) -> DataFrame:
-    """key, n (its candidates), top (score and rec_id of the best; the least id on ties), second (the next best's score), first (the least rec_id). pairs: key, rec_id, score. Only two rows of a key leave each task before they are shuffled."""
-    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "rec_id")
-    ranked = pairs.withColumn("rn", F.row_number().over(order)).where("rn <= 2").groupBy(key).agg(F.max(F.when(F.col("rn") == 1, F.struct("score", "rec_id"))).alias("top"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"))
-    return ranked.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("first")), key)
+    """key, n (its candidates), top (score and rec_id of the best; the least id on ties), second (the next best's score), first (the least rec_id). pairs: key, rec_id, score.
+
+    Candidates of one score are counted before anything is shuffled; a key then has as many rows as there are different scores, which are small counts.
+    """
+    scores = pairs.groupBy(key, "score").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("rec_id"))
+    listed = scores.groupBy(key).agg(F.sum("n").alias("n"), F.min("rec_id").alias("first"), F.sort_array(F.collect_list(F.struct("score", "rec_id", "n")), False).alias("by_score"))
+    best, next_best = F.col("by_score")[0], F.try_element_at("by_score", F.lit(2))
+    return listed.select(key, "n", F.struct(best["score"].alias("score"), best["rec_id"].alias("rec_id")).alias("top"), F.when(best["n"] > 1, best["score"]).otherwise(next_best["score"]).alias("second"), "first")
 
 
 def _decided() -> Column:
@@ -125,11 +135,10 @@ def match_library(refs: DataFrame, library: DataFrame, like: float = 0.85, far_l
     recs = lib.select("ll", F.col("year").alias("ly"), "rec_id", *record_parts(authors=True))
     named = says.where("year <> ''").select("ident", "sl", "year", *said_parts(F.col("hint"))).join(name_pairs(r, lib, 4, like, similarity).select("sl", "ll"), "sl")
     pairs = named.join(recs, (named["ll"] == recs["ll"]) & (F.col("year") == F.col("ly")))
-    scored = staged(pairs.select("ident", "rec_id", content_score(authors=True).alias("score")), "ref-candidates")
-    kinds = best_two(scored, "ident").withColumn("match_kind", _decided())
+    kinds = staged(best_two(pairs.select("ident", "rec_id", content_score(authors=True).alias("score")), "ident").withColumn("match_kind", _decided()), "ref-candidates")
     unclear = F.col("match_kind") == "ambiguous"
     near = kinds.select("ident", F.when(unclear, F.col("first")).otherwise(F.col("top.rec_id")).alias("rec_id"), F.when(F.col("n") == 1, 1.0).when(unclear, 0.0).otherwise(F.col("top.score")).alias("score"), "match_kind")
-    rest = staged(says.where("sl <> ''").join(scored.select("ident").distinct(), "ident", "left_anti"), "refs-without-candidates")
+    rest = staged(says.where("sl <> ''").join(kinds.select("ident"), "ident", "left_anti"), "refs-without-candidates")
     first = lib.groupBy("ll").agg(F.min("rec_id").alias("rec_id"))
     starts = F.substring("sl", 1, 5) == F.substring("ll", 1, 5)
     close = name_pairs(rest, lib, 5, far_like, similarity).where((F.col("ratio") >= far_like) | starts).join(first, "ll")
@@ -145,7 +154,7 @@ def resolve_cited(identities: DataFrame, records: DataFrame) -> DataFrame:
     asked = said.select("says", "surname", "year", "hint").dropDuplicates(["says"]).select("says", "surname", "year", *said_parts(F.col("hint")))
     j = asked.join(records.dropDuplicates(["surname", "year", "rec_id"]).select("rec_id", "surname", "year", *record_parts()), ["surname", "year"])
     scored = j.select("says", "rec_id", content_score().alias("score"))
-    out = best_two(staged(scored, "cited-candidates"), "says").select("says", F.col("top.rec_id").alias("rec_id"), F.col("top.score").alias("score"), _decided().alias("match_kind"))
+    out = best_two(scored, "says").select("says", F.col("top.rec_id").alias("rec_id"), F.col("top.score").alias("score"), _decided().alias("match_kind"))
     return said.select("ident", "says").join(out, "says", "left").drop("says").fillna({"match_kind": "none"})
 
 
