@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refweave.functions import text as tx
+from refweave.operators.folding import ordered_fold
 
 #: What stands for a missing citation, whatever its case.
 MISSING = r"(?i)\[CITATION\]|\[REF\]|\[\?\]|\[citation needed\]|\bXXX\b|\[#\]|<citation>|\[ *\]"
@@ -164,18 +165,17 @@ def sequence_bibliography(paragraphs: DataFrame) -> DataFrame:
     """Entries accepted in sequence: the expected number; 1 again opens a section; a jump of up to 8; others belong to the entry before."""
     pattern = r"^[ \t]*(\d{1,3})[a-z]?[.)]?\s+[A-Za-z]"
     cand = paragraphs.where(F.col("text").rlike(pattern)).select("doc_id", "para_idx", F.regexp_extract("text", pattern, 1).cast("int").alias("n"))
-    grouped = cand.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "n"))).alias("c"))
-    state = F.expr("named_struct('sec', 1, 'want', 1, 'out', cast(array() as array<struct<para_idx:int,section:int,num:int>>))")
-
-    def step(s: Column, x: Column) -> Column:
-        n, open_ = x["n"], s["want"] <= 4000
-        again = open_ & (n == 1) & (s["want"] > 1)
-        ok = open_ & ((n == s["want"]) | ((n > s["want"]) & (n <= s["want"] + 8)))
-        sec = F.when(again, s["sec"] + 1).otherwise(s["sec"])
-        took = F.concat(s["out"], F.array(F.struct(x["para_idx"].cast("int").alias("para_idx"), sec.alias("section"), n.alias("num"))))
-        return F.struct(sec.alias("sec"), F.when(again | ok, n + 1).otherwise(s["want"]).alias("want"), F.when(again | ok, took).otherwise(s["out"]).alias("out"))
-
-    return grouped.select("doc_id", F.explode(F.aggregate("c", state, step, lambda s: s["out"])).alias("e")).select("doc_id", "e.para_idx", "e.section", "e.num")
+
+    def step(state: tuple, row: tuple) -> tuple:
+        section, want = state
+        _, para, n = row
+        if want <= 4000 and n == 1 and want > 1:
+            return (section + 1, 2), (para, section + 1, n)
+        if want <= 4000 and want <= n <= want + 8:
+            return (section, n + 1), (para, section, n)
+        return state, None
+
+    return ordered_fold(cand.select("doc_id", "para_idx", "n"), ["doc_id"], ["para_idx"], (1, 1), step, "para_idx int, section int, num int")
 
 
 def entry_spans(accepted: DataFrame, paragraphs: DataFrame) -> DataFrame:

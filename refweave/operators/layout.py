@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refweave.operators.folding import ordered_fold
+
 
 def median_sizes(spans: DataFrame) -> DataFrame:
     """Spans with their document's upper median size, and whether they are superscript: by flag bit 0 or at most 0.85 of the median."""
@@ -36,24 +38,25 @@ def reading_order(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Text lines of pages in reading order: doc_id, page, column, line, text.
 
     A page is in one column if more than max(4, 4 %) of its words span the middle band; words then go by column, top and left edge; a word joins a line
-    when its top is within the tolerance of the line's first word. The fold is per page and column, which a page bounds.
+    when its top is within the tolerance of the line's first word. The fold goes through each page and column once.
     """
     c, band = F.col("page_width") / 2, F.col("page_width") * 0.05
     spans = (F.col("x0") < c - band) & (F.col("x1") > c + band)
     page = Window.partitionBy("doc_id", "page")
     marked = words.withColumns({"n_span": F.count_if(spans).over(page), "n": F.count(F.lit(1)).over(page)})
     column = F.when(F.col("n_span") > F.greatest(F.lit(4.0), 0.04 * F.col("n")), 0).when((F.col("x0") + F.col("x1")) / 2 < c, 0).otherwise(1)
-    g = marked.withColumn("column", column).groupBy("doc_id", "page", "column").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("ws"))
-    state = F.expr("named_struct('anchor', cast(null as double), 'line', cast(0 as int), 'out', cast(array() as array<struct<line:int,text:string>>))")
-
-    def step(s: Column, w: Column) -> Column:
-        fresh = s["anchor"].isNull() | (F.abs(w["top"] - s["anchor"]) > tolerance)
-        line = F.when(fresh, s["line"] + 1).otherwise(s["line"])
-        return F.struct(F.when(fresh, w["top"]).otherwise(s["anchor"]).alias("anchor"), line.alias("line"), F.concat(s["out"], F.array(F.struct(line.alias("line"), w["text"].alias("text")))).alias("out"))
 
-    folded = g.select("doc_id", "page", "column", F.posexplode(F.aggregate("ws", state, step, lambda s: s["out"])).alias("k", "w"))
-    text = F.array_sort(F.collect_list(F.struct("k", "w.text")))
-    return folded.groupBy("doc_id", "page", "column", F.col("w.line").alias("line")).agg(F.array_join(text["text"], " ").alias("text"))
+    def step(state: tuple, row: tuple) -> tuple:
+        anchor, line, k = state
+        top, text = row[3], row[5]
+        if anchor is None or abs(top - anchor) > tolerance:
+            anchor, line = top, line + 1
+        return (anchor, line, k + 1), (line, k, text)
+
+    rows = marked.withColumn("column", column).select("doc_id", "page", "column", "top", "x0", "text")
+    folded = ordered_fold(rows, ["doc_id", "page", "column"], ["top", "x0", "text"], (None, 0, 0), step, "line int, k int, text string")
+    words = F.array_sort(F.collect_list(F.struct("k", "text")))
+    return folded.groupBy("doc_id", "page", "column", "line").agg(F.array_join(words["text"], " ").alias("text"))
 
 
 def collect_captions(lines: DataFrame, most: int = 13, gap: float = 26.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from refweave.functions import text as tx
 from refweave.functions.similarity import seq_ratio
 from refweave.operators import ranking
+from refweave.operators.folding import ordered_fold
 from refweave.sources.staging import staged
 
 
@@ -223,18 +224,20 @@ def audit_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def reconcile(missing: DataFrame, extra: DataFrame) -> DataFrame:
-    """Missing entries re-paired with extra ones of the same surname that share a title word of 5 letters or more; greedy in order of missing, then extra, each extra once. Both: pos, surname, title."""
+    """Missing entries re-paired with extra ones of the same surname that share a title word of 5 letters or more; greedy in order of missing, then extra, each extra once. Both: pos, surname, title.
+
+    The pairs of a surname are gone through once, in order; what is held of it are the extra ones in use."""
     side = lambda df, pos, words: df.select(F.col("pos").alias(pos), "surname", tx.terms(F.col("title"), 5).alias(words))
     j = side(missing, "m", "mt").join(side(extra, "e", "et"), "surname").where(F.arrays_overlap("mt", "et")).select("surname", "m", "e")
-    state = F.expr("named_struct('m', cast(array() as array<bigint>), 'e', cast(array() as array<bigint>))")
-    pairs = j.groupBy("surname").agg(F.array_sort(F.collect_list(F.struct(F.col("m").cast("long").alias("m"), F.col("e").cast("long").alias("e")))).alias("p"))
-
-    def step(s: Column, x: Column) -> Column:
-        free = ~F.array_contains(s["m"], x["m"]) & ~F.array_contains(s["e"], x["e"])
-        return F.struct(F.when(free, F.concat(s["m"], F.array(x["m"]))).otherwise(s["m"]).alias("m"), F.when(free, F.concat(s["e"], F.array(x["e"]))).otherwise(s["e"]).alias("e"))
-
-    done = pairs.select("surname", F.aggregate("p", state, step).alias("s"))
-    return done.select("surname", F.explode(F.arrays_zip(F.col("s.m").alias("m"), F.col("s.e").alias("e"))).alias("x")).select("surname", F.col("x.m").alias("missing_pos"), F.col("x.e").alias("extra_pos"))
+    def step(used: tuple, row: tuple) -> tuple:
+        m, taken = used
+        if row[1] == m or row[2] in taken:
+            return used, None
+        taken.add(row[2])
+        return (row[1], taken), (row[1], row[2])
+
+    # pairs come in order of missing, so of the missing ones only the last can be in use
+    return ordered_fold(j.select("surname", "m", "e"), ["surname"], ["m", "e"], lambda: (None, set()), step, "missing_pos long, extra_pos long")
 
 
 def match_paragraphs(new: DataFrame, old: DataFrame, least: int = 15) -> DataFrame:

@@ -425,7 +425,11 @@ def broken_to_source(spark: SparkSession, sf: str) -> DataFrame:
     return tp.broken_with_source(targets, sources).select("doc_id", "pos", "kind")
 
 
-@P.add()
+@P.add(f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, side AS (SELECT doc_id % 2 AS s, doc_id * 100 + pos AS pos, author || cited_year AS surname, list_distinct(regexp_extract_all(lower(title), '[a-z]{{5,}}')) AS ws FROM citations),
+p AS (SELECT m.surname, m.pos AS m, e.pos AS e, row_number() OVER (PARTITION BY m.surname ORDER BY m.pos, e.pos) AS k FROM side m JOIN side e ON m.surname = e.surname AND list_has_any(m.ws, e.ws) WHERE m.s = 0 AND e.s = 1),
+f AS (SELECT surname, 0::BIGINT AS k, NULL::BIGINT AS m, NULL::BIGINT AS e, []::BIGINT[] AS ms, []::BIGINT[] AS es FROM (SELECT DISTINCT surname FROM p) UNION ALL
+SELECT p.surname, p.k, CASE WHEN free THEN p.m END, CASE WHEN free THEN p.e END, CASE WHEN free THEN ms || [p.m] ELSE ms END, CASE WHEN free THEN es || [p.e] ELSE es END FROM (SELECT p.*, f.ms, f.es, NOT list_contains(f.ms, p.m) AND NOT list_contains(f.es, p.e) AS free FROM f JOIN p ON p.surname = f.surname AND p.k = f.k + 1) p)
+SELECT surname, m AS missing_pos, e AS extra_pos FROM f WHERE m IS NOT NULL""")
 def reconcile_bibliographies(spark: SparkSession, sf: str) -> DataFrame:
     c = citations(spark, sf).select((F.col("doc_id") * 100 + F.col("pos")).alias("pos"), F.concat("author", "cited_year").alias("surname"), "title", "doc_id")
     return op.reconcile(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1"))

@@ -2,51 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUNS = "path string, part string, para_idx int, run_idx int, text string, rstyle string, vert_align string, highlight string, tracked string, n_begin int, n_sep int, n_end int, instr string, fld_data string, error string"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-PARTS = {"word/document.xml": "body", "word/footnotes.xml": "footnote", "word/endnotes.xml": "endnote"}
-
-
-def _package_rows(path: str, content: bytes) -> Iterator[tuple]:
-    import io
-    import zipfile
-    from xml.etree import ElementTree
-
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name, part in PARTS.items():
-                if name not in z.namelist():
-                    continue
-                for p, para in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{_W}p")):
-                    tracked = {r: kind for kind in ("ins", "del", "moveFrom", "moveTo") for t in para.iter(_W + kind) for r in t.iter(f"{_W}r")}
-                    for i, r in enumerate(para.iter(f"{_W}r")):
-                        val = lambda tag: next((x.get(f"{_W}val") for x in r.iter(_W + tag)), None)  # noqa: B023, E731
-                        chars = [x.get(f"{_W}fldCharType") for x in r.iter(f"{_W}fldChar")]
-                        text = "".join(x.text or "" for x in r if x.tag in (f"{_W}t", f"{_W}delText"))
-                        instr = "".join(x.text or "" for x in r if x.tag == f"{_W}instrText") or None
-                        blob = next((x.text for x in r.iter(f"{_W}fldData")), None)
-                        yield path, part, p, i, text, val("rStyle"), val("vertAlign"), val("highlight"), tracked.get(r, "none"), chars.count("begin"), chars.count("separate"), chars.count("end"), instr, blob, None
-    except Exception as e:  # a package that can't be read is a row of its own, not the end of the job
-        yield path, None, None, None, None, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300]
-
+from refweave.sources import packages
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of Word packages; unreadable packages give one row with an error. A file is one task's work, so packages are read side by side."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RUNS.split(", ")]
-        for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                yield pd.DataFrame(list(_package_rows(p, bytes(content))), columns=columns)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
-    return files.select("path", "content").mapInPandas(run, RUNS)
+    """Runs of Word packages; unreadable packages give one row with an error. The other tables of packages are in read_package_tables."""
+    return packages.scan_packages(packages.package_files(spark, path)).where("kind in ('run', 'error')").select(*packages.RUN)
 
 
 def package_health(runs: DataFrame) -> DataFrame:
@@ -91,6 +54,7 @@ def sniff_columns(columns: list[str], first: tuple[str, ...], second: tuple[str,
 def read_naming_sheet(spark: SparkSession, path: str, rename: bool = False) -> DataFrame:
     """(number, label), or with `rename` (old, new), from a sheet with any headers; blank rows and renames to the same are dropped."""
     sheet = spark.read.option("header", "true").csv(path)
+    # What headers hold.
     hints = (("old", "current", "find", "original", "from"), ("new", "replace", "final", "to", "updated")) if rename else (("num", "#"), ("name", "caption", "title", "new", "label"))
     a, b = sniff_columns(sheet.columns, *hints)
     if a is None or b is None:
@@ -134,6 +98,32 @@ def read_catalog_docsums(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.lit("summaries").alias("source"), F.lower(F.try_element_at(doi, F.lit(1))["value"]).alias("doi"), F.col("uid").alias("pmid"), authors.alias("authors"), F.regexp_replace("title", r"\.$", "").alias("title"), F.coalesce(F.nullif("fulljournalname", F.lit("")), "source").alias("journal"), year.alias("year"), "volume", "issue", "pages", F.coalesce(F.nullif("issn", F.lit("")), "essn").alias("issn"))
 
 
+ARTICLE_XML = (
+    "MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Abstract: struct<AbstractText: array<string>>, Pagination: struct<MedlinePgn: string>, AuthorList: struct<Author: array<struct<LastName: string, Initials: string>>>, "
+    "Journal: struct<Title: string, ISOAbbreviation: string, JournalIssue: struct<Volume: string, Issue: string, PubDate: struct<Year: string, MedlineDate: string>>>>>, PubmedData struct<ArticleIdList: struct<ArticleId: array<struct<_IdType: string, _VALUE: string>>>>"
+)
+
+
+def read_catalog_article_xml(spark: SparkSession, path: str, most_authors: int = 6, abstract_chars: int = 600) -> DataFrame:
+    """catalog from article XML: the first `most_authors` authors with a last name, each with initials; the journal's title, else its abbreviation; the year, else the first four characters of the date in words.
+
+    Elements inside titles and abstracts lose their tags; missing ones are empty; records that aren't XML are left out.
+    """
+    x = spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "DROPMALFORMED").schema(ARTICLE_XML).load(path)
+    a, j = "MedlineCitation.Article", "MedlineCitation.Article.Journal"
+    or_empty = lambda c: F.coalesce(_bare(F.col(c)), F.lit(""))
+    first_of = lambda one, other: F.coalesce(F.nullif(F.trim(one), F.lit("")), other, F.lit(""))
+    ids = F.coalesce("PubmedData.ArticleIdList.ArticleId", F.array().cast("array<struct<_IdType:string,_VALUE:string>>"))
+    of_kind = lambda k: F.coalesce(F.try_element_at(F.filter(ids, lambda i: i["_IdType"] == k), F.lit(1))["_VALUE"], F.lit(""))
+    authors = F.slice(F.coalesce(f"{a}.AuthorList.Author", F.array().cast("array<struct<LastName:string,Initials:string>>")), 1, most_authors)
+    named = F.transform(F.filter(authors, lambda n: F.coalesce(n["LastName"], F.lit("")) != ""), lambda n: F.trim(F.concat_ws(" ", n["LastName"], n["Initials"])))
+    abstract = F.array_join(F.transform(F.coalesce(f"{a}.Abstract.AbstractText", F.array().cast("array<string>")), _bare), " ")
+    return x.select(
+        F.lit("articles").alias("source"), of_kind("doi").alias("doi"), or_empty("MedlineCitation.PMID").alias("pmid"), of_kind("pmc").alias("pmc"), named.alias("authors"), or_empty(f"{a}.ArticleTitle").alias("title"), first_of(F.col(f"{j}.Title"), F.col(f"{j}.ISOAbbreviation")).alias("journal"),
+        first_of(F.col(f"{j}.JournalIssue.PubDate.Year"), F.substring(f"{j}.JournalIssue.PubDate.MedlineDate", 1, 4)).alias("year"), or_empty(f"{j}.JournalIssue.Volume").alias("volume"), or_empty(f"{j}.JournalIssue.Issue").alias("issue"), or_empty(f"{a}.Pagination.MedlinePgn").alias("pages"), F.substring(abstract, 1, abstract_chars).alias("abstract"),
+    )
+
+
 SCAN = "page_count int, figures array<struct<source: string, page_num: int, fig_type: string, fig_num: string, label: string, caption: string, caption_y: int, include: boolean, crop_top: int, crop_bot: int>>"
 
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from refweave.operators import citations, extraction, fields, layout, matching, rewriting, transplant
-from refweave.sources import readers, writers
+from refweave.sources import packages, readers, writers
 from refweave.streaming import streams
 
 
@@ -237,14 +237,98 @@ def test_stream_counts_as_the_table_does(spark, tmp_path):
     q = streams.decision_stream(stream).writeStream.format("memory").queryName("decided").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("decided")) == rows(streams.decision_stream(src))
-    (tmp_path / "p").mkdir()
-    seen = []
-    for name in ("a", "b"):
-        (tmp_path / "p" / f"{name}.docx").write_bytes(b"x")
-        time.sleep(1.1)
-        streams.incremental_scan(spark, str(tmp_path / "p"), str(tmp_path / "o"), str(tmp_path / "k")).awaitTermination(120)
-        seen.append(spark.read.parquet(str(tmp_path / "o")).count())
-    assert seen == [1, 2]
+
+
+_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml"'
+_RUN = lambda text, rest="": f"<w:r>{rest}<w:t>{text}</w:t></w:r>"
+_FULL = f"""<w:document {_NS}><w:body><w:p w14:paraId="AA"><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:commentRangeStart w:id="3"/>{_RUN("Intro")}<w:commentRangeEnd w:id="3"/><w:r><w:commentReference w:id="3"/></w:r></w:p>
+<w:tbl><w:tr><w:tc><w:p w14:paraId="BB">{_RUN("cell")}</w:p></w:tc></w:tr></w:tbl>
+<w:p w14:paraId="AA"><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> ADDIN EN.CITE </w:instrText></w:r>{_RUN("(Lee)")}<w:r><w:fldChar w:fldCharType="end"/></w:r><w:ins>{_RUN("1", '<w:rPr><w:vertAlign w:val="superscript"/></w:rPr>')}</w:ins><w:del><w:r><w:delText>old</w:delText></w:r></w:del><w:r><w:footnoteReference w:id="2"/></w:r></w:p>
+<w:p><w:r><w:drawing/></w:r><w:r><w:pict><w:txbxContent><w:p>{_RUN("boxed")}</w:p></w:txbxContent></w:pict></w:r></w:p></w:body></w:document>"""
+_NOTES = f'<w:footnotes {_NS}><w:footnote w:id="2"><w:p>{_RUN("a note")}</w:p></w:footnote></w:footnotes>'
+_COMMENTS = f'<w:comments {_NS}><w:comment w:id="3" w:author="Ann"><w:p>{_RUN("why")}</w:p><w:p>{_RUN("so")}</w:p></w:comment></w:comments>'
+
+
+def _package(path, **parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(f"word/{name}.xml", xml)
+
+
+def test_packages_become_tables_that_the_field_operators_take(spark, tmp_path):
+    _package(tmp_path / "a.docx", document=_FULL, footnotes=_NOTES, comments=_COMMENTS)
+    _package(tmp_path / "b.docx", document=_FULL, footnotes=_NOTES)
+    _package(tmp_path / "cut.docx", document=_FULL[:900])
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    tables = packages.read_package_tables(spark, str(tmp_path))
+    own = lambda name: tables[name].where("path like '%/a.docx'")
+    assert [tuple(r) for r in own("paragraphs").orderBy("part", "para_idx").select("part", "para_idx", "style", "text", "has_image").collect()] == [
+        ("body", 0, "Heading1", "Intro", False), ("body", 2, None, "(Lee)1", False), ("body", 3, None, "", True), ("body", 4, None, "boxed", False), ("comment", 0, None, "why", False), ("comment", 1, None, "so", False), ("footnote", 0, None, "a note", False), ("table", 1, None, "cell", False),
+    ]
+    assert rows(tables["comments"].select("comment_id", "author", "text")) == [("3", "Ann", "why\nso")]
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in tables["quarantine"].collect()) == ["bad.docx", "cut.docx"]
+    runs = packages.document_runs(tables["runs"])
+    assert runs.where("doc_id like '%cut%'").count() == 0
+    block = {r["doc_id"][-6:]: r["display"] for r in fields.field_blocks(runs).collect()}
+    assert block == {"a.docx": "(Lee)", "b.docx": "(Lee)"}
+    ids = tables["paragraphs"].where("xml_id is not null").select(F.col("path").alias("doc_id"), "xml_id")
+    damage = fields.merge_damage(runs.drop("xml_id").withColumn("xml_id", F.lit(None).cast("string")), spark.createDataFrame([(r["doc_id"], 1) for r in runs.select("doc_id").distinct().collect()], "doc_id string, num int")).collect()
+    assert {(r["begins"], r["seps"], r["ends"], r["ins_count"], r["del_count"], r["note_refs"], r["comment_marks"], r["cited_count"], r["lost_in_merge"], r["balanced"]) for r in damage} == {(1, 0, 1, 1, 1, 1, 3, 1, 0, False)}
+    assert sorted(r["xml_id"] for r in citations.duplicate_ids(ids, "xml_id").collect()) == ["AA", "AA"]
+    marks = runs.where("comment_mark is not null").select("doc_id", "comment_mark")
+    with_part = tables["comments"].select(F.col("path").alias("doc_id")).distinct()
+    assert {r["doc_id"][-6:] for r in fields.drop_orphan_comments(marks, with_part).collect()} == {"b.docx"}
+    counts = fields.health_counts(runs).join(fields.orphan_comments(marks, with_part), "doc_id", "left").fillna(0).withColumns({c: F.lit(0) for c in ("orphans", "garbled", "dup_ids")})
+    assert {(r["doc_id"][-6:], r["issue_id"]) for r in fields.health_issues(counts).collect()} == {("a.docx", "broken_fields"), ("b.docx", "broken_fields"), ("a.docx", "unbalanced_fields"), ("b.docx", "unbalanced_fields"), ("b.docx", "orphan_comments")}
+
+
+def test_incremental_scan_parses_what_is_new_or_changed(spark, tmp_path):
+    import time
+
+    put, out = tmp_path / "p", str(tmp_path / "o")
+    put.mkdir()
+    text = lambda x: f"<w:document {_NS}><w:body><w:p>{_RUN(x)}</w:p></w:body></w:document>"
+
+    def scan():
+        streams.incremental_scan(spark, str(put), out, str(tmp_path / "k"))
+        got = streams.scanned(spark, out)
+        return {r["path"][-6:]: r["text"] for r in got["paragraphs"].collect()}, {r["path"][-6:] for r in got["quarantine"].collect()}, {r["path"][-6:]: r["batch"][:4] for r in got["files"].collect()}
+
+    _package(put / "a.docx", document=text("one"))
+    (put / "b.docx").write_bytes(b"x")
+    assert scan() == ({"a.docx": "one"}, {"b.docx"}, {"a.docx": "new0", "b.docx": "new0"})
+    time.sleep(1.1)
+    _package(put / "b.docx", document=text("mended"))
+    _package(put / "c.docx", document=text("three"))
+    assert scan() == ({"a.docx": "one", "b.docx": "mended", "c.docx": "three"}, set(), {"a.docx": "new0", "b.docx": "chan", "c.docx": "new1"})
+    time.sleep(1.1)
+    _package(put / "a.docx", document=text("changed"))
+    assert scan() == ({"a.docx": "changed", "b.docx": "mended", "c.docx": "three"}, set(), {"a.docx": "chan", "b.docx": "chan", "c.docx": "new1"})
+    figures = spark.createDataFrame([("x", 3), ("y", 4)], "project string, page_count int")
+    assert rows(streams.stale_figures(figures, spark.createDataFrame([("x", 3), ("y", 5), ("z", 1)], "project string, page_count int"))) == [("y", 5), ("z", 1)]
+
+
+def test_article_xml(spark, tmp_path):
+    author = "<Author><LastName>{}</LastName><Initials>AB</Initials></Author>".format
+    (tmp_path / "a.xml").write_text(f"""<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article><Journal><JournalIssue><Volume>7</Volume><Issue>2</Issue><PubDate><MedlineDate>1999 Spring</MedlineDate></PubDate></JournalIssue><ISOAbbreviation>J Bone</ISOAbbreviation></Journal>
+<ArticleTitle>Bones &amp; <i>joints</i></ArticleTitle><Pagination><MedlinePgn>1-9</MedlinePgn></Pagination><Abstract><AbstractText Label="A">First.</AbstractText><AbstractText>Second.</AbstractText></Abstract><AuthorList>{"".join(map(author, "abcdefgh"))}<Author><CollectiveName>G</CollectiveName></Author></AuthorList></Article></MedlineCitation>
+<PubmedData><ArticleIdList><ArticleId IdType="pubmed">11</ArticleId><ArticleId IdType="doi">10.1/x</ArticleId><ArticleId IdType="pmc">PMC5</ArticleId></ArticleIdList></PubmedData></PubmedArticle><PubmedArticle><MedlineCitation><PMID>12</PMID><Article><Journal><Title>Whole name</Title><JournalIssue><PubDate><Year>2004</Year></PubDate></JournalIssue></Journal></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>""")
+    got = {r["pmid"]: r.asDict() for r in readers.read_catalog_article_xml(spark, str(tmp_path)).collect()}
+    assert got["11"] == {"source": "articles", "doi": "10.1/x", "pmid": "11", "pmc": "PMC5", "authors": [f"{x} AB" for x in "abcdef"], "title": "Bones & joints", "journal": "J Bone", "year": "1999", "volume": "7", "issue": "2", "pages": "1-9", "abstract": "First. Second."}
+    assert (got["12"]["journal"], got["12"]["year"], got["12"]["authors"], got["12"]["doi"], got["12"]["abstract"]) == ("Whole name", "2004", [], "", "")
+
+
+def test_folds_are_linear_in_a_document(spark):
+    import time
+
+    n = 100_000
+    lines = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("para_idx"), F.concat((1 + F.col("id") % 900).cast("string"), F.lit(". Entry")).alias("text"))
+    words = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.lit(600.0).alias("page_width"), F.lit(10.0).alias("x0"), F.lit(20.0).alias("x1"), (F.col("id") * 1.0).alias("top"), F.lit("w").alias("text"))
+    began = time.time()
+    got = extraction.sequence_bibliography(lines)
+    assert got.count() == n and got.agg(F.max("section")).first()[0] == 112
+    assert layout.reading_order(words).count() == n // 4
+    assert time.time() - began < 60
 
 
 def chains_of(pairs):
