@@ -244,16 +244,17 @@ _TOPIC = lambda c: f"list_filter({_TERMS(c)}, lambda w: NOT list_contains({_STOP
 _SHARE = lambda c, t: f"len(list_intersect({_TOPIC(c)}, {_TERMS(t)})) / greatest(len({_TOPIC(c)}), 1)::DOUBLE"
 _PART = "author || ' of ' || cited_year || CASE WHEN supp % 3 = 0 THEN ' economy with these' ELSE ' standard matter which then was' END"
 # The published version of a document holds the claims of some of its citations.
-_CLAIMS = f"""{BASE}, claims AS (SELECT doc_id, doc_id * 100 + group_order AS claim_id, string_agg({_PART}, ' ' ORDER BY ref_pos) AS claim, list(title ORDER BY ref_pos) AS titles, arg_min(rec_id, ref_pos) AS rec_id, arg_min(supp, ref_pos) % 4 <> 0 AS kept FROM citations GROUP BY ALL),
-t AS (SELECT claim_id, round(coalesce(list_max(list_transform(titles, lambda x: {_SHARE('claim', 'x')})), 0), 6) AS topical FROM claims), abs AS (SELECT claim_id, round({_SHARE('claim', 'title')}, 6) AS c FROM claims JOIN library USING (rec_id) WHERE rec_id % 4 = 0),
+_CLAIMS = f"""{BASE}, claims AS (SELECT doc_id, doc_id * 100 + group_order AS claim_id, string_agg({_PART}, ' ' ORDER BY ref_pos) AS claim, list(title ORDER BY ref_pos) AS titles, arg_min(author, ref_pos) AS author, arg_min(rec_year, ref_pos) AS year, arg_min(title, ref_pos) AS title, arg_min(supp, ref_pos) % 4 <> 0 AS kept FROM citations GROUP BY ALL),
+t AS (SELECT claim_id, round(coalesce(list_max(list_transform(titles, lambda x: {_SHARE('claim', 'x')})), 0), 6) AS topical FROM claims), asked AS (SELECT claim_id, claim, author, year, list_distinct(regexp_extract_all(lower(title), '[a-z]{{5,}}')[1:4]) AS ws FROM claims), looked AS (SELECT a.author, a.year, a.ws, min(l.rec_id) AS rec_id FROM (SELECT DISTINCT author, year, ws FROM asked) a JOIN library l ON lower(a.author) = lower(l.surname) AND a.year = l.year AND list_has_all(regexp_extract_all(lower(l.title), '[a-z]{{5,}}'), a.ws) GROUP BY ALL),
+abs AS (SELECT claim_id, round({_SHARE('claim', "(l.title || ' economy')")}, 6) AS c FROM asked a JOIN looked o ON a.author = o.author AND a.year = o.year AND a.ws = o.ws JOIN library l ON l.rec_id = o.rec_id),
 pw AS (SELECT doc_id, string_split(string_agg(lower(claim), ' ' ORDER BY claim_id), ' ') AS w FROM claims WHERE kept GROUP BY doc_id), psh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM pw)),
 csh AS (SELECT DISTINCT doc_id, claim_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, claim_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, claim_id, string_split(lower(claim), ' ') AS w FROM claims))), pub AS (SELECT claim_id, round(count(psh.h) / count(*), 6) AS b FROM csh LEFT JOIN psh USING (doc_id, h) GROUP BY claim_id)"""
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
     c = citations(spark, sf).select("*", (F.col("doc_id") * 100 + F.col("group_order")).alias("claim_id"), F.expr(_PART).alias("part"))
-    g = c.groupBy("doc_id", "claim_id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "part", "title", "rec_id", "supp"))).alias("r"))
-    return g.select("doc_id", "claim_id", F.array_join("r.part", " ").alias("claim"), F.col("r.title").alias("titles"), F.col("r")[0]["rec_id"].alias("rec_id"), (F.col("r")[0]["supp"] % 4 != 0).alias("kept"))
+    g = c.groupBy("doc_id", "claim_id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "part", "title", "author", "rec_year", "supp"))).alias("r"))
+    return g.select("doc_id", "claim_id", F.array_join("r.part", " ").alias("claim"), F.col("r.title").alias("titles"), F.col("r")[0]["author"].alias("author"), F.col("r")[0]["rec_year"].alias("year"), F.col("r")[0]["title"].alias("title"), (F.col("r")[0]["supp"] % 4 != 0).alias("kept"))
 
 
 @P.add(f"{_CLAIMS} SELECT * FROM t")
@@ -261,14 +262,16 @@ def tier_topical(spark: SparkSession, sf: str) -> DataFrame:
     return op.topical(_claims(spark, sf))
 
 
-def _abstracts(spark: SparkSession, sf: str) -> DataFrame:
-    """Abstracts are known of some records."""
-    return library(spark, sf).where("rec_id % 4 = 0").select("rec_id", F.col("title").alias("abstract"))
+def _abstracts(spark: SparkSession, sf: str, claims: DataFrame) -> DataFrame:
+    """What the catalogue, which is the library with its titles and a word more for abstracts, has for the claims' first references."""
+    catalog = library(spark, sf).select("rec_id", "surname", "year", "title", F.concat("title", F.lit(" economy")).alias("abstract"))
+    return op.catalog_abstracts(claims.select(F.col("claim_id").alias("ref_id"), "author", "year", "title"), catalog)
 
 
 @P.add(f"{_CLAIMS} SELECT * FROM abs")
 def tier_abstract(spark: SparkSession, sf: str) -> DataFrame:
-    return op.abstract_share(_claims(spark, sf), _abstracts(spark, sf))
+    claims = staged(_claims(spark, sf), "claims")
+    return op.abstract_share(claims, _abstracts(spark, sf, claims))
 
 
 _VERDICT = f"""{_CLAIMS}, s AS (SELECT claim_id, topical AS a, coalesce(b, 0) AS b, c FROM t LEFT JOIN pub USING (claim_id) LEFT JOIN abs USING (claim_id)),
@@ -280,7 +283,7 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("claim_id", "claim")))
     published = claims.where("kept").groupBy("doc_id").agg(F.array_join(parts["claim"], " ").alias("text")).select("doc_id", F.col("doc_id").alias("text_id"), "text")
     b = op.claim_containment(claims.select("doc_id", "claim_id", F.col("claim").alias("text")), published, within=("doc_id",)).select("claim_id", F.col("containment").alias("b"))
-    return op.verdicts(op.topical(claims).withColumnRenamed("topical", "a").join(b, "claim_id", "left").join(op.abstract_share(claims, _abstracts(spark, sf)), "claim_id", "left"))
+    return op.verdicts(op.topical(claims).withColumnRenamed("topical", "a").join(b, "claim_id", "left").join(op.abstract_share(claims, _abstracts(spark, sf, claims)), "claim_id", "left"))
 
 
 @P.add(f"{_VERDICT} SELECT claim_id, verdict FROM v")

@@ -308,6 +308,13 @@ def test_incremental_scan_parses_what_is_new_or_changed(spark, tmp_path):
     assert rows(streams.stale_figures(figures, spark.createDataFrame([("x", 3), ("y", 5), ("z", 1)], "project string, page_count int"))) == [("y", 5), ("z", 1)]
 
 
+def test_abstracts_are_found_by_author_year_and_title_words(spark):
+    catalog = [(5, "Lee", "2001", "Growing bones in children", "b5"), (3, "Lee", "2001", "Growing bones and tendons of children", "b3"), (4, "Lee", "2002", "Growing bones in children", "b4"), (6, "Kim", "2001", "A to z", "b6"), (7, "Kim", "2001", "Spine", "")]
+    refs = [(1, "Lee, A. B.", "2001", "Growing Bones"), (2, "lee", "2001", "Children's growing tendons"), (3, "Lee", "2001", "Growing muscles"), (4, "Kim, C", "2001", "On it"), (5, "?", "2001", "Growing bones"), (6, "Lee", "2001", "Growing bones in children outgrow words"), (7, "Lee A", "2001", "Growing Bones")]
+    got = matching.catalog_abstracts(spark.createDataFrame(refs, "ref_id long, author string, year string, title string"), spark.createDataFrame(catalog, "rec_id long, surname string, year string, title string, abstract string"))
+    assert rows(got) == [(1, 3, "b3"), (2, 3, "b3"), (4, 6, "b6"), (7, 3, "b3")]
+
+
 def test_article_xml(spark, tmp_path):
     author = "<Author><LastName>{}</LastName><Initials>AB</Initials></Author>".format
     (tmp_path / "a.xml").write_text(f"""<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article><Journal><JournalIssue><Volume>7</Volume><Issue>2</Issue><PubDate><MedlineDate>1999 Spring</MedlineDate></PubDate></JournalIssue><ISOAbbreviation>J Bone</ISOAbbreviation></Journal>
