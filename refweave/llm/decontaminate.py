@@ -36,6 +36,8 @@ class SuffixAutomaton:
         self.items: dict[int, list[int]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         self.least = window
+        self._near: list[int] = []
+        self._of_window: list[int] = []
 
     def add(self, sequence: list[int]) -> None:
         last = 0
@@ -88,10 +90,16 @@ class SuffixAutomaton:
                     own.append(item)
 
     def of_window(self, v: int) -> int:
-        """The state of the last `window` words of a match."""
-        while self.length[self.link[v]] >= self.window:
-            v = self.link[v]
-        return v
+        """The state of the last `window` words of a match; worked out once for all states."""
+        if len(self._of_window) != len(self.link):
+            self._of_window = [0] * len(self.link)
+            for u in self._by_length():
+                self._of_window[u] = self._of_window[self.link[u]] if self.length[self.link[u]] >= self.window else u
+        return self._of_window[v]
+
+    def _by_length(self) -> list[int]:
+        """All states but the first, each behind the one that its suffix link leads to."""
+        return sorted(range(1, len(self.link)), key=self.length.__getitem__)
 
     def matches(self, sequence) -> Iterator[tuple[int, int]]:
         """State and length of the longest match that ends at each word."""
@@ -117,16 +125,25 @@ class SuffixAutomaton:
                 spans.append((i + 1 - self.window, i + 1))
                 found.update(self.items[self.of_window(v)])
             if self.short:
-                u, m = v, n
+                near = self.nearest_short()
+                u, m = near[v], n
                 while u > 0:
-                    for k, item in self.short.get(u, ()):
+                    for k, item in self.short[u]:
                         if k <= m:
                             spans.append((i + 1 - k, i + 1))
                             found.add(item)
-                    u = self.link[u]
-                    m = self.length[u]
+                    m = self.length[self.link[u]]
+                    u = near[self.link[u]]
         return spans, found
 
+    def nearest_short(self) -> list[int]:
+        """For each state the first one, from it along the suffix links, at which a short item ends; 0 if there is none. As short items have fewer words than a window, so do the chains of these."""
+        if len(self._near) != len(self.link):
+            self._near = [0] * len(self.link)
+            for v in self._by_length():
+                self._near[v] = v if v in self.short else self._near[self.link[v]]
+        return self._near
+
 
 class Matcher:
     """One block of items: names, word sequences and, built on each executor when first used, their automaton."""

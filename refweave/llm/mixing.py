@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 #: Documents of a block, at most about.
 BLOCK_DOCS = 128
+#: Blocks of all sources' passes, at most: the tree's draws are exact below 10^9. A larger corpus has larger blocks; sources must be fewer than a quarter of it.
+MOST_BLOCKS = 900_000_000
 #: Sources in a group of the tree's lower part.
 GROUP_SOURCES = 4096
 
@@ -99,6 +101,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), place.alias("place"), F.xxhash64(text).alias("tie"), *extra)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     plan = source_targets(totals, weights, most)
+    # a block has a sixteenth of block_docs at least, and is drawn `most` times and once more at most; each source has one block at least
+    all_docs = plan.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    block_docs = max(block_docs, -(-16 * (most + 1) * all_docs // MOST_BLOCKS))
     digits = F.coalesce(*[F.when(F.col("docs") <= block_docs * 16**k, k) for k in range(12)], F.lit(12))  # hex digits that name a block
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = written(plan.withColumn("passes", passes).select("source", "source_size", "target", "rank", "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"), digits.alias("digits")), "mix-plan")

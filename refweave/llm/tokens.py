@@ -65,9 +65,11 @@ class Encoder:
 
         self.form = form
         self.tokenizer = Tokenizer.from_file(form.tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
         kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else "{}").get("type")
         self.splits = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        # a special token is found before a text is split; that changes nothing about where texts may be cut, unless it takes in white space
+        self.splits = self.splits and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # whether a token begins with a space
         self.spaced[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True

@@ -59,7 +59,6 @@ def encoder():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return path, lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 0]
 
 
@@ -78,6 +77,14 @@ def test_token_files_round_trip(spark, tmp_path):
     assert manifest["tokens"] == at
 
 
+def test_special_tokens_in_texts_are_the_librarys():
+    path, encode = encoder()
+    e = tokens.Encoder.of(tokens.Format(path))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>x  <|endoftext|>\n y", "x<|endoftext|>", "<|endoftext| >"]
+    assert e.encode(pa.array(texts)) == [np.array(encode(x), dtype="<u2").tobytes() for x in texts]
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275, 0]
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     path, _ = encoder()
     assert tokens.write_tokens(docs_of(spark, []), str(tmp_path / "t"), tokens.Format(path))["shards"] == []
@@ -151,6 +158,21 @@ def test_targets_equal_filling_by_hand(spark):
     assert got == pytest.approx(want) and 0 < len(capped) < 60
 
 
+def test_a_corpus_beyond_the_tree_has_larger_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 9), rng.choice("abc")) for i in range(3000)]
+    taken = {}
+    for most in (mixing.MOST_BLOCKS, 600):
+        monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
+        seen, plain = [], mixing.shard_ends
+        monkeypatch.setattr(mixing, "shard_ends", lambda quotas, *a, plain=plain: seen.append(quotas.agg(F.sum("quota")).first()[0]) or plain(quotas, *a))  # noqa: B023
+        got = mixing.mix_sources(docs_of(spark, rows), block_docs=4).collect()
+        monkeypatch.setattr(mixing, "shard_ends", plain)
+        taken[most] = {r["doc_id"]: r["taken"] for r in got}
+        assert most > 600 or seen[0] <= 600
+    assert taken[600] == taken[mixing.MOST_BLOCKS if mixing.MOST_BLOCKS != 600 else max(taken)]
+
+
 def test_splitting_tree_keeps_quotas():
     q = np.array([100, 3, 0, 57])
     takes = mixing.even_takes(160, 7)
@@ -775,3 +797,11 @@ def test_tokens_keep_the_order_of_the_mix(spark, tmp_path):
 
 def test_digest_of_kept_words_is_sha256(spark):
     assert spark.createDataFrame([("é a",)], "t string").select(F.sha2(F.col("t").cast("binary"), 256)).first()[0] == hashlib.sha256("é a".encode()).hexdigest()
+
+
+def test_short_items_beside_a_long_run_of_one_word():
+    one = np.zeros(20_000, dtype=np.int64)
+    began = time.time()
+    m = decontaminate.Matcher(["run", "short", "pair"], [one, one[:1], np.array([0, 5])], 10)
+    ((row, spans, found),) = m.scan_batch(np.r_[one, 5], np.array([0, 20_001]))
+    assert (row, found, decontaminate.merged(spans)) == (0, {"run", "short", "pair"}, [(0, 20_001)]) and time.time() - began < 2
