@@ -221,6 +221,25 @@ def reference_key(references: DataFrame) -> DataFrame:
     return references.select("doc_id", "num", surname.alias("surname"), tx.last_year(F.col("body")).alias("year"))
 
 
+def reference_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 1), body, year: the reference list among a document's paragraphs. It starts behind a heading (references or bibliography) or at the first numbered paragraph and takes all that follows, but headings and blank paragraphs;
+    numbers go, and the year is the first of 1900 to 2099. paragraphs: doc_id, para_idx, text."""
+    order = Window.partitionBy("doc_id").orderBy("para_idx")
+    text, number = F.trim("text"), r"^\d+[.)]\s+(.+)"
+    heading = text.rlike(r"(?i)^(?:references?|bibliography)$")
+    told = paragraphs.where(text != "").withColumns({"t": text, "heading": heading, "starts": heading | text.rlike(number)})
+    after = told.withColumn("started", F.max(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("started = 1 and not heading")
+    body = F.when(F.col("t").rlike(number), F.regexp_extract("t", number, 1)).otherwise(F.col("t"))
+    return after.select("doc_id", F.row_number().over(order).cast("long").alias("pos"), body.alias("body"), F.regexp_extract(body, r"\b((?:19|20)\d\d)\b", 1).alias("year"))
+
+
+def numbered_entries(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, num, body: paragraphs that begin with a number (a letter may follow it) and `.` or `)`, whole; of each number the last. paragraphs: doc_id, para_idx, text."""
+    pattern = r"^(\d+[a-z]?)[.)]\s+.+"
+    rows = paragraphs.select("doc_id", "para_idx", F.trim("text").alias("body")).where(F.col("body").rlike(pattern)).withColumn("num", F.regexp_extract("body", pattern, 1))
+    return rows.groupBy("doc_id", "num").agg(F.max_by("body", "para_idx").alias("body"))
+
+
 def reference_list(texts: DataFrame) -> DataFrame:
     """A text list: blocks between blank lines, of 20 characters or more, without their leading number, with their first year."""
     blocks = texts.select("doc_id", F.posexplode(F.split("text", r"\n{2,}")).alias("pos", "block")).where(F.char_length(F.trim("block")) >= 20)

@@ -254,6 +254,22 @@ def read_reference_list(spark: SparkSession, sf: str) -> DataFrame:
     return op.reference_list(rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array_join("t.text", "\n\n")).otherwise(F.array_join("t.text", "\n")).alias("text")))
 
 
+# Every third document has a heading in the place of its second paragraph, and only those begin without a number.
+_HEADED = "CASE WHEN doc_id % 3 = 0 AND para_idx = 2 THEN 'References' WHEN doc_id % 3 = 0 AND para_idx < 2 THEN 'No list yet' ELSE text END"
+
+
+@P.add(rf"""{_CTE}, b AS (SELECT doc_id, para_idx, trim({_HEADED}) AS t FROM bib), m AS (SELECT *, regexp_matches(t, '(?i)^(?:references?|bibliography)$') AS heading, regexp_matches(t, '^\d+[.)]\s+.+') AS numbered FROM b WHERE t <> ''),
+s AS (SELECT *, max((heading OR numbered)::INT) OVER (PARTITION BY doc_id ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS started FROM m), k AS (SELECT doc_id, para_idx, CASE WHEN numbered THEN regexp_extract(t, '^\d+[.)]\s+(.+)', 1) ELSE t END AS body FROM s WHERE started = 1 AND NOT heading)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS pos, body, regexp_extract(body, '\b((?:19|20)\d\d)\b', 1) AS year FROM k""")
+def read_reference_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return op.reference_paragraphs(_bib(spark, sf).select("doc_id", "para_idx", F.expr(_HEADED).alias("text")))
+
+
+@P.add(rf"""{_CTE}, r AS (SELECT doc_id, para_idx, trim(text) AS body, regexp_extract(trim(text), '^(\d+[a-z]?)[.)]\s+.+', 1) AS num FROM bib WHERE regexp_matches(trim(text), '^(\d+[a-z]?)[.)]\s+.+')) SELECT doc_id, num, arg_max(body, para_idx) AS body FROM r GROUP BY ALL""")
+def bibliography_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    return op.numbered_entries(_bib(spark, sf))
+
+
 @P.add(rf"""WITH p AS (SELECT page_id AS doc_id, html FROM pages), m AS (SELECT doc_id, unnest(regexp_extract_all(html, '<[a-zA-Z]+')) AS t FROM p) SELECT doc_id, t AS tag, count(*) AS n FROM m GROUP BY ALL""")
 def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
     tags = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.regexp_extract_all("html", F.lit("<[a-zA-Z]+"), F.lit(0))).alias("tag"))

@@ -315,6 +315,14 @@ def test_abstracts_are_found_by_author_year_and_title_words(spark):
     assert rows(got) == [(1, 3, "b3"), (2, 3, "b3"), (4, 6, "b6"), (7, 3, "b3")]
 
 
+def test_reference_lists_start_at_a_heading_or_a_number(spark):
+    said = [(1, "Text of 2001"), (1, "REFERENCES"), (1, "Lee A. Bones. 1999; 2003"), (1, " "), (1, "2) Kim B. Joints 1850"), (1, "bibliography"), (1, "last"), (2, "before"), (2, "7. First 2010"), (2, "goes on"), (3, "1.none"), (3, "no list")]
+    df = spark.createDataFrame([(d, i, x) for i, (d, x) in enumerate(said)], "doc_id long, para_idx int, text string")
+    assert rows(extraction.reference_paragraphs(df)) == [(1, 1, "Lee A. Bones. 1999; 2003", "1999"), (1, 2, "Kim B. Joints 1850", ""), (1, 3, "last", ""), (2, 1, "First 2010", "2010"), (2, 2, "goes on", "")]
+    twice = spark.createDataFrame([(1, 0, "3a. one"), (1, 1, "3a) two"), (1, 2, " 4. x "), (1, 3, "5.y")], "doc_id long, para_idx int, text string")
+    assert rows(extraction.numbered_entries(twice)) == [(1, "3a", "3a) two"), (1, "4", "4. x")]
+
+
 def test_article_xml(spark, tmp_path):
     author = "<Author><LastName>{}</LastName><Initials>AB</Initials></Author>".format
     (tmp_path / "a.xml").write_text(f"""<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article><Journal><JournalIssue><Volume>7</Volume><Issue>2</Issue><PubDate><MedlineDate>1999 Spring</MedlineDate></PubDate></JournalIssue><ISOAbbreviation>J Bone</ISOAbbreviation></Journal>
