@@ -80,7 +80,7 @@ def turn_spans(messages: list[Message], render: Callable[[list[Message]], str] =
     """The whole output; for each turn its span there, and its text's span there; and whether the template rewrites history.
 
     What the output of the first k turns adds to that of k - 1 is turn k's span, or, where it doesn't begin with that (which shows a template that rewrites history), what follows their first difference.
-    If history is rewritten, the texts are located anew in the whole output, and a turn whose output isn't part of it as it was has no span.
+    No messages give an empty output without spans; equal messages have spans of their own. If history is rewritten, the texts are located anew in the whole output, and a turn whose output isn't part of it as it was has no span.
     """
     done, spans, texts, rewrites = "", [], [], False
     for k in range(len(messages)):
@@ -125,7 +125,9 @@ def format_conversations(turns: DataFrame, render: Callable[[list[Message]], str
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations say: conv_id, n_turns, turns (role, text), loss_text (unescaped text under the loss mask) and formatted_chars."""
+    """What the formatted conversations say: conv_id, n_turns, turns (role, text), loss_text (unescaped text under the loss mask) and formatted_chars.
+
+    Spans that are null add nothing to loss_text; a conversation whose texts are all empty has empty ones again; an empty table gives no rows. Only what the plain template made is parsed."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

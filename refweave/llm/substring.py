@@ -92,7 +92,9 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = FIRST) -> DataFrame:
-    """key (of the row's id and text, see common.row_key) and places: where windows of `length` words start that occur elsewhere too, in the same text or another."""
+    """key (of the row's id and text, see common.row_key) and places: where windows of `length` words start that occur elsewhere too, in the same text or another.
+
+    Null texts and those of fewer words have none; rows that repeat an id and a text repeat each other's windows and have a row together; an empty table gives no rows; other columns are ignored."""
     bounded_batches(docs.sparkSession)
     first = min(first, length)
     half = min(2 * first, (length + first + 1) // 2)  # at most so long that a window of that many words holds every anchor without reaching out of its long window

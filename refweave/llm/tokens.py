@@ -250,7 +250,9 @@ class Shard:
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """A row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, end_id, shard; with_ids adds ids."""
+    """A row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, end_id, shard; with_ids adds ids.
+
+    Null ids are null again; null and empty texts have their end id alone; rows that repeated are rows each; the files of an empty table give no rows."""
     manifest = read_manifest(folder)
     shards, dtype = manifest["shards"], manifest["dtype"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, end_id long, shard int" + ", ids array<long>" * with_ids

@@ -63,6 +63,7 @@ def host_scores(judged: DataFrame, edges: DataFrame, damping: float = DAMPING, t
 
     judged: a row per page with host and rule verdict (or null). edges: src, dst, n. Scores are (1 - damping) times a
     host's own share of pages plus damping times what comes along its edges, by their weight; hosts without links pass nothing on, and hosts that have only links to them and no page have scores too.
+    The empty host, of null and odd urls, is a host like others; repeated pages count as often; without pages and edges there are no rows.
     """
     share = lambda v: F.avg(F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0)))
     kinds = lambda t, d, name: F.explode(F.array(F.struct(F.lit("t").alias("kind"), t.alias(name)), F.struct(F.lit("d").alias("kind"), d.alias(name)))).alias("s")
