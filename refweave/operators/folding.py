@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Any, step: Step, gives: str) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Any, step: Step, gives: str, spread: bool = False) -> DataFrame:
     """keys and the values that `step` gives for the rows of each key in order; `gives` is their schema, and rows reach `step` as tuples of all columns.
 
     Rows are dealt out by key and sorted within partitions by Spark, which spills; a task goes through them once and holds one state, however long a key is. `start` is a value that isn't changed in place, or a function that makes one.
+    `spread` keeps all shuffle partitions, where a row takes far more time than its bytes tell; otherwise adaptive execution puts small ones together.
     """
     names = df.columns
     schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [gives])
@@ -35,4 +36,5 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Any, s
                     out.append((*key, *values))
             yield pd.DataFrame(out, columns=columns)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    by = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    return df.repartition(*by, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

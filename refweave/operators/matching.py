@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refweave.functions import text as tx
-from refweave.functions.similarity import seq_ratio
+from refweave.functions.similarity import PlacedText, best_window, seq_ratio
 from refweave.operators import ranking
 from refweave.operators.folding import ordered_fold
 from refweave.sources.staging import staged
@@ -290,19 +290,38 @@ def claim_containment(claims: DataFrame, texts: DataFrame, k: int = 5, within: t
     return hit.join(n, "claim_id").select("claim_id", "text_id", "shared", "n", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
-def published_ratio(claims: DataFrame, texts: DataFrame, least: int = 25, extra: int = 40, k: int = 4) -> DataFrame:
-    """claim_id, ratio, text_id: the best matching-blocks ratio of each claim with a window of a text, for claims of `least` characters or more without digits; 0 and null without any.
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
 
-    Texts that share a k-word shingle with the claim are searched. A window is `extra` characters longer than the claim; windows start at every half of the claim's length (20 characters at least).
+def window_ratios(pairs: DataFrame, texts: DataFrame, above: float = 0.0, least: int = 25, extra: int = 40, per_group: int = 256, popular: bool = False) -> DataFrame:
+    """claim_id, text_id, ratio: the best matching-blocks ratio of each pair's claim with a window of its text; 0 where no window exceeds `above`, the claim has fewer than `least` characters without its digits, or the text is not longer than the claim.
+
+    pairs: claim_id, text_id, text (the claim); texts: text_id (unique), text. No id is null; a null text is an empty one. Windows and `popular`: see `best_window`. A text goes once to every `per_group` of its claims, which are dealt out by hash: it
+    doesn't stand beside each claim, and a text that most claims name is searched by many tasks.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    c = claims.select("claim_id", F.regexp_replace(plain("text"), r"\d+", "").alias("text"))
-    t = texts.select("text_id", plain("text").alias("text"))
-    pairs = claim_containment(c.where(F.char_length("text") >= least), t, k).select("claim_id", "text_id").join(c, "claim_id").join(t.withColumnRenamed("text", "published"), "text_id")
-    size = F.char_length("text")
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("published") - size, F.lit(1)), F.greatest(F.lit(20), F.floor(size / 2).cast("int")))
-    windows = pairs.select("claim_id", "text_id", "text", F.explode(F.transform(starts, lambda i: F.substring(F.col("published"), i, size + extra))).alias("window")).distinct()
-    best = windows.select("claim_id", "text_id", F.round(seq_ratio("text", "window"), 6).alias("ratio")).groupBy("claim_id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "text_id")).alias("b"))
+    body = F.regexp_replace(_plain("text"), r"\d+", "")
+    asked = pairs.select("claim_id", "text_id", F.when(F.char_length(body) >= least, body).otherwise("").alias("body"))
+    groups = asked.groupBy("text_id").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("int").alias("groups"))
+    kind = pairs.schema["claim_id"].dataType.simpleString()
+    dealt = asked.join(groups, "text_id").select("text_id", F.pmod(F.xxhash64("claim_id"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("is_claim"), "claim_id", "body")
+    sent = texts.join(groups, "text_id").select("text_id", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("is_claim"), F.lit("0").cast(kind).alias("claim_id"), F.coalesce(_plain("text"), F.lit("")).alias("body"))
+
+    def step(placed: PlacedText | None, row: tuple) -> tuple:
+        _, _, is_claim, claim_id, body = row
+        if not is_claim:
+            return PlacedText(body), None
+        return placed, (claim_id, round(best_window(body, placed, above, extra, popular), 6) if placed else 0.0)
+
+    return ordered_fold(sent.unionByName(dealt), ["text_id", "part"], ["is_claim", "claim_id"], None, step, f"claim_id {kind}, ratio double", spread=True).select("claim_id", "text_id", "ratio")
+
+
+def published_ratio(claims: DataFrame, texts: DataFrame, least: int = 25, extra: int = 40, k: int = 4) -> DataFrame:
+    """claim_id, ratio, text_id: the best ratio (`window_ratios`) of each claim with any of the texts that share a k-word shingle with it, and the least id of the texts that reach it; 0 and null without any. claims: claim_id, text; texts: text_id, text; ids are unique."""
+    undigited = claims.select("claim_id", F.regexp_replace(_plain("text"), r"\d+", "").alias("text"))
+    pairs = claim_containment(undigited.where(F.char_length("text") >= least), texts.select("text_id", _plain("text").alias("text")), k).select("claim_id", "text_id").join(undigited, "claim_id")
+    pairs = staged(pairs, "ratio-pairs")
+    best = window_ratios(pairs, texts, least=least, extra=extra).groupBy("claim_id").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "text_id")).alias("b"))
     return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", F.coalesce(-F.col("b.r"), F.lit(0.0)).alias("ratio"), F.col("b.text_id").alias("text_id"))
 
 

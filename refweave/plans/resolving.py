@@ -227,7 +227,8 @@ def claim_source_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @P.add(f"WITH {_SH} SELECT item_id AS claim_id, coalesce(max(containment), 0.0) AS published, arg_min(text_id, struct_pack(a := -containment, b := text_id)) AS text_id FROM benchmark LEFT JOIN contained ON item_id = claim_id GROUP BY ALL")
-def tier_published(spark: SparkSession, sf: str) -> DataFrame:
+def tier_contained(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of a claim's shingles in the text that holds most of them."""
     best = _contained(spark, sf).groupBy("claim_id").agg(F.min(F.struct((-F.col("containment")).alias("s"), "text_id")).alias("b"))
     c = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"))
     return c.join(best, "claim_id", "left").select("claim_id", F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("published"), F.col("b.text_id").alias("text_id"))
@@ -278,16 +279,41 @@ _VERDICT = f"""{_CLAIMS}, s AS (SELECT claim_id, topical AS a, coalesce(b, 0) AS
 v AS (SELECT claim_id, CASE WHEN b > 0.7 AND greatest(a, coalesce(c, 0)) >= 0.12 THEN 'verified' WHEN greatest(a, coalesce(c, 0)) >= 0.25 OR coalesce(c, 0) >= 0.2 THEN 'supported' WHEN greatest(a, coalesce(c, 0)) >= 0.1 OR b > 0.7 THEN 'plausible' ELSE 'review' END AS verdict FROM s)"""
 
 
-def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    claims = staged(_claims(spark, sf), "claims")
+def _published(claims: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("claim_id", "claim")))
-    published = claims.where("kept").groupBy("doc_id").agg(F.array_join(parts["claim"], " ").alias("text")).select("doc_id", F.col("doc_id").alias("text_id"), "text")
-    b = op.claim_containment(claims.select("doc_id", "claim_id", F.col("claim").alias("text")), published, within=("doc_id",)).select("claim_id", F.col("containment").alias("b"))
+    return claims.where("kept").groupBy("doc_id").agg(F.array_join(parts["claim"], " ").alias("text")).select(F.col("doc_id").alias("text_id"), "text")
+
+
+def _ratios(claims: DataFrame, above: float = 0.0) -> DataFrame:
+    """Each claim against the published version of its own document, window by window."""
+    return op.window_ratios(claims.select("claim_id", F.col("doc_id").alias("text_id"), F.col("claim").alias("text")), _published(claims), above)
+
+
+@P.add()
+def tier_published(spark: SparkSession, sf: str) -> DataFrame:
+    """The matching-blocks ratio of every claim with its document's published version."""
+    return _ratios(staged(_claims(spark, sf), "claims")).select("claim_id", F.col("ratio").alias("published"))
+
+
+def _contained_in_published(claims: DataFrame) -> DataFrame:
+    mine = claims.select("doc_id", "claim_id", F.col("claim").alias("text"))
+    return op.claim_containment(mine, _published(claims).withColumn("doc_id", F.col("text_id")), within=("doc_id",)).select("claim_id", F.col("containment").alias("b"))
+
+
+def _verdicts(spark: SparkSession, sf: str, by_ratio: bool = False) -> DataFrame:
+    """Verdicts with the published tier as a ratio, or as the share of shingles, which SQL can say. Of ratios they ask whether one exceeds 0.7."""
+    claims = staged(_claims(spark, sf), "claims")
+    b = _ratios(claims, 0.7).select("claim_id", F.col("ratio").alias("b")) if by_ratio else _contained_in_published(claims)
     return op.verdicts(op.topical(claims).withColumnRenamed("topical", "a").join(b, "claim_id", "left").join(op.abstract_share(claims, _abstracts(spark, sf, claims)), "claim_id", "left"))
 
 
-@P.add(f"{_VERDICT} SELECT claim_id, verdict FROM v")
+@P.add()
 def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
+    return _verdicts(spark, sf, by_ratio=True).select("claim_id", "verdict")
+
+
+@P.add(f"{_VERDICT} SELECT claim_id, verdict FROM v")
+def verify_by_shingles(spark: SparkSession, sf: str) -> DataFrame:
     return _verdicts(spark, sf).select("claim_id", "verdict")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -418,6 +419,88 @@ def test_published_ratio_equals_sliding_over_all_windows(spark):
         assert got[i] == (best[0], None if best[1] is None else -best[1])
 
 
+def _sliding(claim, text, least=25, extra=40):
+    from difflib import SequenceMatcher
+
+    plain = lambda t: re.sub(r"\s+", " ", (t or "").lower()).strip(" ")
+    c, t = re.sub(r"\d+", "", plain(claim)), plain(text)
+    step = max(20, len(c) // 2)
+    return max((SequenceMatcher(None, c, t[k : k + len(c) + extra]).ratio() for k in range(0, len(t) - len(c), step)), default=0.0) if len(c) >= least else 0.0
+
+
+def test_window_ratios_equal_sliding_over_all_windows(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(80)]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def edited(c, share):
+        return "".join(rng.choice("abc ") if rng.random() < share else x for x in c)
+
+    texts = {1: some(400), 2: some(60), 3: "Größe  über\tAlles " + some(30) + " 𝛼𝛽𝛾", 4: None, 5: "", 6: "aaaa " * 200, 7: some(3)}
+    pairs, claim = [], 0
+    for t, text in texts.items():
+        for n in (10, 24, 25, 47, 60, 150, 190, 260, 700):
+            for share in (0, 0.05, 0.2, 0.5):
+                at = rng.randint(0, max(0, len(text or "") - n))
+                body = edited((text or some(40))[at : at + n], share)
+                pairs.append((claim := claim + 1, t, rng.choice([body, body.upper(), body[: n // 2] + " 12, 13 " + body[n // 2 :]])))
+        pairs += [(claim + 1, t, None), (claim + 2, t, ""), (claim + 3, t, some(12)), (claim + 4, t, text), (claim + 5, 99, some(12))]
+        claim += 5
+    left = spark.createDataFrame(pairs, "claim_id long, text_id long, text string")
+    right = spark.createDataFrame(list(texts.items()), "text_id long, text string").withColumn("part", F.lit(1)).withColumn("body", F.lit("x"))
+    truth = {(c, t): _sliding(body, texts.get(t)) for c, t, body in pairs}
+    assert sum(r > 0.7 for r in truth.values()) > 15 and sum(0 < r <= 0.7 for r in truth.values()) > 50
+    for above, per_group in ((0.0, 256), (0.0, 3), (0.7, 10)):
+        got = {(r["claim_id"], r["text_id"]): r["ratio"] for r in matching.window_ratios(left, right, above, per_group=per_group).collect()}
+        assert got == {k: round(v, 6) if v > above else 0.0 for k, v in truth.items()}
+    none = matching.window_ratios(left.limit(0), right)
+    assert none.count() == 0 and none.columns == ["claim_id", "text_id", "ratio"]
+
+
+def test_window_ratios_search_a_long_text_without_measuring_all_of_it(spark, monkeypatch):
+    from refweave.functions import similarity
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(20_000))
+    measured = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda *a: measured.append(1) or __import__("difflib").SequenceMatcher(*a))
+    placed, claim = similarity.PlacedText(text), text[40_000:40_150]
+    found = similarity.best_window(claim, placed, 0.7, 40)
+    assert found == _sliding(claim, text) > 0.7 and len(measured) < 10
+    assert similarity.best_window(" ".join(rng.choice(words) for _ in range(25)), placed, 0.7, 40) == 0.0 and len(measured) < 10
+    long = text[40_000:40_180]
+    assert similarity.best_window(long, placed, 0.7, 40) == 0.0 and similarity.best_window(long, placed, 0.7, 40, popular=True) > 0.7
+
+
+def test_verdicts_take_the_ratio_of_the_published_version(spark):
+    from refweave.plans import resolving
+
+    sf = "/root/testdata/sf0.001"
+    claims = [r.asDict() for r in resolving._claims(spark, sf).where("doc_id < 400").collect()]
+    kept = {}
+    for c in sorted(claims, key=lambda c: c["claim_id"]):
+        if c["kept"]:
+            kept.setdefault(c["doc_id"], []).append(c["claim"])
+    truth = {c["claim_id"]: round(_sliding(c["claim"], " ".join(kept.get(c["doc_id"], []))), 6) for c in claims}
+    got = {r["claim_id"]: r["published"] for r in resolving.tier_published(spark, sf).collect() if r["claim_id"] in truth}
+    assert got == truth and max(truth.values()) > 0.7
+    tiers = {r["claim_id"]: r["topical"] for r in resolving.tier_topical(spark, sf).collect()}
+    abstracts = {r["claim_id"]: r["c"] for r in resolving.tier_abstract(spark, sf).collect()}
+
+    def verdict(i):
+        a, b, c = tiers[i], truth[i], abstracts.get(i)
+        topical = max(a, c or 0)
+        if b > 0.7 and topical >= 0.12:
+            return "verified"
+        if topical >= 0.25 or (c or 0) >= 0.2:
+            return "supported"
+        return "plausible" if topical >= 0.1 or b > 0.7 else "review"
+
+    verdicts = {r["claim_id"]: r["verdict"] for r in resolving.verify_citations(spark, sf).collect() if r["claim_id"] in truth}
+    assert verdicts == {i: verdict(i) for i in truth} and "verified" in verdicts.values()
+
+
 def test_usage_counts_words_within_longer_ones(spark):
     refs = spark.createDataFrame([(1, "Fracture outcome in children"), (2, "short one")], "ref_id long, title string")
     paras = spark.createDataFrame([(7, "Fractures, outcomes; schoolchildren."), (8, "fracture outcome")], "para_id long, text string")
