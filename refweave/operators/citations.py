@@ -59,6 +59,16 @@ def coverage(entries: DataFrame, cited: DataFrame) -> DataFrame:
     return e.join(n, ["doc_id", "num"], "full_outer").select("doc_id", "num", state.alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def uncovered_samples(entries: DataFrame, cited: DataFrame, paragraphs: DataFrame, k: int = 2) -> DataFrame:
+    """doc_id, num, n_locations, samples: cited numbers without an entry, in how many paragraphs each is cited, and the first 120 characters of the first `k` of them. entries: doc_id, num; cited: doc_id, num, para_idx; paragraphs: doc_id, para_idx, text."""
+    at = cited.select("doc_id", "num", "para_idx").distinct().join(entries.select("doc_id", "num").distinct(), ["doc_id", "num"], "left_anti")
+    n = at.groupBy("doc_id", "num").agg(F.count(F.lit(1)).alias("n_locations"))
+    first = at.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "num").orderBy("para_idx"))).where(F.col("place") <= k)
+    said = first.join(paragraphs.select("doc_id", "para_idx", F.substring(F.trim("text"), 1, 120).alias("text")), ["doc_id", "para_idx"], "left")
+    shown = F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", F.lit("")).alias("text"))))
+    return n.join(said.groupBy("doc_id", "num").agg(shown["text"].alias("samples")), ["doc_id", "num"])
+
+
 def duplicate_ids(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.groupBy("doc_id", id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -14,6 +14,14 @@ TYPED_YEAR = r"(?:18|19|20)\d\d"
 CAPTION = r"^(Figure|Fig|Table|Box|Plate|Video|Appendix)\.?\s+([A-Z]?\d+(?:\.\d+)*)[.:]?\s*(.*)$"
 CALLOUT = r"\b(?:Figures?|Figs?\.?|Tables?)\s+\d+(?:\.\d+)?(?:\s*(?:,|and|to|&|–|-)\s*\d+(?:\.\d+)?)*"
 
+#: Labels at the start of a figure's paragraph, those of a caption, styles of superscript citations, and what says that a line of a reference list is furniture, or no section title.
+FIGURE = r"(?i)^\s*(fig(?:ure)?\.?|table|box|plate|video|appendix)\s*(\d+[\w.-]*)"
+LABEL = r"(?i)^\s*(?:fig(?:ure)?\.?|table|box|plate|video)\s*\d"
+NEXT_LABEL = r"(\w)\s+(?:Fig(?:ure)?\.?|Table|Box|Plate|Video)\s*[0-9].*$"
+SUPERSCRIPT_STYLES = ["citsup", "sup", "superscript", "footnotereference", "endnotebibliography", "endnotereference"]
+FURNITURE = r"^(?:(?:CHAPTER|SECTION)\b|\d{3,4}(?:\.e\d+)?$)"
+NO_TITLE = r"\b(?:and|for|with|the|of a)\b.*\b(?:fracture|injur)"
+
 
 def missing_markers(paragraphs: DataFrame, pattern: str = MISSING) -> DataFrame:
     """Placeholders for citations, each with the sentence that holds it. `pattern` is any Java expression, such as one of the user's own."""
@@ -78,6 +86,37 @@ def caption_scan(paragraphs: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("para_idx"))).where("rn = 1").drop("rn")
 
 
+def figure_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """Every paragraph with a caption's label, an image or a caption style: doc_id, para_idx, fig_type (Image or Caption without a label), fig_num, caption (250 characters), has_image, style. paragraphs: doc_id, para_idx, text, style, has_image; nulls are empty."""
+    text, style, image = F.trim(F.coalesce("text", F.lit(""))), F.coalesce("style", F.lit("")), F.coalesce("has_image", F.lit(False))
+    word = F.regexp_replace(F.lower(F.regexp_extract(text, FIGURE, 1)), r"\.", "")
+    kind = F.when(word.isin("fig", "figure"), "Figure").when(word != "", F.initcap(word)).when(image, "Image").otherwise("Caption")
+    kept = paragraphs.where((word != "") | image | F.contains(F.lower(style), F.lit("caption")))
+    return kept.select("doc_id", "para_idx", kind.alias("fig_type"), F.regexp_extract(text, FIGURE, 2).alias("fig_num"), F.substring(text, 1, 250).alias("caption"), image.alias("has_image"), style.alias("style"))
+
+
+def image_captions(paragraphs: DataFrame, within: int = 7, more: int = 5) -> DataFrame:
+    """doc_id, para_idx, caption: of each paragraph with an image the caption in the next `within` paragraphs: the first with a label, with up to `more` that follow until a blank one or a label; or the first of over 20 characters, alone; whichever is first. Empty
+    without any. Two or more single capitals at the end (panels) are dropped. paragraphs: doc_id, para_idx, text, has_image; nulls are empty."""
+    ahead = F.collect_list(F.trim(F.coalesce("text", F.lit("")))).over(Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(1, within + more))
+    rows = paragraphs.select("doc_id", "para_idx", "has_image", ahead.alias("ahead")).where("has_image")
+    at = lambda texts, cond: F.array_position(F.transform(texts, cond), F.lit(True)).cast("int")
+    label = lambda x: x.rlike(LABEL)
+    rows = rows.withColumn("hit", at(F.slice("ahead", 1, within), lambda x: label(x) | (F.char_length(x) > 20))).withColumn("first", F.coalesce(F.try_element_at("ahead", F.nullif("hit", F.lit(0))), F.lit("")))
+    rows = rows.withColumn("rest", F.when(label(F.col("first")), F.slice("ahead", F.col("hit") + 1, F.lit(more))).otherwise(F.array().cast("array<string>"))).withColumn("stop", at("rest", lambda x: (x == "") | label(x)))
+    parts = F.concat(F.array("first"), F.when(F.col("stop") > 0, F.slice("rest", F.lit(1), F.col("stop") - 1)).otherwise(F.col("rest")))
+    caption = F.trim(F.regexp_replace(F.array_join(parts, " "), r"\s+", " "))
+    return rows.select("doc_id", "para_idx", F.regexp_replace(caption, r"(?:\s+[A-Z]){2,}$", "").alias("caption"))
+
+
+def cut_caption(text: Column, most: int = 600) -> Column:
+    """A caption up to the next label in it; a longer one than `most` up to its last sentence there, or, if that ends within 60 characters, cut."""
+    one = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.regexp_replace(one, NEXT_LABEL, "$1")
+    sentence = F.regexp_extract(F.substring(cut, 1, most), r"^(.*)\. ", 1)
+    return F.when(F.char_length(cut) <= most, cut).when(F.char_length(sentence) > 60, F.concat(sentence, F.lit("."))).otherwise(F.substring(cut, 1, most))
+
+
 def callouts(paragraphs: DataFrame) -> DataFrame:
     found = paragraphs.select("doc_id", "para_idx", F.posexplode(F.regexp_extract_all("text", F.lit(CALLOUT), F.lit(0))).alias("n", "callout"))
     return found.select("*", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n_in_doc"))
@@ -125,6 +164,20 @@ def citation_mode(runs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id").agg(F.when(F.bool_or(F.coalesce(F.contains("instr", F.lit("EN.CITE")), F.lit(False))), "record").otherwise("superscript").alias("mode"))
 
 
+def document_modes(runs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, mode: record for documents with live fields, superscript for others that have runs, span for those of which only page layout is at hand. runs: doc_id, instr; spans: doc_id."""
+    known = runs.select("doc_id", F.when(F.contains(F.coalesce("instr", F.lit("")), F.lit("EN.CITE")), 2).otherwise(1).alias("rank"))
+    best = known.union(spans.select("doc_id", F.lit(0))).groupBy("doc_id").agg(F.max("rank").alias("rank"))
+    return best.select("doc_id", F.element_at(F.array(F.lit("span"), F.lit("superscript"), F.lit("record")), F.col("rank") + 1).alias("mode"))
+
+
+def run_numbers(runs: DataFrame) -> DataFrame:
+    """doc_id, num: distinct citation numbers of runs that are superscript, directly or by a character style, and hold only digits and separators. Numbers are as written. runs: doc_id, text, vert_align, style."""
+    raised = (F.coalesce("vert_align", F.lit("")) == "superscript") | F.lower(F.coalesce("style", F.lit(""))).isin(SUPERSCRIPT_STYLES)
+    cited = runs.where(raised & F.col("text").rlike(r"^[\d,;\s–-]+$"))
+    return cited.select("doc_id", F.explode(F.split("text", r"[,;\s–-]+")).alias("num")).where("num <> ''").distinct()
+
+
 def body_numbers(paragraphs: DataFrame) -> DataFrame:
     """Citation numbers glued to a letter or to one of . , ) in published text."""
     found = paragraphs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z.,)](\d{1,3}(?:[,–-]\d{1,3})*)(?:[^\d.]|$)"), F.lit(1))).alias("x"))
@@ -205,6 +258,20 @@ def wrapped_bibliography(lines: DataFrame, furniture: str = r"^(?:Page \d+|\d{1,
     return kept.groupBy("doc_id", "entry").agg(F.array_join(whole["line"], " ").alias("body"))
 
 
+def titled_bibliography(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, kind, body: a wrapped list's entries, each with the lines that follow it, and the section titles before the first one. Blank lines, page numbers and running heads are dropped. A title is short, begins with a capital, has no digits and
+    no full stop or comma at its end. lines: doc_id, line_no, line."""
+    s = F.trim("line")
+    start = r"^(\d{1,3}[a-z]?)\.\s+(.*)"
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    kept = lines.select("doc_id", "line_no", s.alias("s")).where((F.col("s") != "") & ~F.col("s").rlike(FURNITURE)).withColumn("entry", F.sum(F.col("s").rlike(start).cast("int")).over(order))
+    title = (F.char_length("s") < 45) & ~F.col("s").rlike(r"\d") & F.col("s").rlike(r"^\p{Lu}") & (F.size(F.split("s", r"\s+")) <= 6) & ~F.col("s").rlike(r"[.,;]$") & ~F.lower("s").rlike(NO_TITLE)
+    titles = kept.where((F.col("entry") == 0) & title).select("doc_id", "line_no", F.lit("section").alias("kind"), F.col("s").alias("body"))
+    whole = F.array_sort(F.collect_list(F.struct("line_no", F.regexp_replace("s", start, "$1. $2").alias("s"))))
+    entries = kept.where("entry > 0").groupBy("doc_id", "entry").agg(F.min("line_no").alias("line_no"), F.array_join(whole["s"], " ").alias("body"))
+    return titles.unionByName(entries.select("doc_id", "line_no", F.lit("entry").alias("kind"), "body"))
+
+
 def parse_reference(references: DataFrame) -> DataFrame:
     """Vancouver references to their fields, once per distinct (surname, year, title key), with how often each occurs."""
     get = lambda p, i=1: F.regexp_extract("body", p, i)

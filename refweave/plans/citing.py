@@ -52,6 +52,13 @@ def citation_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return op.coverage(_entries(spark, sf), _cited(spark, sf))
 
 
+@P.add(f"""{_BIB}, a AS (SELECT DISTINCT doc_id, num, pos FROM cited WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.doc_id = cited.doc_id AND e.num = cited.num)), t AS (SELECT a.doc_id, a.num, a.pos, substr(trim(c.title || ' by ' || c.author), 1, 120) AS text FROM a JOIN citations c ON c.doc_id = a.doc_id AND c.pos = a.pos)
+SELECT doc_id, num, count(*) AS n_locations, array_to_string(list(text ORDER BY pos)[1:2], '|') AS samples FROM t GROUP BY ALL""")
+def coverage_samples(spark: SparkSession, sf: str) -> DataFrame:
+    paragraphs = citations(spark, sf).select("doc_id", F.col("pos").alias("para_idx"), F.concat("title", F.lit(" by "), "author").alias("text"))
+    return op.uncovered_samples(_entries(spark, sf), _cited(spark, sf).withColumnRenamed("pos", "para_idx"), paragraphs).withColumn("samples", F.array_join("samples", "|"))
+
+
 @P.add(f"{BASE} SELECT doc_id, recnum, count(*) AS n FROM citations GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
     return op.duplicate_ids(citations(spark, sf), "recnum")

@@ -107,6 +107,35 @@ def caption_scan(spark: SparkSession, sf: str) -> DataFrame:
     return op.caption_scan(_paragraphs(spark, sf))
 
 
+_STYLE = "CASE supp % 6 WHEN 0 THEN 'Caption' WHEN 1 THEN 'Figure caption' ELSE 'Normal' END"
+
+
+@P.add(rf"""{_CTE}, f AS (SELECT doc_id, para_idx, trim(text) AS t, {_STYLE} AS style, supp % 5 = 0 AS has_image, lower(replace(regexp_extract(text, '{op.FIGURE}', 1), '.', '')) AS w FROM paragraphs)
+SELECT doc_id, para_idx, CASE WHEN w IN ('fig', 'figure') THEN 'Figure' WHEN w <> '' THEN upper(w[1]) || w[2:] WHEN has_image THEN 'Image' ELSE 'Caption' END AS fig_type, regexp_extract(t, '{op.FIGURE}', 2) AS fig_num, substr(t, 1, 250) AS caption, has_image, style FROM f WHERE w <> '' OR has_image OR contains(lower(style), 'caption')""")
+def figure_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return op.figure_paragraphs(citations(spark, sf).select("doc_id", F.col("pos").alias("para_idx"), F.expr(_TEXT).alias("text"), F.expr(_STYLE).alias("style"), (F.col("supp") % 5 == 0).alias("has_image")))
+
+
+_SPARSE = f"CASE WHEN supp % 4 = 0 THEN '' ELSE {_TEXT} END"
+
+
+@P.add(rf"""{_CTE}, a AS (SELECT doc_id, pos AS para_idx, supp % 5 = 0 AS has_image, coalesce(list(trim({_SPARSE})) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING), []) AS ahead FROM citations),
+b AS (SELECT *, coalesce(list_position(list_transform(ahead[1:7], lambda x: regexp_matches(x, '{op.LABEL}') OR length(x) > 20), true), 0) AS hit FROM a WHERE has_image), c AS (SELECT *, CASE WHEN hit > 0 THEN ahead[hit] ELSE '' END AS f FROM b),
+d AS (SELECT *, CASE WHEN regexp_matches(f, '{op.LABEL}') THEN ahead[hit + 1:hit + 5] ELSE [] END AS rest FROM c), e AS (SELECT *, coalesce(list_position(list_transform(rest, lambda x: x = '' OR regexp_matches(x, '{op.LABEL}')), true), 0) AS stop FROM d)
+SELECT doc_id, para_idx, regexp_replace(trim(regexp_replace(array_to_string([f] || CASE WHEN stop > 0 THEN rest[1:stop - 1] ELSE rest END, ' '), '\s+', ' ', 'g')), '(?:\s+[A-Z]){{2,}}$', '') AS caption FROM e""")
+def image_captions(spark: SparkSession, sf: str) -> DataFrame:
+    return op.image_captions(citations(spark, sf).select("doc_id", F.col("pos").alias("para_idx"), F.expr(_SPARSE).alias("text"), (F.col("supp") % 5 == 0).alias("has_image")))
+
+
+_LONG = "CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 300) || ' Table 4 ' || substr(text, 301) ELSE text END"
+
+
+@P.add(rf"""WITH o AS (SELECT doc_id, regexp_replace(trim(regexp_replace({_LONG}, '\s+', ' ', 'g')), '{op.NEXT_LABEL}', '\1') AS c FROM documents), s AS (SELECT *, regexp_extract(substr(c, 1, 600), '^(.*)\. ', 1) AS s FROM o)
+SELECT doc_id, CASE WHEN length(c) <= 600 THEN c WHEN length(s) > 60 THEN s || '.' ELSE substr(c, 1, 600) END AS caption FROM s""")
+def caption_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", op.cut_caption(F.expr(_LONG)).alias("caption"))
+
+
 @P.add(f"{_CTE}, {_CAP} SELECT fig_type, count(*) AS n, grouping(fig_type) AS is_total FROM figures GROUP BY ROLLUP (fig_type)")
 def type_counts(spark: SparkSession, sf: str) -> DataFrame:
     return op.caption_scan(_paragraphs(spark, sf)).rollup("fig_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("fig_type").cast("long").alias("is_total"))
@@ -168,6 +197,20 @@ def citation_mode(spark: SparkSession, sf: str) -> DataFrame:
     return op.citation_mode(_runs(spark, sf))
 
 
+@P.add(f"{_CTE} SELECT doc_id, CASE max(CASE WHEN doc_id % 3 = 0 THEN 0 WHEN instr IS NULL THEN 1 ELSE 2 END) WHEN 0 THEN 'span' WHEN 1 THEN 'superscript' ELSE 'record' END AS mode FROM runs GROUP BY doc_id")
+def document_modes(spark: SparkSession, sf: str) -> DataFrame:
+    runs = _runs(spark, sf)
+    return op.document_modes(runs.where("doc_id % 3 <> 0"), runs.select("doc_id"))
+
+
+_RUN_STYLE = "CASE supp % 5 WHEN 0 THEN 'CitSup' WHEN 1 THEN 'EndnoteReference' WHEN 2 THEN 'Strong' END"
+
+
+@P.add(rf"""{_CTE}, r AS (SELECT doc_id, {_RUN} AS text FROM citations WHERE supp % 2 = 0 OR supp % 5 IN (0, 1)), x AS (SELECT doc_id, unnest(string_split_regex(text, '[,;\s–-]+')) AS num FROM r WHERE regexp_matches(text, '^[\d,;\s–-]+$')) SELECT DISTINCT doc_id, num FROM x WHERE num <> ''""")
+def run_cited_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return op.run_numbers(citations(spark, sf).select("doc_id", F.expr(_RUN).alias("text"), F.expr("CASE WHEN supp % 2 = 0 THEN 'superscript' END").alias("vert_align"), F.expr(_RUN_STYLE).alias("style")))
+
+
 @P.add(rf"""{_CTE}, x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z.,)](\d{{1,3}}(?:[,–-]\d{{1,3}})*)(?:[^\d.]|$)', 1)) AS x FROM paragraphs) SELECT DISTINCT doc_id, unnest(string_split_regex(x, '[,–-]'))::INT AS num FROM x""")
 def body_cited_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return op.body_numbers(_paragraphs(spark, sf))
@@ -230,6 +273,16 @@ def bibliography_wrapped(spark: SparkSession, sf: str) -> DataFrame:
     return op.wrapped_bibliography(_bib(spark, sf).selectExpr("doc_id", "para_idx AS line_no", "text AS line"))
 
 
+_LIST = f"CASE WHEN pos = 1 THEN CASE supp % 4 WHEN 0 THEN 'Growth plates' WHEN 1 THEN 'CHAPTER 4' WHEN 2 THEN 'Care for the Fracture' ELSE 'General, ' END WHEN supp % 13 = 0 THEN 'Section ' || author WHEN supp % 11 = 0 THEN '1012.e' || {_S('pos')} WHEN supp % 7 = 0 THEN '  wrapped ' || author || ' ' ELSE {_REF} END"
+
+
+@P.add(rf"""{_CTE}, k AS (SELECT doc_id, line_no, s, sum(regexp_matches(s, '^\d{{1,3}}[a-z]?\.\s+')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS entry FROM (SELECT doc_id, pos AS line_no, trim({_LIST}) AS s FROM citations) WHERE s <> '' AND NOT regexp_matches(s, '{op.FURNITURE}'))
+SELECT doc_id, line_no, 'section' AS kind, s AS body FROM k WHERE entry = 0 AND length(s) < 45 AND NOT regexp_matches(s, '\d') AND regexp_matches(s, '^\p{{Lu}}') AND len(string_split_regex(s, '\s+')) <= 6 AND NOT regexp_matches(s, '[.,;]$') AND NOT regexp_matches(lower(s), '{op.NO_TITLE}')
+UNION ALL SELECT doc_id, min(line_no), 'entry', string_agg(regexp_replace(s, '^(\d{{1,3}}[a-z]?)\.\s+', '\1. '), ' ' ORDER BY line_no) FROM k WHERE entry > 0 GROUP BY doc_id, entry""")
+def bibliography_titled(spark: SparkSession, sf: str) -> DataFrame:
+    return op.titled_bibliography(citations(spark, sf).select("doc_id", F.col("pos").alias("line_no"), F.expr(_LIST).alias("line")))
+
+
 _SHAPE = r"^(.+?)\.\s+(.+?)\.\s+([^.]+)\.\s+(\d{4});(\d+)(?:\(([^)]*)\))?:(\d+)(?:-(\d+))?"
 
 

@@ -501,6 +501,53 @@ def test_verdicts_take_the_ratio_of_the_published_version(spark):
     assert verdicts == {i: verdict(i) for i in truth} and "verified" in verdicts.values()
 
 
+def test_figure_paragraphs_keep_labels_images_and_caption_styles(spark):
+    data = [(1, 1, " fig. 3.2-a Bones", "Normal", None), (1, 2, "Nothing", "Figure Caption", False), (1, 3, None, None, True), (1, 4, "APPENDIX 2", None, None), (1, 5, "Plain", None, False), (1, 6, "", "caption", True), (2, 1, "Figure 3.2 " + "x" * 300, "", False)]
+    got = matching_rows(extraction.figure_paragraphs(spark.createDataFrame(data, "doc_id long, para_idx int, text string, style string, has_image boolean")))
+    assert got[(1, 1)][:3] == ("Figure", "3.2-a", "fig. 3.2-a Bones") and got[(1, 2)] == ("Caption", "", "Nothing", False, "Figure Caption") and got[(1, 3)] == ("Image", "", "", True, "")
+    assert got[(1, 4)][:2] == ("Appendix", "2") and got[(1, 6)][0] == "Image" and (1, 5) not in got and len(got[(2, 1)][2]) == 250
+
+
+def matching_rows(df):
+    return {tuple(r)[:2]: tuple(r)[2:] for r in df.collect()}
+
+
+def test_image_captions_look_ahead_as_far_as_they_may(spark):
+    image = lambda d, i: (d, i, None, True)
+    say = lambda d, i, t: (d, i, t, False)
+    data = [image(1, 1), say(1, 2, ""), say(1, 3, "short"), say(1, 4, "Figure 1. Bone"), say(1, 5, "goes  on"), say(1, 6, "and ends A B"), say(1, 7, ""), say(1, 8, "not this")]
+    data += [image(2, 1), say(2, 2, "a line of more than twenty characters"), say(2, 3, "Figure 2")] + [image(3, 1)]
+    data += [image(4, 1)] + [say(4, i, "few") for i in range(2, 9)] + [say(4, 9, "Table 9 is too far away")]
+    data += [image(5, 1), say(5, 2, "Video 1")] + [say(5, i, f"more {i}") for i in range(3, 10)] + [image(6, 1), say(6, 2, "Box 1"), say(6, 3, "Box 2")]
+    got = matching_rows(extraction.image_captions(spark.createDataFrame(data, "doc_id long, para_idx int, text string, has_image boolean")))
+    assert {k[0]: v[0] for k, v in got.items()} == {1: "Figure 1. Bone goes on and ends", 2: "a line of more than twenty characters", 3: "", 4: "", 5: "Video 1 more 3 more 4 more 5 more 6 more 7", 6: "Box 1"}
+
+
+def test_captions_are_cut_at_labels_and_sentences(spark):
+    sentence = "word " * 30 + "end. "
+    data = ["Figure 1. A bone  Figure 2. Another", None, "", "Short. " + "x" * 700, sentence * 6, "x" * 650]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in data], "t string").select(extraction.cut_caption(F.col("t"))).collect()]
+    # a label is one only behind a word's character
+    assert got[0] == "Figure 1. A bone" and got[1] is None and got[2] == "" and got[3] == ("Short. " + "x" * 700)[:600] and got[4] == (sentence * 3).strip() and got[5] == "x" * 600
+
+
+def test_modes_numbers_and_titles_of_documents(spark):
+    runs = spark.createDataFrame([(1, "3, 4;5", "superscript", None, "x EN.CITE y"), (1, "6–7", None, "CitSup", None), (2, "8a", "superscript", None, None), (2, " 9 ", "subscript", "Sup", None), (2, "10", None, "Strong", None), (2, None, "superscript", None, None), (2, ", ", "superscript", None, None)], "doc_id long, text string, vert_align string, style string, instr string")
+    spans = spark.createDataFrame([(2,), (3,), (3,)], "doc_id long")
+    assert rows(extraction.document_modes(runs, spans)) == [(1, "record"), (2, "superscript"), (3, "span")] and extraction.document_modes(runs.limit(0), spans.limit(0)).count() == 0
+    assert rows(extraction.run_numbers(runs)) == [(1, "3"), (1, "4"), (1, "5"), (1, "6"), (1, "7"), (2, "9")]
+    lines = ["Growth plates", "small title", "Too long a title with very many words in it", "Care for the fracture", "12", "CHAPTER 3", "1.  First AB.", " goes on ", "", "1012", "1012.e4", "Not a Title", "2a. Second.", "SECTION of it", None]
+    got = sorted(tuple(r) for r in extraction.titled_bibliography(spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, line_no int, line string")).collect())
+    assert got == [(1, 0, "section", "Growth plates"), (1, 6, "entry", "1. First AB. goes on Not a Title"), (1, 12, "entry", "2a. Second.")]
+
+
+def test_samples_of_numbers_without_an_entry(spark):
+    entries = spark.createDataFrame([(1, 1), (1, 1), (2, 7)], "doc_id long, num int")
+    cited = spark.createDataFrame([(1, 7, 5), (1, 7, 5), (1, 7, 3), (1, 7, 9), (1, 1, 3), (2, 7, 1), (2, 8, 2)], "doc_id long, num int, para_idx int")
+    paragraphs = spark.createDataFrame([(1, 3, " third "), (1, 5, "y" * 200), (1, 9, "ninth")], "doc_id long, para_idx int, text string")
+    assert rows(citations.uncovered_samples(entries, cited, paragraphs)) == [(1, 7, 3, ["third", "y" * 120]), (2, 8, 1, [""])]
+
+
 def test_usage_counts_words_within_longer_ones(spark):
     refs = spark.createDataFrame([(1, "Fracture outcome in children"), (2, "short one")], "ref_id long, title string")
     paras = spark.createDataFrame([(7, "Fractures, outcomes; schoolchildren."), (8, "fracture outcome")], "para_id long, text string")
