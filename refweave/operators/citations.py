@@ -159,11 +159,13 @@ def number_listing(spans: DataFrame, bibliography: DataFrame) -> DataFrame:
     spans: doc_id, group_order, display (as `3, 5-7`); spans without a number are no groups. bibliography: doc_id, num, text (one per number).
     """
     rows = spans.select("doc_id", "group_order", F.trim("display").alias("display"), F.posexplode(expanded_numbers(F.col("display"), None)).alias("place", "num"))
-    n = rows.groupBy("doc_id", "num").agg(F.count(F.lit(1)).alias("n_in_doc"))
-    totals = rows.groupBy("doc_id").agg(F.count_distinct("group_order").alias("n_groups"), F.count(F.lit(1)).alias("n_citations"), F.count_distinct("num").alias("n_references"))
+    doc = Window.partitionBy("doc_id")
+    ranked = rows.select("*", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "num")).alias("n_in_doc"), F.dense_rank().over(doc.orderBy("group_order")).alias("g"), F.count(F.lit(1)).over(doc).alias("n_citations"), F.dense_rank().over(doc.orderBy("num")).alias("r"))
+    counted = ranked.select("*", F.max("g").over(doc).cast("long").alias("n_groups"), F.max("r").over(doc).cast("long").alias("n_references"))
     entry = bibliography.select("doc_id", F.col("num").cast("int").alias("num"), F.col("text").alias("entry"))
     label = F.when(F.col("entry").isNull(), F.concat(F.lit("#"), F.col("num").cast("string"))).otherwise(F.concat_ws(" — ", F.col("num").cast("string"), "entry"))
-    return rows.join(n, ["doc_id", "num"]).join(totals, "doc_id").join(entry, ["doc_id", "num"], "left").select("doc_id", "group_order", "display", "place", "num", label.alias("label"), "n_in_doc", "n_groups", "n_citations", "n_references")
+    # a bibliography can be unnested from few rows, by whose size Spark would take it for small
+    return counted.join(entry.hint("merge"), ["doc_id", "num"], "left").select("doc_id", "group_order", "display", "place", "num", label.alias("label"), "n_in_doc", "n_groups", "n_citations", "n_references")
 
 
 def top_k_per_key(scored: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
