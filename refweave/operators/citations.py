@@ -38,11 +38,13 @@ def remap_recnums(missing: DataFrame, library: DataFrame, prefix: int = 25) -> D
     One candidate: it. Several: the first whose normalised title begins alike, else the first in library order. None: not_found.
     """
     lib = live(library).select(normalised(F.col("surname")).alias("k"), F.col("year").alias("y"), F.substring(normalised(F.col("title")), 1, prefix).alias("t"), F.col("rec_id").alias("new_id"))
+    # what is asked of the records of an author and year are counts and minima, so a record missing meets one row, however many there are
+    titled = lib.groupBy("k", "y", "t").agg(F.count("new_id").alias("n"), F.min("new_id").alias("alike"))
+    named = titled.groupBy("k", "y").agg(F.sum("n").alias("candidates"), F.min("alike").alias("first"))
     asked = missing.select("recnum", "author", "year", "title").distinct().withColumn("k", normalised(F.col("author"))).withColumn("st", F.substring(normalised(F.col("title")), 1, prefix))
-    joined = asked.join(lib, (asked["k"] == lib["k"]) & (asked["year"] == lib["y"]), "left")
-    best = joined.groupBy("recnum", "author", "year", "title").agg(F.count("new_id").alias("candidates"), F.min(F.struct((F.col("st") != F.col("t")).alias("unlike"), "new_id")).alias("m"))
-    how = F.when(F.col("candidates") == 0, "not_found").when(F.col("candidates") == 1, "only").when(~F.col("m.unlike"), "title").otherwise("first")
-    return best.select("recnum", "author", "year", "title", F.when(F.col("candidates") > 0, F.col("m.new_id")).alias("new_id"), how.alias("how"))
+    best = asked.withColumn("y", F.col("year")).join(named, ["k", "y"], "left").join(titled.drop("n").withColumnRenamed("t", "st"), ["k", "y", "st"], "left")
+    how = F.when(F.coalesce("candidates", F.lit(0)) == 0, "not_found").when(F.col("candidates") == 1, "only").when(F.col("alike").isNotNull(), "title").otherwise("first")
+    return best.select("recnum", "author", "year", "title", F.coalesce("alike", "first").alias("new_id"), how.alias("how"))
 
 
 def rebuild_lookup(broken: DataFrame, library: DataFrame) -> DataFrame:

@@ -32,3 +32,11 @@ def test_an_unnested_bibliography_is_not_broadcast(spark):
     df = cit.number_listing(spans, entries)
     assert not [p for p in nodes(df) if p.nodeName().startswith("Broadcast")]
     assert rows(df) == [(1, 1, "1, 3-4", 0, 1, "1 — entry", 1, 2, 4, 3), (1, 1, "1, 3-4", 1, 3, "3 — entry", 2, 2, 4, 3), (1, 1, "1, 3-4", 2, 4, "4 — entry", 1, 2, 4, 3), (1, 2, "3", 0, 3, "3 — entry", 2, 2, 4, 3), (2, 1, "40", 0, 40, "#40", 1, 1, 1, 1)]
+
+
+def test_records_of_one_name_are_met_as_one_row(spark):
+    lib = spark.range(300).selectExpr("id AS rec_id", "'Fox' AS surname", "'1990' AS year", "CASE WHEN id = 7 THEN 'Red hens' ELSE 'Other things' END AS title", "0 AS trash_state").union(spark.createDataFrame([(900, "Owl", "1990", None, 0), (901, "Elk", "1990", "Moss", 1)], "rec_id long, surname string, year string, title string, trash_state int"))
+    missing = spark.createDataFrame([(str(i), a, "1990", t) for i, (a, t) in enumerate([("fox", "Red hens!"), ("Fox", "Grey"), ("Owl", "Any"), ("Elk", "Moss"), (None, "Any"), ("Fox", None)] + [("Fox", f"Grey {i}") for i in range(200)])], "recnum string, author string, year string, title string")
+    df = cit.remap_recnums(missing, lib)
+    assert most_joined(df) <= 206
+    assert {r["recnum"]: (r["new_id"], r["how"]) for r in df.where("recnum < '6' AND length(recnum) = 1").collect()} == {"0": (7, "title"), "1": (0, "first"), "2": (900, "only"), "3": (None, "not_found"), "4": (None, "not_found"), "5": (0, "first")}
