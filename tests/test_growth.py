@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from conftest import rows
 
 from refweave.operators import citations as cit
+from refweave.operators import matching as mt
 
 
 def nodes(df):
@@ -40,3 +43,20 @@ def test_records_of_one_name_are_met_as_one_row(spark):
     df = cit.remap_recnums(missing, lib)
     assert most_joined(df) <= 206
     assert {r["recnum"]: (r["new_id"], r["how"]) for r in df.where("recnum < '6' AND length(recnum) = 1").collect()} == {"0": (7, "title"), "1": (0, "first"), "2": (900, "only"), "3": (None, "not_found"), "4": (None, "not_found"), "5": (0, "first")}
+
+
+def test_pairs_of_one_surname_are_not_made(spark):
+    titles = ["Brown foxes", "Brown hens", "Green foxes", "Nothing alike", "xy", None]
+    side = lambda n, by: [((i * by) % 1009, "Fox", titles[(i * by) % 6]) for i in range(n)] + [(5000, None, "Brown foxes"), (5, "Elk", "Green moss"), (5, "Elk", "Brown moss")]
+    missing, extra = side(300, 7), side(300, 11)
+    words = lambda t: set(re.findall("[a-z]{5,}", (t or "").lower()))
+    want, used = [], {0: set(), 1: set()}
+    for s, m, e in sorted((a[1], a[0], b[0]) for a in missing for b in extra if a[1] and a[1] == b[1] and words(a[2]) & words(b[2])):
+        if (s, m) not in used[0] and (s, e) not in used[1]:
+            used[0].add((s, m))
+            used[1].add((s, e))
+            want.append((s, m, e))
+    schema = "pos long, surname string, title string"
+    df = mt.reconcile(spark.createDataFrame(missing, schema), spark.createDataFrame(extra, schema))
+    assert rows(df) == sorted(want, key=repr) and len(want) > 200
+    assert most_joined(df) <= 600
