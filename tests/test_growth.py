@@ -29,6 +29,11 @@ def most_joined(df):
     return max([p.metrics().apply("numOutputRows").value() for p in nodes(df) if "Join" in p.nodeName()], default=0)
 
 
+def most_broadcast(df):
+    """The most rows that df broadcasts."""
+    return max([p.metrics().apply("numOutputRows").value() for p in nodes(df) if p.nodeName() == "BroadcastExchange"], default=0)
+
+
 def test_an_unnested_bibliography_is_not_broadcast(spark):
     spans = spark.createDataFrame([(1, 1, "1, 3-4"), (1, 2, "3"), (1, 3, "x"), (2, 1, "40")], "doc_id long, group_order int, display string")
     entries = spark.range(1, 3).selectExpr("id AS doc_id", "explode(sequence(1, 30)) AS num").selectExpr("doc_id", "num", "'entry' AS text")
@@ -60,3 +65,13 @@ def test_pairs_of_one_surname_are_not_made(spark):
     df = mt.reconcile(spark.createDataFrame(missing, schema), spark.createDataFrame(extra, schema))
     assert rows(df) == sorted(want, key=repr) and len(want) > 200
     assert most_joined(df) <= 600
+
+
+def test_a_catalogue_is_not_broadcast(spark, tmp_path):
+    spark.range(400).selectExpr("id AS rec_id", "'Fox' AS surname", "'1990' AS year", "CASE WHEN id % 2 = 0 THEN 'Brown woods' ELSE 'Woods, brown' END AS title", "concat('a', id) AS abstract").write.parquet(f"{tmp_path}/c")
+    spark.range(300).selectExpr("id AS ref_id", "'Fox, A.' AS author", "'1990' AS year", "CASE WHEN id = 0 THEN '' WHEN id = 1 THEN 'Green' ELSE 'Brown' END AS title").write.parquet(f"{tmp_path}/r")
+    df = mt.catalog_abstracts(spark.read.parquet(f"{tmp_path}/r"), spark.read.parquet(f"{tmp_path}/c"))
+    assert rows(df) == sorted(((i, 0, "a0") for i in range(300) if i != 1), key=repr)
+    assert most_broadcast(df) <= 10
+    claims = df.selectExpr("ref_id AS claim_id", "'brown fox' AS claim")
+    assert most_broadcast(mt.abstract_share(claims, df)) <= 10
