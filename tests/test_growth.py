@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from conftest import rows
@@ -75,3 +76,32 @@ def test_a_catalogue_is_not_broadcast(spark, tmp_path):
     assert most_broadcast(df) <= 10
     claims = df.selectExpr("ref_id AS claim_id", "'brown fox' AS claim")
     assert most_broadcast(mt.abstract_share(claims, df)) <= 10
+
+
+def test_records_of_the_same_words_are_scored_once(spark):
+    rng = random.Random(5)
+    words, numbers = ["brown", "foxes", "hens", "moss", "river"], ["3", "5", "12", "40", "41", "900"]
+    some = lambda xs, n: " ".join(rng.choice(xs) for _ in range(n))
+    records = [(i, rng.choice(["Fox", "Elk"]), "1990", some(words, 2), some(words, 1), rng.choice(["3", "5", "12", None]), f"{rng.choice(['40', '41', str(i)])}-{rng.choice(['3', str(i)])}") for i in range(300)]
+    said = [(i, rng.choice(["Fox", "Elk", "Owl"]), rng.choice(["1990", "1990", None]), f"{some(words, 2)} {some(numbers, i % 4)} {300 - i}") for i in range(300)]
+    of = lambda text: set(re.findall("[a-z]{4,}", text))
+    want = {}
+    for i, name, year, hint in said:
+        have, found = set(re.findall(r"\d+", hint)), []
+        for r, surname, y, title, journal, volume, pages in records:
+            if name == surname and y == year:
+                hits = (volume in have) + sum(p in have for p in pages.split("-"))
+                found.append((-(len(of(title) & of(hint)) + len(of(journal) & of(hint)) + 0.5 * min(hits, 2)), r))
+        found.sort()
+        top, second = (-found[0][0], -found[1][0]) if found else (None, None)
+        kind = "none" if not found else "exact" if top >= 2 and top - second >= 1.5 else "near" if top >= 1 and top > second else "ambiguous"
+        want[i] = (found[0][1] if found else None, top, kind)
+    asked = spark.createDataFrame(said, "ident long, surname string, year string, hint string")
+    held = spark.createDataFrame(records, "rec_id long, surname string, year string, title string, journal string, volume string, pages string")
+    df = mt.resolve_cited(asked, held)
+    assert {r["ident"]: (r["rec_id"], r["score"], r["match_kind"]) for r in df.collect()} == want
+    assert len({k for _, _, k in want.values()}) > 2
+    alike = spark.range(400).selectExpr("id AS rec_id", "'Fox' AS surname", "'1990' AS year", "'Brown foxes' AS title", "'' AS journal", "'7' AS volume", "concat(2000 + id, '-', 3000 + id) AS pages")
+    df = mt.resolve_cited(spark.range(300).selectExpr("id AS ident", "'Fox' AS surname", "'1990' AS year", "concat('Brown foxes 7, ', 2000 + id) AS hint"), alike)
+    assert rows(df) == sorted(((i, i, 3.0, "near") for i in range(300)), key=repr)
+    assert most_joined(df) <= 1000
