@@ -15,8 +15,10 @@ several classes: the centres leave, 256 times as many of the rest are the next o
 So a big group of near copies costs about one alignment per copy.
 
 In the rounds texts meet that merely share a passage. A MinHash of the single words, 128 bytes a text, tells them apart from near ones without an alignment: two near texts share at least two thirds
-of their occurrence-labelled words, so 85 of the 128 bytes on average; texts of one length that share fewer than 67, of different lengths even more, are not aligned (a near pair is lost so with a probability of 2 * 10^-4 at the very limit, and hardly at all below it). In place of the buckets of more than 32 texts in the rounds, their texts get keys of 21 bands of six of these bytes: two near texts share one with a probability of 0.86 at the very limit and 0.999 at a tenth
-of the words edited, two that share half of their words with one of 0.03, so that a passage that a large part of the corpus shares doesn't make all its texts meet.
+of their occurrence-labelled words, so 85 of the 128 bytes on average; texts of one length that share fewer than 67, of different lengths even more, are not aligned (a near pair is lost so with a probability of 2 * 10^-4 at the very limit, and hardly at all below it).
+
+In place of the buckets of more than 32 texts in the rounds, their texts meet on what any near pair must share, so that a passage that a large part of the corpus shares doesn't make all its texts meet: an edit touches two pairs of neighbouring words at
+most, so near texts share all but so many of their labelled pairs, and of both texts' rarest pairs, one more than may be missing, one is common (`least_common`). Pairs that only one of these texts has are of no use as keys. No near pair is lost by it.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ SKETCHES = ((5, 16, None), (3, 24, None), (2, 16, 30))
 DELETIONS = 2
 #: Bytes of the MinHash of words.
 WORD_BYTES = 128
-#: Texts of a bucket up to which all are compared in the rounds; larger ones are cut into sub-buckets.
+#: Texts of a bucket up to which all are compared in the rounds; those of larger ones meet on their rarest word pairs.
 BUCKET = 32
 #: Parts into which each class is dealt where its members are joined with it.
 SALTS = 32
@@ -150,6 +152,18 @@ def sketch_keys(values: np.ndarray, offsets: np.ndarray, similarity: float = SIM
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64), np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int64)
 
 
+def run_length(similarity: float) -> int:
+    """The words of a run by whose rarest ones texts are looked for: two where that leaves near texts of any length common ones, else one."""
+    return 2 if similarity >= 0.75 else 1
+
+
+def least_common(n: int, similarity: float) -> int:
+    """How many of its n - k + 1 labelled runs of k words a text of n words shares at least with any near text that is as long or longer; less than that with none of the shorter ones. An edit touches k runs."""
+    k = run_length(similarity)
+    longest = n + int(1 / max(1 - similarity, 1e-3)) + 1  # from there on the same lengths come again with more words
+    return min(m - k + 1 - k * edit_limit(m, similarity) for m in range(n, longest + 1))
+
+
 def within_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The edit distance of two sequences if it is at most `limit`, else None.
 
@@ -228,6 +242,32 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
+def rare_keys(ids: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id, h: keys of the texts (id, w) that are asked for, of which any two near ones have one in common: of each its rarest labelled runs of words, as many as may be missing in a near text and one more."""
+    k = run_length(similarity)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = flat_lists(batch.column("w"))
+            out, missing = [], []
+            for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                n = high - low
+                able = n >= k and edit_limit(int(n / similarity + 1e-9) + 1, similarity) > 0  # else near texts are equal
+                out.append(occurrence_labelled(window_hashes(values[low:high].astype(np.uint64), k)[: n - k + 1]) if able else np.zeros(0, dtype=np.uint64))
+                missing.append(n - k + 1 - least_common(n, similarity) if able else -1)
+            flat = np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in out])], pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(missing, pa.int64()), lists], names=["id", "missing", "runs"])
+
+    held = written(texts.join(ids.hint("merge"), "id", "left_semi").select("id", "w").mapInArrow(runs, "id long, missing long, runs array<long>"), "runs")
+    rows = held.select("id", "missing", F.size("runs").alias("n_runs"), F.explode("runs").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    common = rows.join(shared.hint("merge"), "h").groupBy("id").agg(F.first("missing").alias("missing"), F.first("n_runs").alias("n_runs"), F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("common"))
+    # runs that no other text has are the rarest
+    left = F.greatest(F.col("missing") + 1 - (F.col("n_runs") - F.size("common")), F.lit(0)).cast("int")
+    return common.select("id", F.explode(F.slice("common", F.lit(1), left)["h"]).alias("h"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of the edges (a, b), by alternating large and small stars.
 
@@ -306,11 +346,9 @@ def _keyed_classes(docs: DataFrame, id_col: str, text: str, similarity: float, s
     wanted = left.select("id").distinct().hint("merge")
     known = written(texts.join(wanted, "id", "left_semi").select("id", "w").mapInArrow(compared, "id long, g array<long>"), "word-bytes")
     left = written(left.join(known, "id"), "buckets")
-    low = [F.col("g")[j].bitwiseAND(F.lit((1 << 48) - 1)) for j in range(WORD_BYTES // 8)]  # six bytes of each number, and the two others of every three
-    high = [F.xxhash64(*[F.shiftrightunsigned(F.col("g")[j + i], 48) for i in range(3)]) for j in range(0, WORD_BYTES // 8 - 2, 3)]
-    bands = [F.xxhash64(F.lit(j), x) for j, x in enumerate(low + high)]
     crowded = left.where(f"size > {BUCKET}").select("id", "n", "g").dropDuplicates(["id"])
-    left = left.where(f"size <= {BUCKET}").select("h", "id", "n", "g").union(crowded.select(F.explode(F.array(*bands)).alias("h"), "id", "n", "g"))
+    rare = rare_keys(crowded.select("id"), texts, similarity)
+    left = left.where(f"size <= {BUCKET}").select("h", "id", "n", "g").union(crowded.join(rare, "id").select("h", "id", "n", "g"))
     while True:  # sixteen centres of a bucket are compared with all of it; then, as many times 256, up to as many as there are texts
         deals *= 16 if deals == 1 else 256
         rooted = with_roots(left)

@@ -240,6 +240,44 @@ def test_banded_distance(a, b, limit):
     assert neardup.within_distance(np.array(a, dtype=int), np.array(b, dtype=int), limit) == (d if d <= limit else None)
 
 
+def test_near_texts_share_a_rare_key(spark):
+    rng = np.random.default_rng(11)
+    for similarity in (0.8, 0.75, 0.6, 0.9):
+        k = neardup.run_length(similarity)
+        for n in range(1, 120):
+            for m in range(n, int(n / similarity) + 1):
+                d = neardup.edit_limit(m, similarity)
+                if d and d >= m - n:
+                    assert 1 <= neardup.least_common(n, similarity) <= m - k + 1 - k * d
+    texts = {}
+    for i in range(0, 120, 2):
+        n = int(rng.integers(5, 60))
+        a = rng.integers(0, 40, n).tolist()
+        b = list(a)
+        for _ in range(neardup.edit_limit(n, 0.8)):
+            at = int(rng.integers(0, len(b)))
+            b[at : at + 1] = [] if rng.random() < 0.3 else [int(rng.integers(0, 40))]
+        texts[i], texts[i + 1] = a, b
+    frame = spark.createDataFrame(list(texts.items()), "id long, w array<int>")
+    keys = {}
+    for r in neardup.rare_keys(frame.select("id"), frame, 0.8).collect():
+        keys.setdefault(r["id"], set()).add(r["h"])
+    for a in texts:
+        for b in texts:
+            if a < b and texts[a] != texts[b] and neardup.near(np.array(texts[a]), np.array(texts[b]), 0.8):
+                assert keys[a] & keys[b]
+
+
+def test_near_texts_of_a_crowded_bucket_are_all_found(spark):
+    passage, rows = [f"p{j}" for j in range(100)], []
+    for i in range(60):  # at the very limit, and no three of their own words in a row are common: they meet in the passage's buckets only
+        own = [f"o{i}x{j}" for j in range(60)]
+        other = [f"e{i}x{j}" if j % 3 == 2 or (j % 3 == 0 and j < 36) else w for j, w in enumerate(own)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_near_classes_find_copies_and_leave_others(spark):
     rng = random.Random(4)
     new = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(n)]
