@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 def citation_listing(citations: DataFrame) -> DataFrame:
     """Each reference in order of appearance with its record's count in the document and the document's totals."""
     doc = Window.partitionBy("doc_id")
-    distinct = F.size(F.collect_set("recnum").over(doc))
-    return citations.select(
-        "doc_id", "group_order", "ref_pos", "recnum", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "recnum")).alias("n_in_doc"), F.max("group_order").over(doc).cast("long").alias("n_groups"), F.count(F.lit(1)).over(doc).alias("n_citations"), distinct.cast("long").alias("n_distinct")
-    )
+    # ranks in place of a set: no document's records are held at every of its rows
+    ranked = citations.select("doc_id", "group_order", "ref_pos", "recnum", F.dense_rank().over(doc.orderBy("recnum")).alias("r"))
+    counted = ranked.select("*", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "recnum")).alias("n_in_doc"))
+    distinct = F.max("r").over(doc) - F.max(F.col("recnum").isNull().cast("int")).over(doc)
+    return counted.select("doc_id", "group_order", "ref_pos", "recnum", "n_in_doc", F.max("group_order").over(doc).cast("long").alias("n_groups"), F.count(F.lit(1)).over(doc).alias("n_citations"), distinct.cast("long").alias("n_distinct"))
 
 
 def live(library: DataFrame) -> DataFrame:

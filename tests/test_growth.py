@@ -105,3 +105,10 @@ def test_records_of_the_same_words_are_scored_once(spark):
     df = mt.resolve_cited(spark.range(300).selectExpr("id AS ident", "'Fox' AS surname", "'1990' AS year", "concat('Brown foxes 7, ', 2000 + id) AS hint"), alike)
     assert rows(df) == sorted(((i, i, 3.0, "near") for i in range(300)), key=repr)
     assert most_joined(df) <= 1000
+
+
+def test_records_of_a_document_are_not_held_as_a_set(spark):
+    rows_of = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "a"), (1, 3, 1, None), (2, 1, 1, None)], "doc_id long, group_order int, ref_pos int, recnum string")
+    df = cit.citation_listing(rows_of)
+    assert rows(df) == sorted([(1, 1, 1, "a", 2, 3, 4, 2), (1, 1, 2, "b", 1, 3, 4, 2), (1, 2, 1, "a", 2, 3, 4, 2), (1, 3, 1, None, 1, 3, 4, 2), (2, 1, 1, None, 1, 1, 1, 0)], key=repr)
+    assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
