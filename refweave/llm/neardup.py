@@ -42,6 +42,8 @@ DELETIONS = 2
 WORD_BYTES = 128
 #: Texts of a bucket up to which all are compared in the rounds; those of larger ones meet on their rarest word pairs.
 BUCKET = 32
+#: Rows, and centres, of a bucket that are compared at once in the rounds.
+BLOCK = 2048
 #: Parts into which each class is dealt where its members are joined with it.
 SALTS = 32
 
@@ -114,23 +116,76 @@ def word_bytes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_shared(n: Column, m: Column, similarity: float) -> Column:
+def least_shared(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """How many bytes near texts of n and m words share at least: three and a half standard deviations below what the least likeness of their words makes expected. Of the longer one's words all but the allowed edits stand in the shorter one."""
-    longer, shorter = F.greatest(n, m), F.least(n, m)
-    likeness = F.least(F.lit(1.0), similarity * longer / (shorter + (1 - similarity) * longer))
-    return WORD_BYTES * likeness - 3.5 * F.sqrt(WORD_BYTES * likeness * (1 - likeness))
+    longer, shorter = np.maximum(n, m), np.minimum(n, m)
+    likeness = np.minimum(1.0, similarity * longer / (shorter + (1 - similarity) * longer))
+    return WORD_BYTES * likeness - 3.5 * np.sqrt(WORD_BYTES * likeness * (1 - likeness))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many bytes of two arrays of WORD_BYTES / 8 whole numbers agree."""
-    differ = None
-    for i in range(WORD_BYTES // 8):
-        x = a[i].bitwiseXOR(b[i])
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-        differ = n if differ is None else differ + n
-    return F.lit(WORD_BYTES) - differ
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes agree, row by row, in two arrays of WORD_BYTES / 8 whole numbers a row."""
+    x = a ^ b
+    for shift in (4, 2, 1):
+        x |= x >> np.uint64(shift)
+    x &= np.uint64(0x0101010101010101)
+    return WORD_BYTES - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
+def alike_pairs(left: DataFrame, deals: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The centres (h, id) of the buckets' rows (h, id, n, g, root, size), one for each of `deals` parts by hash; and the pairs (a, b) of a row with a centre of its bucket that is of another class and, by its bytes and length, may be near.
+
+    The pairs are looked through in blocks of BLOCK rows and BLOCK centres at most, which are dealt out: a bucket's work is spread over as many tasks as it has blocks, and only what may be near becomes a row.
+    """
+    text = F.struct("id", "n", "g", "root", "size")
+    centres = written(left.groupBy("h", F.pmod(F.xxhash64("id", F.lit(deals)), F.lit(deals))).agg(F.min(text).alias("c")).select("h", "c.*"), "centres")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    row_blocks, centre_blocks = blocks(F.col("size")), blocks(F.least("size", F.lit(deals)))
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["h", "part", "centre_part", "is_row", "id", "n", "root", "g"]
+    dealt = centres.withColumns({"is_row": F.lit(0), "centre_part": place(centre_blocks), "part": every(row_blocks)}).select(columns)
+    dealt = dealt.union(left.withColumns({"is_row": F.lit(1), "part": place(row_blocks), "centre_part": every(centre_blocks)}).select(columns))
+
+    def compare(a: tuple, b: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (ia, na, ra, ga), (ib, nb, rb, gb) = a, b
+        step = max(1, 65_536 // len(ib))
+        for k in range(0, len(ia), step):
+            n, m = na[k : k + step, None], nb[None, :]
+            may = (np.abs(n - m) <= (1 - similarity) * np.maximum(n, m) + 1e-9) & (ra[k : k + step, None] != rb[None, :])
+            x, y = np.nonzero(may)
+            x += k
+            keep = shared_bytes(ga[x], gb[y]) >= least_shared(na[x], nb[y], similarity)
+            yield ia[x[keep]], ib[y[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            key = np.stack([column(c).astype(np.int64) for c in columns[:4]], axis=1)
+            g = flat_lists(batch.column("g"))[0].view(np.uint64).reshape(batch.num_rows, WORD_BYTES // 8)
+            texts = column("id"), column("n").astype(np.int64), column("root"), g
+            cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, batch.num_rows].tolist() if batch.num_rows else [0]
+            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for low, high in zip(cuts, cuts[1:]):
+                *block, is_row = key[low].tolist()
+                if block != last:
+                    last, held = block, []
+                some = tuple(x[low:high] for x in texts)
+                if not is_row:
+                    held.append(some)
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                for one, other in compare(some, held[0]) if held else ():
+                    a.append(np.maximum(one, other))
+                    b.append(np.minimum(one, other))
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([]).to_batches()
+            yield from pairs
+
+    met = dealt.repartition("h", "part", "centre_part").sortWithinPartitions("h", "part", "centre_part", "is_row").mapInArrow(run, "a long, b long")
+    return centres.select("h", "id"), met.distinct()
 
 
 def sketch_keys(values: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARITY, sketches: tuple = SKETCHES, deletions: int = DELETIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +297,8 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
-def rare_keys(ids: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """id, h: keys of the texts (id, w) that are asked for, of which any two near ones have one in common: of each its rarest labelled runs of words, as many as may be missing in a near text and one more."""
+def rare_lists(ids: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id, hs: keys of the texts (id, w) that are asked for, of which any two near ones have one in common: of each its rarest labelled runs of words, as many as may be missing in a near text and one more."""
     k = run_length(similarity)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +320,12 @@ def rare_keys(ids: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     common = rows.join(shared.hint("merge"), "h").groupBy("id").agg(F.first("missing").alias("missing"), F.first("n_runs").alias("n_runs"), F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("common"))
     # runs that no other text has are the rarest
     left = F.greatest(F.col("missing") + 1 - (F.col("n_runs") - F.size("common")), F.lit(0)).cast("int")
-    return common.select("id", F.explode(F.slice("common", F.lit(1), left)["h"]).alias("h"))
+    return common.select("id", F.slice("common", F.lit(1), left)["h"].alias("hs"))
+
+
+def rare_keys(ids: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id, h: a row for each of the keys of `rare_lists`."""
+    return rare_lists(ids, texts, similarity).select("id", F.explode("hs").alias("h"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,23 +407,22 @@ def _keyed_classes(docs: DataFrame, id_col: str, text: str, similarity: float, s
     known = written(texts.join(wanted, "id", "left_semi").select("id", "w").mapInArrow(compared, "id long, g array<long>"), "word-bytes")
     left = written(left.join(known, "id"), "buckets")
     crowded = left.where(f"size > {BUCKET}").select("id", "n", "g").dropDuplicates(["id"])
-    rare = rare_keys(crowded.select("id"), texts, similarity)
-    left = left.where(f"size <= {BUCKET}").select("h", "id", "n", "g").union(crowded.join(rare, "id").select("h", "id", "n", "g"))
+    rare = rare_lists(crowded.select("id"), texts, similarity)
+    keyed = crowded.join(rare, "id").select(F.explode("hs").alias("h"), "id", "n", "g")  # a text and its keys meet as one row
+    left = written(left.where(f"size <= {BUCKET}").select("h", "id", "n", "g").union(keyed), "buckets")
     while True:  # sixteen centres of a bucket are compared with all of it; then, as many times 256, up to as many as there are texts
         deals *= 16 if deals == 1 else 256
         rooted = with_roots(left)
-        left = written(rooted.join(several(rooted), "h").drop("size"), "buckets")
+        left = written(rooted.join(several(rooted), "h"), "buckets")
         if left.isEmpty():
             break
-        centres = left.groupBy("h", F.pmod(F.xxhash64("id", F.lit(deals)), F.lit(deals))).agg(F.min(F.struct("id", "n", "root", "g")).alias("c")).select("h", F.col("c.id").alias("b"), F.col("c.n").alias("nb"), F.col("c.root").alias("b_root"), F.col("c.g").alias("gb"))
-        alike = close & (F.col("root") != F.col("b_root")) & (shared_bytes(F.col("g"), F.col("gb")) >= least_shared(F.col("n"), F.col("nb"), similarity))
-        fresh = left.join(centres.withColumnRenamed("h", "hb"), (F.col("h") == F.col("hb")) & alike).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        fresh = written(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        centres, met = alike_pairs(left, deals, similarity)
+        fresh = written(met.join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = written(aligned(fresh, texts, similarity), "near")
         if not more.isEmpty():
             roots = written(joined(roots, more), "roots")
         pairs = pairs.union(fresh)
-        left = left.join(centres.select("h", F.col("b").alias("id")), ["h", "id"], "left_anti").select("h", "id", "n", "g")
+        left = left.join(centres, ["h", "id"], "left_anti").select("h", "id", "n", "g")
     return base, members, distinct.select("key", "least", "copies", "id"), roots
 
 
