@@ -112,3 +112,11 @@ def test_records_of_a_document_are_not_held_as_a_set(spark):
     df = cit.citation_listing(rows_of)
     assert rows(df) == sorted([(1, 1, 1, "a", 2, 3, 4, 2), (1, 1, 2, "b", 1, 3, 4, 2), (1, 2, 1, "a", 2, 3, 4, 2), (1, 3, 1, None, 1, 3, 4, 2), (2, 1, 1, None, 1, 1, 1, 0)], key=repr)
     assert "collect_set" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_a_claim_are_made_once_not_for_each_title(spark):
+    claims = spark.createDataFrame([(1, "Brown foxes with moss", ["Moss and rivers", None, "Brown moss"]), (2, "with", ["Moss"]), (3, None, ["Moss"]), (4, "Green hens", []), (5, "Green hens", None), (6, "Hens", ["red HENS"])], "claim_id long, claim string, titles array<string>")
+    df = mt.topical(claims)
+    assert rows(df) == [(1, 0.666667), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 1.0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(claim") == 1 and "lambdafunction" in plan
