@@ -274,9 +274,13 @@ def titled_bibliography(lines: DataFrame) -> DataFrame:
 
 def parse_reference(references: DataFrame) -> DataFrame:
     """Vancouver references to their fields, once per distinct (surname, year, title key), with how often each occurs."""
-    get = lambda p, i=1: F.regexp_extract("body", p, i)
+    fields = ("authors", "title", "journal", "year", "volume", "issue", "spage", "epage")
     shape = r"^(.+?)\.\s+(.+?)\.\s+([^.]+)\.\s+(\d{4});(\d+)(?:\(([^)]*)\))?:(\d+)(?:-(\d+))?"
-    parts = references.select("body", get(shape, 1).alias("authors"), get(shape, 2).alias("title"), get(shape, 3).alias("journal"), get(shape, 4).alias("year"), get(shape, 5).alias("volume"), get(shape, 6).alias("issue"), get(shape, 7).alias("spage"), get(shape, 8).alias("epage"))
+    # all groups of one match with a mark between them, or, of a body that has the mark, group by group
+    at_once = F.split(F.regexp_replace("body", shape + r"[\s\S]*", "\x01".join(f"${i}" for i in range(1, 9))), "\x01")
+    singly = F.array(*[F.regexp_extract("body", shape, i) for i in range(1, 9)])
+    matched = references.select("body", F.when(F.contains("body", F.lit("\x01")), singly).otherwise(at_once).alias("m"))
+    parts = matched.select("body", *[F.when(F.size("m") == 8, F.col("m")[i]).when(F.col("body").isNotNull(), "").alias(c) for i, c in enumerate(fields)])
     named = parts.withColumns({"n_authors": F.size(F.filter(F.split("authors", r",\s*"), lambda a: a != "")), "surname": F.regexp_extract("authors", r"^([^\s,]+)", 1), "title_key": F.substring(tx.signature(F.col("title")), 1, 40)})
     rest = ["authors", "n_authors", "title", "journal", "volume", "issue", "spage", "epage"]
     return named.groupBy("surname", "year", "title_key").agg(F.min(F.struct(*rest)).alias("r"), F.count(F.lit(1)).alias("n")).select("surname", "year", "title_key", "r.*", "n")

@@ -8,6 +8,7 @@ import re
 from conftest import rows
 
 from refweave.operators import citations as cit
+from refweave.operators import extraction as ex
 from refweave.operators import matching as mt
 
 
@@ -120,3 +121,15 @@ def test_terms_of_a_claim_are_made_once_not_for_each_title(spark):
     assert rows(df) == [(1, 0.666667), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0), (6, 1.0)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(claim") == 1 and "lambdafunction" in plan
+
+
+def test_a_reference_is_matched_once_for_all_its_fields(spark):
+    shape = r"(.+?)\.\s+(.+?)\.\s+([^.]+)\.\s+(\d{4});(\d+)(?:\(([^)]*)\))?:(\d+)(?:-(\d+))?"
+    bodies = ["Fox A, Elk B. Red hens. Moss. 1990;5(2):10-19. doi\n\nmore", "Fox A. Hens $1. Moss. 1991;6:7", "Owl\x01A. Red. Moss. 1992;7():8-9", "no reference", "", "\x01\x01\x01\x01\x01\x01\x01", "Fox\nA. Red. Moss. 1990;5:1", None]
+    want = set()
+    for b in bodies:
+        m = re.match(shape, b) if b is not None else None
+        want.add(tuple(None if b is None else "" for _ in range(8)) if m is None else tuple(x or "" for x in m.groups()))
+    df = ex.parse_reference(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert {tuple(r[c] for c in ("authors", "title", "journal", "year", "volume", "issue", "spage", "epage")) for r in df.collect()} == want and len(want) == 5
+    assert "regexp_replace(body" in df._jdf.queryExecution().optimizedPlan().toString()
