@@ -14,11 +14,12 @@ with its least centre only; then with all its buckets' centres that are not in i
 several classes: the centres leave, 256 times as many of the rest are the next ones and are compared with all that is left, until each bucket is used up or one class.
 So a big group of near copies costs about one alignment per copy.
 
-In the rounds texts meet that merely share a passage. A MinHash of the single words, 128 bytes a text, tells them apart from near ones without an alignment: two near texts share at least two thirds
-of their occurrence-labelled words, so 85 of the 128 bytes on average; texts of one length that share fewer than 67, of different lengths even more, are not aligned (a near pair is lost so with a probability of 2 * 10^-4 at the very limit, and hardly at all below it).
+In the rounds texts meet that merely share a passage. A MinHash of the single words, 256 bytes a text, tells them apart from near ones without an alignment: two near texts share at least two thirds
+of their occurrence-labelled words, so 171 of the 256 bytes on average; texts of one length that share fewer than 145, of different lengths even more, are not aligned (a near pair is lost so with a probability of 2 * 10^-4 at the very limit, and hardly at all below it).
 
 In place of the buckets of more than 32 texts in the rounds, their texts meet on what any near pair must share, so that a passage that a large part of the corpus shares doesn't make all its texts meet: an edit touches two pairs of neighbouring words at
 most, so near texts share all but so many of their labelled pairs, and of both texts' rarest pairs, one more than may be missing, one is common (`least_common`). Pairs that only one of these texts has are of no use as keys. No near pair is lost by it.
+Texts that share a passage share all its pairs, so that most buckets lie within another one; only the outer ones are gone through (`outer_buckets`), or each pair would be found once for every key that it shares.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ SKETCHES = ((5, 16, None), (3, 24, None), (2, 16, 30))
 #: Edits up to which texts get keys of what remains when so many words are deleted.
 DELETIONS = 2
 #: Bytes of the MinHash of words.
-WORD_BYTES = 128
+WORD_BYTES = 256
 #: Texts of a bucket up to which all are compared in the rounds; those of larger ones meet on their rarest word pairs.
 BUCKET = 32
+#: Runs of words, those that most texts share, whose counts every task gets.
+HOT_RUNS = 10_000
 #: Rows, and centres, of a bucket that are compared at once in the rounds.
 BLOCK = 2048
 #: Parts into which each class is dealt where its members are joined with it.
@@ -315,9 +318,25 @@ def rare_lists(ids: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(missing, pa.int64()), lists], names=["id", "missing", "runs"])
 
     held = written(texts.join(ids.hint("merge"), "id", "left_semi").select("id", "w").mapInArrow(runs, "id long, missing long, runs array<long>"), "runs")
-    rows = held.select("id", "missing", F.size("runs").alias("n_runs"), F.explode("runs").alias("h"))
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    common = rows.join(shared.hint("merge"), "h").groupBy("id").agg(F.first("missing").alias("missing"), F.first("n_runs").alias("n_runs"), F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("common"))
+    shared = written(held.select(F.explode("runs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "shared")
+    # the runs that most texts share are known to every task, and make no rows of a join
+    hot = sorted((r["h"], r["texts"]) for r in shared.orderBy(F.desc("texts"), "h").limit(HOT_RUNS).collect())
+    hot_runs, hot_texts = (np.array(x, dtype=np.int64) for x in (zip(*hot) if hot else ((), ())))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = flat_lists(batch.column("runs"))
+            at = np.minimum(np.searchsorted(hot_runs, flat), max(len(hot_runs) - 1, 0))
+            is_hot = hot_runs[at] == flat if len(hot_runs) else np.zeros(len(flat), dtype=bool)
+            ends = lambda some: pa.array(np.r_[0, np.cumsum(some)][offsets], pa.int32())
+            known = pa.StructArray.from_arrays([pa.array(hot_texts[at[is_hot]]), pa.array(flat[is_hot])], names=["texts", "h"])
+            lists = [pa.ListArray.from_arrays(ends(is_hot), known), pa.ListArray.from_arrays(ends(~is_hot), pa.array(flat[~is_hot]))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("missing"), pa.array(np.diff(offsets)), *lists], names=["id", "missing", "n_runs", "hot", "cold"])
+
+    parts = held.mapInArrow(parted, "id long, missing long, n_runs long, hot array<struct<texts: long, h: long>>, cold array<long>")
+    rows = parts.select("id", F.explode("cold").alias("h"))
+    cold = rows.join(shared.hint("merge"), "h").groupBy("id").agg(F.collect_list(F.struct("texts", "h")).alias("some"))
+    common = parts.select("id", "missing", "n_runs", "hot").join(cold, "id", "left").withColumn("common", F.when(F.col("some").isNull(), F.sort_array("hot")).otherwise(F.sort_array(F.concat("some", "hot")))).where("size(common) > 0")
     # runs that no other text has are the rarest
     left = F.greatest(F.col("missing") + 1 - (F.col("n_runs") - F.size("common")), F.lit(0)).cast("int")
     return common.select("id", F.slice("common", F.lit(1), left)["h"].alias("hs"))
@@ -350,6 +369,20 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (h, id, ...) of buckets with the root of their text's class, itself where it has none. All columns but h are the text's: a text and its keys meet its root as one row."""
+    own = [c for c in rows.columns if c not in ("h", "id")]
+    texts = rows.groupBy("id").agg(*(F.first(c).alias(c) for c in own), F.collect_list("h").alias("hs"))
+    return texts.join(roots, F.col("id") == F.col("node"), "left").select(F.explode("hs").alias("h"), "id", *own, F.coalesce("root", "id").alias("root"))
+
+
+def outer_buckets(rows: DataFrame) -> DataFrame:
+    """h of those buckets (rows h, id, size) that do not lie within another one: where the largest bucket of each of its texts (the greatest h of equal ones) is one and the same other bucket, that one holds all its pairs."""
+    texts = rows.groupBy("id").agg(F.max(F.struct("size", "h"))["h"].alias("largest"), F.collect_list("h").alias("hs"))
+    spans = texts.select("largest", F.explode("hs").alias("h")).groupBy("h").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+    return spans.where("low <> high or low = h").select("h")
+
+
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """The roots (node, root) after further edges (a, b): only the roots that the edges touch are joined."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -394,9 +427,8 @@ def _keyed_classes(docs: DataFrame, id_col: str, text: str, similarity: float, s
     roots = written(components(links.union(more)), "roots")
     left, deals = left.where("id <> b").select("h", "id", "n"), 1
     several = lambda rows: rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("h", "size")
-    with_roots = lambda rows: rows.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    rooted = with_roots(left)
-    left = written(rooted.join(several(rooted), "h").drop("root"), "buckets")
+    classed = rooted(left, roots)
+    left = written(classed.join(several(classed), "h").drop("root"), "buckets")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,10 +442,12 @@ def _keyed_classes(docs: DataFrame, id_col: str, text: str, similarity: float, s
     rare = rare_lists(crowded.select("id"), texts, similarity)
     keyed = crowded.join(rare, "id").select(F.explode("hs").alias("h"), "id", "n", "g")  # a text and its keys meet as one row
     left = written(left.where(f"size <= {BUCKET}").select("h", "id", "n", "g").union(keyed), "buckets")
+    classed = rooted(left.select("h", "id"), roots)
+    left = left.join(outer_buckets(classed.join(several(classed), "h")).hint("merge"), "h", "left_semi")
     while True:  # sixteen centres of a bucket are compared with all of it; then, as many times 256, up to as many as there are texts
         deals *= 16 if deals == 1 else 256
-        rooted = with_roots(left)
-        left = written(rooted.join(several(rooted), "h"), "buckets")
+        classed = rooted(left, roots)
+        left = written(classed.join(several(classed), "h"), "buckets")
         if left.isEmpty():
             break
         centres, met = alike_pairs(left, deals, similarity)

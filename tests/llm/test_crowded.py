@@ -38,3 +38,31 @@ def test_a_crowded_text_meets_its_keys_as_one_row(spark):
     assert lists.count() == lists.select("id").distinct().count() == 12
     keys = neardup.rare_keys(texts.select("id"), texts, 0.8)
     assert keys.count() == lists.select(F.sum(F.size("hs"))).first()[0] > 12
+
+
+def test_buckets_within_another_one_are_left_out_and_no_pair_with_them(spark):
+    rng = np.random.default_rng(5)
+    buckets = {h: set(range(40 - h)) for h in range(20)} | {100 + h: {int(x) for x in rng.choice(60, 2 + h % 9, replace=False)} for h in range(80)} | {300: set(range(3, 40)) | {77}, 301: {77, 78}, 302: {77, 78}}
+    rows = spark.createDataFrame([(h, i, len(ids)) for h, ids in buckets.items() for i in ids], "h long, id long, size long")
+    kept = {r["h"] for r in neardup.outer_buckets(rows).collect()}
+    pairs = lambda some: {(a, b) for h in some for a in buckets[h] for b in buckets[h] if a < b}
+    assert pairs(kept) == pairs(buckets)
+    assert not kept & set(range(1, 20)) and len(kept & {301, 302}) < 3 and {0, 300} <= kept
+
+
+def test_texts_meet_their_roots_once_however_many_keys_they_have(spark):
+    rows = spark.createDataFrame([(h, i, i + 5) for i in range(4) for h in range(50)], "h long, id long, n int")
+    roots = spark.createDataFrame([(0, 0), (2, 0)], "node long, root long")
+    out = neardup.rooted(rows, roots)
+    assert sorted(tuple(r) for r in out.select("h", "id", "n", "root").collect()) == sorted((h, i, i + 5, 0 if i == 2 else i) for i in range(4) for h in range(50))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join LeftOuter")
+
+
+def test_rare_lists_are_the_same_with_and_without_hot_runs(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, [*range(i % 5, 40), *range(200 + i % 4, 215), 1000 + i]) for i in range(30)] + [(99, [7])], "id long, w array<int>")
+    found = []
+    for most in (1, 7, 10_000):
+        monkeypatch.setattr(neardup, "HOT_RUNS", most)
+        found.append(sorted((r["id"], r["hs"]) for r in neardup.rare_lists(texts.select("id"), texts, 0.8).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 30
