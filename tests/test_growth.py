@@ -133,3 +133,28 @@ def test_a_reference_is_matched_once_for_all_its_fields(spark):
     df = ex.parse_reference(spark.createDataFrame([(b,) for b in bodies], "body string"))
     assert {tuple(r[c] for c in ("authors", "title", "journal", "year", "volume", "issue", "spage", "epage")) for r in df.collect()} == want and len(want) == 5
     assert "regexp_replace(body" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ratios_of_short_windows_are_found_without_going_through_all_pairs_of_characters(monkeypatch):
+    from difflib import SequenceMatcher
+
+    from refweave.functions import similarity
+
+    r, texts = random.Random(3), []
+    for k in range(3000):
+        letters = "abcdefgh  "[: r.randint(1, 10)]
+        a, b = ("".join(r.choice(letters) for _ in range(r.randint(0, n))) for n in (60, 90))
+        texts.append((a, b if r.random() < 0.5 else (b + a[r.randint(0, len(a)) :] + b)[:190]))
+    for a, b in texts:
+        assert 2 * similarity.in_blocks(a, b) == round(SequenceMatcher(None, a, b, False).ratio() * (len(a) + len(b)))
+    text = "".join(a + b for a, b in texts[:40])
+    placed = similarity.PlacedText(text)
+    claims = [text[i : i + n].replace("a", "z") for i in range(0, 900, 90) for n in (5, 40, 120)] + ["~~~~", "x" * 70]
+
+    def slid(claim):
+        n, step = len(claim), max(20, len(claim) // 2)
+        return max([SequenceMatcher(None, claim, text[s : s + n + 40]).ratio() for s in range(0, len(text) - n, step)], default=0.0)
+
+    want = [slid(c) for c in claims]
+    monkeypatch.setattr(similarity, "SequenceMatcher", None)
+    assert [similarity.best_window(c, placed, 0.0, 40) for c in claims] == want
