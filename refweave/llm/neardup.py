@@ -14,8 +14,8 @@ with its least centre only; then with all its buckets' centres that are not in i
 several classes: the centres leave, 256 times as many of the rest are the next ones and are compared with all that is left, until each bucket is used up or one class.
 So a big group of near copies costs about one alignment per copy.
 
-In the rounds texts meet that merely share a passage. A MinHash of the single words, 256 bytes a text, tells them apart from near ones without an alignment: two near texts share at least two thirds
-of their occurrence-labelled words, so 171 of the 256 bytes on average; texts of one length that share fewer than 145, of different lengths even more, are not aligned (a near pair is lost so with a probability of 2 * 10^-4 at the very limit, and hardly at all below it).
+In the rounds texts meet that merely share a passage. A MinHash of the single words, 512 bytes a text, tells them apart from near ones without an alignment: two near texts share at least two thirds
+of their occurrence-labelled words, so 341 of the 512 bytes on average; texts of one length that share fewer than 304, of different lengths even more, are not aligned (a near pair is lost so with a probability of 2 * 10^-4 at the very limit, and hardly at all below it).
 
 In place of the buckets of more than 32 texts in the rounds, their texts meet on what any near pair must share, so that a passage that a large part of the corpus shares doesn't make all its texts meet: an edit touches two pairs of neighbouring words at
 most, so near texts share all but so many of their labelled pairs, and of both texts' rarest pairs, one more than may be missing, one is common (`least_common`). Pairs that only one of these texts has are of no use as keys. No near pair is lost by it.
@@ -40,7 +40,7 @@ SKETCHES = ((5, 16, None), (3, 24, None), (2, 16, 30))
 #: Edits up to which texts get keys of what remains when so many words are deleted.
 DELETIONS = 2
 #: Bytes of the MinHash of words.
-WORD_BYTES = 256
+WORD_BYTES = 512
 #: Texts of a bucket up to which all are compared in the rounds; those of larger ones meet on their rarest word pairs.
 BUCKET = 32
 #: Runs of words, those that most texts share, whose counts every task gets.
@@ -139,23 +139,29 @@ def alike_pairs(left: DataFrame, deals: int, similarity: float) -> tuple[DataFra
     """The centres (h, id) of the buckets' rows (h, id, n, g, root, size), one for each of `deals` parts by hash; and the pairs (a, b) of a row with a centre of its bucket that is of another class and, by its bytes and length, may be near.
 
     The pairs are looked through in blocks of BLOCK rows and BLOCK centres at most, which are dealt out: a bucket's work is spread over as many tasks as it has blocks, and only what may be near becomes a row.
+    A pair of texts with the same `largest` bucket, where the rows say it, is left to that bucket, which is gone through until it is used up or one class.
     """
-    text = F.struct("id", "n", "g", "root", "size")
+    if "largest" not in left.columns:
+        left = left.withColumn("largest", F.col("h"))
+    text = F.struct("id", "n", "g", "root", "size", "largest")
     centres = written(left.groupBy("h", F.pmod(F.xxhash64("id", F.lit(deals)), F.lit(deals))).agg(F.min(text).alias("c")).select("h", "c.*"), "centres")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     row_blocks, centre_blocks = blocks(F.col("size")), blocks(F.least("size", F.lit(deals)))
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["h", "part", "centre_part", "is_row", "id", "n", "root", "g"]
+    columns = ["h", "part", "centre_part", "is_row", "id", "n", "root", "largest", "g"]
     dealt = centres.withColumns({"is_row": F.lit(0), "centre_part": place(centre_blocks), "part": every(row_blocks)}).select(columns)
     dealt = dealt.union(left.withColumns({"is_row": F.lit(1), "part": place(row_blocks), "centre_part": every(centre_blocks)}).select(columns))
 
-    def compare(a: tuple, b: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        (ia, na, ra, ga), (ib, nb, rb, gb) = a, b
-        step = max(1, 65_536 // len(ib))
+    def compare(h: int, a: tuple, b: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (ia, na, ra, la, ga), (ib, nb, rb, lb, gb) = a, b
+        step, is_centre = max(1, 65_536 // len(ib)), np.isin(ia, ib)  # of two centres of a block the greater one finds the pair
         for k in range(0, len(ia), step):
             n, m = na[k : k + step, None], nb[None, :]
             may = (np.abs(n - m) <= (1 - similarity) * np.maximum(n, m) + 1e-9) & (ra[k : k + step, None] != rb[None, :])
+            if (lb != h).any():
+                may &= (la[k : k + step, None] != lb[None, :]) | (lb[None, :] == h)
+            may &= ~is_centre[k : k + step, None] | (ia[k : k + step, None] > ib[None, :])
             x, y = np.nonzero(may)
             x += k
             keep = shared_bytes(ga[x], gb[y]) >= least_shared(na[x], nb[y], similarity)
@@ -167,7 +173,7 @@ def alike_pairs(left: DataFrame, deals: int, similarity: float) -> tuple[DataFra
             column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
             key = np.stack([column(c).astype(np.int64) for c in columns[:4]], axis=1)
             g = flat_lists(batch.column("g"))[0].view(np.uint64).reshape(batch.num_rows, WORD_BYTES // 8)
-            texts = column("id"), column("n").astype(np.int64), column("root"), g
+            texts = column("id"), column("n").astype(np.int64), column("root"), column("largest"), g
             cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, batch.num_rows].tolist() if batch.num_rows else [0]
             a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for low, high in zip(cuts, cuts[1:]):
@@ -180,7 +186,7 @@ def alike_pairs(left: DataFrame, deals: int, similarity: float) -> tuple[DataFra
                     continue
                 if len(held) > 1:
                     held = [tuple(np.concatenate(x) for x in zip(*held))]
-                for one, other in compare(some, held[0]) if held else ():
+                for one, other in compare(block[0], some, held[0]) if held else ():
                     a.append(np.maximum(one, other))
                     b.append(np.minimum(one, other))
             a, b = np.concatenate(a), np.concatenate(b)
@@ -376,10 +382,14 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return texts.join(roots, F.col("id") == F.col("node"), "left").select(F.explode("hs").alias("h"), "id", *own, F.coalesce("root", "id").alias("root"))
 
 
+def largest_buckets(rows: DataFrame) -> DataFrame:
+    """id, largest, hs: of each text of the buckets (rows h, id, size) its largest bucket (the greatest h of equal ones), and all."""
+    return rows.groupBy("id").agg(F.max(F.struct("size", "h"))["h"].alias("largest"), F.collect_list("h").alias("hs"))
+
+
 def outer_buckets(rows: DataFrame) -> DataFrame:
     """h of those buckets (rows h, id, size) that do not lie within another one: where the largest bucket of each of its texts (the greatest h of equal ones) is one and the same other bucket, that one holds all its pairs."""
-    texts = rows.groupBy("id").agg(F.max(F.struct("size", "h"))["h"].alias("largest"), F.collect_list("h").alias("hs"))
-    spans = texts.select("largest", F.explode("hs").alias("h")).groupBy("h").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
+    spans = largest_buckets(rows).select("largest", F.explode("hs").alias("h")).groupBy("h").agg(F.min("largest").alias("low"), F.max("largest").alias("high"))
     return spans.where("low <> high or low = h").select("h")
 
 
@@ -443,7 +453,8 @@ def _keyed_classes(docs: DataFrame, id_col: str, text: str, similarity: float, s
     keyed = crowded.join(rare, "id").select(F.explode("hs").alias("h"), "id", "n", "g")  # a text and its keys meet as one row
     left = written(left.where(f"size <= {BUCKET}").select("h", "id", "n", "g").union(keyed), "buckets")
     classed = rooted(left.select("h", "id"), roots)
-    left = left.join(outer_buckets(classed.join(several(classed), "h")).hint("merge"), "h", "left_semi")
+    sized = classed.join(several(classed), "h")
+    left = left.join(outer_buckets(sized).hint("merge"), "h", "left_semi").join(largest_buckets(sized).select("id", "largest").hint("merge"), "id").select("h", "id", "n", "g", "largest")
     while True:  # sixteen centres of a bucket are compared with all of it; then, as many times 256, up to as many as there are texts
         deals *= 16 if deals == 1 else 256
         classed = rooted(left, roots)
@@ -456,7 +467,7 @@ def _keyed_classes(docs: DataFrame, id_col: str, text: str, similarity: float, s
         if not more.isEmpty():
             roots = written(joined(roots, more), "roots")
         pairs = pairs.union(fresh)
-        left = left.join(centres, ["h", "id"], "left_anti").select("h", "id", "n", "g")
+        left = left.join(centres, ["h", "id"], "left_anti").select("h", "id", "n", "g", "largest")
     return base, members, distinct.select("key", "least", "copies", "id"), roots
 
 

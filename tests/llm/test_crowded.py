@@ -66,3 +66,13 @@ def test_rare_lists_are_the_same_with_and_without_hot_runs(spark, monkeypatch):
         monkeypatch.setattr(neardup, "HOT_RUNS", most)
         found.append(sorted((r["id"], r["hs"]) for r in neardup.rare_lists(texts.select("id"), texts, 0.8).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) == 30
+
+
+def test_a_pair_is_left_to_the_largest_bucket_that_its_texts_share(spark):
+    g = np.zeros(neardup.WORD_BYTES // 8, dtype=np.int64).tolist()
+    rows = [(h, i, 30, i, 9 if i < 4 else 8, g, n) for h, n in ((7, 6), (8, 2), (9, 4)) for i in range(6) if h == 7 or (i < 4) == (h == 9)]
+    left = spark.createDataFrame(rows, "h long, id long, n int, root long, largest long, g array<long>, size long")
+    met = lambda df: {tuple(r) for r in neardup.alike_pairs(df, 4096, 0.8)[1].collect()}
+    every = {(a, b) for a in range(6) for b in range(a)}
+    assert met(left) == every
+    assert met(left.where("h = 7")) == {(a, b) for a, b in every if (a < 4) != (b < 4)}
